@@ -161,3 +161,32 @@ class DedupRun:
 
     def piece(self) -> Piece:
         return Piece(self.low, self.high, 0 if self.created_any else 1, self.start, self.state)
+
+
+class PresenceKernel:
+    """Whether a key exists (1) or not (0) while sets and deletes run over it."""
+
+    inputs = ("sets",)
+    ids = ()
+    outputs = (("succeeded", T.BooleanType(), pa.bool_()),)
+    absent = 0
+    probes = (0, 1)
+
+    def begin(self, state: int | None) -> PresenceRun:
+        return PresenceRun(state or 0)
+
+
+class PresenceRun:
+    def __init__(self, start: int) -> None:
+        self.start = start
+        self.state = start
+
+    def advance(self, columns: dict[str, list], low: int, high: int, out: tuple[list, ...] | None) -> None:
+        sets = columns["sets"]
+        for i in range(low, high):
+            if out is not None:
+                out[0].append(sets[i] or self.state == 1)
+            self.state = 1 if sets[i] else 0
+
+    def piece(self) -> Piece:
+        return Piece(self.start, self.start, 0, self.start, self.state)
