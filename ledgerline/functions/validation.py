@@ -22,23 +22,35 @@ _NAIVE = r"\A\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?)?\z"
 _UUID = r"\A(urn:uuid:)?\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?\z"
 _MILLISECONDS_FROM = 20_000_000_000
 
-_DOC = "_doc"
-_IS_OBJECT = "_is_object"
+_DOC, _OBJECT = "_doc", "_is_object"
 
 
-def _parse(envelopes: DataFrame) -> DataFrame:
-    """Add the parsed document; it is NULL for broken JSON."""
-    parsed = envelopes.withColumn(_DOC, F.try_parse_json("value"))
-    return parsed.withColumn(_IS_OBJECT, F.coalesce(F.schema_of_variant(_DOC).startswith("OBJECT"), F.lit(False)))
+def _computed_once(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections reuse instead of evaluating again.
+
+    A one-element ``inline`` is a boundary the optimizer does not merge expressions across. Without it a filter on
+    the final reason would carry a copy of the whole parser, for every filter in a plan.
+    """
+    return frame.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def _text(name: str) -> Column:
-    return F.try_variant_get(F.col(_DOC), f"$.{name}", "string")
+    return F.col(f"_text_{name}")
 
 
 def _kind(name: str) -> Column:
     """JSON type of a field: NULL when absent, VOID for an explicit null."""
-    return F.schema_of_variant(F.try_variant_get(F.col(_DOC), f"$.{name}", "variant"))
+    return F.col(f"_kind_{name}")
+
+
+def _parse(envelopes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Parse once, then read text and JSON type of each field. Broken JSON leaves all of them NULL."""
+    parsed = _computed_once(envelopes, {_DOC: F.try_parse_json("value")})
+    fields = {_OBJECT: F.coalesce(F.schema_of_variant(_DOC).startswith("OBJECT"), F.lit(False))}
+    for name in names:
+        fields[f"_text_{name}"] = F.try_variant_get(F.col(_DOC), f"$.{name}", "string")
+        fields[f"_kind_{name}"] = F.schema_of_variant(F.try_variant_get(F.col(_DOC), f"$.{name}", "variant"))
+    return _computed_once(parsed, fields)
 
 
 def _string(name: str) -> Column:
@@ -51,7 +63,7 @@ def _is_number(name: str) -> Column:
 
 def _whole_number(name: str) -> Column:
     text = _text(name)
-    number = F.expr(f"try_cast(try_variant_get({_DOC}, '$.{name}', 'string') AS DECIMAL(38,10))")
+    number = text.try_cast("decimal(38,10)")
     plain = F.regexp_replace(F.trim(text), r"_|\.0+$", "").try_cast("bigint")
     return (
         F.when((_kind(name) == "STRING") & text.rlike(_NUMERAL), plain)
@@ -95,40 +107,43 @@ def first_reason(checks: Sequence[tuple[Column, str]]) -> Column:
 
 
 def _identifier(name: str) -> tuple[Column, str]:
-    value = _string(name)
+    value = F.col(name)
     ok = value.rlike(S.IDENTIFIER_PATTERN) & F.length(value).between(1, S.IDENTIFIER_MAX_LENGTH)
     return ok, f"{name} is not a valid identifier"
 
 
+def _event_time(as_of: Column) -> Column:
+    return F.when(_kind("timestamp").isNull(), as_of).otherwise(_instant("timestamp"))
+
+
 def _timestamp_checks() -> list[tuple[Column, str]]:
     naive = (_kind("timestamp") == "STRING") & _text("timestamp").rlike(_NAIVE)
     return [
         (~F.coalesce(naive, F.lit(False)), "timestamp must be timezone-aware"),
-        (_kind("timestamp").isNull() | _instant("timestamp").isNotNull(), "timestamp is not a valid instant"),
+        (F.col("event_time").isNotNull(), "timestamp is not a valid instant"),
     ]
 
 
-def _contract(envelopes: DataFrame, fields: dict[str, Column], checks: list[tuple[Column, str]]) -> DataFrame:
-    """Typed fields plus ``detail``, the first broken structural rule."""
-    whole = [(F.col(_DOC).isNotNull(), "payload is not valid JSON"), (F.col(_IS_OBJECT), "payload is not an object")]
-    document_id = F.when(F.col(_IS_OBJECT), _text("event_id"))
-    return (
-        _parse(envelopes)
-        .withColumns({**fields, "detail": first_reason(whole + checks), "claimed_event_id": document_id})
-        .drop(_DOC, _IS_OBJECT)
-    )
+def _contract(
+    envelopes: DataFrame, names: Sequence[str], fields: dict[str, Column], checks: list[tuple[Column, str]]
+) -> DataFrame:
+    """Typed fields plus ``detail``, the first broken structural rule. The checks see the typed fields."""
+    whole = [(F.col(_DOC).isNotNull(), "payload is not valid JSON"), (F.col(_OBJECT), "payload is not an object")]
+    claimed = {"claimed_event_id": F.when(F.col(_OBJECT), _text("event_id"))}
+    typed = _computed_once(_parse(envelopes, names), {**fields, **claimed})
+    checked = _computed_once(typed, {"detail": first_reason(whole + checks)})
+    return checked.drop(_DOC, _OBJECT, *[f"_{part}_{n}" for n in names for part in ("text", "kind")])
 
 
 def parse_stock_events(envelopes: DataFrame, as_of: Column) -> DataFrame:
     """F1 + F2: typed stock event fields next to the envelope, and ``detail`` for a broken structure."""
-    quantity, operation = _whole_number("quantity"), _string("operation")
+    quantity, operation = F.col("quantity"), F.col("operation")
     fields = {
         "event_id": _uuid("event_id"), "product_id": _string("product_id"), "store_id": _string("store_id"),
-        "operation": operation, "quantity": quantity,
-        "event_time": F.when(_kind("timestamp").isNull(), as_of).otherwise(_instant("timestamp")),
+        "operation": _string("operation"), "quantity": _whole_number("quantity"), "event_time": _event_time(as_of),
     }
     checks = [
-        (_uuid("event_id").isNotNull(), "event_id is not a UUID"),
+        (F.col("event_id").isNotNull(), "event_id is not a UUID"),
         _identifier("product_id"),
         _identifier("store_id"),
         (operation.isin(*S.OPERATIONS), "operation is not supported"),
@@ -137,33 +152,32 @@ def parse_stock_events(envelopes: DataFrame, as_of: Column) -> DataFrame:
         ((operation != "MANUAL_ADJUSTMENT") | (quantity != 0), "quantity must be non-zero for MANUAL_ADJUSTMENT"),
         *[((operation != op) | (quantity > 0), f"quantity must be positive for {op}") for op in S.POSITIVE_OPERATIONS],
     ]
-    return _contract(envelopes, fields, checks)
+    return _contract(envelopes, S.RAW_INVENTORY_EVENT.fieldNames(), fields, checks)
 
 
 def parse_sales_events(envelopes: DataFrame, as_of: Column) -> DataFrame:
     """F4 + F6 for sales messages."""
-    quantity, price, sale_id = _whole_number("quantity_sold"), _money("sale_price"), _string("sale_id")
+    sale_id, price = F.col("sale_id"), _money("sale_price")
     absent_price = _kind("sale_price").isNull() | (_kind("sale_price") == "VOID")
     fields = {
-        "event_id": _uuid("event_id"), "sale_id": sale_id, "product_id": _string("product_id"),
-        "store_id": _string("store_id"), "quantity_sold": quantity,
-        "sale_price": F.round(price, 2).try_cast("decimal(12,2)"),
-        "event_time": F.when(_kind("timestamp").isNull(), as_of).otherwise(_instant("timestamp")),
+        "event_id": _uuid("event_id"), "sale_id": _string("sale_id"), "product_id": _string("product_id"),
+        "store_id": _string("store_id"), "quantity_sold": _whole_number("quantity_sold"),
+        "sale_price": F.round(price, 2).try_cast("decimal(12,2)"), "event_time": _event_time(as_of),
     }
     not_blank = F.regexp_replace(sale_id, r"(?U)\s", "") != ""
     checks = [
-        (_uuid("event_id").isNotNull(), "event_id is not a UUID"),
+        (F.col("event_id").isNotNull(), "event_id is not a UUID"),
         (F.length(sale_id).between(1, S.IDENTIFIER_MAX_LENGTH), "sale_id length is out of range"),
         (not_blank, "sale_id must not be blank"),
         _identifier("product_id"),
         _identifier("store_id"),
-        (quantity.between(1, S.QUANTITY_LIMIT), "quantity_sold is not an integer within the limits"),
+        (F.col("quantity_sold").between(1, S.QUANTITY_LIMIT), "quantity_sold is not an integer within the limits"),
         (absent_price | price.isNotNull(), "sale_price is not a number"),
         (absent_price | (price >= 0), "sale_price must be non-negative"),
-        (absent_price | F.round(price, 2).try_cast("decimal(12,2)").isNotNull(), "sale_price is out of range"),
+        (absent_price | F.col("sale_price").isNotNull(), "sale_price is out of range"),
         *_timestamp_checks(),
     ]
-    return _contract(envelopes, fields, checks)
+    return _contract(envelopes, S.RAW_SALES_EVENT.fieldNames(), fields, checks)
 
 
 def business_reason(as_of: Column, skew_seconds: int = S.MAX_FUTURE_SKEW_SECONDS) -> Column:
@@ -178,7 +192,7 @@ def _validated(parsed: DataFrame, as_of: Column, skew: int, broken: str, refused
         F.when(F.col("detail").isNotNull(), F.lit(broken))
         .when(late.isNotNull(), F.concat(F.lit(f"{refused}:"), late))
     )
-    return parsed.withColumn("failure_reason", reason)
+    return _computed_once(parsed, {"failure_reason": reason})
 
 
 def validate_stock_events(envelopes: DataFrame, as_of: Column, skew_seconds: int = S.MAX_FUTURE_SKEW_SECONDS) -> DataFrame:

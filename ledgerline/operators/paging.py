@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import all_of
@@ -17,7 +17,8 @@ TOP_K_REACH = 50_000
 
 def matching(frame: DataFrame, **wanted) -> DataFrame:
     """AND of the given equalities; empty values mean no condition."""
-    return frame.where(all_of([F.col(name) == value for name, value in wanted.items() if value]))
+    conditions = [F.col(n) == v for n, v in wanted.items() if isinstance(v, Column) or v]
+    return frame.where(all_of(conditions))
 
 
 def by_id(frame: DataFrame, identifier: str) -> DataFrame:
@@ -72,6 +73,6 @@ def positions(frame: DataFrame, order: Sequence) -> DataFrame:
     )
 
 
-def anomalies_of(anomalies: DataFrame, inventory_id: str, status: str | None = None) -> DataFrame:
+def anomalies_of(anomalies: DataFrame, inventory_id: str | Column, status: str | None = None) -> DataFrame:
     """anomalies of one inventory row, newest first."""
     return matching(anomalies, inventory_id=inventory_id, status=status).orderBy(F.desc("detected_at"), "id")

@@ -46,7 +46,8 @@ def trailing_stats(
     hot = rows.join(names, list(key), "left_semi")
     width = _slot_width(hot, heavy, key, at, lookback_micros, hot_rows)
     slotted = _slotted(hot, key, at, value, lookback_micros, row_id, width)
-    return _windowed(cold, key, at, value, lookback_micros).unionByName(slotted.select(*rows.columns, *STATS))
+    names = [*rows.columns, *STATS]
+    return _windowed(cold, key, at, value, lookback_micros).select(*names).unionByName(slotted.select(*names))
 
 
 def _measures(value: Column) -> dict[str, Column]:
