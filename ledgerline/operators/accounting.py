@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.balance import refusal_reason
 from ledgerline.operators.paging import positions
 from ledgerline.schemas import DEFAULT_BATCH_SIZE, DURATION_BUCKETS
 
@@ -24,7 +25,7 @@ def event_log(ledger: DataFrame) -> DataFrame:
     return ledger.withColumns({
         "success": F.col("status").isin("applied", "duplicate"),
         "is_duplicate": F.col("status") == "duplicate",
-        "error": F.when(~F.col("status").isin("applied", "duplicate"), F.col("status")),
+        "error": refusal_reason(),
     })
 
 

@@ -63,10 +63,10 @@ def applied(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("status") == "applied")
 
 
-def refused(ledger: DataFrame) -> DataFrame:
-    """Everything that was neither applied nor a harmless repeat, with the reason text."""
+def refusal_reason() -> Column:
+    """Why a ledger row was refused; NULL for applied rows and harmless repeats."""
     available = F.coalesce(F.col("quantity_before"), F.lit(0)).cast("string")
-    reason = (
+    return (
         F.when(F.col("status") == "rejected", F.lit("inventory quantity cannot be negative after applying event"))
         .when(F.col("status") == "product_not_found",
               F.concat(F.lit("no inventory record for product_id='"), F.col("product_id"),
@@ -76,7 +76,11 @@ def refused(ledger: DataFrame) -> DataFrame:
                        F.lit(", requested="), (-F.col("delta")).cast("string")))
         .when(F.col("status") == "duplicate_event_id", F.lit("event_id already recorded in history"))
     )
-    return ledger.where(~F.col("status").isin("applied", "duplicate")).withColumn("reason", reason)
+
+
+def refused(ledger: DataFrame) -> DataFrame:
+    """Everything that was neither applied nor a harmless repeat, with the reason text."""
+    return ledger.where(~F.col("status").isin("applied", "duplicate")).withColumn("reason", refusal_reason())
 
 
 def duplicates(ledger: DataFrame) -> DataFrame:

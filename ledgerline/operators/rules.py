@@ -114,7 +114,7 @@ class LargeInventoryAdjustment:
         changes = joined.select("inventory_id", "latest.quantity_delta", "latest.quantity_before", "current")
         return self.findings(changes).select(*FINDING)
 
-    def per_event(self, history: DataFrame) -> DataFrame:
+    def per_change(self, history: DataFrame) -> DataFrame:
         """The rule as of every recorded change: the stock then is the quantity after it, so no window is needed."""
         return self.findings(history.withColumn("current", F.col("quantity_after")))
 
@@ -209,6 +209,28 @@ class RuleEngine:
             found = found.join(event_ids.select("inventory_id", "event_id"), "inventory_id")
         return anomaly_rows(found, context.as_of)
 
+    def detect_after(self, changes: DataFrame, context: RuleContext) -> DataFrame:
+        """Open anomalies right after each applied event in ``changes`` (audit rows).
+
+        Rules that only need the change itself offer ``per_change`` and see every change; the others look at the
+        tables, which are the same for all events of one run.
+        """
+        events = changes.select("inventory_id", F.col("source_event_id").alias("event_id"))
+        parts = []
+        for position, rule in enumerate(self.rules):
+            try:
+                if hasattr(rule, "per_change"):
+                    found = rule.per_change(changes.withColumn("event_id", F.col("source_event_id")))
+                else:
+                    found = rule.evaluate(context).select(*FINDING).join(events, "inventory_id")
+                parts.append(found.select(*FINDING, "event_id", F.lit(position).alias("rule_no")))
+            except Exception:  # a broken custom rule must not stop the others
+                log.exception("anomaly rule %s skipped", type(rule).__name__)
+        merged = reduce(DataFrame.unionByName, parts) if parts else self.findings(context).withColumn(
+            "event_id", F.lit(None).cast("string")).limit(0)
+        return anomaly_rows(merged.where(F.col("anomaly_type").isNotNull() & F.col("severity").isNotNull()),
+                            context.as_of)
+
 
 def anomaly_rows(findings: DataFrame, detected_at: Column) -> DataFrame:
     """Findings in the shape of the anomalies table, plus ``rule_no`` when the engine set it."""

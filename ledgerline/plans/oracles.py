@@ -482,7 +482,8 @@ UNION ALL SELECT key, 'new', NULL FROM keys""",
     "batch_cut": _with(EV) + """SELECT event_id, CAST((row_number() OVER (ORDER BY tm, event_no) - 1) // 64 AS BIGINT) AS batch_no
 FROM ev""",
     "batch_outcomes": _with(BATCHED) + "SELECT * EXCLUDE (ms) FROM outcomes",
-    "batch_errors": _with(BATCHED) + "SELECT batch_no, event_id, status AS error FROM placed WHERE NOT ok",
+    "batch_errors": _with(BATCHED) + """SELECT batch_no, event_id,
+  'inventory quantity cannot be negative after applying event' AS error FROM placed WHERE NOT ok""",
     "batch_metrics": _with(BATCHED) + """SELECT count(*) AS total_batches_processed,
   CAST(sum(total_events) AS BIGINT) AS total_events_processed, CAST(sum(successful_events) AS BIGINT) AS total_successful_events,
   CAST(sum(failed_events) AS BIGINT) AS total_failed_events, CAST(sum(duplicate_events) AS BIGINT) AS total_duplicate_events,

@@ -296,7 +296,7 @@ def rule_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = balance.audit_rows(_ledger(spark, sf_dir), F.col("ts"))
-    return ADJUSTMENT.per_event(history.withColumn("event_id", F.col("source_event_id")))
+    return ADJUSTMENT.per_change(history.withColumn("event_id", F.col("source_event_id")))
 
 
 @query
