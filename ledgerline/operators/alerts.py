@@ -11,7 +11,7 @@ from ledgerline.functions.columns import seconds_between, stable_id
 from ledgerline.operators.anomalies import unknown_targets
 from ledgerline.operators.deadletter import TIMESTAMP_FORMAT
 from ledgerline.operators.kernels import DedupKernel
-from ledgerline.operators.ordered_fold import HOT_ROWS, STATE, ordered_fold
+from ledgerline.operators.ordered_fold import HOT_ROWS, SMALL_ROWS, STATE, ordered_fold
 from ledgerline.schemas import ALERT_DEDUP_WINDOW_SECONDS, ALERT_SEVERITIES, ALERT_STATUSES
 
 # Columns of an alert message, in order.
@@ -36,6 +36,7 @@ def deduplicate(
     window_seconds: int = ALERT_DEDUP_WINDOW_SECONDS,
     alerts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """K8: every candidate with ``created`` and the ``triggered_at`` of the alert that stands for it.
 
@@ -50,7 +51,7 @@ def deduplicate(
         openings = alerts.where(F.col("status") != "resolved").groupBy(*key).agg(
             F.max(F.unix_micros("triggered_at")).alias(STATE))
     folded = ordered_fold(rows, DedupKernel(window_seconds * 1_000_000), key=key, order=order, openings=openings,
-                          hot_rows=hot_rows)
+                          hot_rows=hot_rows, small_rows=small_rows)
     return folded.withColumn("triggered_at", F.timestamp_micros("anchor_micros")).drop("at_micros", "anchor_micros")
 
 

@@ -64,6 +64,9 @@ class BalanceRun:
         self.events: set[str] = set()
         self.sales: set[str] = set()
 
+    def share_ids(self, other: BalanceRun) -> None:
+        self.events, self.sales = other.events, other.sales
+
     def advance(self, columns: dict[str, list], low: int, high: int, out: tuple[list, ...] | None) -> None:
         deltas, sale_rows = columns["delta"], columns["must_exist"]
         event_ids, sale_ids = columns["event_id"], columns["sale_id"]
@@ -142,6 +145,9 @@ class DedupRun:
         self.high = 4 * FAR
         self.created_any = False
 
+    def share_ids(self, other: DedupRun) -> None:
+        """Alerts have no ids to use up."""
+
     def advance(self, columns: dict[str, list], low: int, high: int, out: tuple[list, ...] | None) -> None:
         times, window = columns["at_micros"], self.window
         for i in range(low, high):
@@ -181,6 +187,9 @@ class PresenceRun:
         self.start = start
         self.state = start
 
+    def share_ids(self, other: PresenceRun) -> None:
+        """Keys of a cache have no ids to use up."""
+
     def advance(self, columns: dict[str, list], low: int, high: int, out: tuple[list, ...] | None) -> None:
         sets = columns["sets"]
         for i in range(low, high):

@@ -2,12 +2,14 @@
 
 A running sum cannot express these: a refused row must not move the state. Every row is shuffled once by key,
 sorted inside its partition and streamed through a kernel batch by batch, so memory does not grow with the size
-of a key. Two things need more than that, and each is only paid for when a size check finds it:
+of a key. Special cases are found by size checks and only paid for when they occur:
 
 * *Hot keys* (more rows than ``hot_rows``) are range-partitioned by key **and order**, so one key spreads over
   many tasks. Each segment reports, for a few trial states, how its end follows its start; walking those
   summaries (a few per segment, never rows) gives the true start of every segment. A segment whose true
   start no trial covers is folded again from that start, so the result is exact, whatever the data.
+* *Few rows* (up to ``small_rows``, typically a micro-batch) are folded in one task over all keys in order, which
+  settles ids directly and needs no further checks.
 * *Contested ids* are ids found in more than one key or segment. Whether an id is used up depends on rows
   elsewhere; the occurrences are settled by repeating the fold over the keys involved until the first applied
   occurrence of every such id no longer changes. Each pass settles at least the next occurrence in order.
@@ -30,6 +32,7 @@ from ledgerline.operators.kernels import Piece
 from ledgerline.session import cut_lineage
 
 HOT_ROWS = 2_000_000
+SMALL_ROWS = 5_000
 SEGMENT, HEAD, STATE = "_segment", "_head", "_state"
 _COLD = -1
 
@@ -55,6 +58,7 @@ def ordered_fold(
     openings: DataFrame | None = None,
     used_ids: dict[str, DataFrame] | None = None,
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Fold ``rows`` per ``key`` in ``order`` and return them with the kernel's output columns.
 
@@ -64,12 +68,14 @@ def ordered_fold(
     """
     fold = _Fold(kernel, tuple(key), tuple(order), openings)
     rows = fold.mark_used(rows, used_ids or {})
-    cold, hot = fold.split(rows, hot_rows)
-    settled = fold.settle_ids(cold, hot)
-    if settled is None:
-        results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
+    total, heavy = fold.sizes(rows, hot_rows)
+    if total <= small_rows:
+        results = [fold.run_small(rows.withColumn(SEGMENT, F.lit(_COLD)))]
     else:
-        results = settled
+        cold, hot = fold.split(rows, heavy, hot_rows)
+        results = fold.settle_ids(cold, hot)
+        if results is None:
+            results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
     plumbing = [SEGMENT, *[f"_blocked_{c}" for c in kernel.ids], *[f"_used_{c}" for c in kernel.ids]]
     return reduce(DataFrame.unionByName, results).drop(*plumbing)
 
@@ -94,9 +100,14 @@ class _Fold:
             rows = rows.withColumn(f"_blocked_{column}", F.col(flag))
         return rows
 
-    def split(self, rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-        """Separate the keys that are too large for one task; there are at most total / hot_rows of them."""
-        heavy = rows.groupBy(*self.key).count().where(F.col("count") > hot_rows).collect()
+    def sizes(self, rows: DataFrame, hot_rows: int) -> tuple[int, list]:
+        """Number of rows, and the keys that are too large for one task: at most total / hot_rows of them."""
+        counts = rows.groupBy(*self.key).count()
+        heavy = F.when(F.col("count") > hot_rows, F.struct(*self.key, "count"))
+        found = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.collect_list(heavy).alias("heavy"))
+        return tuple(found.first())
+
+    def split(self, rows: DataFrame, heavy: list, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
         cold = rows.withColumn(SEGMENT, F.lit(_COLD))
         if not heavy:
             return cold, None
@@ -113,14 +124,30 @@ class _Fold:
         # Range bounds come from a sample, so the segments must be fixed before they are summarised and reused.
         return cold.join(names, list(self.key), "left_anti"), cut_lineage(hot)
 
+    # -- few rows: one task, all keys in order -------------------------------------------------------------------
+
+    def run_small(self, rows: DataFrame) -> DataFrame:
+        schema = self._result_schema(rows)
+        # Openings are limited to the keys at hand, so they are no more than the rows.
+        framed = self._framed(rows, of_these_keys=True)
+        placed = framed.repartition(1).sortWithinPartitions(F.desc(HEAD), *self.order)
+        return placed.mapInArrow(_small_task(self.kernel, self.key, schema.fieldNames()), schema)
+
+    def _framed(self, rows: DataFrame, of_these_keys: bool = False) -> DataFrame:
+        """Rows together with the opening state rows, told apart by ``_head``."""
+        framed = rows.withColumn(HEAD, F.lit(False)).withColumn(STATE, F.lit(None).cast("long"))
+        if self.openings is None:
+            return framed
+        openings = self.openings
+        if of_these_keys:
+            openings = openings.join(rows.select(*self.key).distinct(), list(self.key), "left_semi")
+        return framed.unionByName(openings.withColumn(HEAD, F.lit(True)), allowMissingColumns=True)
+
     # -- cold keys: one shuffle, one streaming pass ----------------------------------------------------------
 
     def run_cold(self, rows: DataFrame) -> DataFrame:
         schema = self._result_schema(rows)
-        framed = rows.withColumn(HEAD, F.lit(False)).withColumn(STATE, F.lit(None).cast("long"))
-        if self.openings is not None:
-            framed = framed.unionByName(self.openings.withColumn(HEAD, F.lit(True)), allowMissingColumns=True)
-        placed = framed.repartition(*self.key).sortWithinPartitions(*self.key, F.desc(HEAD), *self.order)
+        placed = self._framed(rows).repartition(*self.key).sortWithinPartitions(*self.key, F.desc(HEAD), *self.order)
         return placed.mapInArrow(_cold_task(self.kernel, self.key, schema.fieldNames()), schema)
 
     # -- hot keys: segments, summaries, exact starts ---------------------------------------------------------
@@ -317,6 +344,33 @@ def _cold_task(kernel, key: Sequence[str], names: Sequence[str]):
     return task
 
 
+def _small_task(kernel, key: Sequence[str], names: Sequence[str]):
+    """All keys in one global order; the runs share the ids they have applied."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[tuple, object] = {}
+        shared = kernel.begin(None)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            columns = _lists(batch, kernel.inputs)
+            heads, states = _values(batch.column(HEAD)), batch.column(STATE).to_pylist()
+            keys = list(zip(*[_values(batch.column(name)) for name in key]))
+            out = tuple([] for _ in kernel.outputs)
+            for i, name in enumerate(keys):
+                if heads[i] or name not in runs:
+                    runs[name] = kernel.begin(states[i])
+                    runs[name].share_ids(shared)
+                if heads[i]:
+                    for values in out:
+                        values.append(None)
+                else:
+                    runs[name].advance(columns, i, i + 1, out)
+            yield _emit(batch, kernel, names, out).filter(pc.invert(batch.column(HEAD)))
+
+    return task
+
+
 def _segment_task(kernel, key: Sequence[str], names: Sequence[str], openings: dict[str, int], starts: dict[int, int]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, current, run = None, None, None

@@ -15,6 +15,7 @@ from ledgerline.functions.columns import inventory_id
 from ledgerline.operators import (accounting, alerts, anomalies, balance, cascade, deadletter, paging, reconcile,
                                   rules, sales, snapshot)
 from ledgerline.operators.balance import apply_stock_events
+from ledgerline.session import cut_lineage
 from ledgerline.sources import domain, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,11 +84,15 @@ def opening_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.select("event_id", "status", "quantity_before", "quantity_after")
 
 
+def _twentieth(rows: DataFrame) -> int:
+    return max(1, rows.count() // 20)
+
+
 @query
 def store_balance_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One balance per store: few keys with very many rows, folded as segments."""
+    """One balance per store: few keys with very many rows, folded as about forty segments."""
     events = domain.stock_events(spark, sf_dir).withColumn("product_id", F.lit("ALL"))
-    ledger = apply_stock_events(events, order=domain.EVENT_ORDER, hot_rows=400)
+    ledger = apply_stock_events(events, order=domain.EVENT_ORDER, hot_rows=_twentieth(events), small_rows=0)
     return ledger.select("event_id", "store_id", "status", "quantity_before", "quantity_after")
 
 
@@ -132,7 +137,8 @@ def _valid_ledger(validated: DataFrame) -> DataFrame:
 
 @query
 def dlq_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    validated = _validated(spark, sf_dir)
+    # Read by the fold, its size checks and the invalid branch: parse once.
+    validated = cut_lineage(_validated(spark, sf_dir))
     failures = deadletter.stock_failures(validated, balance.refused(_valid_ledger(validated)))
     messages = deadletter.dlq_messages(failures, samples.as_of())
     fields = ("event_id", "failure_reason", "retry_count", "timestamp", "source_topic", "source_partition",
@@ -322,7 +328,7 @@ def trailing_sales_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_store = _event_sales(spark, sf_dir).withColumns({
         "at": F.unix_micros("sold_at"), "units": F.col("quantity_sold").cast("long")})
     stats = rules.trailing_stats(by_store, key=["store_id"], at="at", value="units", lookback_micros=24 * rules.HOUR,
-                                 row_id=["event_id"], hot_rows=100)
+                                 row_id=["event_id"], hot_rows=_twentieth(by_store))
     return stats.select("event_id", "store_id", "window_count", "window_sum", "window_max")
 
 
@@ -392,27 +398,27 @@ def alerts_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severe.withColumn("at", F.unix_micros("at")).drop("anomaly_type")
 
 
-def _raised(spark: SparkSession, sf_dir: str, hot_rows: int) -> DataFrame:
+def _raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     severe = alerts.alert_candidates(samples.anomalies(spark, sf_dir))
-    return alerts.deduplicate(severe, key=["inventory_id"], window_seconds=2 * 86_400, hot_rows=hot_rows)
+    return alerts.deduplicate(severe, key=["inventory_id"], window_seconds=2 * 86_400, small_rows=0)
 
 
 @query
 def alerts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raised(spark, sf_dir, 2_000_000).select("anomaly_id", "created", micros("triggered_at"))
+    return _raised(spark, sf_dir).select("anomaly_id", "created", micros("triggered_at"))
 
 
 @query
 def alerts_dedup_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One suppression key per severity: few keys with very many rows."""
     severe = alerts.alert_candidates(samples.anomalies(spark, sf_dir))
-    kept = alerts.deduplicate(severe, key=["severity"], window_seconds=7200, hot_rows=100)
+    kept = alerts.deduplicate(severe, key=["severity"], window_seconds=7200, hot_rows=_twentieth(severe), small_rows=0)
     return kept.select("anomaly_id", "created", micros("triggered_at"))
 
 
 @query
 def alerts_created(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts.alert_rows(_raised(spark, sf_dir, 2_000_000)).select(
+    return alerts.alert_rows(_raised(spark, sf_dir)).select(
         "id", "anomaly_id", "inventory_id", "event_id", "severity", "status", "title", micros("triggered_at"))
 
 

@@ -104,19 +104,23 @@ def _write_ledger(
     ledger: DataFrame, stock: DataFrame, sold: DataFrame, batch_id: int, store: Store, as_of
 ) -> None:
     of_stock, of_sales = ledger.where(~F.col("must_exist")), ledger.where("must_exist")
-    store.write("inventory_history", batch_id, balance.audit_rows(ledger, as_of))
-    store.write("sales", batch_id, sales.sales_rows(of_sales, F.col("event_time")))
-    touched = balance.applied(ledger).groupBy(*balance.PAIR).agg(
-        F.max_by("quantity_after", F.struct(*ORDER)).alias("quantity"))
-    store.write("balances", batch_id, touched)
-    store.write("processed_events", batch_id, balance.processed_rows(
-        balance.applied(of_stock), order=ORDER, processed_at=as_of))
     failures = deadletter.stock_failures(stock, balance.refused(of_stock))
-    stored = store.before("failed_events", batch_id)
-    store.write("failed_events", batch_id, deadletter.failed_event_rows(failures, as_of, stored))
     lost = failures.unionByName(deadletter.sales_failures(sold, balance.refused(of_sales)))
-    store.write("dlq", batch_id, deadletter.dlq_messages(lost, as_of))
-    store.write("cache", batch_id, snapshot.latest_state(of_stock, order=ORDER, synced_at=as_of))
+    store.write_all(batch_id, {
+        "inventory_history": balance.audit_rows(ledger, as_of),
+        "sales": sales.sales_rows(of_sales, F.col("event_time")),
+        "balances": _touched(ledger),
+        "processed_events": balance.processed_rows(balance.applied(of_stock), order=ORDER, processed_at=as_of),
+        "failed_events": deadletter.failed_event_rows(failures, as_of, store.before("failed_events", batch_id)),
+        "dlq": deadletter.dlq_messages(lost, as_of),
+        "cache": snapshot.latest_state(of_stock, order=ORDER, synced_at=as_of),
+    })
+
+
+def _touched(ledger: DataFrame) -> DataFrame:
+    """New balance of every pair the batch changed."""
+    return balance.applied(ledger).groupBy(*balance.PAIR).agg(
+        F.max_by("quantity_after", F.struct(*ORDER)).alias("quantity"))
 
 
 def _write_findings(
@@ -125,9 +129,7 @@ def _write_findings(
     """Detection follows applied stock events, as sales alone do not trigger it."""
     of_stock = balance.applied(ledger.where(~F.col("must_exist")))
     changes = balance.audit_rows(of_stock, as_of)
-    touched = balance.applied(ledger).groupBy(*balance.PAIR).agg(
-        F.max_by("quantity_after", F.struct(*ORDER)).alias("quantity"))
-    stocked = inventory_table(touched, as_of)
+    stocked = inventory_table(_touched(ledger), as_of)
     keys = stocked.select(F.col("id").alias("inventory_id"))
     context = RuleContext(
         stocked,
@@ -136,12 +138,11 @@ def _write_findings(
         as_of)
     found = anomalies.new_anomalies(engine.detect_after(changes, context), store.before("anomalies", batch_id))
     found = cut_lineage(found)
-    store.write("anomalies", batch_id, found)
     earlier = store.before("alerts", batch_id)
     if "anomaly_type" in alert_key:
         earlier = earlier.withColumn("anomaly_type", F.regexp_replace("title", "^Alert: ", ""))
     kept = alerts.deduplicate(alerts.alert_candidates(found), key=alert_key, order=("at", "anomaly_id"),
                               alerts=earlier)
     raised = cut_lineage(alerts.alert_rows(kept))
-    store.write("alerts", batch_id, raised)
-    store.write("alert_messages", batch_id, alerts.alert_messages(raised))
+    store.write_all(batch_id, {
+        "anomalies": found, "alerts": raised, "alert_messages": alerts.alert_messages(raised)})

