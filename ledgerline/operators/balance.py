@@ -19,8 +19,6 @@ def stock_movements(events: DataFrame) -> DataFrame:
     return events.withColumns({
         "delta": signed_delta(F.col("operation"), F.col("quantity")),
         "change_type": change_type(F.col("operation")),
-        "must_exist": F.lit(False),
-        "sale_id": F.lit(None).cast("string"),
     })
 
 

@@ -44,6 +44,8 @@ class BalanceKernel:
     """
 
     inputs = ("delta", "must_exist", "event_id", "sale_id", "_blocked_event_id", "_blocked_sale_id")
+    # Columns a frame may leave out, so that they are neither shuffled nor converted.
+    defaults = {"must_exist": False, "sale_id": None, "_blocked_event_id": False, "_blocked_sale_id": False}
     ids = ("event_id", "sale_id")
     outputs = (("status", T.StringType(), pa.string()), ("quantity_before", T.LongType(), pa.int64()),
                ("quantity_after", T.LongType(), pa.int64()))
@@ -127,6 +129,7 @@ class DedupKernel:
     window_micros: int
 
     inputs = ("at_micros",)
+    defaults = {}
     ids = ()
     outputs = (("created", T.BooleanType(), pa.bool_()), ("anchor_micros", T.LongType(), pa.int64()))
     absent = -4 * FAR
@@ -173,6 +176,7 @@ class PresenceKernel:
     """Whether a key exists (1) or not (0) while sets and deletes run over it."""
 
     inputs = ("sets",)
+    defaults = {}
     ids = ()
     outputs = (("succeeded", T.BooleanType(), pa.bool_()),)
     absent = 0

@@ -17,7 +17,7 @@ of a key. Special cases are found by size checks and only paid for when they occ
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -70,14 +70,14 @@ def ordered_fold(
     rows = fold.mark_used(rows, used_ids or {})
     total, heavy = fold.sizes(rows, hot_rows)
     if total <= small_rows:
-        results = [fold.run_small(rows.withColumn(SEGMENT, F.lit(_COLD)))]
+        results = [fold.run_small(rows)]
     else:
         cold, hot = fold.split(rows, heavy, hot_rows)
         results = fold.settle_ids(cold, hot)
         if results is None:
             results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
-    plumbing = [SEGMENT, *[f"_blocked_{c}" for c in kernel.ids], *[f"_used_{c}" for c in kernel.ids]]
-    return reduce(DataFrame.unionByName, results).drop(*plumbing)
+    plumbing = [SEGMENT, HEAD, STATE, *[f"_blocked_{c}" for c in kernel.ids]]
+    return reduce(DataFrame.unionByName, [r.drop(*plumbing) for r in results])
 
 
 class _Fold:
@@ -90,16 +90,16 @@ class _Fold:
     # -- preparation -----------------------------------------------------------------------------------------
 
     def mark_used(self, rows: DataFrame, used: dict[str, DataFrame]) -> DataFrame:
-        for column in self.kernel.ids:
-            flag = f"_used_{column}"
+        for column in self._ids(rows):
             if column in used:
+                flag = f"_blocked_{column}"
                 ids = used[column].select(column).distinct().withColumn(flag, F.lit(True))
                 rows = rows.join(ids, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-            else:
-                rows = rows.withColumn(flag, F.lit(False))
-            rows = rows.withColumn(f"_blocked_{column}", F.col(flag))
         return rows
 
+    def _ids(self, rows: DataFrame) -> list[str]:
+        return [c for c in self.kernel.ids if c in rows.columns]
+
     def sizes(self, rows: DataFrame, hot_rows: int) -> tuple[int, list]:
         """Number of rows, and the keys that are too large for one task: at most total / hot_rows of them."""
         counts = rows.groupBy(*self.key).count()
@@ -108,9 +108,8 @@ class _Fold:
         return tuple(found.first())
 
     def split(self, rows: DataFrame, heavy: list, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-        cold = rows.withColumn(SEGMENT, F.lit(_COLD))
         if not heavy:
-            return cold, None
+            return rows, None
         names = F.broadcast(rows.sparkSession.createDataFrame(
             [tuple(r[k] for k in self.key) for r in heavy],
             T.StructType([rows.schema[k] for k in self.key])))
@@ -122,7 +121,7 @@ class _Fold:
             .withColumn(SEGMENT, F.spark_partition_id())
         )
         # Range bounds come from a sample, so the segments must be fixed before they are summarised and reused.
-        return cold.join(names, list(self.key), "left_anti"), cut_lineage(hot)
+        return rows.join(names, list(self.key), "left_anti"), cut_lineage(hot)
 
     # -- few rows: one task, all keys in order -------------------------------------------------------------------
 
@@ -130,24 +129,30 @@ class _Fold:
         schema = self._result_schema(rows)
         # Openings are limited to the keys at hand, so they are no more than the rows.
         framed = self._framed(rows, of_these_keys=True)
-        placed = framed.repartition(1).sortWithinPartitions(F.desc(HEAD), *self.order)
+        placed = framed.repartition(1).sortWithinPartitions(*self._heads_first(framed), *self.order)
         return placed.mapInArrow(_small_task(self.kernel, self.key, schema.fieldNames()), schema)
 
     def _framed(self, rows: DataFrame, of_these_keys: bool = False) -> DataFrame:
         """Rows together with the opening state rows, told apart by ``_head``."""
-        framed = rows.withColumn(HEAD, F.lit(False)).withColumn(STATE, F.lit(None).cast("long"))
         if self.openings is None:
-            return framed
+            return rows
+        framed = rows.withColumn(HEAD, F.lit(False)).withColumn(STATE, F.lit(None).cast("long"))
         openings = self.openings
         if of_these_keys:
             openings = openings.join(rows.select(*self.key).distinct(), list(self.key), "left_semi")
         return framed.unionByName(openings.withColumn(HEAD, F.lit(True)), allowMissingColumns=True)
 
+    @staticmethod
+    def _heads_first(framed: DataFrame) -> list[Column]:
+        return [F.desc(HEAD)] if HEAD in framed.columns else []
+
     # -- cold keys: one shuffle, one streaming pass ----------------------------------------------------------
 
     def run_cold(self, rows: DataFrame) -> DataFrame:
         schema = self._result_schema(rows)
-        placed = self._framed(rows).repartition(*self.key).sortWithinPartitions(*self.key, F.desc(HEAD), *self.order)
+        framed = self._framed(rows)
+        placed = framed.repartition(*self.key).sortWithinPartitions(
+            *self.key, *self._heads_first(framed), *self.order)
         return placed.mapInArrow(_cold_task(self.kernel, self.key, schema.fieldNames()), schema)
 
     # -- hot keys: segments, summaries, exact starts ---------------------------------------------------------
@@ -167,8 +172,8 @@ class _Fold:
         return {repr(tuple(r[k] for k in self.key)): r[STATE] for r in found if r[STATE] is not None}
 
     def _find_starts(self, segments: DataFrame, openings: dict[str, int]) -> dict[int, int]:
-        needed = [*dict.fromkeys([*self.key, *self.kernel.inputs]), SEGMENT]
-        slim = segments.select(*needed)
+        needed = dict.fromkeys([*self.key, *self.kernel.inputs, SEGMENT])
+        slim = segments.select(*[c for c in needed if c in segments.columns])
         trials: dict[int, tuple[int, ...]] | None = None
         summaries: dict[int, dict] = {}
         while True:
@@ -204,10 +209,13 @@ class _Fold:
     # -- ids that more than one key or segment may use up ----------------------------------------------------
 
     def settle_ids(self, cold: DataFrame, hot: DataFrame | None) -> list[DataFrame] | None:
-        everything = cold if hot is None else cold.unionByName(hot)
-        if not self.kernel.ids:
+        ids = self._ids(cold)
+        if not ids:
             return None
-        candidates = {column: self._contested(everything, column) for column in self.kernel.ids}
+        everything = cold.withColumn(SEGMENT, F.lit(_COLD))
+        if hot is not None:
+            everything = everything.unionByName(hot)
+        candidates = {column: self._contested(everything, column) for column in ids}
         # Independent checks: submitted together so that one fills the idle slots of the other.
         with ThreadPoolExecutor(len(candidates)) as pool:
             empty = dict(zip(candidates, pool.map(DataFrame.isEmpty, candidates.values())))
@@ -257,13 +265,15 @@ class _Fold:
         )
 
     def _flag(self, rows: DataFrame, first: dict[str, DataFrame]) -> DataFrame:
-        names = rows.columns
+        placed = rows if SEGMENT in rows.columns else rows.withColumn(SEGMENT, F.lit(_COLD))
         for column, uses in first.items():
-            use = f"_first_{column}"
+            use, flag = f"_first_{column}", f"_blocked_{column}"
             taken = (F.col(f"{use}.at") < F.struct(*self.order)) & (F.col(f"{use}.unit") != self._unit())
-            rows = rows.join(uses, column, "left").withColumn(
-                f"_blocked_{column}", F.col(f"_used_{column}") | F.coalesce(taken, F.lit(False)))
-        return rows.select(*names)
+            blocked = F.coalesce(taken, F.lit(False))
+            if flag in rows.columns:
+                blocked = F.col(flag) | blocked
+            placed = placed.join(uses, column, "left").withColumn(flag, blocked).drop(use)
+        return placed
 
     def _resegment(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(SEGMENT).sortWithinPartitions(SEGMENT, *self.key, *self.order)
@@ -274,7 +284,7 @@ class _Fold:
 
     def _result_schema(self, rows: DataFrame) -> T.StructType:
         added = [T.StructField(name, kind) for name, kind, _ in self.kernel.outputs]
-        return T.StructType([*rows.schema.fields, *added])
+        return T.StructType([*[f for f in rows.schema.fields if f.name not in (HEAD, STATE)], *added])
 
 
 # -- tasks: each receives the sorted Arrow batches of one partition ----------------------------------------------
@@ -290,8 +300,18 @@ def _values(array: pa.Array) -> list:
     return array.to_numpy(zero_copy_only=False).tolist()
 
 
-def _lists(batch: pa.RecordBatch, names: Iterable[str]) -> dict[str, list]:
-    return {name: _values(batch.column(name)) for name in names}
+def _lists(batch: pa.RecordBatch, kernel) -> dict[str, list]:
+    present = set(batch.schema.names)
+    return {name: _values(batch.column(name)) if name in present else [kernel.defaults[name]] * batch.num_rows
+            for name in kernel.inputs}
+
+
+def _heads(batch: pa.RecordBatch) -> list:
+    return _values(batch.column(HEAD)) if HEAD in batch.schema.names else [False] * batch.num_rows
+
+
+def _without_heads(batch: pa.RecordBatch, heads: list) -> pa.RecordBatch:
+    return batch.filter(pa.array([not h for h in heads])) if any(heads) else batch
 
 
 def _runs(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[tuple[int, int]]:
@@ -324,8 +344,8 @@ def _cold_task(kernel, key: Sequence[str], names: Sequence[str]):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = _lists(batch, kernel.inputs)
-            heads = _values(batch.column(HEAD))
+            columns = _lists(batch, kernel)
+            heads = _heads(batch)
             out = tuple([] for _ in kernel.outputs)
             for low, high in _runs(batch, key):
                 name = _key_at(batch, key, low)
@@ -339,7 +359,7 @@ def _cold_task(kernel, key: Sequence[str], names: Sequence[str]):
                             values.append(None)
                         low += 1
                 run.advance(columns, low, high, out)
-            yield _emit(batch, kernel, names, out).filter(pc.invert(batch.column(HEAD)))
+            yield _without_heads(_emit(batch, kernel, names, out), heads)
 
     return task
 
@@ -353,8 +373,9 @@ def _small_task(kernel, key: Sequence[str], names: Sequence[str]):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = _lists(batch, kernel.inputs)
-            heads, states = _values(batch.column(HEAD)), batch.column(STATE).to_pylist()
+            columns = _lists(batch, kernel)
+            heads = _heads(batch)
+            states = batch.column(STATE).to_pylist() if any(heads) else [None] * batch.num_rows
             keys = list(zip(*[_values(batch.column(name)) for name in key]))
             out = tuple([] for _ in kernel.outputs)
             for i, name in enumerate(keys):
@@ -366,7 +387,7 @@ def _small_task(kernel, key: Sequence[str], names: Sequence[str]):
                         values.append(None)
                 else:
                     runs[name].advance(columns, i, i + 1, out)
-            yield _emit(batch, kernel, names, out).filter(pc.invert(batch.column(HEAD)))
+            yield _without_heads(_emit(batch, kernel, names, out), heads)
 
     return task
 
@@ -377,7 +398,7 @@ def _segment_task(kernel, key: Sequence[str], names: Sequence[str], openings: di
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = _lists(batch, kernel.inputs)
+            columns = _lists(batch, kernel)
             out = tuple([] for _ in kernel.outputs)
             for low, high in _runs(batch, [SEGMENT, *key]):
                 number, name = batch.column(SEGMENT)[low].as_py(), _key_at(batch, key, low)
@@ -428,7 +449,7 @@ def _summary_task(kernel, key: Sequence[str], openings: dict[str, int], trials:
                 elif name != current:
                     current, live = name, [kernel.begin(openings.get(repr(name)))]
                 if columns is None:
-                    columns = _lists(batch, kernel.inputs)
+                    columns = _lists(batch, kernel)
                 for run in live:
                     run.advance(columns, low, high, None)
         close()

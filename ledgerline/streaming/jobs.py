@@ -82,7 +82,8 @@ def process_batch(
 def _fold(stock: DataFrame, sold: DataFrame, batch_id: int, store: Store) -> DataFrame:
     stock_rows = balance.stock_movements(good(stock)).select(
         *ENVELOPE_COLUMNS, "event_id", "product_id", "store_id", "operation", "event_time", "delta", "change_type",
-        "must_exist", "sale_id", F.lit(None).cast("decimal(12,2)").alias("sale_price"),
+        F.lit(False).alias("must_exist"), F.lit(None).cast("string").alias("sale_id"),
+        F.lit(None).cast("decimal(12,2)").alias("sale_price"),
         F.lit(None).cast("long").alias("quantity_sold"))
     sale_rows = sales.sale_movements(good(sold)).select(
         *ENVELOPE_COLUMNS, "event_id", "product_id", "store_id", F.lit("SALE").alias("operation"), "event_time",
