@@ -337,7 +337,7 @@ FROM ev""",
     "failed_event_store": _with(CHECKED) + f"""SELECT
   {_id("'failed'", "'inventory_updates'", 'CAST(event_no % 3 AS VARCHAR)', 'CAST(event_no AS VARCHAR)')} AS id,
   claimed AS event_id, 'inventory_updates' AS source_topic, CAST(event_no % 3 AS INTEGER) AS source_partition,
-  event_no AS source_offset, CASE kind WHEN 5 THEN to_json(substr(document, 1, 20)) WHEN 9 THEN '[' || document || ']'
+  event_no AS source_offset, CASE kind WHEN 5 THEN CAST(to_json(substr(document, 1, 20)) AS VARCHAR) WHEN 9 THEN '[' || document || ']'
     ELSE document END AS payload, failure_reason, 0 AS retry_count, {AS_OF} AS failed_at
 FROM checked WHERE failure_reason IS NOT NULL AND event_no % 10 <> 0""",
     "post_sales": _with(SALES) + """SELECT sale_id, product_id, store_id, l_partkey, l_suppkey, quantity_sold, sold_at, status,
