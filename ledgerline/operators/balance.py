@@ -93,9 +93,7 @@ def audit_rows(ledger: DataFrame, changed_at: Column) -> DataFrame:
         stable_id(F.lit("history"), "event_id").alias("id"),
         inventory_id("store_id", "product_id").alias("inventory_id"),
         "change_type",
-        F.col("quantity_before").cast("int").alias("quantity_before"),
-        F.col("quantity_after").cast("int").alias("quantity_after"),
-        F.col("quantity_delta").cast("int").alias("quantity_delta"),
+        "quantity_before", "quantity_after", "quantity_delta",
         F.col("event_id").alias("source_event_id"),
         changed_at.alias("changed_at"),
     )

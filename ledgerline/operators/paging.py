@@ -42,11 +42,11 @@ def page(frame: DataFrame, newest_by: str, skip: int = 0, limit: int = DEFAULT_L
 
 
 def page_with_total(frame: DataFrame, newest_by: str, skip: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """T4: the page with the number of all matching rows on every line."""
+    """T4: the page, and on every line the number of all matching rows, skip and limit."""
     rows = page(frame, newest_by, skip, limit)
     total = frame.agg(F.count(F.lit(1)).alias("total"))
     # One row joined to at most ``limit`` rows.
-    return rows.join(F.broadcast(total))
+    return rows.join(F.broadcast(total)).withColumns({"skip": F.lit(skip), "limit": F.lit(limit)})
 
 
 def positions(frame: DataFrame, order: Sequence) -> DataFrame:

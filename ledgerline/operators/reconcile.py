@@ -59,5 +59,5 @@ def record_rows(report: DataFrame) -> DataFrame:
     at = F.col("reconciled_at")
     return report.select(
         stable_id(F.lit("reconciliation"), *PAIR, F.unix_micros(at).cast("string")).alias("id"), *PAIR,
-        *[F.col(c).cast("int").alias(c) for c in ("expected_quantity", "actual_quantity", "difference")],
+        "expected_quantity", "actual_quantity", "difference",
         "status", "reconciled_at", at.alias("created_at"), at.alias("updated_at"))

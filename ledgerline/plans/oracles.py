@@ -60,8 +60,7 @@ LEDGER = f"{EV},\n{_fold('mv', 'product_id, store_id', 'tm, event_no')}"
 BALANCES = "balances AS (SELECT product_id, store_id, CAST(sum(delta) AS BIGINT) AS quantity FROM ledger WHERE ok GROUP BY ALL)"
 HISTORY = f"""history AS (SELECT {_id("'history'", 'event_id')} AS id, {INVENTORY_ID} AS inventory_id,
   CASE WHEN operation = 'MANUAL_ADJUSTMENT' THEN 'adjustment' ELSE lower(operation) END AS change_type,
-  CAST(quantity_before AS INTEGER) AS quantity_before, CAST(quantity_after AS INTEGER) AS quantity_after,
-  CAST(delta AS INTEGER) AS quantity_delta, event_id AS source_event_id, tm AS changed_at FROM ledger WHERE ok)"""
+  quantity_before, quantity_after, delta AS quantity_delta, event_id AS source_event_id, tm AS changed_at FROM ledger WHERE ok)"""
 
 _TWICE = f"""{EV},
 twice AS (SELECT *, 0 AS copy FROM mv UNION ALL
@@ -125,7 +124,7 @@ reconciled AS (SELECT n.store_id, n.product_id, num,
     CASE WHEN d.quantity IS NULL THEN 'missing' WHEN d.quantity = t.total THEN 'match' ELSE 'mismatch' END AS status
   FROM numbers n JOIN totals t USING (product_id, store_id) LEFT JOIN drifted d USING (product_id, store_id)),
 latest AS (SELECT store_id, product_id, CASE WHEN num % 2 = 1 THEN 'match' ELSE status END AS status,
-    CAST(CASE WHEN num % 2 = 1 THEN 0 ELSE difference END AS INTEGER) AS difference, {AS_OF - HOUR} AS reconciled_at
+    CASE WHEN num % 2 = 1 THEN 0 ELSE difference END AS difference, {AS_OF - HOUR} AS reconciled_at
   FROM reconciled WHERE num % 4 <> 0),
 report AS (SELECT r.*, NOT (l.status IS NOT DISTINCT FROM r.status AND l.difference IS NOT DISTINCT FROM r.difference)
     AS changed, CASE WHEN l.status IS NOT DISTINCT FROM r.status AND l.difference IS NOT DISTINCT FROM r.difference
@@ -361,8 +360,7 @@ FROM known k LEFT JOIN (SELECT * FROM sales_ledger WHERE status = 'applied') s U
     "reconcile_changes": _with(RECONCILED) + "SELECT * EXCLUDE (num) FROM report",
     "reconciliation_records": _with(RECONCILED) + f"""SELECT
   {_id("'reconciliation'", 'store_id', 'product_id', f"'{AS_OF}'")} AS id, store_id, product_id,
-  CAST(expected_quantity AS INTEGER) AS expected_quantity, CAST(actual_quantity AS INTEGER) AS actual_quantity,
-  CAST(difference AS INTEGER) AS difference, status, reconciled_at FROM report WHERE changed""",
+  expected_quantity, actual_quantity, difference, status, reconciled_at FROM report WHERE changed""",
     "latest_reconciliation": _with(RECONCILED) + "SELECT * FROM latest",
     "rule_negative": _with(CHANGES) + _negative("drifted"),
     "rule_spike": _with(CHANGES, SOLD, _recent(120 * HOUR, "st", "drifted")) + _spike("st"),
@@ -430,7 +428,7 @@ WHERE target_id NOT IN (SELECT id FROM alerts)""",
   count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM anomalies""",
     "anomaly_type_counts": _with(EV, ANOMALIES) + "SELECT anomaly_type, count(*) AS anomalies FROM anomalies GROUP BY 1",
     "list_anomalies_page": _with(EV, ANOMALIES, "w AS (SELECT * FROM anomalies WHERE severity = 'critical' AND status = 'open')") +
-    """SELECT id, anomaly_type, detected_at, (SELECT count(*) FROM w) AS total FROM w ORDER BY detected_at DESC, id
+    """SELECT id, anomaly_type, detected_at, (SELECT count(*) FROM w) AS total, 10 AS skip, 15 AS "limit" FROM w ORDER BY detected_at DESC, id
 LIMIT 15 OFFSET 10""",
     "list_alerts_page": _with(EV, ALERTS, "w AS (SELECT * FROM alerts WHERE severity = 'high')") +
     """SELECT id, status, triggered_at, (SELECT count(*) FROM w) AS total FROM w ORDER BY triggered_at DESC, id LIMIT 20""",

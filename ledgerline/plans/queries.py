@@ -470,7 +470,7 @@ def anomaly_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = paging.matching(samples.anomalies(spark, sf_dir), severity="critical", status="open", anomaly_type=None)
     return paging.page_with_total(wanted, "detected_at", skip=10, limit=15).select(
-        "id", "anomaly_type", micros("detected_at"), "total")
+        "id", "anomaly_type", micros("detected_at"), "total", "skip", "limit")
 
 
 @query

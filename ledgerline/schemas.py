@@ -44,12 +44,13 @@ RAW_SALES_EVENT = _struct(*[(n, _S, True) for n in
                             ("event_id", "sale_id", "product_id", "store_id", "quantity_sold", "sale_price",
                              "timestamp")])
 
-INVENTORY = _struct(("id", _S, False), ("sku", _S, False), ("warehouse_id", _S, False), ("quantity", _I, False),
+# Balances and everything summed from them are 64-bit: a busy key can pass 2^31, and must not fail a job.
+INVENTORY = _struct(("id", _S, False), ("sku", _S, False), ("warehouse_id", _S, False), ("quantity", _L, False),
                     ("reorder_level", _I, False), ("is_active", _B, False), ("created_at", _TS, False),
                     ("updated_at", _TS, False))
 INVENTORY_HISTORY = _struct(("id", _S, False), ("inventory_id", _S, False), ("change_type", _S, False),
-                            ("quantity_before", _I, False), ("quantity_after", _I, False),
-                            ("quantity_delta", _I, False), ("source_event_id", _S, True), ("changed_at", _TS, False))
+                            ("quantity_before", _L, False), ("quantity_after", _L, False),
+                            ("quantity_delta", _L, False), ("source_event_id", _S, True), ("changed_at", _TS, False))
 SALES = _struct(("id", _S, False), ("inventory_id", _S, False), ("quantity_sold", _I, False),
                 ("sale_price", _MONEY, True), ("external_sale_id", _S, True), ("sold_at", _TS, False))
 ANOMALIES = _struct(("id", _S, False), ("inventory_id", _S, False), ("event_id", _S, True),
@@ -68,8 +69,8 @@ ALERTS = _struct(("id", _S, False), ("anomaly_id", _S, False), ("inventory_id",
                  ("resolved_at", _TS, True), ("suppressed_until", _TS, True), ("created_at", _TS, False),
                  ("updated_at", _TS, False))
 RECONCILIATION_RECORDS = _struct(("id", _S, False), ("store_id", _S, False), ("product_id", _S, False),
-                                 ("expected_quantity", _I, False), ("actual_quantity", _I, False),
-                                 ("difference", _I, False), ("status", _S, False), ("reconciled_at", _TS, False),
+                                 ("expected_quantity", _L, False), ("actual_quantity", _L, False),
+                                 ("difference", _L, False), ("status", _S, False), ("reconciled_at", _TS, False),
                                  ("created_at", _TS, False), ("updated_at", _TS, False))
 
 TABLES: dict[str, T.StructType] = {

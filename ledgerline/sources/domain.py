@@ -88,6 +88,6 @@ def inventory_table(balances: DataFrame, as_of: Column) -> DataFrame:
 
     return balances.select(
         inventory_id("store_id", "product_id").alias("id"), F.col("product_id").alias("sku"),
-        F.col("store_id").alias("warehouse_id"), F.col("quantity").cast("int").alias("quantity"),
+        F.col("store_id").alias("warehouse_id"), F.col("quantity").cast("long").alias("quantity"),
         F.lit(0).alias("reorder_level"), F.lit(True).alias("is_active"),
         as_of.alias("created_at"), as_of.alias("updated_at"))
