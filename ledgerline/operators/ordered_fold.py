@@ -17,6 +17,7 @@ of a key. Special cases are found by size checks and only paid for when they occ
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -24,13 +25,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators import kernels
 from ledgerline.operators.kernels import Piece
 from ledgerline.session import cut_lineage
 
+# The task functions travel with the plan, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(kernels)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HOT_ROWS = 2_000_000
 SMALL_ROWS = 5_000
 SEGMENT, HEAD, STATE = "_segment", "_head", "_state"
