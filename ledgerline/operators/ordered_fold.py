@@ -42,6 +42,7 @@ HOT_ROWS = 2_000_000
 SMALL_ROWS = 5_000
 SEGMENT, HEAD, STATE = "_segment", "_head", "_state"
 _COLD = -1
+_MORE_TRIALS = 6
 
 _SUMMARY = T.StructType([
     T.StructField("segment", T.IntegerType()),
@@ -185,7 +186,9 @@ class _Fold:
         summaries: dict[int, dict] = {}
         while True:
             task = _summary_task(self.kernel, self.key, openings, trials)
-            for row in slim.mapInArrow(task, _SUMMARY).collect():
+            # Settled segments stay in the JVM; the filter keeps partitions and their order as they are.
+            wanted = slim if trials is None else slim.where(F.col(SEGMENT).isin(list(trials)))
+            for row in wanted.mapInArrow(task, _SUMMARY).collect():
                 pieces = [Piece(*p) for p in row["pieces"]]
                 if row["segment"] in summaries:
                     summaries[row["segment"]]["pieces"] += pieces
@@ -199,7 +202,7 @@ class _Fold:
     def _walk(self, summaries: dict[int, dict], openings: dict[str, int]):
         starts: dict[int, int] = {}
         open_ends: dict[int, tuple[int, ...]] = {}
-        previous_key, previous_end = None, self.kernel.absent
+        previous_key, previous_end, other_ends = None, self.kernel.absent, []
         for number in sorted(summaries):
             summary = summaries[number]
             continues = summary["first_key"] == previous_key
@@ -207,10 +210,13 @@ class _Fold:
             starts[number] = start
             nearest = min(summary["pieces"], key=lambda p: p.distance(start))
             if not nearest.covers(start):
-                open_ends[number] = (start,)
+                # While the segment before is open too, its other known ends are the likeliest true starts.
+                unknown = [s for s in other_ends if not any(p.covers(s) for p in summary["pieces"])]
+                open_ends[number] = (start, *unknown[:_MORE_TRIALS])
             previous_key = summary["last_key"]
             whole = summary["first_key"] == summary["last_key"]
             previous_end = max(nearest.end_for(start), self.kernel.absent) if whole else summary["last_end"]
+            other_ends = sorted({p.end for p in summary["pieces"]} - {previous_end}) if whole else []
         return starts, open_ends
 
     # -- ids that more than one key or segment may use up ----------------------------------------------------

@@ -19,12 +19,14 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerline.functions.validation import good, validate_sales_events, validate_stock_events
 from ledgerline.operators import accounting, alerts, anomalies, balance, deadletter, sales, snapshot
 from ledgerline.operators.rules import RuleContext, RuleEngine
-from ledgerline.schemas import INVENTORY_TOPIC, SALES_TOPIC
+from ledgerline.schemas import ALERTS, INVENTORY_TOPIC, SALES_TOPIC
 from ledgerline.session import cut_lineage, use_utc
 from ledgerline.sources.domain import inventory_table
 from ledgerline.streaming.store import Store
 
 ORDER = ("topic", "partition", "offset")
+# Micro-batches up to this size are folded in one task, which is faster than spreading so few rows.
+SMALL_ROWS = 50_000
 ENVELOPE_COLUMNS = ("value", "topic", "partition", "offset")
 
 
@@ -98,7 +100,8 @@ def _fold(stock: DataFrame, sold: DataFrame, batch_id: int, store: Store) -> Dat
         "event_id": used_events.join(movements.select("event_id").distinct(), "event_id", "left_semi"),
         "sale_id": used_sales.join(sale_rows.select("sale_id").distinct(), "sale_id", "left_semi"),
     }
-    return cut_lineage(balance.fold_movements(movements, order=ORDER, balances=opening, used_ids=used))
+    return cut_lineage(balance.fold_movements(movements, order=ORDER, balances=opening, used_ids=used,
+                                              small_rows=SMALL_ROWS))
 
 
 def _write_ledger(
@@ -139,11 +142,15 @@ def _write_findings(
         as_of)
     found = anomalies.new_anomalies(engine.detect_after(changes, context), store.before("anomalies", batch_id))
     found = cut_lineage(found)
-    earlier = store.before("alerts", batch_id)
-    if "anomaly_type" in alert_key:
-        earlier = earlier.withColumn("anomaly_type", F.regexp_replace("title", "^Alert: ", ""))
-    kept = alerts.deduplicate(alerts.alert_candidates(found), key=alert_key, order=("at", "anomaly_id"),
-                              alerts=earlier)
-    raised = cut_lineage(alerts.alert_rows(kept))
+    candidates = alerts.alert_candidates(found)
+    if candidates.isEmpty():
+        raised = store.spark.createDataFrame([], ALERTS)
+    else:
+        earlier = store.before("alerts", batch_id)
+        if "anomaly_type" in alert_key:
+            earlier = earlier.withColumn("anomaly_type", F.regexp_replace("title", "^Alert: ", ""))
+        kept = alerts.deduplicate(candidates, key=alert_key, order=("at", "anomaly_id"), alerts=earlier,
+                                  small_rows=SMALL_ROWS)
+        raised = cut_lineage(alerts.alert_rows(kept))
     store.write_all(batch_id, {
         "anomalies": found, "alerts": raised, "alert_messages": alerts.alert_messages(raised)})
