@@ -51,7 +51,3 @@ def all_of(conditions: Sequence[Column]) -> Column:
     for condition in conditions:
         combined = combined & condition
     return combined
-
-
-def same_or_both_null(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import schemas as S
+from ledgerline import texts
 
 # Accepted notations.
 _NUMERAL = r"\A\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*\z"
@@ -119,7 +120,7 @@ def _event_time(as_of: Column) -> Column:
 def _timestamp_checks() -> list[tuple[Column, str]]:
     naive = (_kind("timestamp") == "STRING") & _text("timestamp").rlike(_NAIVE)
     return [
-        (~F.coalesce(naive, F.lit(False)), "timestamp must be timezone-aware"),
+        (~F.coalesce(naive, F.lit(False)), texts.NOT_ZONED),
         (F.col("event_time").isNotNull(), "timestamp is not a valid instant"),
     ]
 
@@ -149,8 +150,8 @@ def parse_stock_events(envelopes: DataFrame, as_of: Column) -> DataFrame:
         (operation.isin(*S.OPERATIONS), "operation is not supported"),
         (quantity.between(-S.QUANTITY_LIMIT, S.QUANTITY_LIMIT), "quantity is not an integer within the limits"),
         *_timestamp_checks(),
-        ((operation != "MANUAL_ADJUSTMENT") | (quantity != 0), "quantity must be non-zero for MANUAL_ADJUSTMENT"),
-        *[((operation != op) | (quantity > 0), f"quantity must be positive for {op}") for op in S.POSITIVE_OPERATIONS],
+        ((operation != "MANUAL_ADJUSTMENT") | (quantity != 0), texts.ZERO_ADJUSTMENT),
+        *[((operation != op) | (quantity > 0), texts.NOT_POSITIVE % op) for op in S.POSITIVE_OPERATIONS],
     ]
     return _contract(envelopes, S.RAW_INVENTORY_EVENT.fieldNames(), fields, checks)
 
@@ -168,12 +169,12 @@ def parse_sales_events(envelopes: DataFrame, as_of: Column) -> DataFrame:
     checks = [
         (F.col("event_id").isNotNull(), "event_id is not a UUID"),
         (F.length(sale_id).between(1, S.IDENTIFIER_MAX_LENGTH), "sale_id length is out of range"),
-        (not_blank, "sale_id must not be blank"),
+        (not_blank, texts.BLANK_SALE_ID),
         _identifier("product_id"),
         _identifier("store_id"),
         (F.col("quantity_sold").between(1, S.QUANTITY_LIMIT), "quantity_sold is not an integer within the limits"),
         (absent_price | price.isNotNull(), "sale_price is not a number"),
-        (absent_price | (price >= 0), "sale_price must be non-negative"),
+        (absent_price | (price >= 0), texts.NEGATIVE_PRICE),
         (absent_price | F.col("sale_price").isNotNull(), "sale_price is out of range"),
         *_timestamp_checks(),
     ]
@@ -183,7 +184,7 @@ def parse_sales_events(envelopes: DataFrame, as_of: Column) -> DataFrame:
 def business_reason(as_of: Column, skew_seconds: int = S.MAX_FUTURE_SKEW_SECONDS) -> Column:
     """The one rule that structure does not already enforce. Exactly ``skew_seconds`` ahead is fine."""
     limit = F.unix_micros(as_of) + skew_seconds * 1_000_000
-    return F.when(F.unix_micros("event_time") > limit, F.lit("timestamp is too far in the future"))
+    return F.when(F.unix_micros("event_time") > limit, F.lit(texts.TOO_FAR_AHEAD))
 
 
 def _validated(parsed: DataFrame, as_of: Column, skew: int, broken: str, refused: str) -> DataFrame:
@@ -198,13 +199,13 @@ def _validated(parsed: DataFrame, as_of: Column, skew: int, broken: str, refused
 def validate_stock_events(envelopes: DataFrame, as_of: Column, skew_seconds: int = S.MAX_FUTURE_SKEW_SECONDS) -> DataFrame:
     """All stock records with ``failure_reason`` (NULL = good)."""
     parsed = parse_stock_events(envelopes, as_of)
-    return _validated(parsed, as_of, skew_seconds, "invalid_event_payload", "invalid_inventory_event")
+    return _validated(parsed, as_of, skew_seconds, texts.BROKEN_STOCK_RECORD, texts.REFUSED_STOCK_RECORD)
 
 
 def validate_sales_events(envelopes: DataFrame, as_of: Column, skew_seconds: int = S.MAX_FUTURE_SKEW_SECONDS) -> DataFrame:
     """All sales records with ``failure_reason`` (NULL = good)."""
     parsed = parse_sales_events(envelopes, as_of)
-    return _validated(parsed, as_of, skew_seconds, "invalid_sales_event_payload", "invalid_sales_event")
+    return _validated(parsed, as_of, skew_seconds, texts.BROKEN_SALES_RECORD, texts.REFUSED_SALES_RECORD)
 
 
 def good(validated: DataFrame) -> DataFrame:

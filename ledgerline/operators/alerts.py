@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline import texts
 from ledgerline.functions.columns import seconds_between, stable_id
 from ledgerline.operators.anomalies import unknown_targets
 from ledgerline.operators.deadletter import TIMESTAMP_FORMAT
@@ -24,7 +25,7 @@ def alert_candidates(anomalies: DataFrame, *, critical: bool = True, high: bool
     enabled = [s for s, on in (("critical", critical), ("high", high)) if on]
     return anomalies.where(F.col("severity").isin(enabled)).select(
         F.col("id").alias("anomaly_id"), "inventory_id", "event_id", "severity", "anomaly_type",
-        F.concat(F.lit("Alert: "), F.col("anomaly_type")).alias("title"), "description",
+        F.concat(F.lit(texts.ALERT_TITLE), F.col("anomaly_type")).alias("title"), "description",
         F.col("detected_at").alias("at"))
 
 

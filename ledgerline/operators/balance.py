@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline import texts
 from ledgerline.functions.columns import change_type, inventory_id, signed_delta, stable_id
 from ledgerline.operators.kernels import BalanceKernel
 from ledgerline.operators.ordered_fold import HOT_ROWS, SMALL_ROWS, STATE, ordered_fold
@@ -65,16 +66,13 @@ def applied(ledger: DataFrame) -> DataFrame:
 
 def refusal_reason() -> Column:
     """Why a ledger row was refused; NULL for applied rows and harmless repeats."""
-    available = F.coalesce(F.col("quantity_before"), F.lit(0)).cast("string")
+    available = F.coalesce(F.col("quantity_before"), F.lit(0))
+    status = F.col("status")
     return (
-        F.when(F.col("status") == "rejected", F.lit("inventory quantity cannot be negative after applying event"))
-        .when(F.col("status") == "product_not_found",
-              F.concat(F.lit("no inventory record for product_id='"), F.col("product_id"),
-                       F.lit("' store_id='"), F.col("store_id"), F.lit("'")))
-        .when(F.col("status") == "insufficient_stock",
-              F.concat(F.lit("insufficient stock: available="), available,
-                       F.lit(", requested="), (-F.col("delta")).cast("string")))
-        .when(F.col("status") == "duplicate_event_id", F.lit("event_id already recorded in history"))
+        F.when(status == "rejected", F.lit(texts.BELOW_ZERO))
+        .when(status == "product_not_found", F.format_string(texts.UNKNOWN_PRODUCT, "product_id", "store_id"))
+        .when(status == "insufficient_stock", F.format_string(texts.TOO_LITTLE_STOCK, available, -F.col("delta")))
+        .when(status == "duplicate_event_id", F.lit(texts.USED_EVENT_ID))
     )
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline import texts
 from ledgerline.functions.columns import stable_id
 from ledgerline.functions.validation import bad
 
 LOCATION = ("source_topic", "source_partition", "source_offset")
-_FAILURE = ("event_id", *LOCATION, "value", "failure_reason", "retry_count")
 # Outside of string literals, white space in JSON means nothing.
 _LITERAL_OR_SPACE = r'("(?:[^"\\]++|\\.)*+")|\s+'
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
@@ -26,7 +26,7 @@ def stock_failures(validated: DataFrame, refused: DataFrame | None = None) -> Da
     failures = _located(bad(validated), F.coalesce("event_id", "claimed_event_id"), F.col("failure_reason"))
     if refused is not None:
         failures = failures.unionByName(
-            _located(refused, F.col("event_id"), F.concat(F.lit("non_retryable_failure:"), F.col("reason"))))
+            _located(refused, F.col("event_id"), F.concat(F.lit(f"{texts.REFUSED_BY_LEDGER}:"), F.col("reason"))))
     return failures
 
 
@@ -36,7 +36,7 @@ def sales_failures(validated: DataFrame, refused: DataFrame | None = None) -> Da
     failures = _located(bad(validated), nothing, F.col("failure_reason"))
     if refused is not None:
         failures = failures.unionByName(
-            _located(refused, nothing, F.concat(F.lit("non_retryable_failure:"), F.col("reason"))))
+            _located(refused, nothing, F.concat(F.lit(f"{texts.REFUSED_BY_LEDGER}:"), F.col("reason"))))
     return failures
 
 

@@ -15,6 +15,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline import texts
 from ledgerline.functions.columns import severity_above, stable_id
 from ledgerline.operators.ordered_fold import HOT_ROWS
 from ledgerline.operators.trailing import trailing_stats
@@ -56,10 +57,9 @@ class NegativeInventoryRule:
 
     def evaluate(self, context: RuleContext) -> DataFrame:
         return context.inventory.where(F.col("quantity") < 0).select(
-            F.col("id").alias("inventory_id"), F.lit("negative_inventory").alias("anomaly_type"),
+            F.col("id").alias("inventory_id"), F.lit(texts.NEGATIVE_INVENTORY[0]).alias("anomaly_type"),
             F.lit("critical").alias("severity"), F.lit(100.0).alias("score"),
-            F.concat(F.lit("Negative inventory detected: "), F.col("quantity").cast("string"),
-                     F.lit(" units for SKU "), F.col("sku")).alias("description"))
+            F.format_string(texts.NEGATIVE_INVENTORY[1], "quantity", "sku").alias("description"))
 
 
 class SuddenSalesSpike:
@@ -89,11 +89,9 @@ class SuddenSalesSpike:
         ratio = F.col("window_max") / average
         fired = (F.col("window_count") >= self.min_prior_sales) & (
             F.col("window_max") > average * F.lit(self.spike_multiplier))
-        text = F.concat(F.lit("Sales spike detected: maximum sale "), F.col("window_max").cast("string"),
-                        F.lit(" units is "), one_decimal(ratio), F.lit("x the average of "), one_decimal(average),
-                        F.lit(" units"))
+        text = F.format_string(texts.SALES_SPIKE[1], "window_max", one_decimal(ratio), one_decimal(average))
         return stats.where(fired).withColumns({
-            "anomaly_type": F.lit("sudden_sales_spike"), "severity": severity_above(ratio, 10, 7, 5),
+            "anomaly_type": F.lit(texts.SALES_SPIKE[0]), "severity": severity_above(ratio, 10, 7, 5),
             "score": _capped(ratio / F.lit(self.spike_multiplier) * 100), "description": text})
 
 
@@ -121,11 +119,9 @@ class LargeInventoryAdjustment:
     def findings(self, changes: DataFrame) -> DataFrame:
         amount, before, current = F.abs("quantity_delta"), F.col("quantity_before"), F.col("current")
         percent = amount / F.greatest(F.abs(before), F.abs(current), F.lit(1)) * 100
-        text = F.concat(F.lit("Large adjustment detected: "), amount.cast("string"), F.lit(" units ("),
-                        one_decimal(percent), F.lit("%) from "), before.cast("string"), F.lit(" to "),
-                        current.cast("string"), F.lit(" units"))
+        text = F.format_string(texts.LARGE_ADJUSTMENT[1], amount, one_decimal(percent), before, current)
         return changes.where(percent > F.lit(self.adjustment_threshold_percent)).withColumns({
-            "anomaly_type": F.lit("large_inventory_adjustment"), "severity": severity_above(percent, 150, 100, 75),
+            "anomaly_type": F.lit(texts.LARGE_ADJUSTMENT[0]), "severity": severity_above(percent, 150, 100, 75),
             "score": _capped(percent), "description": text})
 
 
@@ -148,11 +144,9 @@ class RapidConsecutiveSales:
 
     def findings(self, stats: DataFrame) -> DataFrame:
         count = F.col("window_count")
-        text = F.concat(F.lit("Rapid sales detected: "), count.cast("string"), F.lit(" transactions ("),
-                        F.col("window_sum").cast("string"),
-                        F.lit(f" units total) in {self.time_window_seconds} seconds"))
+        text = F.format_string(texts.RAPID_SALES[1], count, "window_sum", F.lit(self.time_window_seconds))
         return stats.where(count >= self.transaction_count).withColumns({
-            "anomaly_type": F.lit("rapid_consecutive_sales"), "severity": severity_above(count, 15, 10, 7),
+            "anomaly_type": F.lit(texts.RAPID_SALES[0]), "severity": severity_above(count, 15, 10, 7),
             "score": _capped(count / F.lit(float(self.transaction_count)) * 100), "description": text})
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline import texts
 from ledgerline.functions.validation import good, validate_sales_events, validate_stock_events
 from ledgerline.operators import accounting, alerts, anomalies, balance, deadletter, sales, snapshot
 from ledgerline.operators.rules import RuleContext, RuleEngine
@@ -148,7 +149,7 @@ def _write_findings(
     else:
         earlier = store.before("alerts", batch_id)
         if "anomaly_type" in alert_key:
-            earlier = earlier.withColumn("anomaly_type", F.regexp_replace("title", "^Alert: ", ""))
+            earlier = earlier.withColumn("anomaly_type", F.regexp_replace("title", f"^{texts.ALERT_TITLE}", ""))
         kept = alerts.deduplicate(candidates, key=alert_key, order=("at", "anomaly_id"), alerts=earlier,
                                   small_rows=SMALL_ROWS)
         raised = cut_lineage(alerts.alert_rows(kept))

@@ -1,7 +1,6 @@
 import json
 from datetime import datetime, timezone
 
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.validation import validate_sales_events, validate_stock_events
