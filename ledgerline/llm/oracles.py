@@ -66,3 +66,87 @@ judged AS (
 OP10 = OP10_ROWS + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
 """
+
+
+def _spans(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT row_id, '{kind}' AS kind, {number} AS number, h.start AS start, h.start + length(h.hit) AS finish FROM (
+        SELECT row_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+            'hit': hits[i], 'value': vals[i],
+            'start': coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+                   + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0)}})) AS h
+        FROM (SELECT row_id, regexp_extract_all(content, '{quoted}') AS hits,
+                     regexp_extract_all(content, '{quoted}', {group}) AS vals,
+                     string_split_regex(content, '{quoted}') AS gaps FROM source_rows)
+        WHERE len(hits) > 0)
+    WHERE length(h.value) >= {least}"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
+_ASSIGN = ("(" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|"
+           + _either("api") + "_?" + _either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+OP1 = rf"""
+WITH source_rows AS (
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS content FROM documents),
+spans AS (
+    {_spans("assign", 0, _ASSIGN, 2, 6)}
+    UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
+    UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 24)}
+    UNION ALL {_spans("private_key", 3, "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1)}
+    UNION ALL {_spans("hosting_token", 4, "gh[oprsu]_[A-Za-z0-9]{36,}", 0, 1)}
+    UNION ALL {_spans("chat_token", 5, "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1)}
+    UNION ALL {_spans("web_token", 6, "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0, 1)}),
+named AS (SELECT *, kind || ':' || start || ':' || finish AS name FROM spans),
+gathered AS (
+    SELECT row_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access,
+           count(*) FILTER (number = 2) AS n_hex,
+           string_agg(name, ',' ORDER BY start, number) FILTER (number < 3) AS base,
+           string_agg(name, ',' ORDER BY start, number) AS spans
+    FROM named GROUP BY row_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM source_rows LEFT JOIN gathered USING (row_id)
+"""
+
+
+def _license_oracle() -> str:
+    from ledgerline.llm.license_scan import RULES, SENTENCES
+
+    plain = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+    values = ", ".join(f"({number}, '{sentence}')" for number, sentence in SENTENCES.items())
+    ranked = sorted(enumerate(RULES), key=lambda x: (-len(x[1][1]), x[0]))
+    choices = []
+    for _, (licence, ids) in ranked:
+        met = [f"s0 = {ids[0]}"]
+        met += [f"s{k} = {ids[k]} AND a{k} - a{k - 1} <= 2" for k in range(1, len(ids))]
+        choices.append(f"WHEN {' AND '.join(met)} THEN '{licence}'")
+    longest = max(len(ids) for _, ids in RULES)
+    leads = ", ".join(f"lead(sentence, {k}) OVER w AS s{k}, lead(pos, {k}) OVER w AS a{k}" for k in range(1, longest))
+    return rf"""
+WITH source_rows AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS content FROM documents),
+known AS (SELECT n AS sentence, {plain.format('s')} AS words FROM (VALUES {values}) AS v(n, s)),
+lines AS (
+    SELECT row_id, unnest(string_split_regex(regexp_replace(content, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n'))
+           AS raw, generate_subscripts(string_split_regex(
+               regexp_replace(content, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n'), 1) - 1 AS pos
+    FROM source_rows),
+found AS (
+    SELECT row_id, pos, sentence FROM lines JOIN known ON {plain.format('raw')} = words WHERE raw <> ''),
+chains AS (
+    SELECT row_id, pos, sentence AS s0, pos AS a0, {leads} FROM found WINDOW w AS (PARTITION BY row_id ORDER BY pos)),
+chosen AS (SELECT row_id, pos, CASE {' '.join(choices)} END AS licence FROM chains),
+firsts AS (SELECT row_id, licence, min(pos) AS pos FROM chosen WHERE licence IS NOT NULL GROUP BY ALL),
+joined AS (SELECT row_id, string_agg(licence, ',' ORDER BY pos) AS licences FROM firsts GROUP BY row_id),
+counted AS (SELECT row_id, count(*) AS n_sentences, min(pos) AS first_at FROM found GROUP BY row_id)
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, first_at::BIGINT AS first_at,
+       coalesce(licences, '') AS licences
+FROM source_rows LEFT JOIN counted USING (row_id) LEFT JOIN joined USING (row_id)
+"""
+
+
+OP2 = _license_oracle()

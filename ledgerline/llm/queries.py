@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import quality
-from ledgerline.llm.oracles import OP10
+from ledgerline.llm import bpe, license_scan, packing, quality, secret_scan
+from ledgerline.llm.oracles import OP1, OP2, OP10
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,9 +26,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of operators 6 and 7; it must lie at the same place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
+    with_digest = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return bpe.decode(with_digest, path, keep_ids=False).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(documents, keep_text=False).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+query(op1_secret_scan, OP1)
+query(op2_license_scan, OP2)
+query(op6_bpe_codec)
+query(op7_packing)
 query(op10_quality_rules, OP10)
