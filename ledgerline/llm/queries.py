@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, license_scan, packing, quality, secret_scan
+from ledgerline.llm import (bpe, chat, embedding_dedup, html_wrappers, license_scan, ngram_join, packing, quality,
+                            secret_scan, url_filter)
 from ledgerline.llm.oracles import OP1, OP2, OP10
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,24 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: A conversation whose texts look like the template's own marks.
+HOSTILE = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], conversations.schema)
+    return chat.digests(chat.format_turns(conversations.unionByName(hostile)))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
@@ -53,6 +72,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(documents, keep_text=False).select("doc_id", *quality.MEASURES, "base_failed", "kept")
@@ -60,6 +87,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(op1_secret_scan, OP1)
 query(op2_license_scan, OP2)
+query(op3_embedding_dedup)
+query(op4_chat_format)
+query(op5_ngram_join)
 query(op6_bpe_codec)
 query(op7_packing)
+query(op8_url_filter)
+query(op9_html_wrappers)
 query(op10_quality_rules, OP10)
