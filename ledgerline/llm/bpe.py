@@ -1,10 +1,12 @@
 """BPE encoding and decoding (6): byte-level BPE with a contiguous rank array per word.
 
-A word is held as a list of its parts and, beside it, a list with the rank of each adjacent pair. The smallest rank is
-found by scanning, its boundary deleted, and the two neighbouring ranks refreshed, until no pair has a rank. Scanning
-is quadratic in the word, so a word of more than ``SHORT`` bytes uses a heap of ranks over linked parts, with the same
-result. The short words of a batch of texts go through together, as rows of one array; words repeat, so each Python
-worker remembers a bounded number of them.
+A word is held as an array of its parts and, beside it, an array with the rank of each adjacent pair. The smallest rank
+is found by scanning, its boundary deleted, and the two neighbouring ranks refreshed, until no pair has a rank. The
+short words of a batch of texts go through together, as rows of one array. Scanning is quadratic in the word, so a word
+of more than ``SHORT`` bytes uses a heap of ranks over linked parts, with the same result.
+
+Texts are cut into words with array operations over their characters, by the rules of ``PATTERN``. Words repeat, so
+each Python worker keeps a table of bounded size from a word's bytes (compared in full) to its ids.
 
 The vocabulary is a ``tokenizers`` file (byte-level BPE without normaliser); its path must be readable on every
 executor. Ids are 32-bit little-endian integers in one binary value per text.
@@ -19,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,21 +32,19 @@ from pyspark.sql import types as T
 
 #: Words of up to so many bytes use the rank array.
 SHORT = 256
-#: A worker forgets its words when it holds more than so many; and so many characters are cut into words at a time.
-REMEMBERED = 500_000
-BATCH_CHARS = 8_000_000
+#: Slots of the table of words (29 bytes each); it is emptied when more than half are taken.
+SLOTS = 1 << 21
+#: Characters, or ids, that are worked on at a time.
+BATCH_CHARS = 1_000_000
 
-# Unicode white space, and the pattern that splits texts into words.
+# Unicode white space, the pattern whose words the vocabulary is made for, and its contractions.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
            rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-#: A word never runs past a blank that something visible follows, so texts can be cut there first.
-_CUT = re.compile(r" (?=\S)")
-_WORD = regex.compile(PATTERN)
-#: Signs that are a word of their own after letters, at the end of a piece.
-SIGNS = ".,;:!?)"
 _NONE = 1 << 60
+_SIGN, _LETTER, _NUMBER, _WHITE = range(4)
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,6 +54,107 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The kind of every code point: sign, letter, number or white space."""
+    found = np.zeros(0x110000, np.uint8)
+    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_WHITE, f"[{WHITE}]+")):
+        for run in regex.finditer(pattern, every):
+            found[run.start():run.end()] = kind
+    return found
+
+
+def word_starts(chars: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where words start in ``chars`` (code points); ``texts`` are the places at which a text starts."""
+    n = len(chars)
+    kind = classes()[chars]
+    first = np.zeros(n + 1, bool)
+    first[texts] = True
+    turn = first[:n].copy()
+    turn[1:] |= kind[1:] != kind[:-1]
+    start = np.append(turn, True)
+    # White space before something visible gives up its last character, which joins the next word if it is a blank.
+    after = np.flatnonzero(turn[1:] & (kind[:-1] == _WHITE) & ~first[1:n]) + 1
+    start[after - 1] = True
+    start[after] = chars[after - 1] != ord(" ")
+    # A contraction is a word wherever a word would start with its apostrophe.
+    marks = np.flatnonzero((chars == ord("'")) & start[:n])
+    padded = np.append(chars, [0, 0, 0])
+    last = np.append(first, [True, True, True])
+    for ending in CONTRACTIONS:
+        met = np.ones(len(marks), bool)
+        for k, letter in enumerate(ending, 1):
+            met &= (padded[marks + k] == ord(letter)) & ~last[marks + k]
+        found = marks[met]
+        start[found + 1] = False
+        start[found + 1 + len(ending)] = True
+    return np.flatnonzero(start[:n])
+
+
+class WordTable:
+    """Words of up to 23 bytes, as three 64-bit keys with the length in the last byte, and their ids in a pool."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.slots = slots
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros((self.slots, 3), np.uint64)
+        self.at = np.zeros(self.slots, np.int32)
+        self.size = np.zeros(self.slots, np.uint8)
+        self.pool = np.empty(0, np.uint32)
+        self.taken = 0
+
+    @staticmethod
+    def keys_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """``data`` must go on for 24 bytes after the last word."""
+        keys = np.empty((len(start), 3), np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(data, 8)
+        masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+        for k in range(3):
+            keys[:, k] = windows[start + 8 * k].view("<u8")[:, 0] & masks[np.clip(size - 8 * k, 0, 8)]
+        keys[:, 2] |= size.astype(np.uint64) << np.uint64(56)
+        return keys
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        mixed = (mixed ^ keys[:, 1]) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        mixed = (mixed ^ keys[:, 2]) * np.uint64(0x94D049BB133111EB)
+        return ((mixed >> np.uint64(24)) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each word, or -1."""
+        slot, found = self._slot(keys), np.full(len(keys), -1)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            held = self.keys[slot]
+            met = (held == keys[open_]).all(axis=1)
+            found[open_[met]] = slot[met]
+            go_on = ~met & (held[:, 2] != 0)
+            open_, slot = open_[go_on], (slot[go_on] + 1) & (self.slots - 1)
+        return found
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Take up words that are not in the table, each once."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), np.uint32))
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            free = np.flatnonzero(self.keys[slot, 2] == 0)
+            chosen, which = np.unique(slot[free], return_index=True)
+            word = open_[free[which]]
+            self.keys[chosen], self.at[chosen], self.size[chosen] = keys[word], at[word], sizes[word]
+            rest = np.ones(len(open_), bool)
+            rest[free[which]] = False
+            open_, slot = open_[rest], slot[rest]
+            slot = np.where(self.keys[slot, 2] == 0, slot, (slot + 1) & (self.slots - 1))
+        self.taken += len(keys)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -75,35 +175,19 @@ class Codec:
         names = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         whole = vocabulary | self.special
-        self.table = [b""] * (max(whole.values()) + 1)
+        table = [b""] * (max(whole.values()) + 1)
         for token, number in whole.items():
             known = all(letter in bytes_of for letter in token)
-            self.table[number] = bytes(bytes_of[x] for x in token) if known else token.encode()
-        self.pieces: dict[str, bytes] = {}
+            table[number] = bytes(bytes_of[x] for x in token) if known else token.encode()
+        self.token_sizes = np.array(list(map(len, table)))
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
         self._prepare_arrays()
+        self.words = WordTable()
 
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one word of the splitting pattern."""
+    def merge_long(self, word: bytes) -> list[int]:
+        """Ids of a word of any length, by a heap of ranks over linked parts."""
         parts = [self.byte_ids[b] for b in word]
-        if len(parts) > SHORT:
-            return self._merge_long(parts)
-        ranks, known, merged = [], self.ranks, self.merged
-        for left, right in zip(parts, parts[1:]):
-            ranks.append(known.get(left << 32 | right, _NONE))
-        while ranks:
-            least = min(ranks)
-            if least == _NONE:
-                break
-            i = ranks.index(least)
-            parts[i] = merged[least]
-            del parts[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = known.get(parts[i - 1] << 32 | parts[i], _NONE)
-            if i < len(ranks):
-                ranks[i] = known.get(parts[i] << 32 | parts[i + 1], _NONE)
-        return parts
-
-    def _merge_long(self, parts: list[int]) -> list[int]:
         known, merged, n = self.ranks, self.merged, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(known[key], i) for i in range(n - 1) if (key := parts[i] << 32 | parts[i + 1]) in known]
@@ -182,69 +266,61 @@ class Codec:
                 ranks[after, at[after]] = self._ranks(parts[after, at[after]], parts[after, at[after] + 1])
         return found
 
-    def _encode_piece(self, piece: str) -> bytes:
-        ids = array("I")
-        for word in _WORD.findall(piece):
-            ids.extend(self.merge(word.encode()))
-        return ids.tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Work out the ids of pieces (each with a blank before it) that are not remembered.
-
-        Letters are one word. Of the rest, letters with one sign after them are two words; others go to the pattern.
-        """
-        whole, signed, mixed = [], [], []
-        for piece in pieces:
-            (whole if piece.isalpha() else signed if piece[-1] in SIGNS and piece[:-1].isalpha() else mixed).append(piece)
-        # A blank starts every piece and is found in few of them, so one pass splits all others.
-        plain = [piece for piece in mixed if " " not in piece]
-        found = _WORD.findall(" " + " ".join(plain)) if plain else []
-        words = list(dict.fromkeys([" " + piece for piece in whole] + [" " + piece[:-1] for piece in signed] + found))
-        codes = [word.encode() for word in words]
-        ids = dict(zip(words, self.merge_many(codes)))
-        for word, code in zip(words, codes):
-            if len(code) > SHORT:
-                ids[word] = array("I", self.merge(code)).tobytes()
-        sign = {x: self._encode_piece(x) for x in SIGNS}
-        known = self.pieces
-        for piece in whole:
-            known[piece] = ids[" " + piece]
-        for piece in signed:
-            known[piece] = ids[" " + piece[:-1]] + sign[piece[-1]]
-        starts = [i for i, word in enumerate(found) if word[0] == " "]
-        for piece, start, stop in zip(plain, starts, [*starts[1:], len(found)]):
-            known[piece] = b"".join([ids[word] for word in found[start:stop]])
-        for piece in mixed:
-            if " " in piece:
-                known[piece] = self._encode_piece(" " + piece)
+    def _ids_of(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at ``start`` in ``data``, one after the other, and the number of ids of each word."""
+        table, raw = self.words, data.tobytes()
+        if 2 * table.taken > table.slots:
+            table.clear()
+        short = np.flatnonzero(size < 24)
+        keys = table.keys_of(data, start[short], size[short])
+        found = table.find(keys)
+        if (found < 0).any():
+            new, which = np.unique(keys[found < 0], axis=0, return_index=True)
+            rows = short[np.flatnonzero(found < 0)[which]]
+            table.add(new, self.merge_many([raw[s:s + n] for s, n in zip(start[rows].tolist(), size[rows].tolist())]))
+            found[found < 0] = table.find(keys[found < 0])
+        counts = np.zeros(len(start), np.int64)
+        counts[short] = table.size[found]
+        places = np.zeros(len(start), np.int64)
+        places[short] = table.at[found]
+        pool = table.pool
+        long = np.flatnonzero(size >= 24)
+        if len(long):
+            words = [raw[s:s + n] for s, n in zip(start[long].tolist(), size[long].tolist())]
+            ids = self.merge_many(words)
+            for i, word in enumerate(words):
+                if len(word) > SHORT:
+                    ids[i] = np.array(self.merge_long(word), np.uint32).tobytes()
+            counts[long] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            places[long] = len(pool) + np.cumsum(counts[long]) - counts[long]
+            pool = np.append(pool, np.frombuffer(b"".join(ids), np.uint32))
+        ends = np.cumsum(counts)
+        return pool[np.repeat(places - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], counts
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") for text in texts]
-        distinct: set[str] = set()
-        for pieces in cut:
-            distinct.update(pieces[1:])
-        blank = {piece for piece in distinct if not piece or piece[0].isspace()}
-        if blank:
-            # Two blanks or more in a row: cutting at every blank parts what belongs together.
-            cut = [pieces if blank.isdisjoint(pieces[1:]) else _CUT.split(text) for text, pieces in zip(texts, cut)]
-            distinct = set().union(*(pieces[1:] for pieces in cut))
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        self._learn([piece for piece in distinct if piece not in self.pieces])
-        known = self.pieces.__getitem__
-        return [self._encode_piece(pieces[0]) + b"".join(map(known, pieces[1:])) for pieces in cut]
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(lengths) - lengths
+        start = word_starts(chars, begin)
+        width = 1 + (chars > 0x7F).astype(np.int64) + (chars > 0x7FF) + (chars > 0xFFFF)
+        place = np.append(0, np.cumsum(width))
+        data = np.frombuffer(joined.encode() + bytes(32), np.uint8)
+        at = place[start]
+        ids, counts = self._ids_of(data, at, np.diff(np.append(at, place[-1])))
+        before = np.append(0, np.cumsum(counts))
+        raw = ids.astype("<u4").tobytes()
+        cuts = 4 * before[np.searchsorted(start, np.append(begin, len(chars)))]
+        return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        if self._special is None:
-            return self._encode_plain([text])[0]
-        parts = self._special.split(text)
-        plain = iter(self._encode_plain([part for part in parts if part not in self.special]))
-        return b"".join(self.special[part].to_bytes(4, "little") if part in self.special else next(plain)
-                        for part in parts)
+        return next(self.encode_many([text]))
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; about ``BATCH_CHARS`` are cut into words at a time."""
+        """Ids of each text; about ``BATCH_CHARS`` are worked on at a time."""
         start = 0
         while start < len(texts):
             stop, size = start, 0
@@ -252,15 +328,24 @@ class Codec:
                 size += len(texts[stop])
                 stop += 1
             batch = texts[start:stop]
-            special = [any(name in text for name in self.special) for text in batch]
-            plain = iter(self._encode_plain([text for text, has in zip(batch, special) if not has]))
-            for text, has in zip(batch, special):
-                yield self.encode(text) if has else next(plain)
+            split = {i: self._special.split(text) for i, text in enumerate(batch)
+                     if any(name in text for name in self.special)}
+            whole = iter(self._encode_plain([text for i, text in enumerate(batch) if i not in split]))
+            for i in range(len(batch)):
+                if i not in split:
+                    yield next(whole)
+                    continue
+                plain = iter(self._encode_plain([part for part in split[i] if part not in self.special]))
+                yield b"".join(self.special[part].to_bytes(4, "little") if part in self.special else next(plain)
+                               for part in split[i])
             start = stop
 
     def decode(self, ids: bytes) -> str:
-        numbers = np.frombuffer(ids, dtype="<u4").tolist()
-        return b"".join(map(self.table.__getitem__, numbers)).decode("utf-8", "replace")
+        numbers = np.frombuffer(ids, dtype="<u4")
+        sizes = self.token_sizes[numbers]
+        ends = np.cumsum(sizes)
+        take = np.repeat(self.token_starts[numbers] - ends + sizes, sizes)
+        return self.token_bytes[take + np.arange(len(take))].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -269,6 +354,20 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def texts_of(column: pa.Array, most: int = 4 * BATCH_CHARS) -> Iterator[list[str]]:
+    """The column's texts, null as empty, in lists of about ``most`` characters."""
+    held, size = [], 0
+    for value in column:
+        text = value.as_py() or ""
+        held.append(text)
+        size += len(text)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _with(schema: T.StructType, drop: set[str], *fields: T.StructField) -> T.StructType:
     gone = {f.name.lower() for f in fields} | drop
     return T.StructType([f for f in schema if f.name.lower() not in gone] + list(fields))
@@ -281,13 +380,16 @@ def encode(documents: DataFrame, path: str, text: str = "text", keep_text: bool
     carried = [f.name for f in schema][:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many = codec(path).encode_many
+        known = codec(path)
         for batch in batches:
-            ids = list(encode_many([value or "" for value in batch.column(text).to_pylist()]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in carried]
-                + [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                names=[f.name for f in schema])
+            at = 0
+            for texts in texts_of(batch.column(text)):
+                ids = list(known.encode_many(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(at, len(ids)) for c in carried]
+                    + [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
+                    names=[f.name for f in schema])
+                at += len(ids)
 
     return documents.mapInArrow(run, schema)
 
@@ -298,10 +400,12 @@ def decode(encoded: DataFrame, path: str, out: str = "decoded", keep_ids: bool =
     carried = [f.name for f in schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode_ids = codec(path).decode
+        known = codec(path)
         for batch in batches:
-            texts = [decode_ids(value or b"") for value in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(texts, pa.string())],
-                                             names=[f.name for f in schema])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = [known.decode(value.as_py() or b"") for value in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in carried] + [pa.array(texts, pa.string())],
+                                                 names=[f.name for f in schema])
 
     return encoded.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import codec
+from ledgerline.llm.bpe import codec, texts_of
 from ledgerline.llm.storage import scratch
 
 WINDOW = 2048
@@ -35,15 +35,18 @@ def token_stream(documents: DataFrame, path: str, key: str = "doc_id", text: str
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_many, part, at = codec(path).encode_many, TaskContext.get().partitionId(), 0
+        known, part, at = codec(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in encode_many([value or "" for value in batch.column(1).to_pylist()])]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            ends = at + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends - sizes),
-                 pa.array(sizes), pa.array(ids, pa.binary())], names=["key", "part", "at", "n", "ids"])
-            at = int(ends[-1]) if len(ids) else at
+            row = 0
+            for texts in texts_of(batch.column(1)):
+                ids = [x + end for x in known.encode_many(texts)]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                ends = at + np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(ids)), pa.array(np.full(len(ids), part, np.int32)),
+                     pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary())],
+                    names=["key", "part", "at", "n", "ids"])
+                row, at = row + len(ids), int(ends[-1])
 
     spark, folder = documents.sparkSession, scratch(documents.sparkSession, "token-stream")
     stream = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
