@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import quality
+from ledgerline.llm import ngram_join, packing, quality, secret_scan
+from ledgerline.llm.queries import tokenizer_path
 from ledgerline.llm.storage import settle
 
+#: Packing needs the tokenizer, which SQL cannot express; the tests hold the rows against a plain version.
 ORACLE_SQL = None
+#: A list of dropped documents of up to so many ids (8 bytes each) is broadcast; a longer one is joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +20,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_stage)]
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest id (rows that share an id are one document)."""
+    groups = ngram_join.join(docs.select("doc_id", "text"))
+    dropped = settle(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-copies")
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by its kind in brackets."""
+    changed = F.size("secrets") > 0
+    scanned = secret_scan.scan(docs).withColumn("_changed", changed)
+    redacted = secret_scan.redact(scanned)
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.when(
+            F.col("_changed"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return redacted.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("quality rules", quality_stage), ("n-gram Jaccard join", near_copy_stage), ("secret scans", secret_stage),
+          ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

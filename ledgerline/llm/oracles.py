@@ -150,3 +150,120 @@ FROM source_rows LEFT JOIN counted USING (row_id) LEFT JOIN joined USING (row_id
 
 
 OP2 = _license_oracle()
+
+#: Smallest node reachable over ``links`` (x, y) from each node of ``nodes`` (node).
+_REACH = """
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+    SELECT node, node AS seen FROM nodes
+    UNION
+    SELECT reach.node, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.seen),
+least AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
+
+OP3 = f"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+nodes AS (SELECT vec_id AS node FROM embeddings),
+{_REACH},
+counted AS (SELECT x AS node, count(*) AS n FROM both_ways GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component AS component_id, vec_id = component AS kept
+FROM embeddings JOIN least ON least.node = vec_id LEFT JOIN counted ON counted.node = vec_id
+"""
+
+OP4 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### : </turn>') + 2 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g'))
+           + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5 = rf"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+    FROM documents),
+shingled AS (
+    SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)),
+                                                       lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
+    FROM worded WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+    WHERE 100 * c >= 80 * (p.n + q.n - c)),
+nodes AS (SELECT DISTINCT doc_id AS node FROM documents),
+{_REACH}
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component AS component_id
+FROM documents JOIN least ON least.node = documents.doc_id LEFT JOIN sizes ON sizes.doc_id = documents.doc_id
+"""
+
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _host(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), '^(?s:.*?)://([^/?#]*)', 1), {_ABC})"
+
+
+def _tail(url: str, stops: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '^(?s:.*?)://[^/?#]*([^{stops}]*)', 1)"
+
+
+#: Pages without a rule: this twin covers canonical and refresh links with full addresses.
+OP8 = rf"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES
+    ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags AS (
+    SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
+    WHERE contains(url, '://')),
+targets AS (
+    SELECT url, CASE
+        WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+        THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+        WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')
+        THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS target
+    FROM tags),
+links AS (
+    SELECT DISTINCT {_host('url')} || {_tail('url', '#')} AS x, {_host('target')} || {_tail('target', '#')} AS y
+    FROM targets WHERE contains(target, '://')),
+nodes AS (SELECT x AS node FROM links UNION SELECT y FROM links),
+{_REACH},
+addresses AS (
+    SELECT node AS address, {_host("'http://' || node")} AS host, {_tail("'http://' || node", '?#')} AS path FROM nodes
+    UNION
+    SELECT CASE WHEN contains(url, '://') THEN {_host('url')} || {_tail('url', '#')} END,
+           {_host('url')}, {_tail('url', '?#')} FROM pages),
+judged AS (
+    SELECT a.address, a.host, a.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+           arg_max(r.verdict, length(r.host || r.path)) AS verdict
+    FROM addresses a JOIN rules r ON (a.host = r.host OR ends_with(a.host, '.' || r.host))
+         AND starts_with(a.path, r.path)
+    GROUP BY ALL),
+bad AS (
+    SELECT component FROM least LEFT JOIN judged ON judged.address = least.node GROUP BY component
+    HAVING bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false)),
+blocked AS (SELECT node FROM least SEMI JOIN bad USING (component)),
+placed AS (
+    SELECT page_id, {_host('url')} AS host, {_tail('url', '?#')} AS path,
+           CASE WHEN contains(url, '://') THEN {_host('url')} || {_tail('url', '#')} END AS address FROM pages)
+SELECT page_id, placed.host, placed.path, rule,
+       coalesce(verdict, CASE WHEN blocked.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM placed LEFT JOIN judged ON judged.address IS NOT DISTINCT FROM placed.address
+     AND judged.host = placed.host AND judged.path = placed.path
+LEFT JOIN blocked ON blocked.node = placed.address
+"""

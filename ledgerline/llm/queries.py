@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import (bpe, chat, embedding_dedup, html_wrappers, license_scan, ngram_join, packing, quality,
                             secret_scan, url_filter)
-from ledgerline.llm.oracles import OP1, OP2, OP10
+from ledgerline.llm.oracles import OP1, OP2, OP3, OP4, OP5, OP8, OP10
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,11 +87,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query(op1_secret_scan, OP1)
 query(op2_license_scan, OP2)
-query(op3_embedding_dedup)
-query(op4_chat_format)
-query(op5_ngram_join)
+query(op3_embedding_dedup, OP3)
+query(op4_chat_format, OP4)
+query(op5_ngram_join, OP5)
 query(op6_bpe_codec)
 query(op7_packing)
-query(op8_url_filter)
+query(op8_url_filter, OP8)
 query(op9_html_wrappers)
 query(op10_quality_rules, OP10)
