@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline import texts
 from ledgerline.functions.columns import change_type, inventory_id, signed_delta, stable_id
 from ledgerline.operators.kernels import BalanceKernel
-from ledgerline.operators.ordered_fold import HOT_ROWS, SMALL_ROWS, STATE, ordered_fold
+from ledgerline.operators.ordered_fold import HOT_ROWS, STATE, ordered_fold
 
 PAIR = ("product_id", "store_id")
 
@@ -35,12 +35,11 @@ def fold_movements(
     balances: DataFrame | None = None,
     used_ids: dict[str, DataFrame] | None = None,
     hot_rows: int = HOT_ROWS,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Apply movements of any kind in ``order``; adds status, quantity_before, quantity_after, quantity_delta."""
     openings = None if balances is None else opening_states(balances)
     ledger = ordered_fold(movements, BalanceKernel(), key=PAIR, order=order, openings=openings,
-                          used_ids=used_ids, hot_rows=hot_rows, small_rows=small_rows)
+                          used_ids=used_ids, hot_rows=hot_rows)
     return ledger.withColumn("quantity_delta", F.when(F.col("status") == "applied", F.col("delta")).otherwise(F.lit(0)))
 
 
@@ -51,13 +50,12 @@ def apply_stock_events(
     balances: DataFrame | None = None,
     history: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """K1 + K2: guarded running balance. An event id already in ``history`` is a duplicate."""
     used = None
     if history is not None:
         used = {"event_id": history.select(F.col("source_event_id").alias("event_id")).where("event_id is not null")}
-    return fold_movements(stock_movements(events), order=order, balances=balances, used_ids=used, hot_rows=hot_rows, small_rows=small_rows)
+    return fold_movements(stock_movements(events), order=order, balances=balances, used_ids=used, hot_rows=hot_rows)
 
 
 def applied(ledger: DataFrame) -> DataFrame:
@@ -85,8 +83,11 @@ def duplicates(ledger: DataFrame) -> DataFrame:
     return ledger.where(F.col("status") == "duplicate")
 
 
-def audit_rows(ledger: DataFrame, changed_at: Column) -> DataFrame:
-    """K6: one history row per applied movement. ``changed_at`` is the processing time."""
+def audit_rows(ledger: DataFrame, changed_at: Column, sequence: Column | None = None) -> DataFrame:
+    """K6: one history row per applied movement. ``changed_at`` is the processing time.
+
+    ``sequence`` grows with the order of arrival; it tells apart changes that were processed at one time.
+    """
     return applied(ledger).select(
         stable_id(F.lit("history"), "event_id").alias("id"),
         inventory_id("store_id", "product_id").alias("inventory_id"),
@@ -94,6 +95,7 @@ def audit_rows(ledger: DataFrame, changed_at: Column) -> DataFrame:
         "quantity_before", "quantity_after", "quantity_delta",
         F.col("event_id").alias("source_event_id"),
         changed_at.alias("changed_at"),
+        *([] if sequence is None else [sequence.cast("long").alias("sequence")]),
     )
 
 

@@ -1,7 +1,10 @@
 """Per-key state machines used by :mod:`ledgerline.operators.ordered_fold`.
 
-A kernel sees the rows of one key in order. Its state is one integer, plus the ids it has applied so far.
-Besides the row results it reports a *piece*: the interval of starting states for which every decision it
+A kernel sees the rows of one key in order. Its state is one integer; ids only reach it where they repeat. Rows are
+taken in stretches: whole columns are looked at up to the first row that does not go the ordinary way, so the cost in
+Python is per refusal, per alert and per repeated id, not per row.
+
+Besides the row results a kernel reports a *piece*: the interval of starting states for which every decision it
 just made would have been the same, and how the end state follows the start state inside that interval
 (``end + slope * (other_start - start)``). Pieces let a hot key be folded as independent segments that are
 joined afterwards without looking at the rows again.
@@ -11,10 +14,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
 FAR = 1 << 60
+# Rows looked at together: few after something out of the ordinary, then more and more.
+_SHORT, _LONG = 32, 65_536
+_NONE = -1
 
 
 @dataclass(frozen=True)
@@ -35,6 +42,10 @@ class Piece:
         return max(self.low - start, start - self.high, 0)
 
 
+def _or_null(values: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.int64(), mask=values == _NONE)
+
+
 class BalanceKernel:
     """Stock balance that never goes below zero.
 
@@ -43,12 +54,14 @@ class BalanceKernel:
     other check but carries a used ``event_id`` is refused as ``duplicate_event_id``.
     """
 
-    inputs = ("delta", "must_exist", "event_id", "sale_id", "_blocked_event_id", "_blocked_sale_id")
+    inputs = ("delta", "must_exist", "_again_event_id", "_again_sale_id", "_blocked_event_id", "_blocked_sale_id")
     # Columns a frame may leave out, so that they are neither shuffled nor converted.
-    defaults = {"must_exist": False, "sale_id": None, "_blocked_event_id": False, "_blocked_sale_id": False}
+    defaults = {"must_exist": False, "_again_event_id": None, "_again_sale_id": None, "_blocked_event_id": False,
+                "_blocked_sale_id": False}
     ids = ("event_id", "sale_id")
     outputs = (("status", T.StringType(), pa.string()), ("quantity_before", T.LongType(), pa.int64()),
                ("quantity_after", T.LongType(), pa.int64()))
+    statuses = ("applied", "rejected", "duplicate", "product_not_found", "insufficient_stock", "duplicate_event_id")
     accepted = "applied"
     absent = -1
     probes = (-1, 0, FAR)
@@ -56,6 +69,18 @@ class BalanceKernel:
     def begin(self, state: int | None) -> BalanceRun:
         return BalanceRun(self.absent if state is None else state)
 
+    def room(self, rows: int) -> tuple[np.ndarray, ...]:
+        """Where the results of a batch go; -1 stands for none."""
+        return tuple(np.full(rows, _NONE, kind) for kind in (np.int8, np.int64, np.int64))
+
+    def arrays(self, out: tuple[np.ndarray, ...]) -> list[pa.Array]:
+        names = pa.array(self.statuses, pa.string())
+        codes = pa.array(out[0], pa.int8(), mask=out[0] == _NONE)
+        return [names.take(codes), _or_null(out[1]), _or_null(out[2])]
+
+
+_APPLIED, _REJECTED, _DUPLICATE, _NOT_FOUND, _TOO_LITTLE, _USED_EVENT = range(6)
+
 
 class BalanceRun:
     def __init__(self, start: int) -> None:
@@ -69,48 +94,98 @@ class BalanceRun:
     def share_ids(self, other: BalanceRun) -> None:
         self.events, self.sales = other.events, other.sales
 
-    def advance(self, columns: dict[str, list], low: int, high: int, out: tuple[list, ...] | None) -> None:
-        deltas, sale_rows = columns["delta"], columns["must_exist"]
-        event_ids, sale_ids = columns["event_id"], columns["sale_id"]
-        blocked_events, blocked_sales = columns["_blocked_event_id"], columns["_blocked_sale_id"]
-        events, sales = self.events, self.sales
-        balance, down, up = self.state, self.down, self.up
-        for i in range(low, high):
-            before, status = balance, None
-            event_id, is_sale = event_ids[i], sale_rows[i]
-            if is_sale:
-                sale_id = sale_ids[i]
-                if blocked_sales[i] or sale_id in sales:
-                    status = "duplicate"
-                elif balance < 0:
-                    status = "product_not_found"
-            elif blocked_events[i] or event_id in events:
-                status = "duplicate"
-            after = before
-            if status is None:
-                after = max(before, 0) + deltas[i]
-                if after < 0:
-                    status = "insufficient_stock" if is_sale else "rejected"
-                    if before >= 0:
-                        up = min(up, -after - 1)
-                    after = before
+    def advance(self, columns: dict[str, np.ndarray], low: int, high: int, out: tuple[np.ndarray, ...] | None) -> None:
+        special = columns["_special"]
+        while low < high:
+            if special[low]:
+                self._one(columns, low, out)
+                low += 1
+                continue
+            ahead = special[low:high]
+            stop = low + int(ahead.argmax()) if ahead.any() else high
+            self._stretch(columns["delta"], columns["must_exist"], low, stop, out)
+            low = stop
+
+    def _stretch(self, deltas: np.ndarray, sale_rows: np.ndarray, low: int, high: int, out) -> None:
+        """Rows without repeated or used ids."""
+        size = _SHORT
+        while low < high:
+            stop = min(high, low + size)
+            delta, sale = deltas[low:stop], sale_rows[low:stop]
+            if self.state < 0:
+                creates = ~sale & (delta >= 0)
+                n = int(creates.argmax()) if creates.any() else len(delta)
+                if out is not None:
+                    out[0][low:low + n] = np.where(sale[:n], _NOT_FOUND, _REJECTED)
+                    # A refused first stock event reports zero; a sale of nothing known reports nothing.
+                    out[1][low:low + n] = np.where(sale[:n], _NONE, 0)
+                    out[2][low:low + n] = np.where(sale[:n], _NONE, 0)
+                low += n
+                if n < len(delta):
+                    self.state = int(delta[n])
+                    if out is not None:
+                        out[0][low], out[1][low], out[2][low] = _APPLIED, 0, self.state
+                    low += 1
+                size = min(2 * size, _LONG)
+                continue
+            after = self.state + np.cumsum(delta)
+            below = after < 0
+            n = int(below.argmax()) if below.any() else len(delta)
+            if n:
+                falls = delta[:n] < 0
+                if falls.any():
+                    self.down = min(self.down, int(after[:n][falls].min()))
+                if out is not None:
+                    out[0][low:low + n] = _APPLIED
+                    out[1][low:low + n] = after[:n] - delta[:n]
+                    out[2][low:low + n] = after[:n]
+                self.state = int(after[n - 1])
+            low += n
+            size = min(2 * size, _LONG)
+            if n < len(delta):
+                self.up = min(self.up, -int(after[n]) - 1)
+                if out is not None:
+                    out[0][low] = _TOO_LITTLE if sale[n] else _REJECTED
+                    out[1][low] = out[2][low] = self.state
+                low, size = low + 1, _SHORT
+
+    def _one(self, columns: dict[str, np.ndarray], i: int, out) -> None:
+        """A row whose ids occur elsewhere too."""
+        before, delta = self.state, int(columns["delta"][i])
+        is_sale, event_id = columns["must_exist"][i], columns["_again_event_id"][i]
+        sale_id = columns["_again_sale_id"][i]
+        used_event = columns["_blocked_event_id"][i] or event_id in self.events
+        after, status = before, None
+        if is_sale:
+            if columns["_blocked_sale_id"][i] or sale_id in self.sales:
+                status = _DUPLICATE
+            elif before < 0:
+                status = _NOT_FOUND
+        elif used_event:
+            status = _DUPLICATE
+        if status is None:
+            after = max(before, 0) + delta
+            if after < 0:
+                status = _TOO_LITTLE if is_sale else _REJECTED
+                if before >= 0:
+                    self.up = min(self.up, -after - 1)
+                after = before
+            else:
+                if before >= 0 and delta < 0:
+                    self.down = min(self.down, after)
+                if is_sale and used_event:
+                    status, after = _USED_EVENT, before
                 else:
-                    if before >= 0 and deltas[i] < 0:
-                        down = min(down, after)
-                    if is_sale and (blocked_events[i] or event_id in events):
-                        status, after = "duplicate_event_id", before
-                    else:
-                        status, balance = "applied", after
-                        if event_id is not None:
-                            events.add(event_id)
-                        if is_sale:
-                            sales.add(sale_id)
-            if out is not None:
-                fresh = status in ("applied", "rejected") and before < 0
-                out[0].append(status)
-                out[1].append(0 if fresh else None if before < 0 else before)
-                out[2].append(0 if status == "rejected" and before < 0 else None if after < 0 else after)
-        self.state, self.down, self.up = balance, down, up
+                    status, self.state = _APPLIED, after
+                    if event_id is not None:
+                        self.events.add(event_id)
+                    if is_sale and sale_id is not None:
+                        self.sales.add(sale_id)
+        if out is not None:
+            fresh = status in (_APPLIED, _REJECTED) and before < 0
+            out[0][i] = status
+            out[1][i] = 0 if fresh else before
+            out[2][i] = 0 if status == _REJECTED and before < 0 else after
 
     def piece(self) -> Piece:
         if self.start < 0:
@@ -138,6 +213,12 @@ class DedupKernel:
     def begin(self, state: int | None) -> DedupRun:
         return DedupRun(self.absent if state is None else state, self.window_micros)
 
+    def room(self, rows: int) -> tuple[np.ndarray, ...]:
+        return np.zeros(rows, bool), np.zeros(rows, np.int64)
+
+    def arrays(self, out: tuple[np.ndarray, ...]) -> list[pa.Array]:
+        return [pa.array(out[0]), pa.array(out[1])]
+
 
 class DedupRun:
     def __init__(self, start: int, window: int) -> None:
@@ -148,58 +229,25 @@ class DedupRun:
         self.high = 4 * FAR
         self.created_any = False
 
-    def share_ids(self, other: DedupRun) -> None:
-        """Alerts have no ids to use up."""
-
-    def advance(self, columns: dict[str, list], low: int, high: int, out: tuple[list, ...] | None) -> None:
-        times, window = columns["at_micros"], self.window
-        for i in range(low, high):
-            edge = times[i] - window
-            created = self.state < edge
-            if not self.created_any:
-                if created:
-                    self.high = min(self.high, edge - 1)
-                else:
-                    self.low = max(self.low, edge)
-            if created:
-                self.state = times[i]
-                self.created_any = True
+    def advance(self, columns: dict[str, np.ndarray], low: int, high: int, out: tuple[np.ndarray, ...] | None) -> None:
+        size = _SHORT
+        while low < high:
+            edges = columns["at_micros"][low:min(high, low + size)] - self.window
+            later = edges > self.state
+            n = int(later.argmax()) if later.any() else len(edges)
+            if n and not self.created_any:
+                self.low = max(self.low, int(edges[:n].max()))
             if out is not None:
-                out[0].append(created)
-                out[1].append(self.state)
+                out[1][low:low + n] = self.state
+            low += n
+            size = min(2 * size, _LONG)
+            if n < len(edges):
+                if not self.created_any:
+                    self.high, self.created_any = min(self.high, int(edges[n]) - 1), True
+                self.state = int(edges[n]) + self.window
+                if out is not None:
+                    out[0][low], out[1][low] = True, self.state
+                low, size = low + 1, _SHORT
 
     def piece(self) -> Piece:
         return Piece(self.low, self.high, 0 if self.created_any else 1, self.start, self.state)
-
-
-class PresenceKernel:
-    """Whether a key exists (1) or not (0) while sets and deletes run over it."""
-
-    inputs = ("sets",)
-    defaults = {}
-    ids = ()
-    outputs = (("succeeded", T.BooleanType(), pa.bool_()),)
-    absent = 0
-    probes = (0, 1)
-
-    def begin(self, state: int | None) -> PresenceRun:
-        return PresenceRun(state or 0)
-
-
-class PresenceRun:
-    def __init__(self, start: int) -> None:
-        self.start = start
-        self.state = start
-
-    def share_ids(self, other: PresenceRun) -> None:
-        """Keys of a cache have no ids to use up."""
-
-    def advance(self, columns: dict[str, list], low: int, high: int, out: tuple[list, ...] | None) -> None:
-        sets = columns["sets"]
-        for i in range(low, high):
-            if out is not None:
-                out[0].append(sets[i] or self.state == 1)
-            self.state = 1 if sets[i] else 0
-
-    def piece(self) -> Piece:
-        return Piece(self.start, self.start, 0, self.start, self.state)

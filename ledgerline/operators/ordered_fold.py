@@ -1,18 +1,21 @@
 """Ordered per-key folds whose decisions feed back into the state (K1, K2, K4, K8).
 
 A running sum cannot express these: a refused row must not move the state. Every row is shuffled once by key,
-sorted inside its partition and streamed through a kernel batch by batch, so memory does not grow with the size
-of a key. Special cases are found by size checks and only paid for when they occur:
+sorted inside its partition and streamed through a kernel batch by batch. What a task holds does not grow with a key:
+only ids that occur more than once among the rows reach the kernel, which remembers those of them that it applied.
+Special cases are found by size checks and only paid for when they occur:
 
 * *Hot keys* (more rows than ``hot_rows``) are range-partitioned by key **and order**, so one key spreads over
   many tasks. Each segment reports, for a few trial states, how its end follows its start; walking those
   summaries (a few per segment, never rows) gives the true start of every segment. A segment whose true
   start no trial covers is folded again from that start, so the result is exact, whatever the data.
-* *Few rows* (up to ``small_rows``, typically a micro-batch) are folded in one task over all keys in order, which
-  settles ids directly and needs no further checks.
 * *Contested ids* are ids found in more than one key or segment. Whether an id is used up depends on rows
-  elsewhere; the occurrences are settled by repeating the fold over the keys involved until the first applied
-  occurrence of every such id no longer changes. Each pass settles at least the next occurrence in order.
+  elsewhere. Keys that share contested ids, directly or by way of others, make a group, and a group is folded in one
+  pass over all its keys in order. Only groups that are too large for a task, or hold a hot key, are settled by
+  repeating the fold over their keys until the first applied occurrence of every such id no longer changes.
+
+``order`` must be a total order. Two rows of a key at the same place in it fail the job; rows of different keys at the
+same place are taken in the order of their keys.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators import kernels
+from ledgerline.operators.components import components
 from ledgerline.operators.kernels import Piece
 from ledgerline.session import cut_lineage
 
@@ -39,8 +43,9 @@ cloudpickle.register_pickle_by_value(kernels)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HOT_ROWS = 2_000_000
-SMALL_ROWS = 5_000
-SEGMENT, HEAD, STATE = "_segment", "_head", "_state"
+# A table of repeated ids of up to so many rows (some 60 bytes each) is broadcast; a larger one is joined by shuffle.
+BROADCAST_IDS = 200_000
+SEGMENT, HEAD, STATE, GROUP = "_segment", "_head", "_state", "_group"
 _COLD = -1
 _MORE_TRIALS = 6
 
@@ -66,33 +71,31 @@ def ordered_fold(
     openings: DataFrame | None = None,
     used_ids: dict[str, DataFrame] | None = None,
     hot_rows: int = HOT_ROWS,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Fold ``rows`` per ``key`` in ``order`` and return them with the kernel's output columns.
 
-    ``order`` must be a total order over all rows, because ids are compared across keys. ``openings`` holds one
+    ``order`` must be a total order, because ids are compared across keys. ``openings`` holds one
     row per known key with its starting state in ``_state``. ``used_ids`` names, per id column, the ids already
     applied by earlier runs.
     """
-    fold = _Fold(kernel, tuple(key), tuple(order), openings)
-    rows = fold.mark_used(rows, used_ids or {})
-    total, heavy = fold.sizes(rows, hot_rows)
-    if total <= small_rows:
-        results = [fold.run_small(rows)]
-    else:
-        cold, hot = fold.split(rows, heavy, hot_rows)
-        results = fold.settle_ids(cold, hot)
-        if results is None:
-            results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
-    plumbing = [SEGMENT, HEAD, STATE, *[f"_blocked_{c}" for c in kernel.ids]]
+    fold = _Fold(kernel, tuple(key), tuple(order), openings, hot_rows)
+    heavy = fold.heavy(rows)
+    rows = fold.mark_repeated(fold.mark_used(rows, used_ids or {}))
+    cold, hot = fold.split(rows, heavy)
+    results = fold.settle_ids(cold, hot)
+    if results is None:
+        results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
+    plumbing = [SEGMENT, HEAD, STATE, GROUP, *[f"{kind}_{c}" for c in kernel.ids for kind in ("_blocked", "_again")]]
     return reduce(DataFrame.unionByName, [r.drop(*plumbing) for r in results])
 
 
 class _Fold:
-    def __init__(self, kernel, key: tuple[str, ...], order: tuple[str, ...], openings: DataFrame | None) -> None:
+    def __init__(self, kernel, key: tuple[str, ...], order: tuple[str, ...], openings: DataFrame | None,
+                 hot_rows: int) -> None:
         self.kernel = kernel
         self.key = key
         self.order = order
+        self.hot_rows = hot_rows
         self.openings = None if openings is None else openings.select(*key, F.col(STATE).cast("long").alias(STATE))
 
     # -- preparation -----------------------------------------------------------------------------------------
@@ -108,20 +111,31 @@ class _Fold:
     def _ids(self, rows: DataFrame) -> list[str]:
         return [c for c in self.kernel.ids if c in rows.columns]
 
-    def sizes(self, rows: DataFrame, hot_rows: int) -> tuple[int, list]:
-        """Number of rows, and the keys that are too large for one task: at most total / hot_rows of them."""
-        counts = rows.groupBy(*self.key).count()
-        heavy = F.when(F.col("count") > hot_rows, F.struct(*self.key, "count"))
-        found = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.collect_list(heavy).alias("heavy"))
-        return tuple(found.first())
+    def mark_repeated(self, rows: DataFrame) -> DataFrame:
+        """``_again_<id>``: the id where it occurs more than once among the rows, NULL elsewhere."""
+        found = {}
+        for column in self._ids(rows):
+            again = rows.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").select(column)
+            found[column] = cut_lineage(again)
+        for column, again in found.items():
+            many = again.limit(BROADCAST_IDS + 1).count()
+            if many:
+                marked = again.select(F.col(column).alias(f"_again_{column}"))
+                marked = F.broadcast(marked) if many <= BROADCAST_IDS else marked
+                rows = rows.join(marked, F.col(column) == F.col(f"_again_{column}"), "left")
+        return rows
+
+    def heavy(self, rows: DataFrame) -> list:
+        """The keys that are too large for one task, with their sizes: at most total / hot_rows of them."""
+        return rows.groupBy(*self.key).count().where(F.col("count") > self.hot_rows).collect()
 
-    def split(self, rows: DataFrame, heavy: list, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    def split(self, rows: DataFrame, heavy: list) -> tuple[DataFrame, DataFrame | None]:
         if not heavy:
             return rows, None
         names = F.broadcast(rows.sparkSession.createDataFrame(
             [tuple(r[k] for k in self.key) for r in heavy],
             T.StructType([rows.schema[k] for k in self.key])))
-        width = max(2, -(-2 * sum(r["count"] for r in heavy) // hot_rows))
+        width = max(2, -(-2 * sum(r["count"] for r in heavy) // self.hot_rows))
         hot = (
             rows.join(names, list(self.key), "left_semi")
             .repartitionByRange(width, *self.key, *self.order)
@@ -131,14 +145,7 @@ class _Fold:
         # Range bounds come from a sample, so the segments must be fixed before they are summarised and reused.
         return rows.join(names, list(self.key), "left_anti"), cut_lineage(hot)
 
-    # -- few rows: one task, all keys in order -------------------------------------------------------------------
-
-    def run_small(self, rows: DataFrame) -> DataFrame:
-        schema = self._result_schema(rows)
-        # Openings are limited to the keys at hand, so they are no more than the rows.
-        framed = self._framed(rows, of_these_keys=True)
-        placed = framed.repartition(1).sortWithinPartitions(*self._heads_first(framed), *self.order)
-        return placed.mapInArrow(_small_task(self.kernel, self.key, schema.fieldNames()), schema)
+    # -- opening states --------------------------------------------------------------------------------------
 
     def _framed(self, rows: DataFrame, of_these_keys: bool = False) -> DataFrame:
         """Rows together with the opening state rows, told apart by ``_head``."""
@@ -156,12 +163,20 @@ class _Fold:
 
     # -- cold keys: one shuffle, one streaming pass ----------------------------------------------------------
 
-    def run_cold(self, rows: DataFrame) -> DataFrame:
+    def run_cold(self, rows: DataFrame, of_these_keys: bool = False) -> DataFrame:
         schema = self._result_schema(rows)
-        framed = self._framed(rows)
+        framed = self._framed(rows, of_these_keys)
         placed = framed.repartition(*self.key).sortWithinPartitions(
             *self.key, *self._heads_first(framed), *self.order)
-        return placed.mapInArrow(_cold_task(self.kernel, self.key, schema.fieldNames()), schema)
+        return placed.mapInArrow(_cold_task(self.kernel, self.key, self.order, schema.fieldNames()), schema)
+
+    def run_groups(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """Rows of keys that share ids, in one pass per group (key, ``_group``): the keys of a group share what they use up."""
+        schema = self._result_schema(rows)
+        framed = self._framed(rows, of_these_keys=True).join(groups, list(self.key))
+        placed = framed.repartition(GROUP).sortWithinPartitions(
+            GROUP, *self._heads_first(framed), *self.order, *self.key)
+        return placed.mapInArrow(_group_task(self.kernel, self.key, self.order, schema.fieldNames()), schema)
 
     # -- hot keys: segments, summaries, exact starts ---------------------------------------------------------
 
@@ -170,7 +185,7 @@ class _Fold:
         openings = self._hot_openings(segments)
         starts = self._find_starts(segments, openings)
         return segments.mapInArrow(
-            _segment_task(self.kernel, self.key, schema.fieldNames(), openings, starts), schema)
+            _segment_task(self.kernel, self.key, self.order, schema.fieldNames(), openings, starts), schema)
 
     def _hot_openings(self, segments: DataFrame) -> dict[str, int]:
         if self.openings is None:
@@ -222,39 +237,60 @@ class _Fold:
     # -- ids that more than one key or segment may use up ----------------------------------------------------
 
     def settle_ids(self, cold: DataFrame, hot: DataFrame | None) -> list[DataFrame] | None:
-        ids = self._ids(cold)
+        ids = [c for c in self.kernel.ids if f"_again_{c}" in cold.columns]
         if not ids:
             return None
         everything = cold.withColumn(SEGMENT, F.lit(_COLD))
         if hot is not None:
             everything = everything.unionByName(hot)
-        candidates = {column: self._contested(everything, column) for column in ids}
-        # Independent checks: submitted together so that one fills the idle slots of the other.
-        with ThreadPoolExecutor(len(candidates)) as pool:
-            empty = dict(zip(candidates, pool.map(DataFrame.isEmpty, candidates.values())))
-        contested = {column: cut_lineage(ids) for column, ids in candidates.items() if not empty[column]}
+        # Only rows with a repeated id are looked at.
+        uses = {column: everything.where(F.col(f"_again_{column}").isNotNull()) for column in ids}
+        contested = {column: cut_lineage(self._contested(rows, column)) for column, rows in uses.items()}
+        contested = {column: found for column, found in contested.items() if not found.isEmpty()}
         if not contested:
             return None
-        touched = reduce(DataFrame.unionByName, [
-            everything.join(ids.select(column), column, "left_semi").select(*self.key)
-            for column, ids in contested.items()]).distinct()
-        touched = cut_lineage(touched)
-        apart = cold.join(touched, list(self.key), "left_anti")
-        involved = cold.join(touched, list(self.key), "left_semi")
-
+        groups = self._groups({column: uses[column].join(found, column, "left_semi")
+                               for column, found in contested.items()})
+        sizes = everything.join(groups, list(self.key)).groupBy(GROUP).agg(
+            F.count(F.lit(1)).alias("rows"), F.max(SEGMENT).alias("segment"))
+        fits = (F.col("rows") <= self.hot_rows) & (F.col("segment") == _COLD)
+        sized = cut_lineage(groups.join(sizes.select(GROUP, fits.alias("fits")), GROUP))
+        small = sized.where("fits").drop("fits")
+        rest = sized.where("NOT fits").select(*self.key)
+        done = [self.run_cold(cold.join(sized.select(*self.key), list(self.key), "left_anti")),
+                self.run_groups(cold, small)]
+        if rest.isEmpty():
+            return done + ([] if hot is None else [self.run_hot(hot)])
+        return done + self._repeat(cold.join(rest, list(self.key), "left_semi"), hot, everything, contested)
+
+    def _groups(self, uses: dict[str, DataFrame]) -> DataFrame:
+        """(key, ``_group``) of all keys that contested ids connect; ``uses`` are the rows that carry such ids."""
+        node = F.to_json(F.struct(*self.key), {"ignoreNullFields": "false"})
+        pairs = reduce(DataFrame.unionByName, [
+            rows.select(F.lit(column).alias("column"), F.col(column).alias("id"), *self.key, node.alias("b")).distinct()
+            for column, rows in uses.items()])
+        pairs = cut_lineage(pairs)
+        hubs = pairs.groupBy("column", "id").agg(F.min("b").alias("a"))
+        joined = components(pairs.join(hubs, ["column", "id"]).select("a", "b"))
+        keys = pairs.select(*self.key, "b").distinct()
+        # A key may hold all contested uses of its ids in several segments; it is a group of its own then.
+        return cut_lineage(keys.join(joined, F.col("b") == F.col("node"), "left").select(
+            *self.key, F.coalesce("component", "b").alias(GROUP)))
+
+    def _repeat(self, involved: DataFrame, hot: DataFrame | None, everything: DataFrame,
+                contested: dict[str, DataFrame]) -> list[DataFrame]:
         first = {column: cut_lineage(self._first_use(everything, contested[column], column)) for column in contested}
         while True:
-            flagged_hot = None if hot is None else self._resegment(self._flag(hot, first))
-            outcome = [self.run_cold(self._flag(involved, first))]
-            if flagged_hot is not None:
-                outcome.append(self.run_hot(cut_lineage(flagged_hot)))
+            outcome = [cut_lineage(self.run_cold(self._flag(involved, first), of_these_keys=True))]
+            if hot is not None:
+                outcome.append(cut_lineage(self.run_hot(cut_lineage(self._resegment(self._flag(hot, first))))))
             applied = reduce(DataFrame.unionByName, outcome).where(F.col("status") == self.kernel.accepted)
             again = {column: cut_lineage(self._first_use(applied, contested[column], column))
                      for column in contested}
             stable = all(self._same(first[column], again[column]) for column in contested)
             first = again
             if stable:
-                return [self.run_cold(apart), *outcome]
+                return outcome
 
     def _unit(self) -> Column:
         return F.struct(*self.key, SEGMENT)
@@ -281,7 +317,8 @@ class _Fold:
         placed = rows if SEGMENT in rows.columns else rows.withColumn(SEGMENT, F.lit(_COLD))
         for column, uses in first.items():
             use, flag = f"_first_{column}", f"_blocked_{column}"
-            taken = (F.col(f"{use}.at") < F.struct(*self.order)) & (F.col(f"{use}.unit") != self._unit())
+            here = F.struct(F.struct(*self.order).alias("at"), self._unit().alias("unit"))
+            taken = (F.col(use) < here) & (F.col(f"{use}.unit") != self._unit())
             blocked = F.coalesce(taken, F.lit(False))
             if flag in rows.columns:
                 blocked = F.col(flag) | blocked
@@ -303,28 +340,54 @@ class _Fold:
 # -- tasks: each receives the sorted Arrow batches of one partition ----------------------------------------------
 
 
-def _values(array: pa.Array) -> list:
-    """Plain Python values, by way of numpy, which is several times faster than converting scalar by scalar.
+def _columns(batch: pa.RecordBatch, kernel) -> dict[str, np.ndarray]:
+    """Kernel inputs as numpy arrays, and which rows carry ids or flags that need a look of their own.
 
-    Kernel inputs other than text are never null on real rows; opening rows carry nulls there and are not read.
+    Inputs other than text are never null on real rows; opening rows carry nulls there and are not read.
     """
-    if not pa.types.is_string(array.type):
-        array = pc.fill_null(array, False if pa.types.is_boolean(array.type) else 0)
-    return array.to_numpy(zero_copy_only=False).tolist()
-
-
-def _lists(batch: pa.RecordBatch, kernel) -> dict[str, list]:
-    present = set(batch.schema.names)
-    return {name: _values(batch.column(name)) if name in present else [kernel.defaults[name]] * batch.num_rows
-            for name in kernel.inputs}
-
-
-def _heads(batch: pa.RecordBatch) -> list:
-    return _values(batch.column(HEAD)) if HEAD in batch.schema.names else [False] * batch.num_rows
-
-
-def _without_heads(batch: pa.RecordBatch, heads: list) -> pa.RecordBatch:
-    return batch.filter(pa.array([not h for h in heads])) if any(heads) else batch
+    present, found = set(batch.schema.names), {}
+    for name in kernel.inputs:
+        if name not in present:
+            default = kernel.defaults[name]
+            found[name] = np.full(batch.num_rows, default, object if default is None else type(default))
+            continue
+        array = batch.column(name)
+        if not pa.types.is_string(array.type):
+            array = pc.fill_null(array, False if pa.types.is_boolean(array.type) else 0)
+        found[name] = array.to_numpy(zero_copy_only=False)
+    special = np.zeros(batch.num_rows, bool)
+    for name in kernel.inputs:
+        if name.startswith("_again_") and name in present:
+            special |= batch.column(name).is_valid().to_numpy(zero_copy_only=False)
+        elif name.startswith("_blocked_") and name in present:
+            special |= found[name]
+    found["_special"] = special
+    return found
+
+
+def _heads(batch: pa.RecordBatch) -> np.ndarray:
+    if HEAD not in batch.schema.names:
+        return np.zeros(batch.num_rows, bool)
+    return pc.fill_null(batch.column(HEAD), False).to_numpy(zero_copy_only=False)
+
+
+def _without_heads(batch: pa.RecordBatch, heads: np.ndarray) -> pa.RecordBatch:
+    return batch.filter(pa.array(~heads)) if heads.any() else batch
+
+
+def _refuse_ties(batch: pa.RecordBatch, columns: Sequence[str], last: pa.RecordBatch | None) -> pa.RecordBatch:
+    """Fail if two rows in a row have the same key and order; returns the last row, to go on with the next batch."""
+    rows = batch.select(list(columns))
+    tied = np.ones(max(batch.num_rows - 1, 0), bool)
+    for array in rows.columns:
+        same = pc.equal(array.slice(1), array.slice(0, batch.num_rows - 1))
+        tied &= pc.fill_null(same, False).to_numpy(zero_copy_only=False)
+    if last is not None:
+        tied = np.append(tied, all(a[0].is_valid and a[0].equals(b[0]) for a, b in zip(rows.columns, last.columns)))
+    if tied.any():
+        at = int(tied.argmax())
+        raise ValueError(f"the order is not total: two rows at {rows.slice(at if at < batch.num_rows - 1 else 0, 1).to_pylist()}")
+    return rows.slice(batch.num_rows - 1, 1)
 
 
 def _runs(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[tuple[int, int]]:
@@ -345,31 +408,25 @@ def _key_at(batch: pa.RecordBatch, key: Sequence[str], position: int) -> tuple:
     return tuple(batch.column(name)[position].as_py() for name in key)
 
 
-def _emit(batch: pa.RecordBatch, kernel, names: Sequence[str], out: tuple[list, ...]) -> pa.RecordBatch:
-    arrays = {name: pa.array(values, kind) for (name, _, kind), values in zip(kernel.outputs, out)}
+def _emit(batch: pa.RecordBatch, kernel, names: Sequence[str], out: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    arrays = dict(zip([name for name, _, _ in kernel.outputs], kernel.arrays(out)))
     return pa.RecordBatch.from_arrays(
         [arrays[name] if name in arrays else batch.column(name) for name in names], names=list(names))
 
 
-def _cold_task(kernel, key: Sequence[str], names: Sequence[str]):
+def _cold_task(kernel, key: Sequence[str], order: Sequence[str], names: Sequence[str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, run = None, None
+        current, run, last = None, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = _lists(batch, kernel)
-            heads = _heads(batch)
-            out = tuple([] for _ in kernel.outputs)
+            last = _refuse_ties(batch, [*key, *order], last)
+            columns, heads, out = _columns(batch, kernel), _heads(batch), kernel.room(batch.num_rows)
             for low, high in _runs(batch, key):
                 name = _key_at(batch, key, low)
                 if name != current:
-                    state = None
-                    if heads[low]:
-                        state = batch.column(STATE)[low].as_py()
-                    current, run = name, kernel.begin(state)
+                    current, run = name, kernel.begin(batch.column(STATE)[low].as_py() if heads[low] else None)
                     while low < high and heads[low]:
-                        for values in out:
-                            values.append(None)
                         low += 1
                 run.advance(columns, low, high, out)
             yield _without_heads(_emit(batch, kernel, names, out), heads)
@@ -377,42 +434,40 @@ def _cold_task(kernel, key: Sequence[str], names: Sequence[str]):
     return task
 
 
-def _small_task(kernel, key: Sequence[str], names: Sequence[str]):
-    """All keys in one global order; the runs share the ids they have applied."""
+def _group_task(kernel, key: Sequence[str], order: Sequence[str], names: Sequence[str]):
+    """All keys of a group in one order; the runs share the ids they have applied."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[tuple, object] = {}
-        shared = kernel.begin(None)
+        group, runs, shared, last = None, {}, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = _lists(batch, kernel)
-            heads = _heads(batch)
-            states = batch.column(STATE).to_pylist() if any(heads) else [None] * batch.num_rows
-            keys = list(zip(*[_values(batch.column(name)) for name in key]))
-            out = tuple([] for _ in kernel.outputs)
-            for i, name in enumerate(keys):
+            last = _refuse_ties(batch, [GROUP, *order, *key], last)
+            columns, heads, out = _columns(batch, kernel), _heads(batch), kernel.room(batch.num_rows)
+            groups = batch.column(GROUP).to_pylist()
+            states = batch.column(STATE).to_pylist() if heads.any() else None
+            for i, name in enumerate(zip(*[batch.column(k).to_pylist() for k in key])):
+                if groups[i] != group:
+                    group, runs, shared = groups[i], {}, kernel.begin(None)
                 if heads[i] or name not in runs:
-                    runs[name] = kernel.begin(states[i])
+                    runs[name] = kernel.begin(states[i] if heads[i] else None)
                     runs[name].share_ids(shared)
-                if heads[i]:
-                    for values in out:
-                        values.append(None)
-                else:
+                if not heads[i]:
                     runs[name].advance(columns, i, i + 1, out)
             yield _without_heads(_emit(batch, kernel, names, out), heads)
 
     return task
 
 
-def _segment_task(kernel, key: Sequence[str], names: Sequence[str], openings: dict[str, int], starts: dict[int, int]):
+def _segment_task(kernel, key: Sequence[str], order: Sequence[str], names: Sequence[str], openings: dict[str, int],
+                  starts: dict[int, int]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, current, run = None, None, None
+        segment, current, run, last = None, None, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            columns = _lists(batch, kernel)
-            out = tuple([] for _ in kernel.outputs)
+            last = _refuse_ties(batch, [*key, *order], last)
+            columns, out = _columns(batch, kernel), kernel.room(batch.num_rows)
             for low, high in _runs(batch, [SEGMENT, *key]):
                 number, name = batch.column(SEGMENT)[low].as_py(), _key_at(batch, key, low)
                 if number != segment:
@@ -462,7 +517,7 @@ def _summary_task(kernel, key: Sequence[str], openings: dict[str, int], trials:
                 elif name != current:
                     current, live = name, [kernel.begin(openings.get(repr(name)))]
                 if columns is None:
-                    columns = _lists(batch, kernel)
+                    columns = _columns(batch, kernel)
                 for run in live:
                     run.advance(columns, low, high, None)
         close()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import inventory_id, stable_id
 from ledgerline.operators.balance import PAIR, applied, duplicates, fold_movements
-from ledgerline.operators.ordered_fold import HOT_ROWS, SMALL_ROWS
+from ledgerline.operators.ordered_fold import HOT_ROWS
 
 
 def sale_movements(sales_events: DataFrame) -> DataFrame:
@@ -29,7 +29,6 @@ def post_sales(
     sales: DataFrame | None = None,
     history: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """K4. Checks, in order: sale id already posted, product known, stock sufficient, event id already used.
 
@@ -41,7 +40,7 @@ def post_sales(
     if history is not None:
         used["event_id"] = history.select(F.col("source_event_id").alias("event_id")).where("event_id is not null")
     return fold_movements(sale_movements(sales_events), order=order, balances=balances, used_ids=used,
-                          hot_rows=hot_rows, small_rows=small_rows)
+                          hot_rows=hot_rows)
 
 
 def sales_rows(ledger: DataFrame, sold_at: Column) -> DataFrame:
