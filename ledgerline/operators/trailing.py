@@ -1,10 +1,12 @@
 """Aggregates over a trailing time window, for every row of a table (J4, J5, A12, A13 per event).
 
-For a row at time t the window is [t - lookback, t], both ends included. Ordinary keys use a Spark range window.
-A key with more than ``hot_rows`` rows would make that window one very long task, so its time line is cut into
-slots no longer than the lookback. A window is then the part of its first slot from t - lookback on, whole slots
-in between, and the part of the last slot up to t. Slots hold a bounded number of rows, whole slots are one
-pre-aggregated row each, and count, sum and maximum of the three parts combine exactly.
+For a row at time t the window is [t - lookback, t], both ends included. The time line of each key is cut into slots as
+long as that window, so a window is the end of one slot and the beginning of the next. Within a slot both are running
+frames, one forward and one backward, which cost a row each however many rows a window holds. Count, sum and maximum
+of the two parts combine exactly, and a key is spread over as many tasks as it has slots.
+
+Where one slot alone holds more than ``hot_rows`` rows, its key is cut into narrower slots: a window is then the end of
+its first slot, whole slots of one pre-aggregated row each, and the beginning of its last.
 """
 
 from __future__ import annotations
@@ -35,10 +37,11 @@ def trailing_stats(
     ``at`` is in microseconds. Rows with a NULL value are looked at but not counted, which makes them pure
     triggers. ``row_id`` identifies a row and is only used for hot keys.
     """
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
-    heavy = sizes.where(F.col("n") > hot_rows).collect()
+    full = rows.groupBy(*key, _slot(F.col(at), lookback_micros + 1).alias("_slot")).count().where(F.col("count") > hot_rows)
+    heavy = rows.join(full.select(*key).distinct(), list(key), "left_semi").groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).collect()
     if not heavy:
-        return _windowed(rows, key, at, value, lookback_micros)
+        return _two_slots(rows, key, at, value, lookback_micros)
     # At most total rows / hot_rows keys.
     names = F.broadcast(rows.sparkSession.createDataFrame(
         [tuple(r[k] for k in key) for r in heavy], T.StructType([rows.schema[k] for k in key])))
@@ -47,17 +50,32 @@ def trailing_stats(
     width = _slot_width(hot, heavy, key, at, lookback_micros, hot_rows)
     slotted = _slotted(hot, key, at, value, lookback_micros, row_id, width)
     names = [*rows.columns, *STATS]
-    return _windowed(cold, key, at, value, lookback_micros).select(*names).unionByName(slotted.select(*names))
+    return _two_slots(cold, key, at, value, lookback_micros).select(*names).unionByName(slotted.select(*names))
 
 
 def _measures(value: Column) -> dict[str, Column]:
     return {"count": F.count(value), "sum": F.sum(value), "max": F.max(value)}
 
 
-def _windowed(rows: DataFrame, key: Sequence[str], at: str, value: str, lookback: int) -> DataFrame:
-    window = Window.partitionBy(*key).orderBy(at).rangeBetween(-lookback, Window.currentRow)
-    return rows.withColumns({
-        f"window_{name}": measure.over(window) for name, measure in _measures(F.col(value)).items()})
+def _two_slots(rows: DataFrame, key: Sequence[str], at: str, value: str, lookback: int) -> DataFrame:
+    """Every row once as a fact in its slot, and once as a question to the slot before: what lies at or after its start?"""
+    slot = _slot(F.col(at), lookback + 1)
+    up_to_now = Window.partitionBy(*key, "_slot").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    heads = rows.withColumn("_slot", slot)
+    heads = heads.withColumns({f"_head_{n}": m.over(up_to_now) for n, m in _measures(F.col(value)).items()})
+    facts = rows.select(*key, slot.alias("_slot"), F.col(at).alias("_from"), F.col(value).alias("_value"))
+    carried = F.struct(*[c for c in heads.columns if c != "_slot"]).alias("_row")
+    asks = heads.select(*key, (F.col("_slot") - 1).alias("_slot"), (F.col(at) - lookback).alias("_from"), carried)
+    onward = Window.partitionBy(*key, "_slot").orderBy(F.desc("_from")).rangeBetween(Window.unboundedPreceding, 0)
+    answered = (facts.unionByName(asks, allowMissingColumns=True)
+                .withColumns({f"_tail_{n}": m.over(onward) for n, m in _measures(F.col("_value")).items()})
+                .where(F.col("_row").isNotNull()))
+    parts = {n: [F.col(f"_row._head_{n}"), F.col(f"_tail_{n}")] for n in ("count", "sum", "max")}
+    head, tail = parts["sum"]
+    return answered.select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in rows.columns],
+        sum(parts["count"][1:], parts["count"][0]).alias("window_count"),
+        F.coalesce(head + tail, head, tail).alias("window_sum"), F.greatest(*parts["max"]).alias("window_max"))
 
 
 def _slot_width(hot: DataFrame, heavy: list, key: Sequence[str], at: str, lookback: int, hot_rows: int) -> int:
