@@ -33,8 +33,13 @@ def batch_status(failed: Column, total: Column) -> Column:
     return F.when(failed == 0, "completed").when(failed < total, "partial_failure").otherwise("failed")
 
 
-def batch_outcomes(log: DataFrame, batch: str = "batch_no", time_ms: str | None = None) -> DataFrame:
-    """One row per batch. The error texts stay in the log, see :func:`batch_errors`."""
+def batch_outcomes(
+    log: DataFrame, batch: str = "batch_no", time_ms: str | None = None, batches: DataFrame | None = None
+) -> DataFrame:
+    """One row per batch. The error texts stay in the log, see :func:`batch_errors`.
+
+    ``batches`` lists the batches there were; one without any event is completed.
+    """
     success, duplicate = F.col("success"), F.col("is_duplicate")
     measures = [
         F.count(F.lit(1)).alias("total_events"),
@@ -44,8 +49,10 @@ def batch_outcomes(log: DataFrame, batch: str = "batch_no", time_ms: str | None
     ]
     if time_ms is not None:
         measures.append(F.sum(time_ms).alias("processing_time_ms"))
-    return log.groupBy(batch).agg(*measures).withColumn(
-        "status", batch_status(F.col("failed_events"), F.col("total_events")))
+    counted = log.groupBy(batch).agg(*measures)
+    if batches is not None:
+        counted = batches.select(batch).join(counted, batch, "left").fillna(0)
+    return counted.withColumn("status", batch_status(F.col("failed_events"), F.col("total_events")))
 
 
 def batch_errors(log: DataFrame, batch: str = "batch_no") -> DataFrame:

@@ -12,12 +12,14 @@ from ledgerline.functions.columns import seconds_between, stable_id
 from ledgerline.operators.anomalies import unknown_targets
 from ledgerline.operators.deadletter import TIMESTAMP_FORMAT
 from ledgerline.operators.kernels import DedupKernel
-from ledgerline.operators.ordered_fold import HOT_ROWS, SMALL_ROWS, STATE, ordered_fold
+from ledgerline.operators.ordered_fold import HOT_ROWS, STATE, ordered_fold
 from ledgerline.schemas import ALERT_DEDUP_WINDOW_SECONDS, ALERT_SEVERITIES, ALERT_STATUSES
 
 # Columns of an alert message, in order.
 MESSAGE = ("id", "anomaly_id", "inventory_id", "event_id", "severity", "status", "title", "description",
            "triggered_at", "acknowledged_at", "acknowledged_by", "resolved_at", "suppressed_until")
+# Command and the status it sets.
+COMMANDS = {"acknowledge": "acknowledged", "resolve": "resolved", "suppress": "suppressed"}
 
 
 def alert_candidates(anomalies: DataFrame, *, critical: bool = True, high: bool = True) -> DataFrame:
@@ -37,7 +39,6 @@ def deduplicate(
     window_seconds: int = ALERT_DEDUP_WINDOW_SECONDS,
     alerts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """K8: every candidate with ``created`` and the ``triggered_at`` of the alert that stands for it.
 
@@ -52,7 +53,7 @@ def deduplicate(
         openings = alerts.where(F.col("status") != "resolved").groupBy(*key).agg(
             F.max(F.unix_micros("triggered_at")).alias(STATE))
     folded = ordered_fold(rows, DedupKernel(window_seconds * 1_000_000), key=key, order=order, openings=openings,
-                          hot_rows=hot_rows, small_rows=small_rows)
+                          hot_rows=hot_rows)
     return folded.withColumn("triggered_at", F.timestamp_micros("anchor_micros")).drop("at_micros", "anchor_micros")
 
 
@@ -79,15 +80,16 @@ def apply_commands(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, D
     """(updated alerts, commands whose target does not exist).
 
     ``commands`` has (seq, target_id, command, at, actor, until) with command acknowledge, resolve or suppress.
-    No transition is forbidden, so the last command sets the status and each kind sets its own columns.
+    No transition is forbidden, so the last command sets the status and each kind sets its own columns. Commands of
+    any other kind change nothing and are returned with those whose target does not exist.
     """
     def last(kind: str, value: Column) -> Column:
         mine = F.col("command") == kind
         return F.max_by(F.when(mine, value), F.when(mine, F.col("seq")))
 
-    status = F.create_map(*[F.lit(x) for pair in (
-        ("acknowledge", "acknowledged"), ("resolve", "resolved"), ("suppress", "suppressed")) for x in pair])
-    changes = commands.groupBy("target_id").agg(
+    status = F.create_map(*[F.lit(x) for pair in COMMANDS.items() for x in pair])
+    known = F.coalesce(F.col("command").isin(*COMMANDS), F.lit(False))
+    changes = commands.where(known).groupBy("target_id").agg(
         F.max_by(F.try_element_at(status, F.col("command")), "seq").alias("_status"),
         last("acknowledge", F.col("at")).alias("_acknowledged_at"),
         last("acknowledge", F.col("actor")).alias("_acknowledged_by"),
@@ -98,7 +100,8 @@ def apply_commands(alerts: DataFrame, commands: DataFrame) -> tuple[DataFrame, D
     updated = joined.withColumns({
         c: F.coalesce(f"_{c}", c) for c in ("status", "acknowledged_at", "acknowledged_by", "resolved_at",
                                             "suppressed_until", "updated_at")}).select(*alerts.columns)
-    return updated, unknown_targets(commands, alerts)
+    odd = commands.where(~known).join(alerts.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    return updated, unknown_targets(commands, alerts).unionByName(odd)
 
 
 def alert_stats(alerts: DataFrame) -> DataFrame:

@@ -66,8 +66,3 @@ def apply_status_changes(anomalies: DataFrame, commands: DataFrame) -> tuple[Dat
 
 def unknown_targets(commands: DataFrame, table: DataFrame) -> DataFrame:
     return commands.join(table.select(F.col("id").alias("target_id")), "target_id", "left_anti")
-
-
-def invalid_statuses(commands: DataFrame, allowed: tuple[str, ...] = ANOMALY_STATUSES) -> DataFrame:
-    return commands.where(~F.col("status").isin(*allowed))
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,12 +64,14 @@ def dlq_messages(failures: DataFrame, as_of: Column) -> DataFrame:
     return failures.select(key.alias("key"), F.to_json(body, options).alias("value"))
 
 
-def failed_event_rows(failures: DataFrame, failed_at: Column, stored: DataFrame | None = None) -> DataFrame:
-    """One row per source location; the first write wins, also against what is already stored."""
+def failed_event_rows(
+    failures: DataFrame, failed_at: Column, stored: DataFrame | None = None, order: Sequence[str] = ("retry_count",)
+) -> DataFrame:
+    """One row per source location; the first write in ``order`` wins, also against what is already stored."""
     if stored is not None:
         failures = failures.join(stored.select(*LOCATION), list(LOCATION), "left_anti")
     facts = F.struct(F.col("failure_reason"), F.col("event_id"), F.col("value"), F.col("retry_count"))
-    first = failures.groupBy(*LOCATION).agg(F.min(facts).alias("first"))
+    first = failures.groupBy(*LOCATION).agg(F.min_by(facts, F.struct(*order, facts)).alias("first"))
     return first.select(
         stable_id(F.lit("failed"), *[F.col(c).cast("string") for c in LOCATION]).alias("id"),
         "first.event_id", *LOCATION, compact_payload(F.col("first.value")).alias("payload"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import all_of
@@ -38,15 +38,21 @@ def page(frame: DataFrame, newest_by: str, skip: int = 0, limit: int = DEFAULT_L
     if skip + limit <= TOP_K_REACH:
         return frame.orderBy(*order).offset(skip).limit(limit)
     placed = positions(frame, order)
-    return placed.where(F.col("position").between(skip, skip + limit - 1)).drop("position")
+    return placed.where(F.col("position").between(skip, skip + limit - 1)).drop("position").orderBy(*order)
 
 
 def page_with_total(frame: DataFrame, newest_by: str, skip: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """T4: the page, and on every line the number of all matching rows, skip and limit."""
+    """T4: the page, and on every line the number of all matching rows, of rows on the page, skip and limit.
+
+    A page without rows is one line with these numbers and nothing else.
+    """
     rows = page(frame, newest_by, skip, limit)
     total = frame.agg(F.count(F.lit(1)).alias("total"))
-    # One row joined to at most ``limit`` rows.
-    return rows.join(F.broadcast(total)).withColumns({"skip": F.lit(skip), "limit": F.lit(limit)})
+    # At most ``limit`` rows joined to one row.
+    joined = total.join(F.broadcast(rows), F.lit(True), "left")
+    counted = joined.withColumns({
+        "count": F.count("id").over(Window.partitionBy("total")), "skip": F.lit(skip), "limit": F.lit(limit)})
+    return counted.select(*frame.columns, "total", "count", "skip", "limit").orderBy(F.desc(newest_by), F.asc("id"))
 
 
 def positions(frame: DataFrame, order: Sequence) -> DataFrame:

@@ -55,6 +55,8 @@ def _capped(score: Column) -> Column:
 class NegativeInventoryRule:
     """N1. The folds never go below zero; this audits balances written by others."""
 
+    lookback_seconds = 0
+
     def evaluate(self, context: RuleContext) -> DataFrame:
         return context.inventory.where(F.col("quantity") < 0).select(
             F.col("id").alias("inventory_id"), F.lit(texts.NEGATIVE_INVENTORY[0]).alias("anomaly_type"),
@@ -69,6 +71,7 @@ class SuddenSalesSpike:
         self.spike_multiplier = float(spike_multiplier)
         self.lookback_hours = lookback_hours
         self.min_prior_sales = min_prior_sales
+        self.lookback_seconds = lookback_hours * 3600
 
     def evaluate(self, context: RuleContext) -> DataFrame:
         window = recent(context.sales, "sold_at", _before(context.as_of, self.lookback_hours * HOUR))
@@ -101,11 +104,14 @@ class LargeInventoryAdjustment:
     def __init__(self, adjustment_threshold_percent: float = 50.0, lookback_hours: int = 24) -> None:
         self.adjustment_threshold_percent = float(adjustment_threshold_percent)
         self.lookback_hours = lookback_hours
+        self.lookback_seconds = lookback_hours * 3600
 
     def evaluate(self, context: RuleContext) -> DataFrame:
         window = recent(context.history, "changed_at", _before(context.as_of, self.lookback_hours * HOUR))
+        # Changes of one time are told apart by their arrival; the id only makes the choice repeatable.
+        arrival = [c for c in ("changed_at", "sequence", "id") if c in window.columns]
         latest = window.groupBy("inventory_id").agg(
-            F.max_by(F.struct("quantity_delta", "quantity_before"), F.struct("changed_at", "id")).alias("latest"))
+            F.max_by(F.struct("quantity_delta", "quantity_before"), F.struct(*arrival)).alias("latest"))
         joined = latest.join(
             context.inventory.select(F.col("id").alias("inventory_id"), F.col("quantity").alias("current")),
             "inventory_id")
@@ -131,6 +137,7 @@ class RapidConsecutiveSales:
     def __init__(self, transaction_count: int = 5, time_window_seconds: int = 60) -> None:
         self.transaction_count = transaction_count
         self.time_window_seconds = time_window_seconds
+        self.lookback_seconds = time_window_seconds
 
     def evaluate(self, context: RuleContext) -> DataFrame:
         window = recent(context.sales, "sold_at", _before(context.as_of, self.time_window_seconds * SECOND))
@@ -165,7 +172,10 @@ def default_rules() -> list[Rule]:
 
 
 class RuleEngine:
-    """N5 + P2: an ordered rule list. An empty list means the default rules."""
+    """N5 + P2: an ordered rule list. An empty list means the default rules.
+
+    A rule may say with ``lookback_seconds`` how far back it looks; a rule that does not may look at everything.
+    """
 
     def __init__(self, rules: Sequence[Rule] | None = None) -> None:
         self.rules = list(rules or default_rules())
@@ -181,6 +191,11 @@ class RuleEngine:
                 return True
         return False
 
+    def lookback_seconds(self) -> int | None:
+        """How far back the rules look, None without a bound."""
+        bounds = [getattr(rule, "lookback_seconds", None) for rule in self.rules]
+        return None if None in bounds else max(bounds)
+
     def findings(self, context: RuleContext) -> DataFrame:
         """Findings of all rules with ``rule_no``, their place in the list. A rule that cannot be planned is skipped."""
         parts = []

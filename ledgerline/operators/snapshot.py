@@ -7,13 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import snapshot_key
 from ledgerline.operators.deadletter import TIMESTAMP_FORMAT
-from ledgerline.operators.kernels import PresenceKernel
-from ledgerline.operators.ordered_fold import STATE, ordered_fold
 
 
 def latest_state(ledger: DataFrame, *, order: Sequence[str], synced_at: Column) -> DataFrame:
@@ -49,9 +47,11 @@ def live(snapshot: DataFrame, as_of: Column) -> DataFrame:
 
 def operation_counts(snapshot: DataFrame, operations: DataFrame, as_of: Column) -> DataFrame:
     """(successful, failed) of S11: a set always succeeds; a delete succeeds when its key exists at that moment."""
-    openings = live(snapshot, as_of).select("key", F.lit(1).alias(STATE))
-    steps = operations.select("key", "seq", F.col("value").isNotNull().alias("sets"))
-    judged = ordered_fold(steps, PresenceKernel(), key=["key"], order=["seq"], openings=openings)
+    # Whether a key exists only depends on the operation before, or on the snapshot for the first one.
+    before = F.lag(F.col("value").isNotNull()).over(Window.partitionBy("key").orderBy("seq"))
+    there = live(snapshot, as_of).select("key", F.lit(True).alias("there"))
+    judged = operations.withColumn("before", before).join(there, "key", "left").select(
+        (F.col("value").isNotNull() | F.coalesce("before", "there", F.lit(False))).alias("succeeded"))
     return judged.agg(F.count_if("succeeded").alias("successful"), F.count_if(~F.col("succeeded")).alias("failed"))
 
 
@@ -60,11 +60,13 @@ def delete_keys(snapshot: DataFrame, keys: DataFrame) -> DataFrame:
     return snapshot.join(keys.select("key"), "key", "left_anti")
 
 
-def delete_counts(snapshot: DataFrame, keys: DataFrame) -> DataFrame:
-    """(deleted, requested) of S12. A key listed twice is deleted once."""
-    found = keys.select("key").distinct().join(snapshot.select("key"), "key", "left_semi")
-    return found.agg(F.count(F.lit(1)).alias("deleted")).join(
-        F.broadcast(keys.agg(F.count(F.lit(1)).alias("requested"))))
+def delete_counts(snapshot: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame:
+    """(deleted, failed) of S12. A key that is not there (any more) fails; one listed twice is deleted once."""
+    found = keys.select("key").distinct().join(live(snapshot, as_of).select("key"), "key", "left_semi")
+    deleted = found.agg(F.count(F.lit(1)).alias("deleted"))
+    # Two one-row results side by side.
+    return deleted.join(F.broadcast(keys.agg(F.count(F.lit(1)).alias("requested")))).select(
+        "deleted", (F.col("requested") - F.col("deleted")).alias("failed"))
 
 
 def get_keys(snapshot: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame:

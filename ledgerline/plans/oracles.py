@@ -220,7 +220,8 @@ ALERTS = f"""alerts AS (SELECT {_uuid('00000000-0000-4000-b000-', 'event_no')} A
   CASE WHEN event_no % 4 = 3 THEN tm + CAST(ceil(value * 3600) AS BIGINT) * 1000000 END AS suppressed_until
   FROM ev WHERE event_type IN ('error', 'click'))"""
 COMMANDS = f"""commands AS (SELECT event_no AS seq, {_uuid('00000000-0000-4000-b000-', '(event_no // 3)')} AS target_id,
-  CASE WHEN event_no % 5 < 2 THEN 'acknowledge' WHEN event_no % 5 = 2 THEN 'resolve' ELSE 'suppress' END AS command,
+  CASE WHEN event_no % 10 = 9 THEN 'escalate' WHEN event_no % 5 < 2 THEN 'acknowledge' WHEN event_no % 5 = 2 THEN 'resolve'
+    ELSE 'suppress' END AS command,
   tm, 'user-' || (event_no % 9) AS actor, tm + {2 * HOUR} AS until FROM ev)"""
 SEVERE = """severe AS (SELECT id AS anomaly_id, inventory_id, event_id, severity, 'Alert: ' || anomaly_type AS title,
   description, detected_at AS tm FROM anomalies WHERE severity IN ('critical', 'high'))"""
@@ -261,6 +262,21 @@ checked AS (SELECT *, CASE kind
     WHEN kind IN (1, 2, 3, 5, 6, 7, 8, 9) THEN 'invalid_event_payload' END AS failure_reason,
   CASE WHEN kind IN (5, 9) THEN NULL WHEN kind = 8 THEN 'not-a-uuid' ELSE event_id END AS claimed FROM records)"""
 
+SALES_CHECKED = f"""numbered AS (
+  SELECT l_orderkey * 8 + l_linenumber AS n, l_orderkey || '-' || l_linenumber AS sale_id,
+    'SKU-' || (l_orderkey % 2000) AS product_id, 'STORE-' || (l_orderkey % 5) AS store_id,
+    CAST(l_quantity AS INTEGER) AS quantity_sold, epoch_us(l_shipdate) AS sold_at,
+    CASE WHEN l_returnflag <> 'A' THEN CAST(p_retailprice AS DECIMAL(12,2)) END AS sale_price
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
+sales_checked AS (SELECT *, n % 13 AS kind, {_uuid('00000000-0000-4000-9000-', 'n')} AS event_id,
+  CASE n % 13 WHEN 1 THEN 'sale_id must not be blank' WHEN 2 THEN 'quantity_sold is not an integer within the limits'
+    WHEN 3 THEN 'timestamp must be timezone-aware' WHEN 5 THEN 'payload is not valid JSON'
+    WHEN 6 THEN 'sale_price must be non-negative' WHEN 7 THEN 'sale_price is not a number'
+    WHEN 8 THEN 'event_id is not a UUID' WHEN 9 THEN 'payload is not an object'
+    WHEN 12 THEN 'store_id is not a valid identifier' END AS detail,
+  CASE WHEN n % 13 = 4 THEN 'invalid_sales_event:timestamp is too far in the future'
+    WHEN n % 13 IN (1, 2, 3, 5, 6, 7, 8, 9, 12) THEN 'invalid_sales_event_payload' END AS failure_reason FROM numbered)"""
+
 CACHE = f"""{EV},
 entries AS (SELECT 'inventory:' || user_id AS key, CAST(max(event_no) AS VARCHAR) AS value,
     CASE WHEN user_id % 4 = 0 THEN {AS_OF - 1_000_000} END AS expires_at FROM ev WHERE event_type = 'signup' GROUP BY user_id),
@@ -287,6 +303,22 @@ ORACLES: dict[str, str] = {
   CASE WHEN f.known OR f.status = 'rejected' THEN f.after END AS quantity_after,
   CASE WHEN f.status = 'applied' THEN n.delta ELSE 0 END AS quantity_delta
 FROM tn n JOIN tf f ON n.product_id = f.product_id AND n.store_id = f.store_id AND n.rn = f.rn WHERE n.copy = 1""",
+    "contested_events": _with(EV, f"""cn AS (SELECT row_number() OVER (ORDER BY tm, event_no) AS rn, event_no, user_id, delta,
+    event_no - CASE WHEN event_no % 20 = 1 THEN 1 ELSE 0 END AS id FROM mv),
+cf AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_no, CAST(NULL AS BIGINT) AS id, '' AS status,
+    CAST(NULL AS BIGINT) AS before, CAST(NULL AS BIGINT) AS after, MAP {{CAST(-1 AS BIGINT): CAST(0 AS BIGINT)}} AS stock,
+    CAST([] AS BIGINT[]) AS used
+  UNION ALL
+  SELECT rn, event_no, id, status, CASE WHEN prior IS NULL AND status <> 'duplicate' THEN 0 ELSE prior END,
+    CASE status WHEN 'applied' THEN coalesce(prior, 0) + delta WHEN 'duplicate' THEN prior ELSE coalesce(prior, 0) END,
+    CASE WHEN status = 'applied' THEN map_concat(stock, MAP {{user_id: coalesce(prior, 0) + delta}}) ELSE stock END,
+    CASE WHEN status = 'applied' AND id % 20 = 0 THEN list_append(used, id) ELSE used END
+  FROM (SELECT n.*, f.stock, f.used, f.stock[n.user_id] AS prior,
+      CASE WHEN list_contains(f.used, n.id) THEN 'duplicate' WHEN coalesce(f.stock[n.user_id], 0) + n.delta < 0 THEN 'rejected'
+        ELSE 'applied' END AS status FROM cf f JOIN cn n ON n.rn = f.rn + 1) step)""") + f"""SELECT event_no,
+  {_uuid('00000000-0000-4000-8000-', 'id')} AS event_id, status, before AS quantity_before, after AS quantity_after
+FROM cf WHERE rn > 0""",
     "audit_history": _with(LEDGER, HISTORY) + "SELECT * FROM history",
     "opening_balances": _with(
         EV, "even AS (SELECT * FROM mv WHERE event_no % 2 = 0)",
@@ -327,12 +359,32 @@ FROM ev""",
     "dlq_messages": _with(
         CHECKED, "valid AS (SELECT * FROM checked WHERE failure_reason IS NULL)",
         _fold("valid", "product_id, store_id", "tm, event_no", "vl"),
-        """failures AS (SELECT event_no, claimed AS event_id, failure_reason FROM checked WHERE failure_reason IS NOT NULL
+        """failures AS (SELECT event_no, claimed AS event_id, failure_reason, kind, document FROM checked WHERE failure_reason IS NOT NULL
   UNION ALL SELECT event_no, event_id,
-    'non_retryable_failure:inventory quantity cannot be negative after applying event' FROM vl WHERE NOT ok)""",
+    'non_retryable_failure:inventory quantity cannot be negative after applying event', kind, document FROM vl WHERE NOT ok),
+named AS (SELECT *, '{"event_id":' || json_extract(d, '$.event_id') || ',"operation":' || json_extract(d, '$.operation')
+    || ',"product_id":' || json_extract(d, '$.product_id') || ',"quantity":' || json_extract(d, '$.quantity')
+    || ',"store_id":' || json_extract(d, '$.store_id') || ',"timestamp":' || json_extract(d, '$.timestamp') || '}' AS sorted
+  FROM (SELECT *, CAST(document AS JSON) AS d FROM failures) j)""",
     ) + """SELECT coalesce(event_id, 'inventory_updates:' || (event_no % 3) || ':' || event_no) AS key, event_id, failure_reason,
   '0' AS retry_count, '2024-02-01T00:00:00.000000+00:00' AS timestamp, 'inventory_updates' AS source_topic,
-  CAST(event_no % 3 AS VARCHAR) AS source_partition, CAST(event_no AS VARCHAR) AS source_offset FROM failures""",
+  CAST(event_no % 3 AS VARCHAR) AS source_partition, CAST(event_no AS VARCHAR) AS source_offset,
+  CASE kind WHEN 5 THEN substr(document, 1, 20) WHEN 9 THEN '[' || sorted || ']' ELSE sorted END AS payload FROM named""",
+    "validate_sales": _with(SALES_CHECKED) + f"""SELECT n AS source_offset, CASE WHEN kind IN (5, 8, 9) THEN NULL ELSE event_id END AS event_id,
+  CASE WHEN kind IN (5, 9) THEN NULL WHEN kind = 1 THEN ' ' ELSE sale_id END AS sale_id,
+  CASE WHEN kind IN (5, 9) THEN NULL ELSE product_id END AS product_id,
+  CASE WHEN kind IN (5, 9) THEN NULL WHEN kind = 12 THEN '!' ELSE store_id END AS store_id,
+  CASE WHEN kind IN (5, 9) THEN NULL WHEN kind = 2 THEN 0 ELSE CAST(quantity_sold AS BIGINT) END AS quantity_sold,
+  CAST(CASE WHEN kind IN (5, 7, 9, 10, 11) THEN NULL WHEN kind = 6 THEN -1.50 ELSE sale_price END AS DECIMAL(38,2)) AS sale_price,
+  CASE WHEN kind = 3 THEN NULL WHEN kind IN (5, 9) THEN {AS_OF} WHEN kind = 4 THEN epoch_us(TIMESTAMP '2099-01-01')
+    ELSE sold_at END AS event_time, failure_reason, detail,
+  CASE WHEN kind IN (5, 9) THEN NULL WHEN kind = 8 THEN 'not-a-uuid' ELSE event_id END AS claimed_event_id FROM sales_checked""",
+    "sales_failure_reasons": _with(SALES_CHECKED) + """SELECT coalesce(failure_reason, 'valid') AS failure_reason,
+  coalesce(detail, '') AS detail, count(*) AS records FROM sales_checked GROUP BY ALL""",
+    "sales_dlq_messages": _with(SALES_CHECKED) + """SELECT 'sales_events:' || (n % 3) || ':' || n AS key,
+  CAST(NULL AS VARCHAR) AS event_id, failure_reason, '0' AS retry_count, 'sales_events' AS source_topic,
+  CAST(n % 3 AS VARCHAR) AS source_partition, CAST(n AS VARCHAR) AS source_offset
+FROM sales_checked WHERE failure_reason IS NOT NULL""",
     "failed_event_store": _with(CHECKED) + f"""SELECT
   {_id("'failed'", "'inventory_updates'", 'CAST(event_no % 3 AS VARCHAR)', 'CAST(event_no AS VARCHAR)')} AS id,
   claimed AS event_id, 'inventory_updates' AS source_topic, CAST(event_no % 3 AS INTEGER) AS source_partition,
@@ -365,7 +417,13 @@ FROM known k LEFT JOIN (SELECT * FROM sales_ledger WHERE status = 'applied') s U
     "rule_negative": _with(CHANGES) + _negative("drifted"),
     "rule_spike": _with(CHANGES, SOLD, _recent(120 * HOUR, "st", "drifted")) + _spike("st"),
     "rule_spike_per_event": _with(EV, SOLD, _trailing("inventory_id", 120 * HOUR, "st")) + _spike("st", "event_id,"),
-    "rule_adjustment": _with(LEDGER, BALANCES, HISTORY, LATEST_CHANGE) + _adjustment("latest_change"),
+    "rule_adjustment": _with(LEDGER, BALANCES, f"""daily AS (SELECT {INVENTORY_ID} AS inventory_id, delta AS quantity_delta,
+    quantity_before, event_no, tm - tm % {DAY} AS changed_at FROM ledger WHERE ok),
+latest_change AS (SELECT h.inventory_id, h.quantity_delta, h.quantity_before, b.quantity AS current_quantity
+  FROM (SELECT *, row_number() OVER (PARTITION BY inventory_id ORDER BY changed_at DESC, event_no DESC) AS r FROM daily
+    WHERE changed_at >= {AS_OF - 120 * HOUR}) h
+  JOIN (SELECT {INVENTORY_ID} AS inventory_id, quantity FROM balances) b USING (inventory_id) WHERE r = 1)""") +
+    _adjustment("latest_change"),
     "rule_adjustment_per_event": _with(
         LEDGER, HISTORY, "c AS (SELECT *, source_event_id AS event_id, quantity_after AS current_quantity FROM history)"
     ) + _adjustment("c", "event_id,"),
@@ -403,13 +461,13 @@ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY rule_no, id) = 1""",
     "alert_lifecycle": _with(EV, ALERTS, COMMANDS, """c AS (SELECT target_id, max_by(command, seq) AS command, max_by(tm, seq) AS upd,
     max_by(tm, seq) FILTER (command = 'acknowledge') AS ack, max_by(actor, seq) FILTER (command = 'acknowledge') AS who,
     max_by(tm, seq) FILTER (command = 'resolve') AS res, max_by(until, seq) FILTER (command = 'suppress') AS sup
-  FROM commands GROUP BY 1)""") + """SELECT id, CASE command WHEN 'acknowledge' THEN 'acknowledged' WHEN 'resolve' THEN 'resolved'
+  FROM commands WHERE command <> 'escalate' GROUP BY 1)""") + """SELECT id, CASE command WHEN 'acknowledge' THEN 'acknowledged' WHEN 'resolve' THEN 'resolved'
     WHEN 'suppress' THEN 'suppressed' ELSE status END AS status, coalesce(ack, acknowledged_at) AS acknowledged_at,
   coalesce(who, acknowledged_by) AS acknowledged_by, coalesce(res, resolved_at) AS resolved_at,
   coalesce(sup, suppressed_until) AS suppressed_until, coalesce(upd, triggered_at) AS updated_at
 FROM alerts LEFT JOIN c ON id = target_id""",
     "alert_commands_unknown": _with(EV, ALERTS, COMMANDS) + """SELECT seq, target_id, command FROM commands
-WHERE target_id NOT IN (SELECT id FROM alerts)""",
+WHERE target_id NOT IN (SELECT id FROM alerts) OR command = 'escalate'""",
     "anomaly_status_changes": _with(EV, ANOMALIES, f"""c AS (SELECT target_id, max_by(st, seq) AS st,
     max_by(res, seq) FILTER (st = 'resolved') AS res FROM (SELECT event_no AS seq,
       {_uuid('00000000-0000-4000-a000-', '(event_no // 2)')} AS target_id,
@@ -428,8 +486,38 @@ WHERE target_id NOT IN (SELECT id FROM alerts)""",
   count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM anomalies""",
     "anomaly_type_counts": _with(EV, ANOMALIES) + "SELECT anomaly_type, count(*) AS anomalies FROM anomalies GROUP BY 1",
     "list_anomalies_page": _with(EV, ANOMALIES, "w AS (SELECT * FROM anomalies WHERE severity = 'critical' AND status = 'open')") +
-    """SELECT id, anomaly_type, detected_at, (SELECT count(*) FROM w) AS total, 10 AS skip, 15 AS "limit" FROM w ORDER BY detected_at DESC, id
-LIMIT 15 OFFSET 10""",
+    """SELECT id, anomaly_type, detected_at, (SELECT count(*) FROM w) AS total,
+  least(greatest((SELECT count(*) FROM w) - 10, 0), 15) AS "count", 10 AS skip, 15 AS "limit"
+FROM (SELECT 1) LEFT JOIN (SELECT * FROM w ORDER BY detected_at DESC, id LIMIT 15 OFFSET 10) ON true""",
+    "list_anomalies_past_end": _with(EV, ANOMALIES) + """SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS anomaly_type,
+  count(*) AS total, 0::BIGINT AS "count", 10000000 AS skip, 15 AS "limit"
+FROM anomalies WHERE severity = 'critical' AND status = 'open'""",
+    "alert_by_id": _with(EV, ALERTS) + """SELECT id, anomaly_id, status, triggered_at FROM alerts
+WHERE id = (SELECT min(id) FROM alerts)""",
+    "anomaly_stats_with_types": _with(EV, ANOMALIES) + """SELECT (SELECT count(*) FROM anomalies) AS total,
+  (SELECT count(*) FROM anomalies WHERE status = 'open') AS open,
+  (SELECT count(*) FROM anomalies WHERE severity = 'critical') AS critical, anomaly_type, count(*) AS anomalies
+FROM anomalies GROUP BY anomaly_type""",
+    "kv_get_counts": _with(CACHE) + f"""SELECT count(e.key) AS found, count(*) - count(e.key) AS missing
+FROM keys k LEFT JOIN entries e ON e.key = k.key AND (e.expires_at IS NULL OR e.expires_at > {AS_OF})""",
+    "sales_items_newest": _with(SALES) + f"""SELECT product_id, store_id, {_id("'sale'", 'sale_id')} AS id, sold_at
+FROM sales_ledger WHERE status = 'applied' ORDER BY product_id, store_id, sold_at DESC, {_id("'sale'", 'sale_id')} LIMIT 50""",
+    "batch_outcomes_empty": _with(BATCHED) + """SELECT batch_no,
+  CASE WHEN batch_no % 3 = 0 THEN 0 ELSE total_events END AS total_events,
+  CASE WHEN batch_no % 3 = 0 THEN 0 ELSE successful_events END AS successful_events,
+  CASE WHEN batch_no % 3 = 0 THEN 0 ELSE failed_events END AS failed_events, duplicate_events,
+  CASE WHEN batch_no % 3 = 0 THEN 'completed' ELSE status END AS status FROM outcomes""",
+    "detect_after": _with(
+        LEDGER, BALANCES, HISTORY, SOLD, _recent(120 * HOUR, "sp", "balances"), _recent(DAY, "ra", "balances"),
+        f"""changes AS (SELECT inventory_id, source_event_id AS event_id FROM history WHERE changed_at >= {AS_OF - 48 * HOUR}),
+c AS (SELECT *, source_event_id AS event_id, quantity_after AS current_quantity FROM history
+  WHERE changed_at >= {AS_OF - 48 * HOUR}),
+found AS (SELECT n.*, event_id, 0 AS rule_no FROM ({_negative('balances')}) n JOIN changes USING (inventory_id)
+  UNION ALL SELECT n.*, event_id, 1 FROM ({_spike('sp')}) n JOIN changes USING (inventory_id)
+  UNION ALL SELECT * EXCLUDE (event_id), event_id, 2 FROM ({_adjustment('c', 'event_id,')})
+  UNION ALL SELECT n.*, event_id, 3 FROM ({_rapid('ra', 86400)}) n JOIN changes USING (inventory_id))""",
+    ) + f"""SELECT {_id("'anomaly'", 'inventory_id', 'event_id', 'anomaly_type')} AS id, inventory_id, event_id, anomaly_type,
+  severity, score, description, rule_no FROM found""",
     "list_alerts_page": _with(EV, ALERTS, "w AS (SELECT * FROM alerts WHERE severity = 'high')") +
     """SELECT id, status, triggered_at, (SELECT count(*) FROM w) AS total FROM w ORDER BY triggered_at DESC, id LIMIT 20""",
     "anomalies_by_inventory": _with(EV, ANOMALIES) + """SELECT id, detected_at FROM anomalies WHERE user_id = 3 AND status = 'open'""",
@@ -445,7 +533,8 @@ QUALIFY row_number() OVER (PARTITION BY anomaly_id ORDER BY triggered_at DESC, i
 UNION ALL SELECT 'inventory_history', event_id FROM ev WHERE {INVENTORY_ID} NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'sales', event_id FROM sold WHERE inventory_id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'anomalies', id FROM anomalies WHERE inventory_id NOT IN (SELECT id FROM gone)
-UNION ALL SELECT 'alerts', id FROM alerts WHERE inventory_id NOT IN (SELECT id FROM gone)""",
+UNION ALL SELECT 'alerts', id FROM alerts WHERE inventory_id NOT IN (SELECT id FROM gone)
+  AND anomaly_id NOT IN (SELECT id FROM anomalies WHERE inventory_id IN (SELECT id FROM gone))""",
     "cascade_delete_anomalies": _with(EV, ANOMALIES, ALERTS) + """SELECT 'anomalies' AS table_name, id FROM anomalies WHERE severity <> 'low'
 UNION ALL SELECT 'alerts', id FROM alerts WHERE anomaly_id NOT IN (SELECT id FROM anomalies WHERE severity = 'low')""",
     "alert_messages": _with(EV, ALERTS) + "SELECT id AS key, id, anomaly_id, inventory_id, event_id, severity, status, title, "
@@ -471,8 +560,8 @@ QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1
     e.key IS NOT NULL) AS good
   FROM ops o LEFT JOIN entries e ON e.key = o.key AND (e.expires_at IS NULL OR e.expires_at > {AS_OF})) j""",
     "kv_delete": _with(CACHE) + "SELECT key, value FROM entries WHERE key NOT IN (SELECT key FROM keys)",
-    "kv_delete_counts": _with(CACHE) + """SELECT (SELECT count(*) FROM entries WHERE key IN (SELECT key FROM keys)) AS deleted,
-  (SELECT count(*) FROM keys) AS requested""",
+    "kv_delete_counts": _with(CACHE) + f"""SELECT count(*) AS deleted, (SELECT 2 * count(*) FROM keys) - count(*) AS failed
+FROM entries WHERE key IN (SELECT key FROM keys) AND (expires_at IS NULL OR expires_at > {AS_OF})""",
     "kv_get": _with(CACHE) + f"""SELECT k.key, e.value FROM keys k LEFT JOIN entries e ON e.key = k.key
   AND (e.expires_at IS NULL OR e.expires_at > {AS_OF})""",
     "kv_overwrite": _with(CACHE) + """SELECT key, value, expires_at FROM entries WHERE key NOT IN (SELECT key FROM keys)

@@ -68,6 +68,16 @@ def duplicate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.where("copy = 1").select("event_id", "status", "quantity_before", "quantity_after", "quantity_delta")
 
 
+@query
+def contested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth id comes up a second time, mostly for another key, and often after it was refused."""
+    events = domain.stock_events(spark, sf_dir)
+    again = F.col("event_no") - F.when(F.col("event_no") % 20 == 1, 1).otherwise(0)
+    events = events.withColumn("event_id", domain.numbered_uuid("00000000-0000-4000-8000-", again))
+    return apply_stock_events(events, order=domain.EVENT_ORDER).select(
+        "event_no", "event_id", "status", "quantity_before", "quantity_after")
+
+
 @query
 def audit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.audit_rows(_ledger(spark, sf_dir), F.col("ts")).withColumn("changed_at", F.unix_micros("changed_at"))
@@ -92,7 +102,7 @@ def _twentieth(rows: DataFrame) -> int:
 def store_balance_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One balance per store: few keys with very many rows, folded as about forty segments."""
     events = domain.stock_events(spark, sf_dir).withColumn("product_id", F.lit("ALL"))
-    ledger = apply_stock_events(events, order=domain.EVENT_ORDER, hot_rows=_twentieth(events), small_rows=0)
+    ledger = apply_stock_events(events, order=domain.EVENT_ORDER, hot_rows=_twentieth(events))
     return ledger.select("event_id", "store_id", "status", "quantity_before", "quantity_after")
 
 
@@ -142,19 +152,47 @@ def dlq_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures = deadletter.stock_failures(validated, balance.refused(_valid_ledger(validated)))
     messages = deadletter.dlq_messages(failures, samples.as_of())
     fields = ("event_id", "failure_reason", "retry_count", "timestamp", "source_topic", "source_partition",
-              "source_offset")
+              "source_offset", "payload")
     return messages.select("key", *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields])
 
 
 @query
 def failed_event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every failure is written twice; the first write counts, although the reason of the second sorts before it."""
     failures = deadletter.stock_failures(_validated(spark, sf_dir))
-    twice = failures.unionByName(failures.withColumn("failure_reason", F.concat(F.lit("~"), "failure_reason")))
+    again = failures.withColumn("failure_reason", F.concat(F.lit("!"), "failure_reason"))
+    twice = failures.withColumn("attempt", F.lit(0)).unionByName(again.withColumn("attempt", F.lit(1)))
     stored = failures.where("source_offset % 10 = 0")
-    rows = deadletter.failed_event_rows(twice, samples.as_of(), stored)
+    rows = deadletter.failed_event_rows(twice, samples.as_of(), stored, order=["attempt"])
     return rows.withColumn("failed_at", F.unix_micros("failed_at"))
 
 
+def _validated_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.validate_sales_events(samples.sales_envelopes(spark, sf_dir), samples.as_of())
+
+
+@query
+def validate_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated_sales(spark, sf_dir).select(
+        F.col("offset").alias("source_offset"), "event_id", "sale_id", *PAIR, "quantity_sold",
+        F.col("sale_price").cast("decimal(38,2)").alias("sale_price"), micros("event_time"), "failure_reason", "detail",
+        "claimed_event_id")
+
+
+@query
+def sales_failure_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.reason_counts(_validated_sales(spark, sf_dir))
+
+
+@query
+def sales_dlq_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages for invalid sales; they carry no event id, so their key is the place of the record."""
+    failures = deadletter.sales_failures(_validated_sales(spark, sf_dir))
+    messages = deadletter.dlq_messages(failures, samples.as_of())
+    fields = ("event_id", "failure_reason", "retry_count", "source_topic", "source_partition", "source_offset")
+    return messages.select("key", *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields])
+
+
 # -- sales -------------------------------------------------------------------------------------------------------
 
 
@@ -203,6 +241,13 @@ def sales_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "external_sale_id", micros("sold_at"))
 
 
+@query
+def sales_items_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest posted sales of all pairs, in the order of the listing."""
+    listed = sales.sales_items(_stocked(spark, sf_dir), _posted(spark, sf_dir), newest_first=True)
+    return listed.limit(50).select(*PAIR, "id", micros("sold_at"))
+
+
 # -- reconciliation ----------------------------------------------------------------------------------------------
 
 
@@ -297,7 +342,11 @@ def rule_spike_per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ADJUSTMENT.evaluate(_context(spark, sf_dir))
+    """All changes of a day carry one processing time, so that their arrival decides which is the latest."""
+    ledger = _ledger(spark, sf_dir)
+    history = balance.audit_rows(ledger, F.date_trunc("day", "ts"), F.col("event_no"))
+    inventory = domain.inventory_table(balance.balances_after(ledger), samples.as_of())
+    return ADJUSTMENT.evaluate(rules.RuleContext(inventory, history.limit(0), history, samples.as_of()))
 
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +393,18 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("detected_at", F.unix_micros("detected_at")).drop("event_id", "resolved_at")
 
 
+@query
+def detect_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection right after each applied event of the last day, over the tables as that day left them."""
+    ledger = _ledger(spark, sf_dir)
+    inventory = domain.inventory_table(balance.balances_after(ledger), samples.as_of())
+    history = balance.audit_rows(ledger, F.col("ts"), F.col("event_no"))
+    context = rules.RuleContext(inventory, _event_sales(spark, sf_dir), history, samples.as_of())
+    changes = history.where(F.col("changed_at") >= F.timestamp_micros(F.lit(samples.AS_OF_MICROS - 48 * rules.HOUR)))
+    return _engine().detect_after(changes, context).select(
+        "id", "inventory_id", "event_id", "anomaly_type", "severity", "score", "description", "rule_no")
+
+
 class StockOut:
     """An example of a rule of one's own: nothing left in stock."""
 
@@ -400,7 +461,7 @@ def alerts_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     severe = alerts.alert_candidates(samples.anomalies(spark, sf_dir))
-    return alerts.deduplicate(severe, key=["inventory_id"], window_seconds=2 * 86_400, small_rows=0)
+    return alerts.deduplicate(severe, key=["inventory_id"], window_seconds=2 * 86_400)
 
 
 @query
@@ -412,7 +473,7 @@ def alerts_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts_dedup_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One suppression key per severity: few keys with very many rows."""
     severe = alerts.alert_candidates(samples.anomalies(spark, sf_dir))
-    kept = alerts.deduplicate(severe, key=["severity"], window_seconds=7200, hot_rows=_twentieth(severe), small_rows=0)
+    kept = alerts.deduplicate(severe, key=["severity"], window_seconds=7200, hot_rows=_twentieth(severe))
     return kept.select("anomaly_id", "created", micros("triggered_at"))
 
 
@@ -461,6 +522,13 @@ def anomaly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.anomaly_stats(samples.anomalies(spark, sf_dir))
 
 
+@query
+def anomaly_stats_with_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics with one row per entry of their type map."""
+    stats = anomalies.anomaly_stats_with_types(samples.anomalies(spark, sf_dir))
+    return stats.select("total", "open", "critical", F.explode("anomaly_types_count").alias("anomaly_type", "anomalies"))
+
+
 @query
 def anomaly_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.anomaly_type_counts(samples.anomalies(spark, sf_dir))
@@ -470,7 +538,15 @@ def anomaly_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_anomalies_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = paging.matching(samples.anomalies(spark, sf_dir), severity="critical", status="open", anomaly_type=None)
     return paging.page_with_total(wanted, "detected_at", skip=10, limit=15).select(
-        "id", "anomaly_type", micros("detected_at"), "total", "skip", "limit")
+        "id", "anomaly_type", micros("detected_at"), "total", "count", "skip", "limit")
+
+
+@query
+def list_anomalies_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page behind the last row still tells the total."""
+    wanted = paging.matching(samples.anomalies(spark, sf_dir), severity="critical", status="open", anomaly_type=None)
+    return paging.page_with_total(wanted, "detected_at", skip=10_000_000, limit=15).select(
+        "id", "anomaly_type", "total", "count", "skip", "limit")
 
 
 @query
@@ -492,6 +568,15 @@ def anomaly_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.by_id(stored, "00000000-0000-4000-a000-000000000000").select("id", "event_id", "severity", "score")
 
 
+@query
+def alert_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert that is there and one that is not, which gives no row."""
+    stored = samples.alerts(spark, sf_dir)
+    there = stored.agg(F.min("id").alias("id"))
+    parts = [paging.by_id(stored.join(F.broadcast(there), "id"), F.col("id")), paging.by_id(stored, "missing")]
+    return parts[0].unionByName(parts[1]).select("id", "anomaly_id", "status", micros("triggered_at"))
+
+
 @query
 def alert_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every alert in the newest-first listing, the way deep pages are found."""
@@ -580,7 +665,15 @@ def kv_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kv_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.delete_counts(samples.cache_entries(spark, sf_dir), _every_second_key(spark, sf_dir))
+    """Every key is listed twice; every fourth entry has expired."""
+    keys = _every_second_key(spark, sf_dir)
+    return snapshot.delete_counts(samples.cache_entries(spark, sf_dir), keys.unionByName(keys), samples.as_of())
+
+
+@query
+def kv_get_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looked_up = snapshot.get_keys(samples.cache_entries(spark, sf_dir), _every_second_key(spark, sf_dir), samples.as_of())
+    return snapshot.get_counts(looked_up)
 
 
 @query
@@ -614,6 +707,14 @@ def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.batch_outcomes(_batched_log(spark, sf_dir))
 
 
+@query
+def batch_outcomes_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third batch of the log left empty: an empty batch is completed."""
+    log = _batched_log(spark, sf_dir)
+    batches = log.select("batch_no").distinct()
+    return accounting.batch_outcomes(log.where("batch_no % 3 != 0"), batches=batches)
+
+
 @query
 def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.batch_errors(_batched_log(spark, sf_dir))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import inventory_id, signed_delta
-from ledgerline.schemas import INVENTORY_TOPIC
+from ledgerline.schemas import INVENTORY_TOPIC, SALES_TOPIC
 from ledgerline.sources import domain
 
 MICROS = 1_000_000
@@ -66,6 +66,37 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_no") % 3).cast("int").alias("partition"), F.col("event_no").alias("offset"))
 
 
+def sales_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales as broker records; some are broken in ways that depend on order and line number mod 13.
+
+    The price is text, an explicit null or left out, as the contract allows.
+    """
+    sold = domain.sales_events(spark, sf_dir)
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    kind = number % 13
+    stamp = F.date_format("sold_at", "yyyy-MM-dd'T'HH:mm:ss")
+
+    def field(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+
+    price = F.when(kind == 6, "-1.50").when(kind == 7, "abc").otherwise(F.col("sale_price").cast("string"))
+    document = F.concat(F.lit("{"), F.concat_ws(
+        ",",
+        field("event_id", F.when(kind == 8, F.lit("not-a-uuid")).otherwise(
+            domain.numbered_uuid("00000000-0000-4000-9000-", number))),
+        field("sale_id", F.when(kind == 1, F.lit(" ")).otherwise(F.col("sale_id"))),
+        field("product_id", F.col("product_id")),
+        field("store_id", F.when(kind == 12, F.lit("!")).otherwise(F.col("store_id"))),
+        F.concat(F.lit('"quantity_sold":'), F.when(kind == 2, F.lit(0)).otherwise(F.col("quantity_sold")).cast("string")),
+        F.when(kind == 10, F.lit('"sale_price":null')).when(kind != 11, field("sale_price", price)),
+        field("timestamp", F.when(kind == 3, stamp).when(kind == 4, F.lit("2099-01-01T00:00:00Z"))
+              .otherwise(F.concat(stamp, F.lit("Z"))))), F.lit("}"))
+    value = F.when(kind == 5, F.substring(document, 1, 20)).when(kind == 9, F.concat(F.lit("["), document, F.lit("]")))
+    return sold.select(
+        value.otherwise(document).alias("value"), F.lit(SALES_TOPIC).alias("topic"),
+        (number % 3).cast("int").alias("partition"), number.alias("offset"))
+
+
 def recorded_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history table in which every event took effect, refused by nobody."""
     events = domain.stock_events(spark, sf_dir)
@@ -123,7 +154,9 @@ def alert_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.col("event_no")
     return _events(spark, sf_dir).select(
         no.alias("seq"), domain.numbered_uuid("00000000-0000-4000-b000-", F.floor(no / 3)).alias("target_id"),
-        F.when(no % 5 < 2, "acknowledge").when(no % 5 == 2, "resolve").otherwise("suppress").alias("command"),
+        # Some commands are of a kind nobody knows.
+        F.when(no % 10 == 9, "escalate").when(no % 5 < 2, "acknowledge").when(no % 5 == 2, "resolve")
+        .otherwise("suppress").alias("command"),
         F.col("ts").alias("at"), F.concat(F.lit("user-"), (no % 9).cast("string")).alias("actor"),
         _seconds_after("ts", F.lit(7200)).alias("until"))
 

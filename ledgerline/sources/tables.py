@@ -23,7 +23,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Read one of the domain tables with its fixed schema, keeping the day column for partition pruning."""
     schema = TABLES[name]
     if name in TIME_COLUMN:
-        schema = schema.__class__(schema.fields).add("day", "date")
+        schema = schema.__class__([*schema.fields]).add("day", "date")
     return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
