@@ -23,6 +23,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     folder would be lost with its machine, so that is refused.
     """
     context = spark.sparkContext
+    # Spark deletes the files of a checkpoint once nothing refers to it any more.
+    context._conf.set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,7 +39,3 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the reliable checkpoint folder and continue from there."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

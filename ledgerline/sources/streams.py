@@ -6,13 +6,13 @@ elsewhere. Both deliver (value, topic, partition, offset) and keep their positio
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.deadletter import TIMESTAMP_FORMAT
-from ledgerline.schemas import DEFAULT_BATCH_SIZE, ENVELOPE, INVENTORY_TOPIC, SALES_TOPIC
+from ledgerline.schemas import ENVELOPE, INVENTORY_TOPIC, SALES_TOPIC
 
 STOCK_FIELDS = ("event_id", "product_id", "store_id", "operation", "quantity", "timestamp")
 SALE_FIELDS = ("event_id", "sale_id", "product_id", "store_id", "quantity_sold", "sale_price", "timestamp")
@@ -22,19 +22,24 @@ def kafka_stream(
     spark: SparkSession,
     servers: str,
     topics: Sequence[str] = (INVENTORY_TOPIC, SALES_TOPIC),
-    max_records: int = DEFAULT_BATCH_SIZE,
+    max_records: int | None = None,
 ) -> DataFrame:
-    """From the earliest offset, at most ``max_records`` per micro-batch."""
-    raw = (
+    """From the earliest offset; a micro-batch takes what has arrived, or at most ``max_records``."""
+    reader = (
         spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
         .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", max_records).load()
     )
+    if max_records is not None:
+        reader = reader.option("maxOffsetsPerTrigger", max_records)
+    raw = reader.load()
     return raw.select(F.col("value").cast("string").alias("value"), "topic", "partition", "offset")
 
 
-def folder_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", max_files).json(path)
+def folder_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(ENVELOPE)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.json(path)
 
 
 def stock_event_messages(events: DataFrame) -> DataFrame:
@@ -56,3 +61,13 @@ def send_to_kafka(messages: DataFrame, servers: str, topic: str) -> None:
     """Write (key, value) messages, acknowledged by all replicas."""
     (messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all")
      .option("topic", topic).save())
+
+
+def kafka_sink(servers: str) -> Callable[[str, DataFrame, int], None]:
+    """Deliver the messages of a micro-batch to their topic. A replayed batch delivers them again."""
+    return lambda topic, messages, batch_id: send_to_kafka(messages, servers, topic)
+
+
+def folder_sink(root: str) -> Callable[[str, DataFrame, int], None]:
+    """The same to a folder of JSON files per topic and micro-batch; a replayed batch overwrites its own."""
+    return lambda topic, messages, batch_id: messages.write.mode("overwrite").json(f"{root}/{topic}/batch_id={batch_id}")
