@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerline.llm.storage import ship
+
 #: Words of up to so many bytes use the rank array.
 SHORT = 256
 #: Slots of the table of words (29 bytes each); it is emptied when more than half are taken.
@@ -375,6 +377,7 @@ def _with(schema: T.StructType, drop: set[str], *fields: T.StructField) -> T.Str
 
 def encode(documents: DataFrame, path: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Add ``ids`` (binary) and ``n_tokens`` to every row."""
+    ship(documents.sparkSession)
     schema = _with(documents.schema, set() if keep_text else {text.lower()}, T.StructField("ids", T.BinaryType()),
                    T.StructField("n_tokens", T.LongType()))
     carried = [f.name for f in schema][:-2]
@@ -396,6 +399,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", keep_text: bool
 
 def decode(encoded: DataFrame, path: str, out: str = "decoded", keep_ids: bool = True) -> DataFrame:
     """Add the text that ``ids`` stand for; null ids are an empty text."""
+    ship(encoded.sparkSession)
     schema = _with(encoded.schema, set() if keep_ids else {"ids"}, T.StructField(out, T.StringType()))
     carried = [f.name for f in schema][:-1]
 

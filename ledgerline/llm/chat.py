@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.storage import ship
+
 Message = tuple[str, str]
 Render = Callable[[list[Message]], str]
 
@@ -99,6 +101,7 @@ def format_turns(conversations: DataFrame, render: Render = plain_turns, context
                  trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per turn, in order inside each partition: conv_id, first (starts a conversation), turn_start and
     turn_end in the formatted conversation, text_start, text_end, loss (the text is trained on), piece, rewrites."""
+    ship(conversations.sparkSession)
     schema = (f"conv_id {conversations.schema['conv_id'].dataType.simpleString()}, first boolean, turn_start bigint, "
               "turn_end bigint, text_start bigint, text_end bigint, loss boolean, piece string, rewrites boolean")
 

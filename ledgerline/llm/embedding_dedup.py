@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.components import components
-from ledgerline.llm.storage import settle
+from ledgerline.llm.storage import settle, ship
+from ledgerline.operators.components import components
 
 #: A table of large buckets of up to so many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_BUCKETS = 200_000
@@ -234,6 +234,7 @@ def units_of(buckets: DataFrame, codes: Codes) -> DataFrame:
 def deduplicate(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 codes: Codes = Codes()) -> DataFrame:
     """Per row: key, n_links, component_id (smallest key reachable by links, itself included), kept."""
+    ship(vectors.sparkSession)
     rows, stands = distinct_vectors(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")))
     codes = codes.sized(stands.count())
     found = settle(_compared(units_of(bucketed(stands, codes), codes), codes), "links")

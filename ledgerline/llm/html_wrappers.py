@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.storage import settle
+from ledgerline.llm.storage import settle, ship
 from ledgerline.llm.url_filter import host_of
 
 #: Shares that the pages of one host are dealt into before their wrappers meet.
@@ -329,6 +329,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    ship(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     wrappers = settle(infer_wrappers(hosted), "wrappers").withColumnRenamed("host", "of_host")
     few = wrappers.count() <= BROADCAST_HOSTS

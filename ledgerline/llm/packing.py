@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import codec, texts_of
-from ledgerline.llm.storage import scratch
+from ledgerline.llm.storage import scratch, ship
 
 WINDOW = 2048
 END_ID = 1
@@ -31,6 +31,7 @@ END_ID = 1
 def token_stream(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                  end_id: int = END_ID) -> DataFrame:
     """Pass one, written: (key, part, at, n, ids), ``at`` being the tokens before the document in its partition."""
+    ship(documents.sparkSession)
     schema = f"key {documents.schema[key].dataType.simpleString()}, part int, at bigint, n bigint, ids binary"
     end = end_id.to_bytes(4, "little")
 
