@@ -1,16 +1,20 @@
 """N-gram Jaccard join (5): all documents whose sets of five-word shingles overlap by at least 0.8, by prefix trees.
 
-1. One pass over the texts writes each set's size and 128-bit digest, and counts shingles that are common among the
-   documents of a batch (lossy counting). The counts only fix the global order of shingles, from rare to common.
+1. One pass over the texts writes each set's size, its 128-bit digest and a parity sketch (a bit map in which every
+   shingle flips one bit), and counts shingles that are common among the documents of a batch (lossy counting). The
+   counts only fix the global order of shingles, from rare to common.
 2. A second pass sends out the first few shingles of each ordered set: sets that overlap enough share one of them.
-   Documents of one batch that share a shingle become edges at once, and a single row for them goes to the shuffle, so
-   a shingle that a third of all documents hold is one row per batch. Sets joined by such edges form candidate groups;
-   no two linked sets lie in different groups. Equal sets are represented by one of them from here on.
-3. Each group's sets are stored in a trie. Probes walk it, sharing partial overlaps along common paths and pruning
-   subtrees whose remaining lengths cannot reach the needed overlap, or that already belong to the probe's component.
-   A group beyond ``Bounds`` is compared with one pivot first; what does not link with the pivot is compared with the
-   group in pairs of blocks, so that no task holds more than two blocks. Every pair of sets that could link is either
-   compared or already connected; only links that connect something new are put out.
+   Equal sets of a batch send theirs once. Documents that meet in a shingle are compared by their sketches: two sets
+   differ in at least as many shingles as their sketches differ in bits, so what is ruled out cannot link. What is not
+   becomes an edge, as far as it connects something new. Shingles with the same documents are looked at once, and one
+   with more than ``Bounds.sets`` documents is dealt out in blocks.
+3. Sets joined by such edges form candidate groups; no two linked sets lie in different groups. Equal sets are
+   represented by one of them from here on. Each group's sets are stored in a trie. Probes walk it, sharing partial
+   overlaps along common paths and pruning subtrees whose remaining lengths cannot reach the needed overlap, or that
+   already belong to the probe's component. A group beyond ``Bounds`` is compared with one pivot first; what does not
+   link with the pivot is compared with the group in pairs of blocks, so that no task holds more than two blocks. Every
+   pair of sets that could link is either compared or already connected; only links that connect something new are put
+   out.
 4. Connected components over those links and over the copies.
 
 Shingles are 64-bit hashes of lower-cased words, compared within pairs of sets only.
@@ -30,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.components import Union, components
-from ledgerline.llm.storage import settle
+from ledgerline.llm.storage import settle, ship
+from ledgerline.operators.components import components
 
 #: How many of the commonest shingles have a place of their own in the global order (16 bytes each on every executor).
 COMMON = 100_000
@@ -56,16 +60,22 @@ class Likeness:
         whole = self.least + self.out_of
         return (self.least * sizes + whole - 1) // whole
 
+    def differing(self, sizes: np.ndarray) -> np.ndarray:
+        """Most shingles that only one of two linked sets holds, if their sizes add up to ``sizes``."""
+        whole = self.least + self.out_of
+        return sizes - 2 * ((self.least * sizes + whole - 1) // whole)
+
     def linked(self, overlap: int, sizes: int) -> bool:
         return self.out_of * overlap >= self.least * (sizes - overlap)
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """What one task compares at a time."""
+    """What a task compares at a time: whole sets and their shingles, and documents of a shingle by their sketches."""
 
     sets: int = 2000
     shingles: int = 2_000_000
+    together: int = 4096
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -89,15 +99,43 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.repeat(np.arange(len(sets)), sizes)
 
 
+#: Bits of the smallest sketch; a set has at most two shingles per bit.
+LEAST_BITS = 512
+
+
+def sketches(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set: bit ``shingle mod bits``, flipped by every shingle; ``bits`` follows the size."""
+    bits = LEAST_BITS << np.ceil(np.log2(np.maximum(sizes / (2 * LEAST_BITS), 1))).astype(np.int64)
+    found: list[bytes] = [b""] * len(sizes)
+    ends = np.cumsum(sizes)
+    for wide in np.unique(bits[sizes > 0]).tolist():
+        rows = np.flatnonzero((bits == wide) & (sizes > 0))
+        step = max(1, 4_000_000 // wide)
+        for part in (rows[k:k + step] for k in range(0, len(rows), step)):
+            place = np.full(len(sizes), -1)
+            place[part] = np.arange(len(part))
+            low, high = ends[part[0]] - sizes[part[0]], ends[part[-1]]
+            local = place[owner[low:high]]
+            used = local >= 0
+            at = local[used] * wide + (flat[low:high][used] & np.uint64(wide - 1)).astype(np.int64)
+            odd = (np.bincount(at, minlength=len(part) * wide) & 1).astype(np.uint8).reshape(len(part), wide)
+            packed = np.packbits(odd, axis=1, bitorder="little")
+            for row, line in zip(part.tolist(), packed):
+                found[row] = line.tobytes()
+    return found
+
+
 def measure(documents: DataFrame, like: Likeness) -> DataFrame:
-    """Written rows (counted, id, n, d1, d2): a set's size and digest, or (``counted``) a common shingle and its count."""
+    """Written rows (counted, id, n, d1, d2, sketch): a set's size, digest and sketch; or (``counted``) a common
+    shingle and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, like.words) for text in batch.column(1).to_pylist()]
             digests = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets],
                                np.uint64).reshape(-1, 2).astype(np.int64)
-            flat, _ = _flat(sets)
+            flat, owner = _flat(sets)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             values, counts = np.unique(flat, return_counts=True)
             often = counts >= max(3, len(sets) // 2000)
             values, counts = values[often].astype(np.int64), counts[often]
@@ -105,11 +143,13 @@ def measure(documents: DataFrame, like: Likeness) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat([False, True], [len(sets), len(values)])),
                  pa.concat_arrays([batch.column(0), pa.nulls(len(values), pa.int64())]),
-                 pa.array(np.concatenate([np.fromiter(map(len, sets), np.int64, len(sets)), counts])),
-                 pa.array(np.concatenate([digests[:, 0], values])), pa.array(np.concatenate([digests[:, 1], none]))],
-                names=["counted", "id", "n", "d1", "d2"])
+                 pa.array(np.concatenate([sizes, counts])),
+                 pa.array(np.concatenate([digests[:, 0], values])), pa.array(np.concatenate([digests[:, 1], none])),
+                 pa.array(sketches(flat, owner, sizes) + [None] * len(values), pa.binary())],
+                names=["counted", "id", "n", "d1", "d2", "sketch"])
 
-    return settle(documents.mapInArrow(run, "counted boolean, id bigint, n bigint, d1 bigint, d2 bigint"), "sets")
+    return settle(documents.mapInArrow(
+        run, "counted boolean, id bigint, n bigint, d1 bigint, d2 bigint, sketch binary"), "sets")
 
 
 class Order:
@@ -133,8 +173,9 @@ def common_order(measured: DataFrame) -> Order:
     return Order(top["d1"].to_numpy(np.int64).astype(np.uint64), np.log2(np.maximum(counts, 1)).astype(np.int8))
 
 
-def candidate_edges(documents: DataFrame, order: Order, like: Likeness) -> DataFrame:
-    """Edges (a, b) that join all documents which share a prefix shingle."""
+def postings(documents: DataFrame, order: Order, like: Likeness, together: int) -> DataFrame:
+    """Written rows (hot, ids, copy_of): documents that share a prefix shingle, where ``hot`` is a shingle whose
+    documents come in several rows; or a document with the same set as ``copy_of``."""
     shared = documents.sparkSession.sparkContext.broadcast((order.values, order.classes))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,44 +183,167 @@ def candidate_edges(documents: DataFrame, order: Order, like: Likeness) -> DataF
         known.values, known.classes = shared.value
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            sets = [shingles(text, like.words) for text in texts]
+            by = np.argsort(ids, kind="stable")
+            sets, own, copies, held = [], [], [], {}
+            for i in by.tolist():
+                found = shingles(texts[i], like.words)
+                digest = xxhash.xxh3_128_digest(found.tobytes())
+                if digest in held:
+                    copies.append((ids[i], held[digest]))
+                elif len(found):
+                    held[digest] = ids[i]
+                    sets.append(found)
+                    own.append(ids[i])
             flat, owner = _flat(sets)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             by = np.lexsort((known.of(flat), owner))  # stable, and each set is in hash order already
             flat, first = flat[by], np.cumsum(sizes) - sizes
             take = np.arange(len(flat)) - first[owner] < like.prefix(sizes)[owner]
-            flat, doc = flat[take].astype(np.int64), ids[owner[take]]
-            by = np.lexsort((doc, flat))
-            flat, doc = flat[by], doc[by]
-            new = np.append(True, flat[1:] != flat[:-1])[:len(flat)]
-            hub = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(flat) else doc
-            pairs = np.unique(np.stack([hub[~new], doc[~new]], axis=1), axis=0) if len(flat) else np.empty((0, 2))
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]].astype(np.int64)
-            edge = np.repeat([False, True], [int(new.sum()), len(pairs)])
+            copies = np.array(copies, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([flat[new], pairs[:, 1]])), pa.array(np.concatenate([doc[new], pairs[:, 0]])),
-                 pa.array(edge)], names=["shingle", "id", "edge"])
+                [pa.array(np.concatenate([flat[take].astype(np.int64), copies[:, 0]])),
+                 pa.array(np.concatenate([np.array(own, np.int64)[owner[take]], copies[:, 1]])),
+                 pa.array(np.repeat([False, True], [int(take.sum()), len(copies)]))], names=["shingle", "id", "copy"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
+        """The documents of each shingle that has two or more; a shingle with very many goes out in parts."""
+        key, hub, rest = None, None, np.empty(0, np.int64)  # the shingle that may go on, its first document if parted
+
+        def out(ids: list[np.ndarray], hot: list[int | None], copy_of: list[int | None]) -> pa.RecordBatch:
+            ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(hot, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(copy_of, pa.int64())],
+                names=["hot", "ids", "copy_of"])
+
+        def parts(at: int, first: int, docs: np.ndarray) -> pa.RecordBatch:
+            ids = [np.unique(np.append(docs[k:k + together], first)) for k in range(0, len(docs), together)]
+            return out(ids, [at] * len(ids), [None] * len(ids))
+
         for batch in batches:
-            key, doc, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            done = np.stack([doc[edge], key[edge]], axis=1)
-            key, doc = key[~edge], doc[~edge]
-            if not len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(done[:, 0]), pa.array(done[:, 1])], names=["a", "b"])
+            shingle, doc, copy = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if copy.any():
+                yield out(list(shingle[copy][:, None]), [None] * int(copy.sum()), doc[copy].tolist())
+            shingle, doc = shingle[~copy], doc[~copy]
+            if not len(shingle):
                 continue
-            new = np.append(key[0] != last, key[1:] != key[:-1])
-            heads = doc[new] if new[0] else np.append(hub, doc[new])
-            hubs = heads[np.cumsum(new) - (1 if new[0] else 0)]
-            pairs = np.stack([hubs, doc], axis=1)[~new]
-            pairs = np.unique(np.concatenate([done, pairs[pairs[:, 0] != pairs[:, 1]]]), axis=0)
-            last, hub = key[-1], hubs[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            cuts = [0, *(np.flatnonzero(shingle[1:] != shingle[:-1]) + 1).tolist(), len(shingle)]
+            ids = []
+            for start, stop in zip(cuts, cuts[1:]):
+                if key is not None and shingle[start] != key and hub is not None:
+                    yield parts(key, hub, rest)
+                elif shingle[start] != key and len(rest) > 1:
+                    ids.append(np.unique(rest))
+                if shingle[start] != key:
+                    key, hub, rest = shingle[start], None, doc[start:stop]
+                else:
+                    rest = np.append(rest, doc[start:stop])
+                if len(rest) > together:
+                    hub = rest[0] if hub is None else hub
+                    full = len(rest) // together * together
+                    yield parts(key, hub, rest[:full])
+                    rest = rest[full:]
+            ids = [x for x in ids if len(x) > 1]
+            yield out(ids, [None] * len(ids), [None] * len(ids))
+        if hub is not None:
+            yield parts(key, hub, rest)
+        elif len(np.unique(rest)) > 1:
+            yield out([np.unique(rest)], [None], [None])
+
+    sent = documents.where("id IS NOT NULL").mapInArrow(prefixes, "shingle bigint, id bigint, copy boolean")
+    placed = sent.repartition("shingle").sortWithinPartitions("copy", "shingle", "id")
+    return settle(placed.mapInArrow(runs, "hot bigint, ids array<bigint>, copy_of bigint"), "postings")
+
+
+def plausible(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], asks: np.ndarray,
+              like: Likeness) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges that connect all sets which their sketches do not rule out, and the connected sets' labels.
+
+    Only pairs with a set that ``asks`` are looked at. Sets whose sketches are twice as wide as others' are folded for
+    the comparison; sets further apart in size cannot link.
+    """
+    labels, edges = np.arange(len(ids)), []
+    widths = np.fromiter(map(len, maps), np.int64, len(maps))
+    for wide in np.unique(widths[widths > 0]).tolist():
+        narrow, double = np.flatnonzero(widths == wide), np.flatnonzero(widths == 2 * wide)
+        lines = np.frombuffer(b"".join(maps[i] for i in narrow), np.uint64).reshape(len(narrow), -1)
+        if len(double):
+            folded = np.frombuffer(b"".join(maps[i] for i in double), np.uint64).reshape(len(double), 2, -1)
+            lines = np.concatenate([lines, folded[:, 0] ^ folded[:, 1]])
+        rows = np.concatenate([narrow, double])
+        n = sizes[rows]
+        for k in range(len(narrow)):
+            i = rows[k]
+            look = np.flatnonzero(labels[rows[k + 1:]] != labels[i]) + k + 1
+            if not asks[i]:
+                look = look[asks[rows[look]]]
+            less, more = np.minimum(n[look], n[k]), np.maximum(n[look], n[k])
+            look = look[like.least * more <= like.out_of * less]
+            if not len(look):
+                continue
+            apart = np.bitwise_count(lines[look] ^ lines[k]).sum(axis=1)
+            for j in rows[look[apart <= like.differing(n[look] + n[k])]].tolist():
+                if labels[j] != labels[i]:
+                    edges.append((int(ids[i]), int(ids[j])))
+                    labels[labels == labels[j]] = labels[i]
+    return edges, labels
+
 
-    sent = documents.where("id IS NOT NULL").mapInArrow(prefixes, "shingle bigint, id bigint, edge boolean")
-    return (sent.repartition("shingle").sortWithinPartitions("edge", "shingle").mapInArrow(runs, "a bigint, b bigint")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+def _sketched(units: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b, open_id) of rows (unit, id, n, sketch, asks, hub): edges, and documents not connected with the hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _units(batches, 5):
+            ids, sizes, maps, asks = (np.array(rows[0]), np.array(rows[1]), rows[2], np.array(rows[3], bool))
+            edges, labels = plausible(ids, sizes, maps, asks, like)
+            hub = rows[4][0]
+            far = [] if hub is None else ids[labels != labels[int(np.flatnonzero(ids == hub)[0])]].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([e[0] for e in edges] + [None] * len(far), pa.int64()),
+                 pa.array([e[1] for e in edges] + [None] * len(far), pa.int64()),
+                 pa.array([None] * len(edges) + far, pa.int64())], names=["a", "b", "open_id"])
+
+    return (units.select("unit", "id", "n", "sketch", "asks", "hub").repartition("unit")
+            .sortWithinPartitions("unit", "id").mapInArrow(run, "a bigint, b bigint, open_id bigint"))
+
+
+def candidate_edges(found: DataFrame, sets: DataFrame, like: Likeness, together: int) -> DataFrame:
+    """Edges (a, b) that connect all documents which meet in a shingle and may link; ``found`` are the postings."""
+    maps = sets.where("n > 0").select("id", "n", "sketch")
+    copies = found.where("copy_of IS NOT NULL").select(F.col("ids")[0].alias("a"), F.col("copy_of").alias("b"))
+
+    def unit(rows: DataFrame, asks) -> DataFrame:
+        return rows.withColumn("asks", asks).join(maps, "id")
+
+    small = found.where("copy_of IS NULL AND hot IS NULL").select("ids").distinct().select(
+        F.xxhash64("ids").alias("unit"), F.explode("ids").alias("id"), F.lit(None).cast("long").alias("hub"))
+    edges = _sketched(unit(small, F.lit(True)), like).select("a", "b")
+    hot = found.where("hot IS NOT NULL")
+    if not hot.isEmpty():
+        # The first document of a parted shingle is in all its parts.
+        hubs = hot.groupBy("hot").agg(F.min(F.array_min("ids")).alias("hub"))
+        parts = hot.join(hubs, "hot").select("hot", F.xxhash64("hot", "ids").alias("unit"), "hub", "ids")
+        members = parts.select("unit", "hub", F.explode("ids").alias("id"))
+        near = settle(_sketched(unit(members, F.lit(True)), like), "parted")
+        far = settle(near.where("open_id IS NOT NULL").select("open_id").distinct()
+                     .join(parts.select("hot", F.explode("ids").alias("open_id")).distinct(), "open_id"), "far")
+        edges = edges.unionByName(near.where("a IS NOT NULL").select("a", "b"))
+        # What is far from its hub is compared with every part, in bounded shares.
+        counted = far.groupBy("hot").agg(F.count("*").alias("n_far"))
+        shares = far.join(counted, "hot").select(
+            "hot", F.col("open_id").alias("id"), "n_far",
+            F.expr(f"pmod(xxhash64(open_id), greatest(1L, n_far div {together}))").alias("share"))
+        against = (parts.join(counted, "hot").withColumn(
+            "share", F.explode(F.expr(f"sequence(0L, greatest(1L, n_far div {together}) - 1)")))
+            .select("hot", "share", "unit", "ids"))
+        asking = against.select("hot", "share", "unit").join(shares.drop("n_far"), ["hot", "share"]).select(
+            F.xxhash64("unit", "share").alias("unit"), "id", F.lit(True).alias("asked"))
+        asked = against.select(F.xxhash64("unit", "share").alias("unit"), F.explode("ids").alias("id"),
+                               F.lit(False).alias("asked"))
+        both = asking.unionByName(asked).groupBy("unit", "id").agg(F.max("asked").alias("asks"))
+        crossed = _sketched(both.withColumn("hub", F.lit(None).cast("long")).join(maps, "id"), like)
+        edges = edges.unionByName(crossed.select("a", "b"))
+    return edges.unionByName(copies).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 class Trie:
@@ -268,32 +432,37 @@ def connecting_links(ids: list[int], sets: list[np.ndarray], resolved: list[bool
     return found
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str], list[bool]]]:
-    """Ids, texts and marks of each run of equal units in rows (unit, id, text, resolved)."""
-    unit, ids, texts, marks = None, [], [], []
+def _units(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[list]]:
+    """The columns after the first, as lists, of each run of rows with equal first column."""
+    now, held = None, [[] for _ in range(columns)]
     for batch in batches:
-        for u, i, text, mark in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if u != unit:
-                if ids:
-                    yield ids, texts, marks
-                unit, ids, texts, marks = u, [], [], []
-            ids.append(i)
-            texts.append(text)
-            marks.append(mark)
-    if ids:
-        yield ids, texts, marks
+        unit = batch.column(0).to_numpy(zero_copy_only=False)
+        values = [batch.column(k + 1).to_pylist() for k in range(columns)]
+        cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            if unit[start] != now:
+                if held[0]:
+                    yield held
+                now, held = unit[start], [[] for _ in range(columns)]
+            for mine, all_ in zip(held, values):
+                mine += all_[start:stop]
+    if held[0]:
+        yield held
 
 
 def _compare(rows: DataFrame, like: Likeness) -> DataFrame:
     """Connecting links (a, b) of each unit of rows (unit, id, text, resolved)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, marks in _units(batches):
+        for ids, texts, marks in _units(batches, 3):
             links = connecting_links(ids, [shingles(text, like.words) for text in texts], marks, like)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)],
                                              names=["a", "b"])
 
-    return rows.repartition("unit").sortWithinPartitions("unit", "id").mapInArrow(run, "a bigint, b bigint")
+    return (rows.select("unit", "id", "text", "resolved").repartition("unit").sortWithinPartitions("unit", "id")
+            .mapInArrow(run, "a bigint, b bigint"))
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -345,10 +514,12 @@ def _large_groups(texts: DataFrame, groups: DataFrame, like: Likeness, bounds: B
 def join(documents: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness(),
          bounds: Bounds = Bounds()) -> DataFrame:
     """Per row: ``key``, n_shingles, component_id (smallest key reachable by links, itself included)."""
+    ship(documents.sparkSession)
     docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     measured = measure(docs, like)
     sets = measured.where("NOT counted").drop("counted")
-    groups = components(candidate_edges(docs, common_order(measured), like))
+    found = postings(docs, common_order(measured), like, bounds.together)
+    groups = components(candidate_edges(found, sets, like, bounds.together))
     # Equal sets of one group: the smallest id stands for all.
     grouped = sets.where("n > 0").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
     stands = settle(grouped.groupBy("grp", "d1", "d2", "n").agg(F.min("id").alias("id")), "representatives")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from brute import jaccard_groups
 
@@ -50,6 +51,32 @@ def test_groups_beyond_the_bounds(spark):
     assert got(spark, documents, bounds=Bounds(sets=6, shingles=10_000)) == expected
 
 
+@pytest.mark.parametrize("together", [2, 5])
+def test_shingles_with_very_many_documents(spark, together):
+    documents = near_copies(6, clusters=5, size=25)
+    expected, _ = jaccard_groups(documents)
+    assert got(spark, documents, bounds=Bounds(together=together)) == expected
+
+
+def test_sketches_never_rule_out_a_link():
+    rnd = random.Random(9)
+    like = Likeness()
+    for size in (3, 60, 900, 1100, 3000):
+        base = [rnd.getrandbits(64) for _ in range(size)]
+        sets = []
+        for _ in range(8):
+            copy = set(base[:rnd.randint(int(size * 0.85), size)]) | {rnd.getrandbits(64) for _ in range(rnd.randint(0, size // 9))}
+            sets.append(np.array(sorted(copy), np.uint64))
+        flat, owner = ngram_join._flat(sets)
+        sizes = np.array(list(map(len, sets)))
+        maps = ngram_join.sketches(flat, owner, sizes)
+        edges, labels = ngram_join.plausible(np.arange(8), sizes, maps, np.ones(8, bool), like)
+        for a in range(8):
+            for b in range(a):
+                overlap = len(np.intersect1d(sets[a], sets[b]))
+                assert not like.linked(overlap, sizes[a] + sizes[b]) or labels[a] == labels[b]
+
+
 def test_other_similarity(spark):
     documents = near_copies(4, clusters=6)
     expected, _ = jaccard_groups(documents, least=50)
@@ -66,7 +93,6 @@ def test_shared_tables(spark):
 
 def test_trie_finds_every_link():
     rnd = random.Random(5)
-    import numpy as np
     like = Likeness()
     for _ in range(60):
         base = rnd.sample(range(1000), rnd.choice([1, 5, 30]))
