@@ -48,7 +48,7 @@ SENTENCES = {
         "portions of the Software.",
     18: "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met:",
-    19: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    19: "This Source Code Form is subject to the terms of the Mozilla Public License, v.",  # a sentence ends after "v."
     20: "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     21: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
 }

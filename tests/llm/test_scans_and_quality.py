@@ -77,7 +77,7 @@ def test_licences(spark):
     apache = [license_scan.SENTENCES[k] for k in (5, 6, 7, 8)]
     rows = {
         1: "Some prose here. Released under the MIT License.\nMore.",
-        2: " ".join(apache), 3: apache[0] + "\nunknown words\n" + apache[1], 4: apache[0] + "\none\ntwo\n" + apache[1],
+        2: "\n".join(apache), 3: apache[0] + "\nunknown words\n" + apache[1], 4: apache[0] + "\none\ntwo\n" + apache[1],
         5: "Licensed under CC BY-NC 4.0. LICENSED UNDER CC BY-NC 4.0!\nThis work is licensed under the GNU General Public License, version 3.",
         6: None, 7: "released under the mit licence.", 8: "x" * 200_000}
     frame = spark.createDataFrame(list(rows.items()) + [(1, rows[1])], "doc_id long, text string")
