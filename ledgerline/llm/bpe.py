@@ -35,9 +35,9 @@ from ledgerline.llm.storage import ship
 #: Words of up to so many bytes use the rank array.
 SHORT = 256
 #: Slots of the table of words (29 bytes each); it is emptied when more than half are taken.
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 #: Characters, or ids, that are worked on at a time.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 
 # Unicode white space, the pattern whose words the vocabulary is made for, and its contractions.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
