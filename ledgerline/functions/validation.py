@@ -21,6 +21,7 @@ _DECIMAL = r"\A\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
 _ZONED = r"\A\d{4}-\d{2}-\d{2}[Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s?([Zz]|[+-]\d{2}:?\d{2})\z"
 _NAIVE = r"\A\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?)?\z"
 _UUID = r"\A(urn:uuid:)?\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?\z"
+_CANONICAL_UUID = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 _MILLISECONDS_FROM = 20_000_000_000
 
 _DOC, _OBJECT = "_doc", "_is_object"
@@ -99,7 +100,8 @@ def _uuid(name: str) -> Column:
     text = _string(name)
     digits = F.lower(F.regexp_replace(text, r"urn:uuid:|[{}-]", ""))
     canonical = F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return F.when(text.rlike(_UUID), canonical)
+    # Nearly all ids come in the canonical form, which needs no rewriting.
+    return F.when(text.rlike(_CANONICAL_UUID), text).when(text.rlike(_UUID), canonical)
 
 
 def first_reason(checks: Sequence[tuple[Column, str]]) -> Column:

@@ -69,7 +69,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b): the smallest node reachable from it."""
     edges = edges.select("a", "b").where(F.col("a") != F.col("b"))
-    edges = cut_lineage(edges.mapInArrow(_stars, edges.schema).distinct())
+    # Each task's share of the distinct edges, so that it is not a second Python step of the task that made them.
+    edges = cut_lineage(edges.distinct().mapInArrow(_stars, edges.schema).distinct())
     found = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

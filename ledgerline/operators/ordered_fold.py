@@ -113,16 +113,17 @@ class _Fold:
 
     def mark_repeated(self, rows: DataFrame) -> DataFrame:
         """``_again_<id>``: the id where it occurs more than once among the rows, NULL elsewhere."""
-        found = {}
-        for column in self._ids(rows):
-            again = rows.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").select(column)
-            found[column] = cut_lineage(again)
-        for column, again in found.items():
-            many = again.limit(BROADCAST_IDS + 1).count()
-            if many:
-                marked = again.select(F.col(column).alias(f"_again_{column}"))
-                marked = F.broadcast(marked) if many <= BROADCAST_IDS else marked
-                rows = rows.join(marked, F.col(column) == F.col(f"_again_{column}"), "left")
+        ids = self._ids(rows)
+        if not ids:
+            return rows
+        # All id columns in one aggregate.
+        pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("id")) for c in ids]))
+        again = cut_lineage(rows.select(pairs).where("id IS NOT NULL").groupBy("column", "id").count().where("count > 1"))
+        many = {r["column"]: r["ids"] for r in again.groupBy("column").agg(F.count(F.lit(1)).alias("ids")).collect()}
+        for column in many:
+            marked = again.where(F.col("column") == column).select(F.col("id").alias(f"_again_{column}"))
+            marked = F.broadcast(marked) if many[column] <= BROADCAST_IDS else marked
+            rows = rows.join(marked, F.col(column) == F.col(f"_again_{column}"), "left")
         return rows
 
     def heavy(self, rows: DataFrame) -> list:

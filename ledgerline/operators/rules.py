@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline import texts
@@ -82,6 +82,10 @@ class SuddenSalesSpike:
         # Detection looks at existing inventory only.
         return self.findings(_of_known(stats, context)).select(*FINDING)
 
+    def after(self, changes: DataFrame, context: RuleContext) -> DataFrame:
+        window = recent(context.sales, "sold_at", _before(context.as_of, self.lookback_hours * HOUR))
+        return self.findings(_sales_until(changes, window))
+
     def per_event(self, sales: DataFrame, *, row_id: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
         """The rule as of every single sale, seeing sales up to that moment."""
         stats = _sales_windows(sales, self.lookback_hours * HOUR, row_id, hot_rows)
@@ -145,6 +149,10 @@ class RapidConsecutiveSales:
             F.count(F.lit(1)).alias("window_count"), F.sum(F.col("quantity_sold").cast("long")).alias("window_sum"))
         return self.findings(_of_known(stats, context)).select(*FINDING)
 
+    def after(self, changes: DataFrame, context: RuleContext) -> DataFrame:
+        window = recent(context.sales, "sold_at", _before(context.as_of, self.time_window_seconds * SECOND))
+        return self.findings(_sales_until(changes, window))
+
     def per_event(self, sales: DataFrame, *, row_id: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
         stats = _sales_windows(sales, self.time_window_seconds * SECOND, row_id, hot_rows)
         return self.findings(stats)
@@ -157,6 +165,16 @@ class RapidConsecutiveSales:
             "score": _capped(count / F.lit(float(self.transaction_count)) * 100), "description": text})
 
 
+def _sales_until(changes: DataFrame, window: DataFrame) -> DataFrame:
+    """For each change the sales of ``window`` that arrived up to it: a running frame, as all see one lower bound."""
+    facts = window.select("inventory_id", "sequence", F.col("quantity_sold").cast("long").alias("_units"))
+    asks = changes.select("inventory_id", "sequence", "event_id", F.lit(True).alias("_asks"))
+    so_far = Window.partitionBy("inventory_id").orderBy("sequence").rangeBetween(Window.unboundedPreceding, 0)
+    return facts.unionByName(asks, allowMissingColumns=True).withColumns({
+        "window_count": F.count("_units").over(so_far), "window_sum": F.sum("_units").over(so_far),
+        "window_max": F.max("_units").over(so_far)}).where("_asks")
+
+
 def _of_known(stats: DataFrame, context: RuleContext) -> DataFrame:
     return stats.join(context.inventory.select(F.col("id").alias("inventory_id")), "inventory_id", "left_semi")
 
@@ -221,15 +239,20 @@ class RuleEngine:
     def detect_after(self, changes: DataFrame, context: RuleContext) -> DataFrame:
         """Open anomalies right after each applied event in ``changes`` (audit rows).
 
-        Rules that only need the change itself offer ``per_change`` and see every change; the others look at the
-        tables, which are the same for all events of one run.
+        Rules that only need the change itself offer ``per_change``. Rules over sales offer ``after`` and see the sales
+        that arrived up to each change, if changes and sales carry their arrival as ``sequence``. Other rules look at
+        the tables, which are the same for all events of one run.
         """
+        in_order = "sequence" in changes.columns and "sequence" in context.sales.columns
         events = changes.select("inventory_id", F.col("source_event_id").alias("event_id"))
         parts = []
         for position, rule in enumerate(self.rules):
             try:
+                tagged = changes.withColumn("event_id", F.col("source_event_id"))
                 if hasattr(rule, "per_change"):
-                    found = rule.per_change(changes.withColumn("event_id", F.col("source_event_id")))
+                    found = rule.per_change(tagged)
+                elif in_order and hasattr(rule, "after"):
+                    found = rule.after(tagged, context)
                 else:
                     found = rule.evaluate(context).select(*FINDING).join(events, "inventory_id")
                 parts.append(found.select(*FINDING, "event_id", F.lit(position).alias("rule_no")))

@@ -43,8 +43,8 @@ def post_sales(
                           hot_rows=hot_rows)
 
 
-def sales_rows(ledger: DataFrame, sold_at: Column) -> DataFrame:
-    """Posted sales in table shape."""
+def sales_rows(ledger: DataFrame, sold_at: Column, sequence: Column | None = None) -> DataFrame:
+    """Posted sales in table shape; ``sequence`` grows with the order of arrival."""
     return applied(ledger).select(
         stable_id(F.lit("sale"), "sale_id").alias("id"),
         inventory_id("store_id", "product_id").alias("inventory_id"),
@@ -52,6 +52,7 @@ def sales_rows(ledger: DataFrame, sold_at: Column) -> DataFrame:
         F.col("sale_price").cast("decimal(12,2)").alias("sale_price"),
         F.col("sale_id").alias("external_sale_id"),
         sold_at.alias("sold_at"),
+        *([] if sequence is None else [sequence.cast("long").alias("sequence")]),
     )
 
 

@@ -508,14 +508,21 @@ FROM sales_ledger WHERE status = 'applied' ORDER BY product_id, store_id, sold_a
   CASE WHEN batch_no % 3 = 0 THEN 0 ELSE failed_events END AS failed_events, duplicate_events,
   CASE WHEN batch_no % 3 = 0 THEN 'completed' ELSE status END AS status FROM outcomes""",
     "detect_after": _with(
-        LEDGER, BALANCES, HISTORY, SOLD, _recent(120 * HOUR, "sp", "balances"), _recent(DAY, "ra", "balances"),
-        f"""changes AS (SELECT inventory_id, source_event_id AS event_id FROM history WHERE changed_at >= {AS_OF - 48 * HOUR}),
+        LEDGER, BALANCES, HISTORY, SOLD,
+        f"""changes AS (SELECT inventory_id, source_event_id AS event_id, event_no FROM history
+  JOIN (SELECT event_id AS source_event_id, event_no FROM ev) USING (source_event_id) WHERE changed_at >= {AS_OF - 48 * HOUR}),
+sp AS (SELECT c.inventory_id, c.event_id, count(*) AS n, sum(s.quantity) AS units, max(s.quantity) AS peak
+  FROM changes c JOIN sold s ON s.inventory_id = c.inventory_id AND s.event_no <= c.event_no AND s.tm >= {AS_OF - 120 * HOUR}
+  GROUP BY ALL),
+ra AS (SELECT c.inventory_id, c.event_id, count(*) AS n, sum(s.quantity) AS units, max(s.quantity) AS peak
+  FROM changes c JOIN sold s ON s.inventory_id = c.inventory_id AND s.event_no <= c.event_no AND s.tm >= {AS_OF - DAY}
+  GROUP BY ALL),
 c AS (SELECT *, source_event_id AS event_id, quantity_after AS current_quantity FROM history
   WHERE changed_at >= {AS_OF - 48 * HOUR}),
 found AS (SELECT n.*, event_id, 0 AS rule_no FROM ({_negative('balances')}) n JOIN changes USING (inventory_id)
-  UNION ALL SELECT n.*, event_id, 1 FROM ({_spike('sp')}) n JOIN changes USING (inventory_id)
+  UNION ALL SELECT * EXCLUDE (event_id), event_id, 1 FROM ({_spike('sp', 'event_id,')})
   UNION ALL SELECT * EXCLUDE (event_id), event_id, 2 FROM ({_adjustment('c', 'event_id,')})
-  UNION ALL SELECT n.*, event_id, 3 FROM ({_rapid('ra', 86400)}) n JOIN changes USING (inventory_id))""",
+  UNION ALL SELECT * EXCLUDE (event_id), event_id, 3 FROM ({_rapid('ra', 86400, 'event_id,')}))""",
     ) + f"""SELECT {_id("'anomaly'", 'inventory_id', 'event_id', 'anomaly_type')} AS id, inventory_id, event_id, anomaly_type,
   severity, score, description, rule_no FROM found""",
     "list_alerts_page": _with(EV, ALERTS, "w AS (SELECT * FROM alerts WHERE severity = 'high')") +

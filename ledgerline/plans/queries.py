@@ -395,11 +395,12 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def detect_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection right after each applied event of the last day, over the tables as that day left them."""
+    """Detection right after each applied event of the last two days: rules over sales see those up to the event."""
     ledger = _ledger(spark, sf_dir)
     inventory = domain.inventory_table(balance.balances_after(ledger), samples.as_of())
     history = balance.audit_rows(ledger, F.col("ts"), F.col("event_no"))
-    context = rules.RuleContext(inventory, _event_sales(spark, sf_dir), history, samples.as_of())
+    sold = _event_sales(spark, sf_dir).withColumn("sequence", F.col("event_no"))
+    context = rules.RuleContext(inventory, sold, history, samples.as_of())
     changes = history.where(F.col("changed_at") >= F.timestamp_micros(F.lit(samples.AS_OF_MICROS - 48 * rules.HOUR)))
     return _engine().detect_after(changes, context).select(
         "id", "inventory_id", "event_id", "anomaly_type", "severity", "score", "description", "rule_no")

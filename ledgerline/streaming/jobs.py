@@ -8,6 +8,7 @@ order (topic, partition, offset); event times are validated and, for sales, kept
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 from time import perf_counter
 
@@ -76,8 +77,12 @@ def process_batch(
     stock, sold = stock.persist(StorageLevel.MEMORY_AND_DISK), sold.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ledger = _fold(stock, sold, batch_id, store)
-        _write_ledger(ledger, stock, sold, batch_id, store, as_of)
-        _write_findings(ledger, batch_id, store, engine, at, alert_key)
+        # Neither needs what the other writes.
+        with ThreadPoolExecutor(2) as pool:
+            written = [pool.submit(_write_ledger, ledger, stock, sold, batch_id, store, as_of),
+                       pool.submit(_write_findings, ledger, batch_id, store, engine, at, alert_key)]
+            for result in written:
+                result.result()
         if deliver is not None:
             for topic, name in ((ALERT_TOPIC, "alert_messages"), (DLQ_TOPIC, "dlq")):
                 deliver(topic, store.before(name, batch_id + 1, batch_id).select("key", "value"), batch_id)
@@ -137,7 +142,7 @@ def _write_ledger(
     lost = failures.unionByName(deadletter.sales_failures(sold, balance.refused(of_sales)))
     store.write_all(batch_id, {
         "inventory_history": balance.audit_rows(ledger, as_of, _arrival()),
-        "sales": sales.sales_rows(of_sales, F.col("event_time")),
+        "sales": sales.sales_rows(of_sales, F.col("event_time"), _arrival()),
         "balances": _touched(ledger),
         "processed_events": balance.processed_rows(balance.applied(of_stock), order=ORDER, processed_at=as_of),
         "failed_events": deadletter.failed_event_rows(failures, as_of, store.before("failed_events", batch_id)),
@@ -160,15 +165,17 @@ def _write_findings(
     # A sale may carry a time somewhat ahead of the batch that posts it.
     reach = engine.lookback_seconds()
     since = store.since(batch_id, at, None if reach is None else reach + MAX_FUTURE_SKEW_SECONDS)
-    of_stock = balance.applied(ledger.where(~F.col("must_exist")))
+    of_stock, of_sales = balance.applied(ledger.where(~F.col("must_exist"))), ledger.where("must_exist")
     changes = balance.audit_rows(of_stock, as_of, _arrival())
     stocked = inventory_table(_touched(ledger), as_of)
     keys = stocked.select(F.col("id").alias("inventory_id"))
-    context = RuleContext(
-        stocked,
-        store.before("sales", batch_id + 1, since).join(keys, "inventory_id", "left_semi"),
-        store.before("inventory_history", batch_id + 1, since).join(keys, "inventory_id", "left_semi"),
-        as_of)
+    # Sales of earlier batches arrived before any change of this one.
+    earlier = store.before("sales", batch_id, since).drop("batch_id").withColumn("sequence", F.lit(-1).cast("long"))
+    sold = earlier.unionByName(sales.sales_rows(of_sales, F.col("event_time"), _arrival()))
+    recorded = store.before("inventory_history", batch_id, since).drop("batch_id").unionByName(
+        balance.audit_rows(ledger, as_of, _arrival()))
+    context = RuleContext(stocked, sold.join(keys, "inventory_id", "left_semi"),
+                          recorded.join(keys, "inventory_id", "left_semi"), as_of)
     found = anomalies.new_anomalies(engine.detect_after(changes, context), store.before("anomalies", batch_id))
     found = cut_lineage(found)
     candidates = alerts.alert_candidates(found)

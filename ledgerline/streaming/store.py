@@ -23,6 +23,7 @@ _BALANCES = T.StructType([
 _MESSAGES = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 # Arrival order, which tells apart changes of one processing time.
 _HISTORY = T.StructType([*S.INVENTORY_HISTORY.fields, T.StructField("sequence", T.LongType())])
+_SALES = T.StructType([*S.SALES.fields, T.StructField("sequence", T.LongType())])
 _CLOCK = T.StructType([T.StructField("at", T.TimestampType())])
 _OUTCOMES = T.StructType([
     T.StructField("outcome", T.StringType()), T.StructField("count", T.LongType()), T.StructField("seconds", T.DoubleType())])
@@ -32,7 +33,7 @@ _BATCH_LOG = T.StructType([
     T.StructField("processing_time_ms", T.DoubleType()), T.StructField("status", T.StringType())])
 
 TABLES: dict[str, T.StructType] = {
-    "inventory_history": _HISTORY, "sales": S.SALES, "anomalies": S.ANOMALIES, "alerts": S.ALERTS,
+    "inventory_history": _HISTORY, "sales": _SALES, "anomalies": S.ANOMALIES, "alerts": S.ALERTS,
     "processed_events": S.PROCESSED_EVENTS, "failed_events": S.FAILED_EVENTS, "balances": _BALANCES,
     "balance_base": _BALANCES, "dlq": _MESSAGES, "alert_messages": _MESSAGES, "cache": _MESSAGES,
     "batch_log": _BATCH_LOG, "outcomes": _OUTCOMES, "clock": _CLOCK, "commits": _CLOCK,
