@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from ledgerline.operators.components import components
 
 #: How many of the commonest shingles have a place of their own in the global order (16 bytes each on every executor).
 COMMON = 100_000
+#: Text whose shingles a task holds at a time.
+SLICE_BYTES = 4_000_000
 #: A group table up to this size (some 40 bytes a row) is broadcast to the texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -93,6 +96,15 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(value)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) in batches of about ``SLICE_BYTES`` of text, which bounds what a task holds."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All shingles of some sets, and the number of the set that each belongs to."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -130,7 +142,7 @@ def measure(documents: DataFrame, like: Likeness) -> DataFrame:
     shingle and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(text, like.words) for text in batch.column(1).to_pylist()]
             digests = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets],
                                np.uint64).reshape(-1, 2).astype(np.int64)
@@ -181,7 +193,7 @@ def postings(documents: DataFrame, order: Order, like: Likeness, together: int)
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Order.__new__(Order)
         known.values, known.classes = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             by = np.argsort(ids, kind="stable")
             sets, own, copies, held = [], [], [], {}
