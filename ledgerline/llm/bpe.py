@@ -34,7 +34,7 @@ from ledgerline.llm.storage import ship
 
 #: Words of up to so many bytes use the rank array.
 SHORT = 256
-#: Slots of the table of words (29 bytes each); it is emptied when more than half are taken.
+#: Slots of the table of words (29 bytes each); it is emptied when more than half are taken, also within a text.
 SLOTS = 1 << 20
 #: Characters, or ids, that are worked on at a time.
 BATCH_CHARS = 400_000
@@ -269,8 +269,24 @@ class Codec:
         return found
 
     def _ids_of(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words at ``start`` in ``data``, one after the other, and the number of ids of each word."""
-        table, raw = self.words, data.tobytes()
+        """All ids of the words at ``start`` in ``data``, one after the other, and the number of ids of each word.
+
+        The words go through in steps, each of at most a quarter of the table's slots, so the table never fills up.
+        """
+        raw, ends, done = data.tobytes(), np.cumsum(size), 0
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        while done < len(start):
+            stop = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + BATCH_CHARS, "right"))
+            stop = min(max(stop, done + 1), done + self.words.slots // 4)
+            for held, found in zip((ids, counts), self._ids_of_step(data, raw, start[done:stop], size[done:stop])):
+                held.append(found)
+            done = stop
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _ids_of_step(self, data: np.ndarray, raw: bytes, start: np.ndarray,
+                     size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that the table has room for once it is at most half full."""
+        table = self.words
         if 2 * table.taken > table.slots:
             table.clear()
         short = np.flatnonzero(size < 24)

@@ -61,6 +61,18 @@ def test_table_of_words_that_fills_up():
     assert got == [library_ids(text) for text in texts]
 
 
+def test_one_text_with_more_words_than_the_table_has_slots():
+    small = bpe.Codec(PATH)
+    small.words = bpe.WordTable(slots=64)
+    text = " ".join(f"{i} w{i * 7} {'y' * (i % 40)}" for i in range(500))
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == library_ids(text)
+
+
+def test_one_text_of_many_different_numbers():
+    text = " ".join(map(str, range(1_500_000)))
+    assert np.array_equal(np.frombuffer(bpe.codec(PATH).encode(text), "<u4"), np.array(library_ids(text), "<u4"))
+
+
 def test_ids_that_are_no_text():
     ids = np.array([50_000, 128, 50_256, 3], "<u4")
     assert bpe.codec(PATH).decode(ids.tobytes()) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
