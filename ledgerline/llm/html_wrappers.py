@@ -5,13 +5,15 @@ and text becomes a slot. Shapes of one host are aligned one after the other: ele
 elements that one lacks become optional, runs become repeated groups, and texts that differ stay slots. The result is
 the host's wrapper, a regular expression without unions. The wrapper's slots are then told apart: slots in menus,
 headers, footers, sidebars, notices, adverts, forms and comments are template, as are slots outside an article whose
-text is the same on all pages; if the wrapper has an article, only slots inside it hold main text, else those of the
-element with most prose. A page's main text is what its tokens put into main slots.
+text is the same on all pages, unless the pages are copies whose equal text outweighs what differs. Which slots are main
+depends on the optional groups that a page fills: on a page with an article the slots inside it, or those of the main
+element if it holds more text than the articles do; on others those of the element with most prose. A page's main text
+is what its tokens put into main slots.
 
 Aligning is a fold with a small state, so no group of pages is gathered: each task first merges the shapes of its own
 pages of a host, then salted shares of a host are merged, then the host. Wrappers are joined back to the pages by host.
 
-Defined results: null html is empty (empty text); a null or odd address belongs to the host with the empty name;
+Defined results: null html is empty (empty text); a page with a null or odd address is a host of its own;
 repeated rows give repeated results; unclosed, crossed and surplus tags are tolerated; an empty table gives an empty
 table.
 """
@@ -250,34 +252,79 @@ def is_template(path: tuple[str, ...]) -> bool:
     return False
 
 
-def main_slots(wrapper: list) -> set[tuple[str, ...]]:
-    """Paths of the slots that hold main text."""
-    slots: dict[tuple[str, ...], list[list]] = {}
+Path = tuple[str, ...]
+
 
-    def walk(shape: list, path: tuple[str, ...]) -> None:
+def slots_of(wrapper: list) -> dict[Path, list[list]]:
+    """What is known of the texts of each slot."""
+    slots: dict[Path, list[list]] = {}
+
+    def walk(shape: list, path: Path) -> None:
         if shape[4]:
             slots.setdefault(path, []).append(shape[4])
         for child in shape[3]:
             walk(child, (*path, child[0]))
 
     walk(wrapper, ())
-    usable = [path for path in slots if not is_template(path)]
-    for kind in ("article+", "+"):
-        inside = {path for path in usable if any(label.endswith(kind) for label in path)}
-        if inside:
-            return inside
-    varied = [path for path in usable if any(pages < LEAST_PAGES or not same for pages, _, same in slots[path])]
-    if not varied:
-        varied = usable
-    weight: dict[tuple[str, ...], int] = {}
-    for path in varied:
-        prose = path[:-1] if path and path[-1] in ("p", "li", "h1", "h2", "h3", "h4", "blockquote", "pre") else path
-        weight[prose] = weight.get(prose, 0) + sum(chars for _, chars, _ in slots[path])
-    if not weight:
+    return slots
+
+
+def main_slots(wrapper: list, own: dict[Path, int] | None = None) -> set[Path]:
+    """Paths of the slots that hold main text."""
+    return choose(slots_of(wrapper), own)
+
+
+def choose(slots: dict[Path, list[list]], own: dict[Path, int] | None = None) -> set[Path]:
+    """Paths of the main slots for a page that puts so many characters (``own``) into each path that it fills.
+
+    Without a page, all that the host fills counts.
+    """
+    if own is None:
+        own = {path: sum(chars for _, chars, _ in found) for path, found in slots.items()}
+    usable = [path for path in own if not is_template(path)]
+    article = {path for path in usable if "article+" in path}
+    rest = {path for path in usable if path not in article and any(label.endswith("+") for label in path)}
+    if article or rest:
+        if sum(map(own.get, article)) >= sum(map(own.get, rest)):
+            return article
+        # The articles are cards: main text too where the main element holds them.
+        return rest | {path for path in article if next(x for x in path if x.endswith("+")) != "article+"}
+    return _prose(slots, own, usable)
+
+
+def _prose(slots: dict[Path, list[list]], own: dict[Path, int], usable: list[Path]) -> set[Path]:
+    """Paths in the elements with most prose, of a page without an article."""
+    fixed = [path for path in usable if all(pages >= LEAST_PAGES and same for pages, _, same in slots[path])]
+    varied = [path for path in usable if path not in fixed]
+
+    def heaviest(paths: list[Path], chars: dict[Path, float]) -> tuple[Path, float]:
+        weight: dict[Path, float] = {}
+        for path in paths:
+            prose = path[:-1] if path and path[-1] in ("p", "li", "h1", "h2", "h3", "h4", "blockquote", "pre") else path
+            weight[prose] = weight.get(prose, 0) + chars[path]
+        found = max(weight, key=lambda path: (weight[path], path))
+        return found, weight[found]
+
+    def within(paths: list[Path], element: Path) -> set[Path]:
+        return {path for path in paths if path[:len(element)] == element}
+
+    if not usable:
         return set()
-    # The element with most prose; slots of other elements are main text too if they lie inside it.
-    chosen = max(weight, key=lambda path: (weight[path], path))
-    return {path for path in varied if path[:len(chosen)] == chosen}
+    if not varied:
+        varied, fixed = usable, []
+    # The element with most prose on the host; slots of other elements are main text too if they lie inside it.
+    main = within(varied, heaviest(varied, {path: sum(chars for _, chars, _ in slots[path]) for path in varied})[0])
+    # A slot may weigh much by pages of another layout: the page's own element counts too if it is far larger.
+    element, chars = heaviest(varied, own)
+    if chars > 2 * sum(map(own.get, main)):
+        main |= within(varied, element)
+    # If what is equal outweighs what differs, the pages are copies, and equal text is no sign of template.
+    if fixed:
+        each = {path: sum(chars / pages for pages, chars, _ in slots[path]) for path in usable}
+        element, chars = heaviest(fixed, each)
+        if chars > sum(map(each.get, varied)):
+            main |= within(usable, element)
+    return main
 
 
 def _wrap(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[str, list]]:
@@ -331,25 +378,28 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     ship(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    wrappers = settle(infer_wrappers(hosted), "wrappers").withColumnRenamed("host", "of_host")
+    wrappers = settle(infer_wrappers(hosted.where("host != ''")), "wrappers").withColumnRenamed("host", "of_host")
     few = wrappers.count() <= BROADCAST_HOSTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set] = {}
+        known: dict[str, dict] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if wrapper not in known:
+                if wrapper is not None and wrapper not in known:
                     if len(known) > 5000:
                         known.clear()
-                    known[wrapper] = main_slots(json.loads(wrapper))
-                main = known[wrapper]
-                texts.append(" ".join(text for path, text in blocks(page or "") if path in main))
+                    known[wrapper] = slots_of(json.loads(wrapper))
+                found, own = list(blocks(page or "")), {}
+                for path, text in found:
+                    own[path] = own.get(path, 0) + len(text)
+                main = choose(slots_of(shape_of(page or "")) if wrapper is None else known[wrapper], own)
+                texts.append(" ".join(text for path, text in found if path in main))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return (hosted.join(F.broadcast(wrappers) if few else wrappers, F.col("host") == F.col("of_host"))
+    return (hosted.join(F.broadcast(wrappers) if few else wrappers, F.col("host") == F.col("of_host"), "left")
             .select("page_id", "url", "html", "wrapper")
             .mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint"))

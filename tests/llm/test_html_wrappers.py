@@ -59,6 +59,34 @@ def test_hosts_without_articles(spark):
     assert extracted(spark, pages) == [text for *_, text in pages]
 
 
+def test_layouts_of_one_host(spark):
+    """Pages with an article, with main, with a post's div and with plain divs; cards of other pages in articles."""
+    card = "<article><h3>Card</h3></article>"
+    kinds = [lambda i: (article(i), article_text(i)),
+             lambda i: (f"<main><p>{'Body ' * 30}{i}</p></main>", f"{'Body ' * 30}{i}"),
+             lambda i: (f"<main><p>{'Body ' * 30}{i}</p></main><div class=x>{card}</div>", f"{'Body ' * 30}{i}"),
+             lambda i: (f"<main><p>{'Body ' * 30}{i}</p>{card}</main>", f"{'Body ' * 30}{i} Card"),
+             lambda i: (f'<div class="post-content"><p>Post {i} {"text " * 20}</p></div>', f"Post {i} {'text ' * 19}text"),
+             lambda i: (f"<div class=page><p>Plain {i} {'text ' * 20}</p></div>", f"Plain {i} {'text ' * 19}text")]
+    made = [kinds[i % 6](i) for i in range(60)]
+    pages = [(f"http://k.example/{i}", f"{HEAD}{NAV}<div class=top>Top</div>{page}<footer>f</footer>") for i, (page, _) in enumerate(made)]
+    assert extracted(spark, pages) == [text for _, text in made]
+
+
+def test_odd_addresses_are_hosts_of_their_own(spark):
+    made = [(f"{NAV}{article(i)}", article_text(i)) if i % 2 else (f"<div><p>Plain {i} text</p></div>", f"Plain {i} text")
+            for i in range(20)]
+    assert extracted(spark, [((None, "?")[i % 3 == 0], page) for i, (page, _) in enumerate(made)]) == [text for _, text in made]
+
+
+def test_near_copies_without_articles(spark):
+    body = "<h2>Same head</h2>" + "".join(f"<p>{'Same prose ' * 10}{k}</p>" for k in range(4))
+    pages = [(f"http://c.example/{i}", f"{HEAD}{NAV}<div class=date>May {i}</div><div><div>{body}</div></div>"
+              "<div class=low><p>All rights reserved</p></div>") for i in range(12)]
+    want = "Same head " + " ".join(f"{'Same prose ' * 10}{k}" for k in range(4))
+    assert extracted(spark, pages) == [f"May {i} {want}" for i in range(12)]
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("plain & simple", "plain & simple"), ("<p>a<p>b", "a b"), ("<article>x</div>y</article>z", "x y"),
     ("<article><p>a&nbsp;&#228;&#x41;&unknown; b</article>", "a äA&unknown; b"), ("<article>a<script>x", "a"),
