@@ -61,6 +61,10 @@ TEMPLATE_WORDS = re.compile(
     r"banner|cookies?|consent|notices?|breadcrumbs?|comments?|commentlist|repl(?:y|ies)|discussion|disqus|share|"
     r"sharing|social|related|newsletter|subscribe|subscription|popup|modal|widget|masthead|toolbar|pagination|pager|"
     r"login|signup|skip)$")
+COMMENT_WORDS = re.compile(r"(?:comments?|commentlist|disqus|repl(?:y|ies))$")
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Elements that are template by their names inside an article too; names of its sections and paragraphs are anchors.
+GROUPS = {"div~", "ul~", "ol~", "dl~", "li~", "figure~", "table~"}
 ARTICLE_WORDS = re.compile(r"(?:article|post|entry|story)(?:[-_]?(?:body|content|text))$|^(?:articlebody|main-content)$")
 
 _TOKEN = re.compile(
@@ -71,18 +75,24 @@ _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 def label_of(name: str, attributes: str) -> str:
-    """The element's kind: its tag, and one of ``-`` (template), ``+`` (article) or nothing."""
+    """The element's kind: its tag, and one of ``-`` (template), ``~`` (template by a name), ``+`` (article) or nothing."""
+    if name in ("html", "body"):
+        return name
     found = {k.lower(): (a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
-    words = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    names = found.get("class", "").lower().split()
+    words = [*names, *found.get("id", "").lower().split()]
     hidden = ("hidden" in found or found.get("aria-hidden", "").lower() == "true"
               or "display:none" in found.get("style", "").lower().replace(" ", ""))
-    parts = {part for word in words for part in (word, *re.split(r"[-_]+", word))}
+    comments = any(map(COMMENT_WORDS.match, names))
     if name in ("article", "main") or role in ("main", "article") or any(
             ARTICLE_WORDS.search(word) for word in [*words, found.get("itemprop", "").lower()]):
-        return name + "+" if not hidden and not any(re.match(r"comments?$|repl(?:y|ies)$", p) for p in parts) else name + "-"
-    if name in TEMPLATE_TAGS or hidden or role in TEMPLATE_ROLES or any(map(TEMPLATE_WORDS.match, parts)):
+        return name + "+" if not hidden and (name == "main" or not comments) else name + "-"
+    if name in TEMPLATE_TAGS or hidden or role in TEMPLATE_ROLES or name == "section" and comments:
         return name + "-"
+    # A name is a whole word, or made of such words only: cookie-notice, but not no-sidebar or related-work.
+    if name not in HEADINGS and any(all(map(TEMPLATE_WORDS.match, re.split(r"[-_]+", word))) for word in words):
+        return name + "~"
     return name
 
 
@@ -242,13 +252,18 @@ def expression(wrapper: list) -> str:
                                                                    "+" if wrapper[2] else "?" if wrapper[1] else "")
 
 
-def is_template(path: tuple[str, ...]) -> bool:
-    """Inside a menu, notice and the like; a header is template unless an article holds it."""
-    inside = False
-    for label in path:
-        if label.endswith("-") or label == "header" and not inside:
+def is_template(path: tuple[str, ...], named: bool = True) -> bool:
+    """Inside a menu, notice and the like; a header is template unless an article holds it.
+
+    Unless ``named``, the names of elements that hold an article, or other elements where there is none, do not count.
+    """
+    article = next((i for i, label in enumerate(path) if label.endswith("+")), None)
+    for i, label in enumerate(path):
+        inside = article is not None and i > article
+        if label.endswith("-") or label.rstrip("~") == "header" and not inside:
+            return True
+        if label.endswith("~") and (label in GROUPS if inside else named or i == len(path) - 1):
             return True
-        inside = inside or label.endswith("+")
     return False
 
 
@@ -289,7 +304,13 @@ def choose(slots: dict[Path, list[list]], own: dict[Path, int] | None = None) ->
             return article
         # The articles are cards: main text too where the main element holds them.
         return rest | {path for path in article if next(x for x in path if x.endswith("+")) != "article+"}
-    return _prose(slots, own, usable)
+    # Articles that only elements with a template's name hold, unless other elements have more text.
+    main = _prose(slots, own, usable)
+    others = [path for path in own if not is_template(path, named=False)]
+    held = {path for path in others if any(label.endswith("+") for label in path)}
+    if held and sum(map(own.get, held)) > sum(map(own.get, main)):
+        return held
+    return main or _prose(slots, own, others)
 
 
 def _prose(slots: dict[Path, list[list]], own: dict[Path, int], usable: list[Path]) -> set[Path]:

@@ -87,6 +87,24 @@ def test_near_copies_without_articles(spark):
     assert extracted(spark, pages) == [f"May {i} {want}" for i in range(12)]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<body class="no-sidebar menu"><article>t</article>', "t"), ('<html id=social><body><div><p>t</p></div>', "t"),
+    ('<div id="wrapper" class="has-sidebar"><article>t</article></div>', "t"),
+    ('<div class="has-sidebar"><p>t</p></div>', "t"), ('<div class="widget"><article>t</article></div>', "t"),
+    ('<div class="social"><div><p>t</p></div></div>', "t"),
+    ('<article class="comments-open">t</article>', "t"), ('<main class="comments">t</main>', "t"),
+    ('<article>a<section id="discussion"><p>b</p></section><h2 id="related-work">c</h2><p class="notice">d</p></article>', "a b c d"),
+    ('<article><h2 id="discussion">c</h2><section class="related"><p>d</p></section></article>', "c d"),
+    # Furniture stays out.
+    ('<article>a<div class="share">s</div><ul class="social"><li>x</ul><section class="comments"><p>r</p></section></article>', "a"),
+    ('<article>a</article><div id="comments"><article class="comment">r</article><article>r</article></div>', "a"),
+    ('<div class="cookie-notice">c</div><div class="nav-menu"><p>m</p></div><div><p>t</p></div>', "t"),
+    ('<div class="ad">c</div><article></article>', ""),
+])
+def test_names_of_elements(spark, page, text):
+    assert extracted(spark, [("http://n.example/", page)]) == [text]
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("plain & simple", "plain & simple"), ("<p>a<p>b", "a b"), ("<article>x</div>y</article>z", "x y"),
     ("<article><p>a&nbsp;&#228;&#x41;&unknown; b</article>", "a äA&unknown; b"), ("<article>a<script>x", "a"),
