@@ -41,19 +41,23 @@ BROADCAST_HOSTS = 2_000
 LEAST_PAGES = 5
 
 # Fixed values of HTML.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
+#: Those that go on to the end of the page if they have no closing tag.
+ENDLESS = {"script", "style", "textarea", "title"}
 BLOCK = set("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption "
             "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table "
-            "tbody td tfoot th thead tr ul caption button label option".split())
+            "tbody td tfoot th thead tr ul caption button label option svg foreignobject select".split())
 VOID = {"hr", "br", "img", "input", "link", "meta", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
 #: A new element of the first kind ends an open one of these kinds.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
         "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 PARAGRAPH_ENDS = BLOCK - {"button", "label", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "html",
-                          "head", "body", "li", "dt", "dd", "summary"}
+                          "head", "body", "li", "dt", "dd", "summary", "svg", "foreignobject", "select"}
+#: Elements that a new block element ends, unless it is one of these.
+BROKEN_BY_BLOCKS = {"svg": {"svg", "foreignobject"}, "select": {"option"}}
 #: An end tag does not look past these for its element.
 SCOPES = {"table", "td", "th", "html"}
-TEMPLATE_TAGS = {"nav", "aside", "footer", "form", "dialog", "menu", "button", "label", "option", "head"}
+TEMPLATE_TAGS = {"nav", "aside", "footer", "form", "dialog", "menu", "button", "label", "option", "head", "svg", "select"}
 TEMPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu",
                   "menubar", "form", "toolbar"}
 TEMPLATE_WORDS = re.compile(
@@ -101,6 +105,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     path: list[str] = []
     names: list[str] = []
     held: list[str] = []
+    endings: set[str] = set()  # kinds of RAW that no closing tag follows any more
     at, size = 0, len(page)
 
     def flush() -> Iterator[tuple[tuple[str, ...], str]]:
@@ -122,7 +127,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         name = found["name"].lower()
         if found["end"]:
             if name == "br" or name not in BLOCK:
-                if name in ("br", "p"):
+                if name in ("br", "p", "object"):
                     held.append(" ")
                 continue
             yield from flush()
@@ -133,9 +138,18 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
                 if names[i] in SCOPES and name not in SCOPES and name not in ("tbody", "thead", "tfoot", "tr", "body"):
                     break
             continue
+        closed = found["attrs"].endswith("/")
+        if name == "svg" and closed or closed and "svg" in names[-1:]:
+            held.append(" ")
+            continue
         if name in RAW:
-            closing = _RAW_END[name].search(page, at)
-            at = closing.end() if closing else size
+            closing = None if name in endings else _RAW_END[name].search(page, at)
+            if closing:
+                at = closing.end()
+            elif name in ENDLESS:
+                at = size
+            else:
+                endings.add(name)
             if name not in ("script", "style", "noscript", "template"):
                 held.append(" ")
             continue
@@ -145,9 +159,15 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             elif name == "br":
                 held.append(" ")
             continue
+        if name == "object":
+            held.append(" ")
         if name not in BLOCK:
             continue
         yield from flush()
+        if names[-2:] == ["select", "option"] and name != "option":
+            names.pop(), path.pop()
+        while names and name not in BROKEN_BY_BLOCKS.get(names[-1], {name}):
+            names.pop(), path.pop()
         closes = ENDS.get(name, set()) | ({"p"} if name in PARAGRAPH_ENDS else set())
         while names and names[-1] in closes:
             names.pop(), path.pop()

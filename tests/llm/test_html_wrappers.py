@@ -87,6 +87,22 @@ def test_near_copies_without_articles(spark):
     assert extracted(spark, pages) == [f"May {i} {want}" for i in range(12)]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<svg class="i"/><article>t</article>', "t"), ("<p>x <svg /></p><article>a<svg/>b</article><svg><text>no</text></svg>", "a b"),
+    ("<article><svg><path d='M0'/><text>no</text></svg>a <svg><title>no</title></svg>b</article>", "a b"),
+    ("<article>a<svg><foreignObject><p>no</p></foreignObject></svg>b</article>", "a b"),
+    ("<svg><path><article>t<p>u</article>", "t u"), ("<article>a <svg><style/><path/></svg>b</article>", "a b"),
+    ("<article>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b <math/> c</article>", "a x=2 b c"),
+    ("<article>a <object data=x>in <b>it</b></object> b<object>c</article>", "a in it b c"),
+    ("<select><option>no<option>no<article>t</article>", "t"),
+    ("<article>a <select><option>no</option>no</select> b</article>", "a b"), ("<iframe src=x><article>t</article>", "t"),
+    ("<article>a<iframe>no</iframe> b</article>", "a b"), ("<noscript><template><article>t</article>", "t"),
+    ("<article>a<textarea>no<p>no", "a"), ("<article>a<select><svg/><p>b</article>", "a b"),
+])
+def test_embedded_elements(spark, page, text):
+    assert extracted(spark, [("http://e.example/", page)]) == [text]
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ('<body class="no-sidebar menu"><article>t</article>', "t"), ('<html id=social><body><div><p>t</p></div>', "t"),
     ('<div id="wrapper" class="has-sidebar"><article>t</article></div>', "t"),
