@@ -5,9 +5,10 @@ rendered and consecutive outputs compared: what the output gained is the turn's
 span is found by rendering the turn with two probe texts, which differ only where the text goes. A template that does
 not leave its earlier output alone is detected: the row is marked ``rewrites`` and carries no loss span.
 
-Long conversations are rendered from a sliding context of at most ``context`` turns, so the work grows with the turns
-and not with their square, and a worker holds a few turns of a conversation and never all. When the context is cut, the
-last turn's piece must come out as before; if it does not, the template looks further back and is marked likewise.
+By default true prefixes are rendered: a worker holds the conversation it is at and its last output, and the work grows
+with the square of the turns. A template that is declared to render each turn on its own (``turn_local``, as the default
+one, or a ``context``) is rendered from a sliding context of a few turns, so the work grows with the turns. When the
+context is cut, the last turn's piece must come out as before; if it does not, the row is marked likewise.
 
 Rows are dealt out by conversation, sorted by turn, and streamed. Defined results: null text or role is empty; a null
 conversation id is a conversation of its own; rows of one turn number are ordered by role and text, and repeated rows
@@ -29,7 +30,7 @@ from ledgerline.llm.storage import ship
 Message = tuple[str, str]
 Render = Callable[[list[Message]], str]
 
-#: Turns kept for rendering the next one.
+#: Turns kept for rendering the next one with a template whose turns do not depend on each other.
 CONTEXT = 8
 
 OPEN, CLOSE, HEAD = "### ", " </turn>\n", ": "
@@ -52,18 +53,27 @@ def plain_turns(messages: list[Message]) -> str:
     return "".join(f"{OPEN}{escape(role, True)}{HEAD}{escape(text)}{CLOSE}" for role, text in messages)
 
 
+#: A template with this mark renders each turn on its own.
+plain_turns.turn_local = True
+
+
 class Incremental:
-    """Renders one conversation turn by turn."""
+    """Renders one conversation turn by turn: all turns so far, or the last ones if a ``context`` is given.
+
+    A context is right only for templates whose turns do not depend on their number or on turns before it.
+    """
 
-    def __init__(self, render: Render, context: int = CONTEXT):
-        self.render, self.context = render, max(2, context)
+    def __init__(self, render: Render, context: int | None = None):
+        if context is None and getattr(render, "turn_local", False):
+            context = CONTEXT
+        self.render, self.context = render, context and max(2, context)
         self.kept: list[Message] = []
         self.before = render([])
         self.rewrites = False
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         """What the output gains by this turn, and where the turn's text starts and ends in it."""
-        if len(self.kept) >= self.context:
+        if self.context and len(self.kept) >= self.context:
             self._cut()
         after = self.render([*self.kept, (role, text)])
         if not after.startswith(self.before):
@@ -97,7 +107,7 @@ class Incremental:
         return head, len(piece) - tail
 
 
-def format_turns(conversations: DataFrame, render: Render = plain_turns, context: int = CONTEXT,
+def format_turns(conversations: DataFrame, render: Render = plain_turns, context: int | None = None,
                  trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per turn, in order inside each partition: conv_id, first (starts a conversation), turn_start and
     turn_end in the formatted conversation, text_start, text_end, loss (the text is trained on), piece, rewrites."""

@@ -101,3 +101,28 @@ def test_odd_rows(spark):
     rows = {r.conv_id: r for r in chat.digests(chat.format_turns(frame)).collect()}
     assert rows[None].n_turns == 1 and rows[3].n_turns == 3 and rows[3].loss_chars == 1_000_001
     assert chat.digests(chat.format_turns(frame.limit(0))).collect() == []
+
+
+def added(render, count, **more):
+    state = chat.Incremental(render, **more)
+    return state, [state.add(("user", "assistant")[i % 2], f"text {i}") for i in range(count)]
+
+
+def test_template_that_keeps_the_last_ten_turns():
+    state, _ = added(lambda messages: chat.plain_turns(messages[-10:]), 10)
+    assert not state.rewrites
+    state, _ = added(lambda messages: chat.plain_turns(messages[-10:]), 11)
+    assert state.rewrites
+
+
+def test_template_that_numbers_turns_or_needs_the_first():
+    def numbered(messages):
+        first = messages[0][0] if messages else ""
+        return "".join(f"[{i} after {first}] {role}: {text}\n" for i, (role, text) in enumerate(messages))
+
+    state, pieces = added(numbered, 40)
+    assert not state.rewrites
+    whole = [(("user", "assistant")[i % 2], f"text {i}") for i in range(40)]
+    assert "".join(piece for piece, *_ in pieces) == numbered(whole)
+    assert [piece[a:b] for piece, a, b in pieces] == [text for _, text in whole]
+    assert added(chat.plain_turns, 1)[0].context == chat.CONTEXT
