@@ -267,3 +267,54 @@ FROM placed LEFT JOIN judged ON judged.address IS NOT DISTINCT FROM placed.addre
      AND judged.host = placed.host AND judged.path = placed.path
 LEFT JOIN blocked ON blocked.node = placed.address
 """
+
+
+def crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit."""
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x // 2, 3988292384 * (x % 2)))"
+    return f"xor(list_reduce(list_concat([4294967295], {digits}), lambda c, b: {byte}), 4294967295)"
+
+
+#: All pairs of equal words up to a third of the text apart, in stretches on one diagonal; a run is left out if another
+#: run over its words has a smaller period.
+OP11 = rf"""
+WITH source_rows AS (
+    SELECT row_number() OVER () AS row_id, doc_id, {_WORDS} AS words, coalesce({crc32("doc_id")}, 1) AS h FROM documents),
+sized AS (
+    SELECT row_id, doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS changed,
+           (h // 10) % greatest(len(words), 1) AS a, 3 + (h // 10) % 8 AS parts FROM source_rows),
+rebuilt AS (
+    SELECT row_id, doc_id, n, CASE WHEN changed THEN list_transform(range(0, n), lambda i:
+               words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END]) ELSE words END AS words
+    FROM sized),
+tokens AS (SELECT row_id, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM rebuilt),
+pairs AS (
+    SELECT x.row_id, x.i, x.i - y.i AS q
+    FROM tokens x JOIN tokens y ON x.row_id = y.row_id AND x.word = y.word AND y.i < x.i AND 3 * (x.i - y.i) <= x.n),
+stretches AS (
+    SELECT row_id, q, min(i) - q AS start, count(*) + q AS length
+    FROM (SELECT row_id, q, i, i - row_number() OVER (PARTITION BY row_id, q ORDER BY i) AS diagonal FROM pairs)
+    GROUP BY row_id, q, diagonal HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (
+    SELECT row_id, start, length, q AS period FROM stretches r
+    WHERE NOT EXISTS (SELECT 1 FROM stretches o WHERE o.row_id = r.row_id AND o.q < r.q AND o.start <= r.start
+                      AND o.start + o.length >= r.start + r.length)),
+dropped AS (
+    SELECT DISTINCT row_id, unnest(range(start + period, start + length)) AS i FROM runs),
+short AS (
+    SELECT row_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+    FROM tokens ANTI JOIN dropped USING (row_id, i) GROUP BY row_id),
+listed AS (
+    SELECT row_id, count(*) AS n_runs,
+           string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS names
+    FROM runs GROUP BY row_id),
+best AS (
+    SELECT row_id, start, length, period FROM runs r
+    WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.row_id = r.row_id AND (
+        o.length * r.period > r.length * o.period OR o.length * r.period = r.length * o.period
+        AND (o.start < r.start OR o.start = r.start AND o.period < r.period))))
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(names, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM rebuilt LEFT JOIN listed USING (row_id) LEFT JOIN best USING (row_id) LEFT JOIN short USING (row_id)
+"""

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (bpe, chat, embedding_dedup, html_wrappers, license_scan, ngram_join, packing, quality,
-                            secret_scan, url_filter)
-from ledgerline.llm.oracles import OP1, OP2, OP3, OP4, OP5, OP8, OP10
+from ledgerline.llm import (bpe, chat, embedding_dedup, html_wrappers, license_scan, ngram_join, packing,
+                            periodic_runs, quality, secret_scan, url_filter)
+from ledgerline.llm.oracles import OP1, OP2, OP3, OP4, OP5, OP8, OP10, OP11
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, keep_text=False).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = periodic_runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.scan(documents, keep_text=False))
+
+
 query(op1_secret_scan, OP1)
 query(op2_license_scan, OP2)
 query(op3_embedding_dedup, OP3)
@@ -95,3 +100,4 @@ query(op7_packing)
 query(op8_url_filter, OP8)
 query(op9_html_wrappers)
 query(op10_quality_rules, OP10)
+query(op11_periodic_runs, OP11)
