@@ -318,3 +318,45 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
        sha256(coalesce(names, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM rebuilt LEFT JOIN listed USING (row_id) LEFT JOIN best USING (row_id) LEFT JOIN short USING (row_id)
 """
+
+#: Prefixes as whole texts, every node's ancestors by way of one member's path.
+OP12 = rf"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (
+    SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {crc32("conv_id")} % 9 AS h FROM turns GROUP BY conv_id),
+shared AS (
+    SELECT s.*, least(s.h, coalesce(b.n, 0)) AS m FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base),
+rebuilt AS (
+    SELECT conv_id, pos - h + m AS depth, role, text FROM turns JOIN shared USING (conv_id) WHERE pos > h
+    UNION ALL
+    SELECT s.conv_id, t.pos, t.role, t.text FROM shared s JOIN turns t ON t.conv_id = s.base AND t.pos <= s.m),
+paths AS (
+    SELECT conv_id, depth, strlen(text) AS bytes, string_agg(
+        length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path
+    FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, '' FROM sizes),
+nodes AS (
+    SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved
+    FROM paths GROUP BY depth, path),
+parents AS (
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id
+    FROM nodes n JOIN paths q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1
+    JOIN nodes p ON p.depth = q.depth AND p.path = q.path),
+children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM parents GROUP BY ALL),
+subtrees AS (
+    SELECT q.depth, q.path, sum(u.saved)::BIGINT AS saved_tokens, count(*) FILTER (c.conv_id IS NULL) AS n_leaves
+    FROM nodes u LEFT JOIN children c ON c.conv_id = u.conv_id AND c.depth = u.depth
+    JOIN paths q ON q.conv_id = u.conv_id AND q.depth <= u.depth GROUP BY q.depth, q.path),
+ends AS (
+    SELECT depth, path, string_agg(conv_id, ',' ORDER BY conv_id) AS members
+    FROM paths JOIN (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id) USING (conv_id, depth)
+    GROUP BY depth, path)
+SELECT n.conv_id, n.depth, p.parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+       s.saved_tokens, sha256(coalesce(e.members, '')) AS ends_sha256
+FROM nodes n JOIN subtrees s USING (depth, path) LEFT JOIN ends e USING (depth, path)
+LEFT JOIN parents p ON p.conv_id = n.conv_id AND p.depth = n.depth
+LEFT JOIN children c ON c.conv_id = n.conv_id AND c.depth = n.depth
+"""

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (bpe, chat, embedding_dedup, html_wrappers, license_scan, ngram_join, packing,
-                            periodic_runs, quality, secret_scan, url_filter)
-from ledgerline.llm.oracles import OP1, OP2, OP3, OP4, OP5, OP8, OP10, OP11
+                            periodic_runs, prefix_trie, quality, secret_scan, url_filter)
+from ledgerline.llm.oracles import OP1, OP2, OP3, OP4, OP5, OP8, OP10, OP11, OP12
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +90,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.scan(documents, keep_text=False))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.digests(*prefix_trie.trie(*prefix_trie.rebuilt(turns)))
+
+
 query(op1_secret_scan, OP1)
 query(op2_license_scan, OP2)
 query(op3_embedding_dedup, OP3)
@@ -101,3 +106,4 @@ query(op8_url_filter, OP8)
 query(op9_html_wrappers)
 query(op10_quality_rules, OP10)
 query(op11_periodic_runs, OP11)
+query(op12_prefix_trie, OP12)
