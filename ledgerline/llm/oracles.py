@@ -360,3 +360,85 @@ FROM nodes n JOIN subtrees s USING (depth, path) LEFT JOIN ends e USING (depth,
 LEFT JOIN parents p ON p.conv_id = n.conv_id AND p.depth = n.depth
 LEFT JOIN children c ON c.conv_id = n.conv_id AND c.depth = n.depth
 """
+
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+
+
+def _matches(table: str, column: str, pattern: str) -> str:
+    """(row_id, start, hit, before, after) of the leftmost matches in each row."""
+    return f"""
+        SELECT row_id, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+            'hit': hits[i], 'before': gaps[i], 'after': gaps[i + 1],
+            'start': coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0)
+                   + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0)}})) AS m
+        FROM (SELECT row_id, regexp_extract_all({column}, '{pattern}') AS hits,
+                     string_split_regex({column}, '{pattern}') AS gaps FROM {table}) WHERE len(hits) > 0"""
+
+
+def _pii_kind(kind: str, number: int, pattern: str, entity: str, valid: str) -> str:
+    return f"""
+    SELECT row_id, {number} AS number, '{kind}' AS kind, m.start AS start, m.start + length(m.hit) AS finish,
+           '{kind}:' || {entity} AS entity, m.before AS before, m.after AS after
+    FROM ({_matches("source_rows", "content", pattern)}) WHERE {valid}"""
+
+
+def _side(gap: str, part: str, cut: str) -> str:
+    whole = f"CASE WHEN length({gap}) > 80 THEN regexp_replace({part}({gap}, 80), '{cut}', ' ') ELSE {gap} END"
+    return rf"regexp_extract_all(lower(regexp_replace({whole}, '{_EMAIL}', ' ', 'g')), '\p{{L}}{{3,}}')"
+
+
+_DIGITS = "regexp_replace(m.hit, '[^0-9]+', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT
+             WHEN reverse({_DIGITS})[i]::INT > 4 THEN 2 * reverse({_DIGITS})[i]::INT - 9
+             ELSE 2 * reverse({_DIGITS})[i]::INT END)) % 10 = 0"""
+_PARTS = "list_max(list_transform(string_split(m.hit, '.'), lambda p: p::HUGEINT)) <= 255"
+
+OP13 = rf"""
+WITH source_rows AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS content FROM documents),
+found AS (
+    {_pii_kind("email", 0, _EMAIL, "lower(m.hit)", "true")}
+    UNION ALL {_pii_kind("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "m.hit", _PARTS)}
+    UNION ALL {_pii_kind("card", 2, r"[0-9](?:[\x20-]?[0-9])+", _DIGITS, _LUHN)}
+    UNION ALL {_pii_kind("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", _DIGITS, f"length({_DIGITS}) BETWEEN 9 AND 15")}),
+mentions AS (
+    SELECT DISTINCT content, entity,
+           list_reverse(list_reverse({_side("before", "right", r"^\p{L}+")})[1:6]) || {_side("after", "left", r"\p{L}+$")}[1:6]
+               AS words
+    FROM found JOIN source_rows USING (row_id)),
+near AS (SELECT content, entity, words, unnest(list_distinct(words)) AS word FROM mentions),
+pairs AS (
+    SELECT entity, word, count(DISTINCT content) AS joint FROM near GROUP BY entity, word
+    HAVING count(DISTINCT array_to_string(words, ' ')) >= 3),
+masked AS (
+    SELECT row_id, content, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i:
+               gaps[i] || repeat(' ', coalesce(length(hits[i]), 0))), '') AS masked
+    FROM (SELECT row_id, content, regexp_extract_all(content, '{_EMAIL}') AS hits,
+                 string_split_regex(content, '{_EMAIL}') AS gaps FROM source_rows)),
+tokens AS (
+    SELECT DISTINCT content, lower(token) AS word
+    FROM (SELECT content, unnest(list_distinct(regexp_extract_all(masked, '\p{{L}}{{3,}}'))) AS token FROM masked)
+    WHERE lower(token) IN (SELECT word FROM pairs)),
+scored AS (
+    SELECT word, max(CASE WHEN df_entity < n THEN
+               log2(n * joint / (df_word * df_entity)) / log2(n / df_entity) END) AS share
+    FROM pairs JOIN (SELECT word, count(*) AS df_word FROM tokens GROUP BY word) USING (word)
+    JOIN (SELECT entity, count(DISTINCT content) AS df_entity FROM mentions GROUP BY entity) USING (entity)
+    CROSS JOIN (SELECT count(DISTINCT content) AS n FROM source_rows) GROUP BY word),
+flagged AS (SELECT word, CASE WHEN share >= 0.95 THEN 'removed' ELSE 'general' END AS kind FROM scored WHERE share >= 0.8),
+holding AS (
+    SELECT row_id, masked FROM masked WHERE content IN (SELECT content FROM tokens JOIN flagged USING (word))),
+spans AS (
+    SELECT row_id, number, kind, start, finish FROM found
+    UNION ALL
+    SELECT row_id, CASE kind WHEN 'removed' THEN 4 ELSE 5 END, kind, m.start, m.start + length(m.hit)
+    FROM ({_matches("holding", "masked", r"\p{L}{3,}")}) JOIN flagged ON flagged.word = lower(m.hit)),
+gathered AS (
+    SELECT row_id, {", ".join(f"count(*) FILTER (number = {i}) AS n_{k}" for i, k in enumerate(("email", "ip", "card", "phone")))},
+           string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY number, start) FILTER (number < 4) AS base,
+           string_agg(kind || ':' || start || ':' || finish, ',' ORDER BY number, start) AS spans
+    FROM spans GROUP BY row_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM source_rows LEFT JOIN gathered USING (row_id)
+"""

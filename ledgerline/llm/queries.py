@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (bpe, chat, embedding_dedup, html_wrappers, license_scan, ngram_join, packing,
-                            periodic_runs, prefix_trie, quality, secret_scan, url_filter)
-from ledgerline.llm.oracles import OP1, OP2, OP3, OP4, OP5, OP8, OP10, OP11, OP12
+                            periodic_runs, pii, prefix_trie, quality, secret_scan, url_filter)
+from ledgerline.llm.oracles import OP1, OP2, OP3, OP4, OP5, OP8, OP10, OP11, OP12, OP13
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,6 +95,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digests(*prefix_trie.trie(*prefix_trie.rebuilt(turns)))
 
 
+def op13_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
+
+
 query(op1_secret_scan, OP1)
 query(op2_license_scan, OP2)
 query(op3_embedding_dedup, OP3)
@@ -107,3 +111,4 @@ query(op9_html_wrappers)
 query(op10_quality_rules, OP10)
 query(op11_periodic_runs, OP11)
 query(op12_prefix_trie, OP12)
+query(op13_pii_disclosure, OP13)
