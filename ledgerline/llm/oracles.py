@@ -402,32 +402,32 @@ found AS (
     UNION ALL {_pii_kind("card", 2, r"[0-9](?:[\x20-]?[0-9])+", _DIGITS, _LUHN)}
     UNION ALL {_pii_kind("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", _DIGITS, f"length({_DIGITS}) BETWEEN 9 AND 15")}),
 mentions AS (
-    SELECT DISTINCT content, entity,
+    SELECT row_id, entity,
            list_reverse(list_reverse({_side("before", "right", r"^\p{L}+")})[1:6]) || {_side("after", "left", r"\p{L}+$")}[1:6]
                AS words
-    FROM found JOIN source_rows USING (row_id)),
-near AS (SELECT content, entity, words, unnest(list_distinct(words)) AS word FROM mentions),
+    FROM found),
+near AS (SELECT row_id, entity, words, unnest(list_distinct(words)) AS word FROM mentions),
 pairs AS (
-    SELECT entity, word, count(DISTINCT content) AS joint FROM near GROUP BY entity, word
+    SELECT entity, word, count(DISTINCT row_id) AS joint FROM near GROUP BY entity, word
     HAVING count(DISTINCT array_to_string(words, ' ')) >= 3),
 masked AS (
-    SELECT row_id, content, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i:
+    SELECT row_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i:
                gaps[i] || repeat(' ', coalesce(length(hits[i]), 0))), '') AS masked
-    FROM (SELECT row_id, content, regexp_extract_all(content, '{_EMAIL}') AS hits,
+    FROM (SELECT row_id, regexp_extract_all(content, '{_EMAIL}') AS hits,
                  string_split_regex(content, '{_EMAIL}') AS gaps FROM source_rows)),
 tokens AS (
-    SELECT DISTINCT content, lower(token) AS word
-    FROM (SELECT content, unnest(list_distinct(regexp_extract_all(masked, '\p{{L}}{{3,}}'))) AS token FROM masked)
+    SELECT DISTINCT row_id, lower(token) AS word
+    FROM (SELECT row_id, unnest(list_distinct(regexp_extract_all(masked, '\p{{L}}{{3,}}'))) AS token FROM masked)
     WHERE lower(token) IN (SELECT word FROM pairs)),
 scored AS (
     SELECT word, max(CASE WHEN df_entity < n THEN
                log2(n * joint / (df_word * df_entity)) / log2(n / df_entity) END) AS share
     FROM pairs JOIN (SELECT word, count(*) AS df_word FROM tokens GROUP BY word) USING (word)
-    JOIN (SELECT entity, count(DISTINCT content) AS df_entity FROM mentions GROUP BY entity) USING (entity)
-    CROSS JOIN (SELECT count(DISTINCT content) AS n FROM source_rows) GROUP BY word),
+    JOIN (SELECT entity, count(DISTINCT row_id) AS df_entity FROM mentions GROUP BY entity) USING (entity)
+    CROSS JOIN (SELECT count(*) AS n FROM source_rows) GROUP BY word),
 flagged AS (SELECT word, CASE WHEN share >= 0.95 THEN 'removed' ELSE 'general' END AS kind FROM scored WHERE share >= 0.8),
 holding AS (
-    SELECT row_id, masked FROM masked WHERE content IN (SELECT content FROM tokens JOIN flagged USING (word))),
+    SELECT row_id, masked FROM masked WHERE row_id IN (SELECT row_id FROM tokens JOIN flagged USING (word))),
 spans AS (
     SELECT row_id, number, kind, start, finish FROM found
     UNION ALL

@@ -6,15 +6,15 @@ Removing them alone is not enough where other words reveal them, so in the manne
 sanitisation a word is judged by what the corpus says:
 
 * the information of an entity is ``IC(e) = log2(N / df(e))``, and what word ``t`` reveals of it is their pointwise
-  mutual information, ``PMI(t, e) = log2(N * df(t, e) / (df(t) * df(e)))``, with ``N`` and ``df`` counting different
-  texts; ``df(t, e)`` counts texts that have ``t`` near ``e`` (within ``near_words`` words and ``near_chars``
+  mutual information, ``PMI(t, e) = log2(N * df(t, e) / (df(t) * df(e)))``, with ``N`` and ``df`` counting
+  documents; ``df(t, e)`` counts those that have ``t`` near ``e`` (within ``near_words`` words and ``near_chars``
   characters, up to the next match of the same kind), which keeps the evidence linear in the mentions;
 * a word that reveals at least ``remove_at`` of some entity's information is a ``removed`` span wherever it stands, one
   that reveals at least ``generalise_at`` a ``general`` span. ``least_contexts`` different surroundings must show word
-  and entity together: copies of a text, and an edited copy with the same surroundings, are no evidence.
+  and entity together: copies of a text, and edited copies with the same surroundings, are no evidence.
 
 Words are runs of at least three letters, compared in lower case, outside e-mail addresses. SQL functions only; counts
-are grouped by (entity, word) or (word, text) after map-side aggregation, and nothing nests more than one text holds.
+are grouped by entity, word or both after map-side aggregation, and nothing nests more than one text holds.
 
 Spans count code points, the end is exclusive; per kind they are the leftmost non-overlapping matches, of which those
 that fail the check are dropped. Defined results: null text is empty and has no spans; rows with null or repeated ids
@@ -150,33 +150,34 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def revealing(rows: DataFrame, texts: DataFrame, rule: Disclosure) -> tuple[DataFrame, DataFrame]:
-    """(word, kind) of the words that reveal an entity, and (digest, word) of the texts that hold candidates for it.
+def words_in(masked: str) -> Column:
+    """The different words of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(masked, F.lit(WORD), F.lit(0))), F.lower))
 
-    ``rows`` are those of :func:`mentioned`; ``texts`` has ``digest`` and ``masked``.
+
+def revealing(rows: DataFrame, texts: DataFrame, rule: Disclosure) -> DataFrame:
+    """(word, kind) of the words that reveal an entity.
+
+    ``rows`` are those of :func:`mentioned`; ``texts`` has the column ``masked``.
     """
-    # Rows that repeat a text repeat its mentions, which count once.
-    mentions = rows.select("digest", F.inline("mentions")).distinct()
-    near = mentions.select("digest", "entity", F.sha2(F.concat_ws(" ", "words"), 256).alias("context"),
-                           F.explode(F.array_distinct("words")).alias("word"))
-    together = settle(near.groupBy("entity", "word").agg(
-        F.count_distinct("digest").alias("both"), F.count_distinct("context").alias("contexts"))
-        .where(F.col("contexts") >= rule.least_contexts).select("entity", "word", "both"), "together")
-    candidates = settle(together.select("word").distinct(), "candidate-words")
-    held = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(
-        "masked", F.lit(WORD), F.lit(0)))).alias("word")).withColumn("word", F.lower("word"))
-    holders = settle(held.join(_small(candidates), "word").select("digest", "word").distinct(), "holders")
-    words = holders.groupBy("word").agg(F.count(F.lit(1)).alias("df_word"))
-    entities = mentions.groupBy("entity").agg(F.count_distinct("digest").alias("df_entity"))
-    # One row: the number of different texts.
-    texts_in_all = F.broadcast(rows.select("digest").distinct().agg(F.count(F.lit(1)).alias("n")))
-    scored = together.join(words, "word").join(entities, "entity").crossJoin(texts_in_all).withColumns({
-        "pmi": F.log2(F.col("n") * F.col("both") / (F.col("df_word") * F.col("df_entity"))),
-        "ic": F.log2(F.col("n") / F.col("df_entity"))})
-    share = F.when(F.col("ic") > 0, F.col("pmi") / F.col("ic"))
-    found = scored.groupBy("word").agg(F.max(share).alias("share")).where(F.col("share") >= rule.generalise_at)
-    return settle(found.select("word", F.when(F.col("share") >= rule.remove_at, REMOVED).otherwise(GENERAL).alias(
-        "kind")), "revealing-words"), holders
+    seen = F.flatten(F.transform("mentions", lambda m: let(F.sha2(F.concat_ws(" ", m["words"]), 256), lambda context:
+                     F.transform(m["words"], lambda word: F.struct(
+                         m["entity"].alias("entity"), word.alias("word"), context.alias("context"))))))
+    pairs = F.transform(seen, lambda x: F.struct(x["entity"].alias("entity"), x["word"].alias("word")))
+    both = rows.select(F.inline(F.array_distinct(pairs))).groupBy("entity", "word").agg(F.count(F.lit(1)).alias("both"))
+    shown = rows.select(F.inline(F.array_distinct(seen))).distinct().groupBy("entity", "word").agg(
+        F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= rule.least_contexts)
+    entities = rows.select(F.explode(F.array_distinct("mentions.entity")).alias("entity")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("df_entity"))
+    together = settle(both.join(shown, ["entity", "word"]).join(entities, "entity").select(
+        "entity", "word", "both", "df_entity"), "together")
+    words = texts.select(F.explode(words_in("masked")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df_word"))
+    n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))  # one row
+    pmi = F.log2(F.col("n") * F.col("both") / (F.col("df_word") * F.col("df_entity")))
+    share = F.when(F.col("df_entity") < F.col("n"), pmi / F.log2(F.col("n") / F.col("df_entity")))
+    scored = words.join(_small(together), "word").crossJoin(n).groupBy("word").agg(F.max(share).alias("share"))
+    return settle(scored.where(F.col("share") >= rule.generalise_at).select(
+        "word", F.when(F.col("share") >= rule.remove_at, REMOVED).otherwise(GENERAL).alias("kind")), "revealing-words")
 
 
 def scan(documents: DataFrame, text: str = "text", rule: Disclosure = Disclosure(), keep_text: bool = True) -> DataFrame:
@@ -184,10 +185,11 @@ def scan(documents: DataFrame, text: str = "text", rule: Disclosure = Disclosure
     rows = settle(mentioned(documents, text, keep_text, rule), "mentioned")
     content = text_of(f"`{text}`")
     texts = documents.select(F.sha2(content, 256).alias("digest"), _masked(content).alias("masked"))
-    words, holders = revealing(rows, texts, rule)
+    words = revealing(rows, texts, rule)
     # One list for each text that holds such words; no longer than its different words.
-    lists = settle(holders.join(_small(words), "word").groupBy("digest").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "kind"))).alias("kinds")), "texts-with-words")
+    holders = texts.select("digest", F.explode(words_in("masked")).alias("word")).join(_small(words), "word")
+    lists = settle(holders.groupBy("digest").agg(F.map_from_entries(F.collect_set(F.struct("word", "kind"))).alias(
+        "kinds")), "texts-with-words")
 
     def named(kinds: Column, masked: Column) -> Column:
         spans = F.transform(located(masked, WORD, lambda hit: F.map_contains_key(kinds, F.lower(hit))), lambda m: F.struct(

@@ -32,7 +32,7 @@ def plain(texts, rule=pii.Disclosure()):
     """{text: (base spans, added spans)}"""
     base, near = {}, defaultdict(set)
     docs_of, masked = defaultdict(set), {}
-    for text in set(texts):
+    for doc, text in enumerate(texts):
         base[text] = []
         masked[text] = re.sub(EMAIL, lambda m: " " * len(m[0]), text)
         for kind, pattern in BASE.items():
@@ -52,14 +52,14 @@ def plain(texts, rule=pii.Disclosure()):
                 words = words[0][-rule.near_words:] + words[1][:rule.near_words]
                 key = re.sub("[^0-9]", "", m[0]) if kind in ("card", "phone") else m[0].lower()
                 entity = f"{kind}:{key}"
-                docs_of[entity].add(text)
+                docs_of[entity].add(doc)
                 for word in set(words):
-                    near[entity, word].add((text, " ".join(words)))
+                    near[entity, word].add((doc, " ".join(words)))
     holds = defaultdict(set)
-    for text, mask in masked.items():
-        for word in re.findall(WORD, mask):
-            holds[word.lower()].add(text)
-    share, n = defaultdict(float), len(masked)
+    for doc, text in enumerate(texts):
+        for word in re.findall(WORD, masked[text]):
+            holds[word.lower()].add(doc)
+    share, n = defaultdict(float), len(texts)
     for (entity, word), seen in near.items():
         if len({c for _, c in seen}) >= rule.least_contexts and len(docs_of[entity]) < n:
             joint = len({t for t, _ in seen})
