@@ -12,13 +12,15 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import texts
 from ledgerline.functions.columns import severity_above, stable_id
 from ledgerline.operators.ordered_fold import HOT_ROWS
+from ledgerline.operators.running import running_stats
 from ledgerline.operators.trailing import trailing_stats
+from ledgerline.session import cut_lineage
 from ledgerline.sources.tables import recent
 
 log = logging.getLogger(__name__)
@@ -33,6 +35,8 @@ class RuleContext:
     sales: DataFrame
     history: DataFrame
     as_of: Column
+    #: An inventory with more rows than this is spread over several tasks.
+    hot_rows: int = HOT_ROWS
 
 
 class Rule(Protocol):
@@ -84,7 +88,7 @@ class SuddenSalesSpike:
 
     def after(self, changes: DataFrame, context: RuleContext) -> DataFrame:
         window = recent(context.sales, "sold_at", _before(context.as_of, self.lookback_hours * HOUR))
-        return self.findings(_sales_until(changes, window))
+        return self.findings(_sales_until(changes, window, context.hot_rows))
 
     def per_event(self, sales: DataFrame, *, row_id: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
         """The rule as of every single sale, seeing sales up to that moment."""
@@ -151,7 +155,7 @@ class RapidConsecutiveSales:
 
     def after(self, changes: DataFrame, context: RuleContext) -> DataFrame:
         window = recent(context.sales, "sold_at", _before(context.as_of, self.time_window_seconds * SECOND))
-        return self.findings(_sales_until(changes, window))
+        return self.findings(_sales_until(changes, window, context.hot_rows))
 
     def per_event(self, sales: DataFrame, *, row_id: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
         stats = _sales_windows(sales, self.time_window_seconds * SECOND, row_id, hot_rows)
@@ -165,14 +169,15 @@ class RapidConsecutiveSales:
             "score": _capped(count / F.lit(float(self.transaction_count)) * 100), "description": text})
 
 
-def _sales_until(changes: DataFrame, window: DataFrame) -> DataFrame:
-    """For each change the sales of ``window`` that arrived up to it: a running frame, as all see one lower bound."""
+def _sales_until(changes: DataFrame, window: DataFrame, hot_rows: int) -> DataFrame:
+    """For each change the sales of ``window`` that arrived up to it: running aggregates, as all see one lower bound."""
     facts = window.select("inventory_id", "sequence", F.col("quantity_sold").cast("long").alias("_units"))
     asks = changes.select("inventory_id", "sequence", "event_id", F.lit(True).alias("_asks"))
-    so_far = Window.partitionBy("inventory_id").orderBy("sequence").rangeBetween(Window.unboundedPreceding, 0)
-    return facts.unionByName(asks, allowMissingColumns=True).withColumns({
-        "window_count": F.count("_units").over(so_far), "window_sum": F.sum("_units").over(so_far),
-        "window_max": F.max("_units").over(so_far)}).where("_asks")
+    # Slim and fixed, because sizes are counted before the rows are read.
+    both = cut_lineage(facts.unionByName(asks, allowMissingColumns=True))
+    return running_stats(both, key=["inventory_id"], order=["sequence"], hot_rows=hot_rows, measures={
+        "window_count": ("count", "_units"), "window_sum": ("sum", "_units"), "window_max": ("max", "_units"),
+    }).where("_asks")
 
 
 def _of_known(stats: DataFrame, context: RuleContext) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerline.functions.columns import inventory_id, stable_id
 from ledgerline.operators.balance import PAIR, applied, duplicates, fold_movements
 from ledgerline.operators.ordered_fold import HOT_ROWS
+from ledgerline.operators.running import running_stats
+from ledgerline.session import cut_lineage
 
 
 def sale_movements(sales_events: DataFrame) -> DataFrame:
@@ -104,6 +106,13 @@ def sales_items(inventory: DataFrame, sales: DataFrame, *, newest_first: bool =
     return items.orderBy(*PAIR, F.desc("sold_at"), "id") if newest_first else items
 
 
+def newest_first(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every item with its ``place`` in its pair's listing, from 1; a pair with very many sales takes several tasks."""
+    dated = cut_lineage(items.withColumn("_age", -F.unix_micros("sold_at")))
+    return running_stats(dated, key=PAIR, order=["_age", "id"], measures={"place": ("count", "id")},
+                         hot_rows=hot_rows).drop("_age")
+
+
 def sales_of(inventory: DataFrame, sales: DataFrame, product_id: str, store_id: str) -> tuple[DataFrame, DataFrame]:
     """Summary row and newest-first sales of one pair; both empty when the pair is unknown."""
     pair = inventory.where((F.col("sku") == product_id) & (F.col("warehouse_id") == store_id))

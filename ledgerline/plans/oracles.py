@@ -500,8 +500,9 @@ WHERE id = (SELECT min(id) FROM alerts)""",
 FROM anomalies GROUP BY anomaly_type""",
     "kv_get_counts": _with(CACHE) + f"""SELECT count(e.key) AS found, count(*) - count(e.key) AS missing
 FROM keys k LEFT JOIN entries e ON e.key = k.key AND (e.expires_at IS NULL OR e.expires_at > {AS_OF})""",
-    "sales_items_newest": _with(SALES) + f"""SELECT product_id, store_id, {_id("'sale'", 'sale_id')} AS id, sold_at
-FROM sales_ledger WHERE status = 'applied' ORDER BY product_id, store_id, sold_at DESC, {_id("'sale'", 'sale_id')} LIMIT 50""",
+    "sales_items_newest": _with(SALES) + f"""SELECT product_id, store_id, id, sold_at,
+  row_number() OVER (PARTITION BY product_id, store_id ORDER BY sold_at DESC, id) AS place
+FROM (SELECT *, {_id("'sale'", 'sale_id')} AS id FROM sales_ledger WHERE status = 'applied')""",
     "batch_outcomes_empty": _with(BATCHED) + """SELECT batch_no,
   CASE WHEN batch_no % 3 = 0 THEN 0 ELSE total_events END AS total_events,
   CASE WHEN batch_no % 3 = 0 THEN 0 ELSE successful_events END AS successful_events,
@@ -510,15 +511,14 @@ FROM sales_ledger WHERE status = 'applied' ORDER BY product_id, store_id, sold_a
     "detect_after": _with(
         LEDGER, BALANCES, HISTORY, SOLD,
         f"""changes AS (SELECT inventory_id, source_event_id AS event_id, event_no FROM history
-  JOIN (SELECT event_id AS source_event_id, event_no FROM ev) USING (source_event_id) WHERE changed_at >= {AS_OF - 48 * HOUR}),
+  JOIN (SELECT event_id AS source_event_id, event_no FROM ev) USING (source_event_id)),
 sp AS (SELECT c.inventory_id, c.event_id, count(*) AS n, sum(s.quantity) AS units, max(s.quantity) AS peak
   FROM changes c JOIN sold s ON s.inventory_id = c.inventory_id AND s.event_no <= c.event_no AND s.tm >= {AS_OF - 120 * HOUR}
   GROUP BY ALL),
 ra AS (SELECT c.inventory_id, c.event_id, count(*) AS n, sum(s.quantity) AS units, max(s.quantity) AS peak
   FROM changes c JOIN sold s ON s.inventory_id = c.inventory_id AND s.event_no <= c.event_no AND s.tm >= {AS_OF - DAY}
   GROUP BY ALL),
-c AS (SELECT *, source_event_id AS event_id, quantity_after AS current_quantity FROM history
-  WHERE changed_at >= {AS_OF - 48 * HOUR}),
+c AS (SELECT *, source_event_id AS event_id, quantity_after AS current_quantity FROM history),
 found AS (SELECT n.*, event_id, 0 AS rule_no FROM ({_negative('balances')}) n JOIN changes USING (inventory_id)
   UNION ALL SELECT * EXCLUDE (event_id), event_id, 1 FROM ({_spike('sp', 'event_id,')})
   UNION ALL SELECT * EXCLUDE (event_id), event_id, 2 FROM ({_adjustment('c', 'event_id,')})

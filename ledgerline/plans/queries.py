@@ -243,9 +243,9 @@ def sales_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sales_items_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest posted sales of all pairs, in the order of the listing."""
-    listed = sales.sales_items(_stocked(spark, sf_dir), _posted(spark, sf_dir), newest_first=True)
-    return listed.limit(50).select(*PAIR, "id", micros("sold_at"))
+    """All posted sales, newest first within each pair, with their place in the pair's listing."""
+    items = sales.sales_items(_stocked(spark, sf_dir), _posted(spark, sf_dir))
+    return sales.newest_first(items).select(*PAIR, "place", "id", micros("sold_at"))
 
 
 # -- reconciliation ----------------------------------------------------------------------------------------------
@@ -395,14 +395,13 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def detect_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detection right after each applied event of the last two days: rules over sales see those up to the event."""
+    """Detection right after each applied event: rules over sales see those up to the event."""
     ledger = _ledger(spark, sf_dir)
     inventory = domain.inventory_table(balance.balances_after(ledger), samples.as_of())
     history = balance.audit_rows(ledger, F.col("ts"), F.col("event_no"))
     sold = _event_sales(spark, sf_dir).withColumn("sequence", F.col("event_no"))
     context = rules.RuleContext(inventory, sold, history, samples.as_of())
-    changes = history.where(F.col("changed_at") >= F.timestamp_micros(F.lit(samples.AS_OF_MICROS - 48 * rules.HOUR)))
-    return _engine().detect_after(changes, context).select(
+    return _engine().detect_after(history, context).select(
         "id", "inventory_id", "event_id", "anomaly_type", "severity", "score", "description", "rule_no")
 
 

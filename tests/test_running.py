@@ -46,3 +46,27 @@ def test_one_key_spreads_over_slots(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "k string, at long, no long, v long")
     assert running_stats(frame, key=["k"], order=["at"], measures=MEASURES).collect() == []
+
+
+def test_sales_up_to_each_change_with_a_hot_inventory(spark):
+    """A third of everything lies in one inventory, which then takes several tasks."""
+    from ledgerline.operators.rules import RapidConsecutiveSales, RuleContext
+    from pyspark.sql import functions as F
+
+    draw = random.Random(8)
+    at = lambda n: f"2024-01-01 00:{n // 60:02d}:{n % 60:02d}"
+    sold = [(draw.choice(["hot", "b", "c"]), n, at(n), draw.randint(1, 9)) for n in range(0, 240, 2)]
+    asked = [(draw.choice(["hot", "b", "c"]), n, f"E{n}") for n in range(1, 240, 2)]
+    sales = spark.createDataFrame(sold, "inventory_id string, sequence long, at string, quantity_sold long").withColumn(
+        "sold_at", F.to_timestamp("at"))
+    changes = spark.createDataFrame(asked, "inventory_id string, sequence long, event_id string")
+    as_of = F.to_timestamp(F.lit(at(100)))
+    expected = {}
+    for inventory, n, event in asked:
+        seen = [q for i, m, _, q in sold if i == inventory and m <= n and m >= 100 - 60]
+        if len(seen) >= 5:
+            expected[event] = f"{len(seen)} {sum(seen)}"
+    for hot_rows in (10**6, 20, 7):
+        context = RuleContext(changes, sales, changes, as_of, hot_rows)
+        found = RapidConsecutiveSales().after(changes, context)
+        assert {r.event_id: f"{r.window_count} {r.window_sum}" for r in found.collect()} == expected
