@@ -6,9 +6,10 @@ only ids that occur more than once among the rows reach the kernel, which rememb
 Special cases are found by size checks and only paid for when they occur:
 
 * *Hot keys* (more rows than ``hot_rows``) are range-partitioned by key **and order**, so one key spreads over
-  many tasks. Each segment reports, for a few trial states, how its end follows its start; walking those
-  summaries (a few per segment, never rows) gives the true start of every segment. A segment whose true
-  start no trial covers is folded again from that start, so the result is exact, whatever the data.
+  many tasks. Each segment is folded once for all starts together and reports its end as a piecewise-linear function of
+  its start. One streamed task per key then follows these functions from the opening state, holding one at a time, and
+  so finds the true start of every segment; a second pass folds the segments from there. That is two passes whatever
+  the data and the number of segments, and nothing of it on the driver.
 * *Contested ids* are ids found in more than one key or segment. Whether an id is used up depends on rows
   elsewhere. Keys that share contested ids, directly or by way of others, make a group, and a group is folded in one
   pass over all its keys in order. Only groups that are too large for a task, or hold a hot key, are settled by
@@ -35,7 +36,6 @@ from pyspark.sql import types as T
 
 from ledgerline.operators import kernels
 from ledgerline.operators.components import components
-from ledgerline.operators.kernels import Piece
 from ledgerline.session import cut_lineage
 
 # The task functions travel with the plan, so executors need no copy of this package on their path.
@@ -45,21 +45,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HOT_ROWS = 2_000_000
 # A table of repeated ids of up to so many rows (some 60 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_IDS = 200_000
-SEGMENT, HEAD, STATE, GROUP = "_segment", "_head", "_state", "_group"
+SEGMENT, HEAD, STATE, GROUP, START, MOST = "_segment", "_head", "_state", "_group", "_start", "_most"
 _COLD = -1
-_MORE_TRIALS = 6
 
-_SUMMARY = T.StructType([
-    T.StructField("segment", T.IntegerType()),
-    T.StructField("first_key", T.StringType()),
-    T.StructField("last_key", T.StringType()),
-    T.StructField("last_end", T.LongType()),
-    T.StructField("pieces", T.ArrayType(T.ArrayType(T.LongType()))),
-])
-_SUMMARY_ARROW = pa.schema([
-    ("segment", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("last_end", pa.int64()),
-    ("pieces", pa.list_(pa.list_(pa.int64()))),
-])
+# A link of a key's chain: a segment that the key enters at its first row (``low``, ``end``, ``slope`` are its function
+# there), or one that it begins inside of (``end`` is its one value, there is no ``low``).
+# A function with very many pieces is put out in several ``parts``.
+_LINKS = ("chain string, segment int, part int, opening bigint, low array<bigint>, end array<bigint>, "
+          "slope array<bigint>")
+_LINKS_ARROW = pa.schema([("chain", pa.string()), ("segment", pa.int32()), ("part", pa.int32()), ("opening", pa.int64()),
+                          *[(name, pa.list_(pa.int64())) for name in ("low", "end", "slope")]])
+# The same with bounds in place of functions: after the link a state is at most ``max(before + add, floor)``.
+_BOUNDS = "chain string, segment int, enters boolean, opening bigint, add bigint, floor bigint"
+_BOUNDS_ARROW = pa.schema([("chain", pa.string()), ("segment", pa.int32()), ("enters", pa.bool_()),
+                           *[(name, pa.int64()) for name in ("opening", "add", "floor")]])
 
 
 def ordered_fold(
@@ -85,7 +84,7 @@ def ordered_fold(
     results = fold.settle_ids(cold, hot)
     if results is None:
         results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
-    plumbing = [SEGMENT, HEAD, STATE, GROUP, *[f"{kind}_{c}" for c in kernel.ids for kind in ("_blocked", "_again")]]
+    plumbing = [SEGMENT, HEAD, STATE, GROUP, START, *[f"{kind}_{c}" for c in kernel.ids for kind in ("_blocked", "_again")]]
     return reduce(DataFrame.unionByName, [r.drop(*plumbing) for r in results])
 
 
@@ -183,57 +182,32 @@ class _Fold:
 
     def run_hot(self, segments: DataFrame) -> DataFrame:
         schema = self._result_schema(segments)
-        openings = self._hot_openings(segments)
-        starts = self._find_starts(segments, openings)
-        return segments.mapInArrow(
-            _segment_task(self.kernel, self.key, self.order, schema.fieldNames(), openings, starts), schema)
-
-    def _hot_openings(self, segments: DataFrame) -> dict[str, int]:
+        opened = self._hot_openings(segments)
+        # One row per segment. Broadcast joins leave rows where they are and in order.
+        starts = F.broadcast(cut_lineage(self._find_starts(opened)))
+        return opened.join(starts, SEGMENT).mapInArrow(
+            _segment_task(self.kernel, self.key, self.order, schema.fieldNames()), schema)
+
+    def _hot_openings(self, segments: DataFrame) -> DataFrame:
+        """``segments`` with the opening state of their key."""
         if self.openings is None:
-            return {}
+            return segments.withColumn(STATE, F.lit(None).cast("long"))
+        # At most as many keys as ``heavy`` found.
         keys = F.broadcast(segments.select(*self.key).distinct())
-        found = self.openings.join(keys, list(self.key), "left_semi").collect()
-        return {repr(tuple(r[k] for k in self.key)): r[STATE] for r in found if r[STATE] is not None}
+        return segments.join(F.broadcast(self.openings.join(keys, list(self.key), "left_semi")), list(self.key), "left")
 
-    def _find_starts(self, segments: DataFrame, openings: dict[str, int]) -> dict[int, int]:
-        needed = dict.fromkeys([*self.key, *self.kernel.inputs, SEGMENT])
+    def _find_starts(self, segments: DataFrame) -> DataFrame:
+        """(segment, start): the state with which the first key of each segment enters it."""
+        needed = dict.fromkeys([*self.key, *self.kernel.inputs, SEGMENT, STATE])
         slim = segments.select(*[c for c in needed if c in segments.columns])
-        trials: dict[int, tuple[int, ...]] | None = None
-        summaries: dict[int, dict] = {}
-        while True:
-            task = _summary_task(self.kernel, self.key, openings, trials)
-            # Settled segments stay in the JVM; the filter keeps partitions and their order as they are.
-            wanted = slim if trials is None else slim.where(F.col(SEGMENT).isin(list(trials)))
-            for row in wanted.mapInArrow(task, _SUMMARY).collect():
-                pieces = [Piece(*p) for p in row["pieces"]]
-                if row["segment"] in summaries:
-                    summaries[row["segment"]]["pieces"] += pieces
-                else:
-                    summaries[row["segment"]] = {**row.asDict(), "pieces": pieces}
-            starts, open_ends = self._walk(summaries, openings)
-            if not open_ends:
-                return starts
-            trials = open_ends
-
-    def _walk(self, summaries: dict[int, dict], openings: dict[str, int]):
-        starts: dict[int, int] = {}
-        open_ends: dict[int, tuple[int, ...]] = {}
-        previous_key, previous_end, other_ends = None, self.kernel.absent, []
-        for number in sorted(summaries):
-            summary = summaries[number]
-            continues = summary["first_key"] == previous_key
-            start = previous_end if continues else openings.get(summary["first_key"], self.kernel.absent)
-            starts[number] = start
-            nearest = min(summary["pieces"], key=lambda p: p.distance(start))
-            if not nearest.covers(start):
-                # While the segment before is open too, its other known ends are the likeliest true starts.
-                unknown = [s for s in other_ends if not any(p.covers(s) for p in summary["pieces"])]
-                open_ends[number] = (start, *unknown[:_MORE_TRIALS])
-            previous_key = summary["last_key"]
-            whole = summary["first_key"] == summary["last_key"]
-            previous_end = max(nearest.end_for(start), self.kernel.absent) if whole else summary["last_end"]
-            other_ends = sorted({p.end for p in summary["pieces"]} - {previous_end}) if whole else []
-        return starts, open_ends
+        if self.kernel.limit() is not None:
+            bounds = slim.mapInArrow(_bound_task(self.kernel, self.key), _BOUNDS)
+            most = bounds.repartition("chain").sortWithinPartitions("chain", "segment").mapInArrow(
+                _bound_chain_task(self.kernel), f"{SEGMENT} int, {MOST} bigint")
+            slim = slim.join(F.broadcast(cut_lineage(most)), SEGMENT)
+        links = slim.mapInArrow(_link_task(self.kernel, self.key), _LINKS)
+        chains = links.repartition("chain").sortWithinPartitions("chain", "segment", "part")
+        return chains.mapInArrow(_chain_task(self.kernel), f"{SEGMENT} int, {START} bigint")
 
     # -- ids that more than one key or segment may use up ----------------------------------------------------
 
@@ -335,7 +309,7 @@ class _Fold:
 
     def _result_schema(self, rows: DataFrame) -> T.StructType:
         added = [T.StructField(name, kind) for name, kind, _ in self.kernel.outputs]
-        return T.StructType([*[f for f in rows.schema.fields if f.name not in (HEAD, STATE)], *added])
+        return T.StructType([*[f for f in rows.schema.fields if f.name not in (HEAD, STATE, START)], *added])
 
 
 # -- tasks: each receives the sorted Arrow batches of one partition ----------------------------------------------
@@ -460,8 +434,7 @@ def _group_task(kernel, key: Sequence[str], order: Sequence[str], names: Sequenc
     return task
 
 
-def _segment_task(kernel, key: Sequence[str], order: Sequence[str], names: Sequence[str], openings: dict[str, int],
-                  starts: dict[int, int]):
+def _segment_task(kernel, key: Sequence[str], order: Sequence[str], names: Sequence[str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, current, run, last = None, None, None, None
         for batch in batches:
@@ -472,9 +445,9 @@ def _segment_task(kernel, key: Sequence[str], order: Sequence[str], names: Seque
             for low, high in _runs(batch, [SEGMENT, *key]):
                 number, name = batch.column(SEGMENT)[low].as_py(), _key_at(batch, key, low)
                 if number != segment:
-                    run = kernel.begin(starts[number])
+                    run = kernel.begin(batch.column(START)[low].as_py())
                 elif name != current:
-                    run = kernel.begin(openings.get(repr(name)))
+                    run = kernel.begin(batch.column(STATE)[low].as_py())
                 segment, current = number, name
                 run.advance(columns, low, high, out)
             yield _emit(batch, kernel, names, out)
@@ -482,47 +455,125 @@ def _segment_task(kernel, key: Sequence[str], order: Sequence[str], names: Seque
     return task
 
 
-def _summary_task(kernel, key: Sequence[str], openings: dict[str, int], trials: dict[int, tuple[int, ...]] | None):
-    """One row per segment: trial pieces of its first key and the end state of its last key."""
+def _stretches(batches: Iterator[pa.RecordBatch], kernel, key: Sequence[str]) -> Iterator[tuple]:
+    """(batch, kernel columns, low, high, segment, key, opening) of each stretch of one key in one segment."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = _columns(batch, kernel)
+            for low, high in _runs(batch, [SEGMENT, *key]):
+                yield (batch, columns, low, high, batch.column(SEGMENT)[low].as_py(), _key_at(batch, key, low),
+                       batch.column(STATE)[low].as_py())
+
+
+def _bound_task(kernel, key: Sequence[str]):
+    """Each segment's bounds for its first key, and for its last key if that is another one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summaries: list[dict] = []
-        segment, current, first, live = None, None, [], []
+        segment, links = None, []
+
+        def bounds() -> pa.RecordBatch:
+            ends = links if len(links) < 2 else [links[0], links[-1]]
+            return pa.RecordBatch.from_pylist([
+                {"chain": repr(name), "segment": segment, "enters": i == 0, "opening": opening, "add": limit.add,
+                 "floor": limit.floor} for i, (name, opening, limit) in enumerate(ends)], schema=_BOUNDS_ARROW)
+
+        for _, columns, low, high, number, name, opening in _stretches(batches, kernel, key):
+            if number != segment and links:
+                yield bounds()
+                links = []
+            segment = number
+            if not links or links[-1][0] != name:
+                # Only the first and the last key of a segment count.
+                links = [*links[:1], (name, opening, kernel.limit())]
+            links[-1][2].advance(columns, low, high)
+        if links:
+            yield bounds()
+
+    return task
 
-        def close() -> None:
-            if segment is not None and live is not None:
-                summaries[-1]["last_end"] = live[0].state
-                summaries[-1]["last_key"] = repr(current)
-                summaries[-1]["pieces"] = [
-                    [p.low, p.high, p.slope, p.start, p.end] for p in (r.piece() for r in first)]
 
+def _bound_chain_task(kernel):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, most = None, None
         for batch in batches:
-            if batch.num_rows == 0:
+            found = []
+            for name, segment, enters, opening, add, floor in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if name != chain:
+                    chain, most = name, kernel.absent if opening is None else opening
+                if enters:
+                    found.append((segment, most))
+                most = max(most + add, floor)
+            columns = list(zip(*found)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64())], names=[SEGMENT, MOST])
+
+    return task
+
+
+def _link_task(kernel, key: Sequence[str]):
+    """The links of each segment: the function of its first key, and the end of its last key if that is another one."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, current, first, live, part = None, None, None, None, 0
+
+        def link(function) -> pa.RecordBatch:
+            low, end, slope = (x.tolist() for x in function.pieces())
+            return pa.RecordBatch.from_pylist([{
+                "chain": repr(first[0]), "segment": segment, "part": part, "opening": first[1], "low": low, "end": end,
+                "slope": slope}], schema=_LINKS_ARROW)
+
+        def last() -> Iterator[pa.RecordBatch]:
+            if current == first[0]:
+                yield link(live)
+            else:
+                yield pa.RecordBatch.from_pylist([{
+                    "chain": repr(current), "segment": segment, "part": 0, "end": [live.state]}], schema=_LINKS_ARROW)
+
+        for batch, columns, low, high, number, name, opening in _stretches(batches, kernel, key):
+            if number != segment:
+                if first is not None:
+                    yield from last()
+                most = batch.column(MOST)[low].as_py() if MOST in batch.schema.names else None
+                live, part = kernel.function(most), 0
+                segment, current, first = number, name, (name, opening)
+            elif name != current:
+                if current == first[0]:
+                    yield link(live)
+                current, live = name, kernel.begin(opening)
+            if current != first[0]:
+                live.advance(columns, low, high, None)
                 continue
-            columns = None
-            for low, high in _runs(batch, [SEGMENT, *key]):
-                number = batch.column(SEGMENT)[low].as_py()
-                name = _key_at(batch, key, low)
-                if number != segment:
-                    close()
-                    segment, current = number, name
-                    wanted = kernel.probes if trials is None else trials.get(number)
-                    if wanted is None:
-                        live = None
-                        continue
-                    first = [kernel.begin(start) for start in wanted]
-                    live = first
-                    summaries.append({"segment": number, "first_key": repr(name)})
-                elif live is None:
+            for at in range(low, high, kernels.STEP):
+                live.advance(columns, at, min(at + kernels.STEP, high), None)
+                if live.is_full():
+                    yield link(live)
+                    live, part = kernel.function(live.highest()), part + 1
+        if first is not None:
+            yield from last()
+
+    return task
+
+
+def _chain_task(kernel):
+    """Follows each key through its segments, from one function to the next."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, state = None, None
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                name, segment, part, opening = (batch.column(c)[i].as_py() for c in range(4))
+                low, end, slope = (batch.column(c)[i].values for c in range(4, 7))
+                if low is None:
+                    chain, state = name, end[0].as_py()
                     continue
-                elif name != current:
-                    current, live = name, [kernel.begin(openings.get(repr(name)))]
-                if columns is None:
-                    columns = _columns(batch, kernel)
-                for run in live:
-                    run.advance(columns, low, high, None)
-        close()
-        if summaries:
-            yield pa.RecordBatch.from_pylist(summaries, schema=_SUMMARY_ARROW)
+                if name != chain:
+                    chain, state = name, kernel.absent if opening is None else opening
+                if part == 0:
+                    found.append((segment, state))
+                state = kernels.end_for(*(x.to_numpy(zero_copy_only=False) for x in (low, end, slope)), state)
+            columns = list(zip(*found)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64())], names=[SEGMENT, START])
 
     return task

@@ -136,3 +136,91 @@ def test_ids_that_do_not_repeat_are_not_remembered(spark):
     columns = {"delta": np.arange(1000), "must_exist": np.zeros(1000, bool), "_special": np.zeros(1000, bool)}
     run.advance(columns, 0, 1000, BalanceKernel().room(1000))
     assert run.events == set() and run.state == sum(range(1000))
+
+
+def balances_after(deltas, start):
+    for d in deltas:
+        if start < 0:
+            start = d if d >= 0 else start
+        elif start + d >= 0:
+            start += d
+    return start
+
+
+@pytest.mark.parametrize("size", [1, 3, 30, 1_000_000])
+def test_function_of_a_stretch_for_every_start(size):
+    from ledgerline.operators.kernels import BalanceKernel, end_for
+    import numpy as np
+
+    rng = random.Random(size)
+    for length in (1, 5, 60, 400):
+        deltas = [rng.randint(-size, size) for _ in range(length)]
+        function, limit = BalanceKernel().function(4 * size * length), BalanceKernel().limit()
+        columns = {"delta": np.array(deltas), "must_exist": np.zeros(length, bool), "_special": np.zeros(length, bool)}
+        cut = length // 3
+        function.advance(columns, 0, cut)
+        function.advance(columns, cut, length)
+        limit.advance(columns, 0, length)
+        pieces = function.pieces()
+        starts = [-1, *range(40), *(rng.randint(0, 3 * size * length) for _ in range(60)), *(int(x) for x in pieces[0][:200])]
+        starts = [s for s in starts if s <= 4 * size * length]
+        assert [end_for(*pieces, s) for s in starts] == [balances_after(deltas, s) for s in starts]
+        assert all(balances_after(deltas, s) <= max(s + limit.add, limit.floor) for s in starts)
+        assert function.highest() == max(end_for(*pieces, s) for s in [*pieces[0], *(pieces[0][1:] - 1), 4 * size * length])
+
+
+def test_function_of_alerts_for_every_anchor():
+    from ledgerline.operators.kernels import DedupKernel, end_for
+    import numpy as np
+
+    rng = random.Random(4)
+    times = sorted(rng.randint(0, 300) for _ in range(60))
+    kernel = DedupKernel(25)
+    function = kernel.function(0)
+    function.advance({"at_micros": np.array(times)}, 0, 60)
+    pieces = function.pieces()
+    for start in [kernel.absent, *range(-30, 340)]:
+        anchor = start
+        for t in times:
+            anchor = t if t - 25 > anchor else anchor
+        assert end_for(*pieces, start) == anchor
+
+
+def test_a_thousand_segments_take_two_passes(spark):
+    """Every segment starts in the middle of the decision ladder of the one before; no round follows their number."""
+    rows = [(i, "P0", "S", f"E{i % 9_000}", None, 50 if i == 0 else -7 if i % 3 else 5, False) for i in range(10_000)]
+    expected = replay(rows, {})
+    frame = spark.createDataFrame(rows, SCHEMA)
+    from ledgerline.operators.kernels import BalanceKernel
+    from ledgerline.operators.ordered_fold import SEGMENT, _Fold
+
+    fold = _Fold(BalanceKernel(), ("product_id", "store_id"), ("seq",), None, 20)
+    cold, hot = fold.split(fold.mark_repeated(frame), fold.heavy(frame))
+    assert cold.isEmpty() and hot.select(SEGMENT).distinct().count() > 900
+    got = {r["seq"]: (r["status"], r["quantity_after"]) for r in fold_movements(
+        frame.where("seq < 9000"), order=["seq"], hot_rows=20).collect()}
+    assert got == {i: expected[i] for i in range(9_000)}
+
+
+def test_functions_that_are_put_out_in_parts(spark, monkeypatch):
+    """Much is refused and quantities are large, so a function would have very many pieces."""
+    from ledgerline.operators import kernels
+
+    rng = random.Random(9)
+    rows = [(i, f"P{i % 17 // 16}", "S", f"E{i}", None, rng.randint(-900, 500), False) for i in range(1_200)]
+    expected = replay(rows, {})
+    monkeypatch.setattr(kernels, "MOST_PIECES", 8)
+    monkeypatch.setattr(kernels, "STEP", 16)
+    got = check(spark, rows, {}, 100)
+    assert {s: v[0] for s, v in got.items()} == {s: v[0] for s, v in expected.items()}
+
+
+def test_repeated_ids_inside_a_segment_are_part_of_its_function(spark):
+    # Whether E0 is used up by its first row depends on the balance that the segment starts with.
+    rng = random.Random(11)
+    rows = [(i, "P0", "S", f"E{i // 2}", f"X{i // 2}" if i % 8 < 2 else None, rng.randint(-9, 7), i % 8 < 2)
+            for i in range(600)]
+    expected = replay(rows, {("P0", "S"): 4})
+    for hot_rows in (60, 10**6):
+        got = check(spark, rows, {("P0", "S"): 4}, hot_rows)
+        assert {s: v[0] for s, v in got.items()} == {s: v[0] for s, v in expected.items()}
