@@ -90,9 +90,9 @@ class SuddenSalesSpike:
         window = recent(context.sales, "sold_at", _before(context.as_of, self.lookback_hours * HOUR))
         return self.findings(_sales_until(changes, window, context.hot_rows))
 
-    def per_event(self, sales: DataFrame, *, row_id: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    def per_event(self, sales: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
         """The rule as of every single sale, seeing sales up to that moment."""
-        stats = _sales_windows(sales, self.lookback_hours * HOUR, row_id, hot_rows)
+        stats = _sales_windows(sales, self.lookback_hours * HOUR, hot_rows)
         return self.findings(stats)
 
     def findings(self, stats: DataFrame) -> DataFrame:
@@ -157,8 +157,8 @@ class RapidConsecutiveSales:
         window = recent(context.sales, "sold_at", _before(context.as_of, self.time_window_seconds * SECOND))
         return self.findings(_sales_until(changes, window, context.hot_rows))
 
-    def per_event(self, sales: DataFrame, *, row_id: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-        stats = _sales_windows(sales, self.time_window_seconds * SECOND, row_id, hot_rows)
+    def per_event(self, sales: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+        stats = _sales_windows(sales, self.time_window_seconds * SECOND, hot_rows)
         return self.findings(stats)
 
     def findings(self, stats: DataFrame) -> DataFrame:
@@ -184,10 +184,10 @@ def _of_known(stats: DataFrame, context: RuleContext) -> DataFrame:
     return stats.join(context.inventory.select(F.col("id").alias("inventory_id")), "inventory_id", "left_semi")
 
 
-def _sales_windows(sales: DataFrame, lookback: int, row_id: Sequence[str], hot_rows: int) -> DataFrame:
+def _sales_windows(sales: DataFrame, lookback: int, hot_rows: int) -> DataFrame:
     timed = sales.withColumns({"_at": F.unix_micros("sold_at"), "_units": F.col("quantity_sold").cast("long")})
     return trailing_stats(timed, key=["inventory_id"], at="_at", value="_units", lookback_micros=lookback,
-                          row_id=row_id, hot_rows=hot_rows).drop("_at", "_units")
+                          hot_rows=hot_rows).drop("_at", "_units")
 
 
 def default_rules() -> list[Rule]:

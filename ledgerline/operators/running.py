@@ -60,18 +60,19 @@ def _running(rows: DataFrame, key: Sequence[str], order: Sequence[str], measures
 
 def _slotted(rows: DataFrame, key: Sequence[str], order: Sequence[str], measures: dict, slots: int) -> DataFrame:
     # The slots are fixed before they are read twice: a range partitioning is drawn from a sample.
-    placed = cut_lineage(rows.repartitionByRange(slots, *key, *order).withColumn("_slot", F.spark_partition_id()))
-    totals = placed.groupBy(*key, "_slot").agg(*[KINDS[kind][0](F.col(c)).alias(n) for n, (kind, c) in measures.items()])
+    placed = cut_lineage(
+        rows.repartitionByRange(slots, *key, *order).withColumn("_running_slot", F.spark_partition_id()))
+    totals = placed.groupBy(*key, "_running_slot").agg(*[KINDS[kind][0](F.col(c)).alias(n) for n, (kind, c) in measures.items()])
     # One row per key and slot: as many as there are slots, and one more for each key that shares a slot.
-    earlier = Window.partitionBy(*key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*key).orderBy("_running_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *[F.col(k).alias(f"_of_{k}") for k in key], F.col("_slot").alias("_of_slot"),
+        *[F.col(k).alias(f"_of_{k}") for k in key], F.col("_running_slot").alias("_of_running_slot"),
         *[KINDS[kind][1](F.col(n)).over(earlier).alias(f"_carried_{n}") for n, (kind, _) in measures.items()])
-    same = F.col("_slot") == F.col("_of_slot")
+    same = F.col("_running_slot") == F.col("_of_running_slot")
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     # Only hot keys come here, of which a table has few; ``carried`` has a row for each and for each slot.
-    joined = _running(placed, [*key, "_slot"], order, measures).join(F.broadcast(carried), same)
+    joined = _running(placed, [*key, "_running_slot"], order, measures).join(F.broadcast(carried), same)
     for n, (kind, _) in measures.items():
         before, here = F.col(f"_carried_{n}"), F.col(n)
         whole = {"count": F.coalesce(before, F.lit(0)) + here, "sum": F.coalesce(before + here, before, here),

@@ -5,8 +5,9 @@ long as that window, so a window is the end of one slot and the beginning of the
 frames, one forward and one backward, which cost a row each however many rows a window holds. Count, sum and maximum
 of the two parts combine exactly, and a key is spread over as many tasks as it has slots.
 
-Where one slot alone holds more than ``hot_rows`` rows, its key is cut into narrower slots: a window is then the end of
-its first slot, whole slots of one pre-aggregated row each, and the beginning of its last.
+A slot may be filled very unevenly. Where one holds more than ``hot_rows`` rows, the two frames over it are running
+aggregates that are dealt out by ranges of rows (:mod:`ledgerline.operators.running`), so a burst costs what its rows
+cost, wherever it lies and however short it is.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators.ordered_fold import HOT_ROWS
+from ledgerline.operators.running import running_stats
+from ledgerline.session import cut_lineage
 
 STATS = ("window_count", "window_sum", "window_max")
 
@@ -29,28 +32,25 @@ def trailing_stats(
     at: str,
     value: str,
     lookback_micros: int,
-    row_id: Sequence[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add count, sum and maximum of ``value`` over the trailing window of each row.
 
     ``at`` is in microseconds. Rows with a NULL value are looked at but not counted, which makes them pure
-    triggers. ``row_id`` identifies a row and is only used for hot keys.
+    triggers. Repeated rows are answered each.
     """
-    full = rows.groupBy(*key, _slot(F.col(at), lookback_micros + 1).alias("_slot")).count().where(F.col("count") > hot_rows)
-    heavy = rows.join(full.select(*key).distinct(), list(key), "left_semi").groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).collect()
+    slots = rows.groupBy(*key, _slot(F.col(at), lookback_micros + 1).alias("_slot")).count()
+    # At most total rows / hot_rows keys.
+    heavy = slots.where(F.col("count") > hot_rows).select(*key).distinct().collect()
     if not heavy:
         return _two_slots(rows, key, at, value, lookback_micros)
-    # At most total rows / hot_rows keys.
     names = F.broadcast(rows.sparkSession.createDataFrame(
         [tuple(r[k] for k in key) for r in heavy], T.StructType([rows.schema[k] for k in key])))
     cold = rows.join(names, list(key), "left_anti")
-    hot = rows.join(names, list(key), "left_semi")
-    width = _slot_width(hot, heavy, key, at, lookback_micros, hot_rows)
-    slotted = _slotted(hot, key, at, value, lookback_micros, row_id, width)
+    hot = cut_lineage(rows.join(names, list(key), "left_semi"))
     names = [*rows.columns, *STATS]
-    return _two_slots(cold, key, at, value, lookback_micros).select(*names).unionByName(slotted.select(*names))
+    return _two_slots(cold, key, at, value, lookback_micros).select(*names).unionByName(
+        _split_slots(hot, key, at, value, lookback_micros, hot_rows).select(*names))
 
 
 def _measures(value: Column) -> dict[str, Column]:
@@ -70,86 +70,33 @@ def _two_slots(rows: DataFrame, key: Sequence[str], at: str, value: str, lookbac
     answered = (facts.unionByName(asks, allowMissingColumns=True)
                 .withColumns({f"_tail_{n}": m.over(onward) for n, m in _measures(F.col("_value")).items()})
                 .where(F.col("_row").isNotNull()))
+    return _together(answered, rows.columns)
+
+
+def _split_slots(rows: DataFrame, key: Sequence[str], at: str, value: str, lookback: int, hot_rows: int) -> DataFrame:
+    """The same two parts, each a running aggregate that is split where a slot is too large for a task."""
+    slot = _slot(F.col(at), lookback + 1)
+    heads = running_stats(
+        rows.withColumn("_slot", slot), key=[*key, "_slot"], order=[at], hot_rows=hot_rows,
+        measures={f"_head_{n}": (n, value) for n in ("count", "sum", "max")})
+    carried = F.struct(*[c for c in heads.columns if c != "_slot"]).alias("_row")
+    facts = rows.select(*key, slot.alias("_slot"), (-F.col(at)).alias("_back"), F.col(value).alias("_value"))
+    asks = heads.select(*key, (F.col("_slot") - 1).alias("_slot"), (lookback - F.col(at)).alias("_back"), carried)
+    both = cut_lineage(facts.unionByName(asks, allowMissingColumns=True))
+    tails = running_stats(both, key=[*key, "_slot"], order=["_back"], hot_rows=hot_rows,
+                          measures={f"_tail_{n}": (n, "_value") for n in ("count", "sum", "max")})
+    return _together(tails.where(F.col("_row").isNotNull()), rows.columns)
+
+
+def _together(answered: DataFrame, columns: Sequence[str]) -> DataFrame:
     parts = {n: [F.col(f"_row._head_{n}"), F.col(f"_tail_{n}")] for n in ("count", "sum", "max")}
     head, tail = parts["sum"]
     return answered.select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in rows.columns],
+        *[F.col(f"_row.`{c}`").alias(c) for c in columns],
         sum(parts["count"][1:], parts["count"][0]).alias("window_count"),
         F.coalesce(head + tail, head, tail).alias("window_sum"), F.greatest(*parts["max"]).alias("window_max"))
 
 
-def _slot_width(hot: DataFrame, heavy: list, key: Sequence[str], at: str, lookback: int, hot_rows: int) -> int:
-    """Longest slot, at most the lookback, whose fullest (key, slot) stays within ``hot_rows``."""
-    width = lookback
-    for row in heavy:
-        extent = max(row["high"] - row["low"], 1)
-        width = min(width, max(1, extent * hot_rows // (2 * row["n"])))
-    fullest = None
-    while True:
-        slots = hot.groupBy(*key, _slot(F.col(at), width).alias("slot")).count()
-        now = slots.agg(F.max("count")).first()[0]
-        # Rows of one single instant cannot be told apart by time; narrower slots would not help them.
-        if now <= hot_rows or width == 1 or (fullest is not None and now == fullest and width < 1000):
-            return width
-        fullest, width = now, max(1, width // 4)
-
-
 def _slot(micros: Column, width: int) -> Column:
     # Whole-number division; times before the epoch round down as well.
     return ((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("long")
-
-
-def _slotted(
-    rows: DataFrame, key: Sequence[str], at: str, value: str, lookback: int, row_id: Sequence[str], width: int
-) -> DataFrame:
-    placed = rows.withColumns({
-        "_slot": _slot(F.col(at), width), "_from": F.col(at) - lookback,
-        "_tail_slot": _slot(F.col(at) - lookback, width)})
-
-    up_to_now = Window.partitionBy(*key, "_slot").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    heads = placed.withColumns({f"_head_{n}": m.over(up_to_now) for n, m in _measures(F.col(value)).items()})
-
-    # The tail of the window: each row also asks its first slot for everything from ``_from`` on.
-    facts = placed.select(*key, F.col("_slot").alias("_tail_slot"), F.col(at).alias("_from"),
-                          F.col(value).alias("_value"), F.lit(False).alias("_asks"),
-                          *[F.lit(None).cast(rows.schema[c].dataType).alias(f"_id_{c}") for c in row_id])
-    asks = placed.select(*key, "_tail_slot", "_from", F.lit(None).cast(rows.schema[value].dataType).alias("_value"),
-                         F.lit(True).alias("_asks"), *[F.col(c).alias(f"_id_{c}") for c in row_id])
-    onward = Window.partitionBy(*key, "_tail_slot").orderBy(F.desc("_from")).rangeBetween(Window.unboundedPreceding, 0)
-    tails = (
-        facts.unionByName(asks)
-        .withColumns({f"_tail_{n}": m.over(onward) for n, m in _measures(F.col("_value")).items()})
-        .where("_asks")
-        .select(*[F.col(f"_id_{c}").alias(c) for c in row_id], *[f"_tail_{n}" for n in ("count", "sum", "max")])
-    )
-
-    # Whole slots between the two: one row per (key, slot), so the window per key is short.
-    totals = placed.groupBy(*key, "_slot").agg(
-        *[m.alias(f"_slot_{n}") for n, m in _measures(F.col(value)).items()])
-    by_slot = Window.partitionBy(*key).orderBy("_slot")
-    # The first slot lies ``whole`` or ``whole + 1`` slots back, depending on where the row falls in its own slot.
-    whole = lookback // width
-    for steps in (whole, whole + 1):
-        if steps > 1:
-            between = by_slot.rangeBetween(-(steps - 1), -1)
-            middle = {"count": F.sum("_slot_count"), "sum": F.sum("_slot_sum"), "max": F.max("_slot_max")}
-            totals = totals.withColumns({f"_mid{steps}_{n}": m.over(between) for n, m in middle.items()})
-        else:
-            totals = totals.withColumns({
-                f"_mid{steps}_{n}": F.lit(None).cast(totals.schema[f"_slot_{n}"].dataType) for n in ("count", "sum", "max")})
-    totals = totals.drop("_slot_count", "_slot_sum", "_slot_max")
-
-    joined = heads.join(totals, [*key, "_slot"]).join(tails, list(row_id))
-    near = F.col("_slot") - F.col("_tail_slot") == whole
-
-    def middle_of(name: str) -> Column:
-        return F.when(near, F.col(f"_mid{whole}_{name}")).otherwise(F.col(f"_mid{whole + 1}_{name}"))
-
-    parts = {n: [F.col(f"_head_{n}"), middle_of(n), F.col(f"_tail_{n}")] for n in ("count", "sum", "max")}
-    some = F.coalesce(*parts["sum"])
-    added = sum((F.coalesce(p, F.lit(0)) for p in parts["sum"][1:]), F.coalesce(parts["sum"][0], F.lit(0)))
-    return joined.withColumns({
-        "window_count": sum((F.coalesce(p, F.lit(0)) for p in parts["count"][1:]), parts["count"][0]).cast("long"),
-        "window_sum": F.when(some.isNotNull(), added),
-        "window_max": F.greatest(*parts["max"]),
-    })

@@ -336,7 +336,7 @@ def rule_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_spike_per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = SPIKE.per_event(_event_sales(spark, sf_dir), row_id=["event_id"])
+    found = SPIKE.per_event(_event_sales(spark, sf_dir))
     return found.select("event_id", *rules.FINDING)
 
 
@@ -367,7 +367,7 @@ def rule_rapid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_rapid_per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = RAPID.per_event(_event_sales(spark, sf_dir), row_id=["event_id"])
+    found = RAPID.per_event(_event_sales(spark, sf_dir))
     return found.select("event_id", *rules.FINDING)
 
 
@@ -377,7 +377,7 @@ def trailing_sales_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_store = _event_sales(spark, sf_dir).withColumns({
         "at": F.unix_micros("sold_at"), "units": F.col("quantity_sold").cast("long")})
     stats = rules.trailing_stats(by_store, key=["store_id"], at="at", value="units", lookback_micros=24 * rules.HOUR,
-                                 row_id=["event_id"], hot_rows=_twentieth(by_store))
+                                 hot_rows=_twentieth(by_store))
     return stats.select("event_id", "store_id", "window_count", "window_sum", "window_max")
 
 
@@ -430,9 +430,9 @@ def _event_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What detection finds right after every event."""
     sold = _event_sales(spark, sf_dir)
     parts = [
-        SPIKE.per_event(sold, row_id=["event_id"]).withColumn("at", F.col("sold_at")),
+        SPIKE.per_event(sold).withColumn("at", F.col("sold_at")),
         _adjusted(spark, sf_dir).withColumn("at", F.col("changed_at")),
-        RAPID.per_event(sold, row_id=["event_id"]).withColumn("at", F.col("sold_at")),
+        RAPID.per_event(sold).withColumn("at", F.col("sold_at")),
     ]
     shaped = [p.select(*rules.FINDING, "event_id", "at", F.lit(i).alias("rule_no")) for i, p in enumerate(parts)]
     return rules.anomaly_rows(shaped[0].unionByName(shaped[1]).unionByName(shaped[2]), F.col("at"))

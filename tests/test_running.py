@@ -38,9 +38,9 @@ def test_one_key_spreads_over_slots(spark):
     assert found.where("n != at + 1").count() == 0
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # The part for ordinary keys is empty here; the hot part knows no window over the key alone.
-    hot = plan[plan.index("_of_slot"):]
+    hot = plan[plan.index("_of_running_slot"):]
     assert "windowspecdefinition(k#" in hot and all(
-        "_slot#" in line for line in hot.splitlines() if "windowspecdefinition(k#" in line)
+        "_running_slot#" in line for line in hot.splitlines() if "windowspecdefinition(k#" in line)
 
 
 def test_empty(spark):
