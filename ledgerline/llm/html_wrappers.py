@@ -14,8 +14,9 @@ Aligning is a fold with a small state, so no group of pages is gathered: each ta
 pages of a host, then salted shares of a host are merged, then the host. Wrappers are joined back to the pages by host.
 
 Defined results: null html is empty (empty text); a page with a null or odd address is a host of its own;
-repeated rows give repeated results; unclosed, crossed and surplus tags are tolerated; an empty table gives an empty
-table.
+repeated rows give repeated results; unclosed, crossed and surplus tags are tolerated at any depth (elements nested
+deeper than ``DEEPEST`` count as one); texts of any length are taken whole; other columns are left out; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,6 +39,10 @@ from ledgerline.llm.url_filter import host_of
 SHARES = 64
 #: A wrapper table of up to so many hosts (a few kB each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_HOSTS = 2_000
+#: Elements nested deeper than this are taken together as one, as browsers do.
+DEEPEST = 128
+#: Lists of children whose product is larger than this are aligned by rows of bits.
+TABLE_CELLS = 250_000
 #: Different pages that must agree before a text outside an article counts as template.
 LEAST_PAGES = 5
 
@@ -66,6 +72,10 @@ TEMPLATE_WORDS = re.compile(
     r"sharing|social|related|newsletter|subscribe|subscription|popup|modal|widget|masthead|toolbar|pagination|pager|"
     r"login|signup|skip)$")
 COMMENT_WORDS = re.compile(r"(?:comments?|commentlist|disqus|repl(?:y|ies))$")
+#: Words that leave a name's meaning as it is: comments-area, ad-slot, related-posts.
+NEUTRAL_WORDS = set("area areas box boxes section sections list lists slot slots user users site reader readers wrapper "
+                    "wrap container block blocks panel unit units holder item items thread posts links box1 box2 top "
+                    "bottom left right inner outer global page".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 #: Elements that are template by their names inside an article too; names of its sections and paragraphs are anchors.
 GROUPS = {"div~", "ul~", "ol~", "dl~", "li~", "figure~", "table~"}
@@ -94,16 +104,56 @@ def label_of(name: str, attributes: str) -> str:
         return name + "+" if not hidden and (name == "main" or not comments) else name + "-"
     if name in TEMPLATE_TAGS or hidden or role in TEMPLATE_ROLES or name == "section" and comments:
         return name + "-"
-    # A name is a whole word, or made of such words only: cookie-notice, but not no-sidebar or related-work.
-    if name not in HEADINGS and any(all(map(TEMPLATE_WORDS.match, re.split(r"[-_]+", word))) for word in words):
+    if name not in HEADINGS and any(map(is_template_name, words)):
         return name + "~"
     return name
 
 
+def is_template_name(name: str) -> bool:
+    """Made of template words, and words that say nothing beside them: cookie-notice, comments-area and ad-slot, but not
+    no-sidebar, sidebar-open or related-work."""
+    parts = [part for part in re.split(r"[-_]+", name) if part]
+    known = [bool(TEMPLATE_WORDS.match(part)) for part in parts]
+    return any(known) and all(match or part in NEUTRAL_WORDS for match, part in zip(known, parts))
+
+
+class Open:
+    """The open elements of a page. Beyond ``DEEPEST`` they count as one element, whose kind follows from theirs."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.labels: list[str] = []
+        self.deep: dict[str, int] = {}
+
+    def push(self, name: str, label: str) -> None:
+        if len(self.names) >= DEEPEST:
+            self.deep[label] = self.deep.get(label, 0) + 1
+        self.names.append(name)
+        self.labels.append(label)
+
+    def cut(self, size: int) -> None:
+        """Close all elements from place ``size`` on."""
+        while len(self.names) > size:
+            self.names.pop()
+            label = self.labels.pop()
+            if len(self.names) >= DEEPEST:
+                self.deep[label] -= 1
+
+    def path(self) -> tuple[str, ...]:
+        if len(self.labels) <= DEEPEST:
+            return tuple(self.labels)
+        held = [label for label, n in self.deep.items() if n]
+        for kinds in ([x for x in held if x.endswith("-")], [x for x in held if x in GROUPS],
+                      [x for x in held if x == "article+"], [x for x in held if x.endswith("+")]):
+            if kinds:
+                return (*self.labels[:DEEPEST], min(kinds))
+        return (*self.labels[:DEEPEST], self.labels[-1])
+
+
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
     """(path of labels, text) of each run of text that no block boundary parts, in page order."""
-    path: list[str] = []
-    names: list[str] = []
+    open_ = Open()
+    names = open_.names
     held: list[str] = []
     endings: set[str] = set()  # kinds of RAW that no closing tag follows any more
     at, size = 0, len(page)
@@ -112,7 +162,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         text = " ".join(references.unescape("".join(held)).split())
         held.clear()
         if text:
-            yield tuple(path), text
+            yield open_.path(), text
 
     while at < size:
         found = _TOKEN.match(page, at)
@@ -133,7 +183,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             yield from flush()
             for i in range(len(names) - 1, -1, -1):
                 if names[i] == name:
-                    del names[i:], path[i:]
+                    open_.cut(i)
                     break
                 if names[i] in SCOPES and name not in SCOPES and name not in ("tbody", "thead", "tfoot", "tr", "body"):
                     break
@@ -165,14 +215,13 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             continue
         yield from flush()
         if names[-2:] == ["select", "option"] and name != "option":
-            names.pop(), path.pop()
+            open_.cut(len(names) - 1)
         while names and name not in BROKEN_BY_BLOCKS.get(names[-1], {name}):
-            names.pop(), path.pop()
+            open_.cut(len(names) - 1)
         closes = ENDS.get(name, set()) | ({"p"} if name in PARAGRAPH_ENDS else set())
         while names and names[-1] in closes:
-            names.pop(), path.pop()
-        names.append(name)
-        path.append(label_of(name, found["attrs"]))
+            open_.cut(len(names) - 1)
+        open_.push(name, label_of(name, found["attrs"]))
     yield from flush()
 
 
@@ -234,11 +283,6 @@ def align(a: list, b: list, new_page: bool = True) -> list:
 
 def _merge(left: list, right: list, new_page: bool) -> list:
     """Children along a longest common sequence of labels; the others are optional."""
-    n, m = len(left), len(right)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if left[i][0] == right[j][0] else max(best[i + 1][j], best[i][j + 1])
     out: list[list] = []
 
     def put(child: list, optional: bool) -> None:
@@ -251,17 +295,78 @@ def _merge(left: list, right: list, new_page: bool) -> list:
             out.append(child)
 
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and left[i][0] == right[j][0]:
-            put(align(left[i], right[j], new_page), False)
+    for x, y in [*common([child[0] for child in left], [child[0] for child in right]), (len(left), len(right))]:
+        for child in left[i:x]:
+            put(child, True)
+        for child in right[j:y]:
+            put(child, True)
+        if x < len(left):
+            put(align(left[x], right[y], new_page), False)
+        i, j = x + 1, y + 1
+    return out
+
+
+def common(left: list[str], right: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common sequence of two lists, in order."""
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(left), 0, len(right))]
+    while todo:
+        i, n, j, m = todo.pop()
+        if (n - i) * (m - j) <= TABLE_CELLS:
+            found += _common_by_table(left, right, i, n, j, m)
+            continue
+        while i < n and j < m and left[i] == right[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            put(left[i], True)
-            i += 1
+        while i < n and j < m and left[n - 1] == right[m - 1]:
+            n, m = n - 1, m - 1
+            found.append((n, m))
+        if i == n or j == m:
+            continue
+        if n - i == 1:
+            found += [(i, k) for k in range(j, m) if right[k] == left[i]][:1]
+            continue
+        # Halve one list where the best sequences of both halves meet in the other: no table, only rows of bits.
+        half = (i + n) // 2
+        ahead = _lengths(left[i:half], right[j:m])
+        behind = _lengths(left[half:n][::-1], right[j:m][::-1])[::-1]
+        meet = j + int((ahead + behind).argmax())
+        todo += [(i, half, j, meet), (half, n, meet, m)]
+    return sorted(found)
+
+
+def _lengths(left: list[str], right: list[str]) -> np.ndarray:
+    """Length of the longest common sequence of ``left`` and each beginning of ``right``, a row of bits at a time."""
+    places: dict[str, int] = {}
+    for label in set(right):
+        bits = np.fromiter((x == label for x in right), bool, len(right))
+        places[label] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    every = (1 << len(right)) - 1
+    row = every
+    for label in left:
+        kept = row & places.get(label, 0)
+        row = (row + kept | row - kept) & every
+    data = np.frombuffer(row.to_bytes(len(right) // 8 + 1, "little"), np.uint8)
+    unset = 1 - np.unpackbits(data, bitorder="little")[:len(right)].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(unset)])
+
+
+def _common_by_table(left: list[str], right: list[str], i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
+    best = [[0] * (m - j + 1) for _ in range(n - i + 1)]
+    for a in range(n - i - 1, -1, -1):
+        for b in range(m - j - 1, -1, -1):
+            best[a][b] = (best[a + 1][b + 1] + 1 if left[i + a] == right[j + b]
+                          else max(best[a + 1][b], best[a][b + 1]))
+    found, a, b = [], 0, 0
+    while a < n - i and b < m - j:
+        if left[i + a] == right[j + b]:
+            found.append((i + a, j + b))
+            a, b = a + 1, b + 1
+        elif best[a + 1][b] >= best[a][b + 1]:
+            a += 1
         else:
-            put(right[j], True)
-            j += 1
-    return out
+            b += 1
+    return found
 
 
 def expression(wrapper: list) -> str:

@@ -160,3 +160,50 @@ def test_odd_rows(spark):
     found = sorted((r.page_id or 0, r.text, r.n_chars) for r in hw.extract(frame).collect())
     assert found == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
     assert hw.extract(frame.limit(0)).collect() == []
+
+
+KEPT_OUT = ["comments-area", "comments-section", "user-comments", "comment-list", "ad-slot", "advertisement-box", "site-notice",
+            "related-posts"]
+
+
+def test_comments_and_adverts_by_compound_names(spark):
+    pages = [(f"http://c{i}.example/", page.format(name)) for i, (page, name) in enumerate(
+        (page, name) for name in KEPT_OUT for page in (
+            '<article><p>t</p><div class="{}"><p>r</p></div></article>', '<article><p>t</p></article><div id="{}"><p>r</p></div>',
+            '<article><p>t</p><div class="x"><ul class="{}"><li>r</li></ul></div></article>'))]
+    assert extracted(spark, pages) == ["t"] * len(pages)
+    assert not any(map(hw.is_template_name, ["no-sidebar", "has-sidebar", "with-sidebar", "sidebar-open", "comments-open",
+                                             "related-work", "site", "post-list", "page", "user-area"]))
+
+
+def test_elements_nested_very_deeply(spark):
+    n = 100_000
+    pages = [("http://d1.example/", "<article><p>a</p>" + "<div>" * n + "deep<nav>menu</nav><p>end"),
+             ("http://d2.example/", "<article>" + "<div>" * n + "deep" + "</div>" * n + "<p>t</p></article>out"),
+             ("http://d3.example/", "<nav>" + "<div>x" * 2_000 + "</nav><article>t</article>"),
+             ("http://d3.example/", "<article>" + "<div>x" * 2_000 + "</article>")]
+    assert extracted(spark, pages) == ["a deep end", "deep t", "t", " ".join(["x"] * 2_000)]
+
+
+def test_many_alternating_children(spark):
+    n = 25_000
+    parts = [f"<h2>{i}</h2><p>{i}</p>" for i in range(n)]
+    pages = [("http://a.example/", "<article>" + "".join(parts[k:]) + "</article>") for k in (0, 3)]
+    assert extracted(spark, pages) == [" ".join(f"{i} {i}" for i in range(k, n)) for k in (0, 3)]
+
+
+def test_longest_common_sequence(monkeypatch):
+    import random
+
+    draw = random.Random(6)
+    for size in (1, 5, 30, 90):
+        for kinds in (1, 2, 4, 30):
+            left, right = ([f"k{draw.randrange(kinds)}" for _ in range(draw.randint(0, size))] for _ in range(2))
+            by_table = hw._common_by_table(left, right, 0, len(left), 0, len(right))
+            monkeypatch.setattr(hw, "TABLE_CELLS", 6)
+            by_bits = hw.common(left, right)
+            monkeypatch.undo()
+            for found in (by_table, by_bits):
+                assert all(left[a] == right[b] for a, b in found)
+                assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+            assert len(by_bits) == len(by_table) and hw.common(left, right) == by_table
