@@ -7,7 +7,8 @@ terms and counting per document intersects them. Only candidates are verified wi
 without mandatory trigrams has every document as candidate. SQL functions only.
 
 Spans count code points, the end is exclusive; per rule they are the leftmost non-overlapping matches, of which those
-with a too short value are dropped. Positions come from splitting a text at the matches and adding up lengths.
+with a too short value are dropped. Positions come from splitting a text at the matches and adding up lengths, in time linear in the text and,
+but for a logarithm, in the matches.
 
 Defined results: null text is empty and has no spans; a null ``doc_id`` is a key of its own; repeated rows give
 repeated results; an empty table gives an empty table. Result columns replace input columns of the same name.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.columns import let, text_of
+from ledgerline.llm.columns import let, located, replaced, text_of
 from ledgerline.llm.storage import settle
 
 #: A candidate table of up to this many rows (some 60 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -158,25 +159,13 @@ def candidates(documents: DataFrame, rules: Sequence[Rule], key: str, text: str)
 def _matches(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, number, end, kind) of one rule in one text."""
 
-    def located(pieces: Column, hits: Column, values: Column) -> Column:
-        """``pieces`` are what lies before, between and after the ``hits``."""
-        ends = F.aggregate(
-            F.transform(hits, lambda hit, i: F.char_length(F.get(pieces, i)) + F.char_length(hit)),
-            F.array().cast("array<int>"),
-            lambda ends, step: F.concat(ends, F.array(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + step)))
-        spans = let(ends, lambda at: F.transform(hits, lambda hit, i: F.struct(
-            (F.get(at, i) - F.char_length(hit)).alias("start"), F.lit(number).alias("number"),
-            F.get(at, i).alias("end"), F.lit(rule.kind).alias("kind"),
-            F.char_length(F.get(values, i)).alias("size"))))
-        return F.transform(F.filter(spans, lambda s: s["size"] >= rule.least), lambda s: F.struct(
-            s["start"], s["number"], s["end"], s["kind"]))
-
-    pattern = F.lit(rule.pattern)
-    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hits: F.when(
-        F.size(hits) > 0,
-        let(F.split(text, rule.pattern, -1), lambda pieces: let(
-            F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits,
-            lambda values: located(pieces, hits, values)))))
+    def long_enough(hit: Column) -> Column:
+        value = F.regexp_extract(hit, rule.pattern, rule.group) if rule.group else hit
+        return F.char_length(value) >= rule.least
+
+    found = located(text, rule.pattern, long_enough if rule.least > 1 else None)
+    return F.transform(found, lambda m: F.struct(
+        m["start"], F.lit(number).alias("number"), m["end"], F.lit(rule.kind).alias("kind")))
 
 
 def scan(documents: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,17 +194,7 @@ def listed(secrets: Column) -> Column:
 
 def redact(scanned: DataFrame, text: str = "text") -> DataFrame:
     """Texts in which each run of overlapping spans is replaced by the kind of its first span in brackets."""
-    content = text_of(text)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(done: Column, span: Column) -> Column:
-        gap = F.substring(content, done["at"] + 1, span["start"] - done["at"])
-        fresh = F.concat(done["out"], gap, F.lit("["), span["kind"], F.lit("]"))
-        return F.struct(F.when(span["start"] >= done["at"], fresh).otherwise(done["out"]).alias("out"),
-                        F.greatest(done["at"], span["end"]).alias("at"))
-
-    masked = F.aggregate("secrets", start, step, lambda done: F.concat(
-        done["out"], F.substring(content, done["at"] + 1, F.char_length(content))))
+    masked = replaced(text_of(text), F.col("secrets"), lambda span: F.concat(F.lit("["), span["kind"], F.lit("]")))
     return scanned.withColumn(text, F.when(F.size("secrets") > 0, masked).otherwise(F.col(text))).drop("secrets")
 
 

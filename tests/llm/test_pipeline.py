@@ -68,3 +68,12 @@ def test_repeated_and_null_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF_DIR)
     assert empty.collect() == []
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "password=hunter2hunter2", "en", "s", 23, "mine", True, 7.5), (2, "clean", "en", "s", 5, None, False, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                                       "secrets string, _changed boolean, `rest` double")
+    out = dict(corpus_pipeline.STAGES)["secret scans"](spark, docs, SF_DIR)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(tuple, out.collect())) == [(1, "[assign]", "en", "s", 8, "mine", True, 7.5), rows[1]]

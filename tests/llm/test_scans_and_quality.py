@@ -170,3 +170,15 @@ def test_native_plans_run_no_python(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_many_secrets_in_one_text(spark):
+    from ledgerline.llm import secret_scan
+
+    n = 100_000
+    line = "x token=abcdef12 "
+    frame = spark.createDataFrame([(1, line * n)], "doc_id long, text string")
+    scanned = secret_scan.scan(frame)
+    row = secret_scan.digests(scanned).first()
+    assert row.n_assign == n and row.spans.endswith(f"assign:{17 * (n - 1) + 2}:{17 * n - 1}")
+    assert secret_scan.redact(scanned).first().text == "x [assign] " * n
