@@ -30,13 +30,15 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by its kind in brackets."""
-    changed = F.size("secrets") > 0
-    scanned = secret_scan.scan(docs).withColumn("_changed", changed)
-    redacted = secret_scan.redact(scanned)
-    if "n_chars" in docs.columns:
-        redacted = redacted.withColumn("n_chars", F.when(
-            F.col("_changed"), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return redacted.select(*docs.columns)
+    # The other columns travel in one, so that none of their names can clash.
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    scanned = secret_scan.scan(docs.select("doc_id", "text", rest))
+    redacted = secret_scan.redact(scanned.withColumn("changed", F.size("secrets") > 0))
+    kept = {c: F.col("text") if c == "text" else F.col("rest")[c] for c in docs.columns}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("changed"), F.char_length("text")).otherwise(kept["n_chars"]).cast(
+            docs.schema["n_chars"].dataType)
+    return redacted.select(*[column.alias(c) for c, column in kept.items()])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
