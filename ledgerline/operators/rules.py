@@ -7,12 +7,12 @@ A rule maps a :class:`RuleContext` to findings (inventory_id, anomaly_type, seve
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import texts
@@ -26,6 +26,7 @@ from ledgerline.sources.tables import recent
 log = logging.getLogger(__name__)
 
 FINDING = ("inventory_id", "anomaly_type", "severity", "score", "description")
+_NOTHING = "inventory_id string, anomaly_type string, severity string, score double, description string, rule_no int"
 HOUR, SECOND = 3_600_000_000, 1_000_000
 
 
@@ -198,10 +199,16 @@ class RuleEngine:
     """N5 + P2: an ordered rule list. An empty list means the default rules.
 
     A rule may say with ``lookback_seconds`` how far back it looks; a rule that does not may look at everything.
+
+    A rule that cannot be planned is skipped. With ``isolate`` each rule's findings are computed and written apart, so a
+    rule that fails while it runs is skipped as well and the others are delivered; without, findings stay lazy and such
+    an error fails the run. ``failures`` tells which rules the last detection skipped.
     """
 
-    def __init__(self, rules: Sequence[Rule] | None = None) -> None:
+    def __init__(self, rules: Sequence[Rule] | None = None, isolate: bool = False) -> None:
         self.rules = list(rules or default_rules())
+        self.isolate = isolate
+        self.failed: list[tuple[int, str, str]] = []
 
     def add_rule(self, rule: Rule) -> None:
         self.rules.append(rule)
@@ -219,17 +226,27 @@ class RuleEngine:
         bounds = [getattr(rule, "lookback_seconds", None) for rule in self.rules]
         return None if None in bounds else max(bounds)
 
-    def findings(self, context: RuleContext) -> DataFrame:
-        """Findings of all rules with ``rule_no``, their place in the list. A rule that cannot be planned is skipped."""
-        parts = []
+    def failures(self, spark: SparkSession) -> DataFrame:
+        """(rule_no, rule, error) of the rules that the last detection skipped."""
+        return spark.createDataFrame(self.failed, "rule_no int, rule string, error string")
+
+    def _each(self, found_by: Callable[[Rule], DataFrame], *columns: str) -> list[DataFrame]:
+        """Findings of each rule that works, with ``columns`` and ``rule_no``."""
+        parts, self.failed = [], []
         for position, rule in enumerate(self.rules):
             try:
-                parts.append(rule.evaluate(context).select(*FINDING, F.lit(position).alias("rule_no")))
-            except Exception:  # a broken custom rule must not stop the others
+                found = found_by(rule).select(*FINDING, *columns, F.lit(position).alias("rule_no"))
+                parts.append(cut_lineage(found) if self.isolate else found)
+            except Exception as error:  # a broken custom rule must not stop the others
                 log.exception("anomaly rule %s skipped", type(rule).__name__)
+                self.failed.append((position, type(rule).__name__, str(error).strip().split("\n")[0]))
+        return parts
+
+    def findings(self, context: RuleContext) -> DataFrame:
+        """Findings of all rules with ``rule_no``, their place in the list."""
+        parts = self._each(lambda rule: rule.evaluate(context))
         if not parts:
-            empty = "inventory_id string, anomaly_type string, severity string, score double, description string, rule_no int"
-            return context.inventory.sparkSession.createDataFrame([], empty)
+            return context.inventory.sparkSession.createDataFrame([], _NOTHING)
         return reduce(DataFrame.unionByName, parts)
 
     def detect(self, context: RuleContext, event_ids: DataFrame | None = None) -> DataFrame:
@@ -250,21 +267,18 @@ class RuleEngine:
         """
         in_order = "sequence" in changes.columns and "sequence" in context.sales.columns
         events = changes.select("inventory_id", F.col("source_event_id").alias("event_id"))
-        parts = []
-        for position, rule in enumerate(self.rules):
-            try:
-                tagged = changes.withColumn("event_id", F.col("source_event_id"))
-                if hasattr(rule, "per_change"):
-                    found = rule.per_change(tagged)
-                elif in_order and hasattr(rule, "after"):
-                    found = rule.after(tagged, context)
-                else:
-                    found = rule.evaluate(context).select(*FINDING).join(events, "inventory_id")
-                parts.append(found.select(*FINDING, "event_id", F.lit(position).alias("rule_no")))
-            except Exception:  # a broken custom rule must not stop the others
-                log.exception("anomaly rule %s skipped", type(rule).__name__)
-        merged = reduce(DataFrame.unionByName, parts) if parts else self.findings(context).withColumn(
-            "event_id", F.lit(None).cast("string")).limit(0)
+        tagged = changes.withColumn("event_id", F.col("source_event_id"))
+
+        def found_by(rule: Rule) -> DataFrame:
+            if hasattr(rule, "per_change"):
+                return rule.per_change(tagged)
+            if in_order and hasattr(rule, "after"):
+                return rule.after(tagged, context)
+            return rule.evaluate(context).select(*FINDING).join(events, "inventory_id")
+
+        parts = self._each(found_by, "event_id")
+        merged = reduce(DataFrame.unionByName, parts) if parts else changes.sparkSession.createDataFrame(
+            [], _NOTHING + ", event_id string")
         return anomaly_rows(merged.where(F.col("anomaly_type").isNotNull() & F.col("severity").isNotNull()),
                             context.as_of)
 
