@@ -31,36 +31,50 @@ shares AS (
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
            1000 * n_symbols // greatest(word_chars, 1) AS symbol_share,
            1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_share,
-           1000 * n_repeat_words // greatest(n_words, 1) AS repeat_share
+           1000 * n_repeat_words // greatest(n_words, 1) AS repeat_share,
+           least(10 * word_chars // greatest(n_words, 1), 1000) AS word_length
     FROM counts),
 long AS (
-    SELECT lang, source, 'symbol_share' AS share, symbol_share AS v FROM shares
-    UNION ALL SELECT lang, source, 'dup_line_share', dup_line_share FROM shares
-    UNION ALL SELECT lang, source, 'repeat_share', repeat_share FROM shares),
+    SELECT lang, source, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'word_length']) AS share,
+           unnest([symbol_share, dup_line_share, repeat_share, word_length]) AS v
+    FROM shares WHERE NOT base_failed),
+parts(share, p_low, p_high, least) AS (VALUES
+    ('symbol_share', 250, 750, 10), ('dup_line_share', 500, 950, 25), ('repeat_share', 500, 950, 25),
+    ('word_length', 250, 750, 5)),
+ranked AS (
+    SELECT *, row_number() OVER s AS rs, row_number() OVER l AS rl, row_number() OVER o AS ro,
+           count(*) OVER (PARTITION BY lang, source, share) AS ns, count(*) OVER (PARTITION BY lang, share) AS nl,
+           count(*) OVER (PARTITION BY share) AS n_all
+    FROM long JOIN parts USING (share)
+    WINDOW s AS (PARTITION BY lang, source, share ORDER BY v), l AS (PARTITION BY lang, share ORDER BY v),
+           o AS (PARTITION BY share ORDER BY v)),
 by_source AS (
-    SELECT lang, source, share, count(*) AS n, quantile_disc(v, 0.25) AS lo, quantile_disc(v, 0.75) AS hi
-    FROM long GROUP BY ALL),
+    SELECT lang, source, share, max(ns) AS n, max(least) AS least, min(v) FILTER (1000 * rs >= p_low * ns) AS lo,
+           min(v) FILTER (1000 * rs >= p_high * ns) AS hi FROM ranked GROUP BY ALL),
 by_lang AS (
-    SELECT lang, share, count(*) AS n, quantile_disc(v, 0.25) AS lo, quantile_disc(v, 0.75) AS hi
-    FROM long GROUP BY ALL),
+    SELECT lang, share, max(nl) AS n, min(v) FILTER (1000 * rl >= p_low * nl) AS lo,
+           min(v) FILTER (1000 * rl >= p_high * nl) AS hi FROM ranked GROUP BY ALL),
 overall AS (
-    SELECT share, quantile_disc(v, 0.25) AS lo, quantile_disc(v, 0.75) AS hi FROM long GROUP BY ALL),
+    SELECT share, min(v) FILTER (1000 * ro >= p_low * n_all) AS lo,
+           min(v) FILTER (1000 * ro >= p_high * n_all) AS hi FROM ranked GROUP BY ALL),
 chosen AS (
-    SELECT s.lang, s.source, s.share,
+    SELECT s.lang, s.source, s.share, s.least,
            CASE WHEN s.n >= 200 THEN s.lo WHEN l.n >= 200 THEN l.lo ELSE o.lo END AS lo,
            CASE WHEN s.n >= 200 THEN s.hi WHEN l.n >= 200 THEN l.hi ELSE o.hi END AS hi
     FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.share = l.share
     JOIN overall o ON o.share = s.share),
 limits AS (
     SELECT lang, source,
-           max(CASE WHEN share = 'symbol_share' THEN hi + 4 * greatest(hi - lo, 10) END) AS max_symbol,
-           max(CASE WHEN share = 'dup_line_share' THEN hi + 4 * greatest(hi - lo, 100) END) AS max_dup,
-           max(CASE WHEN share = 'repeat_share' THEN hi + 4 * greatest(hi - lo, 120) END) AS max_repeat
+           max(hi + 4 * greatest(hi - lo, least)) FILTER (share = 'symbol_share') AS max_symbol,
+           max(hi + 4 * greatest(hi - lo, least)) FILTER (share = 'dup_line_share') AS max_dup,
+           max(hi + 4 * greatest(hi - lo, least)) FILTER (share = 'repeat_share') AS max_repeat,
+           max(hi + 4 * greatest(hi - lo, least)) FILTER (share = 'word_length') AS max_word,
+           max(lo - 4 * greatest(hi - lo, least)) FILTER (share = 'word_length') AS min_word
     FROM chosen GROUP BY lang, source),
 judged AS (
     SELECT s.*, NOT base_failed AND symbol_share <= max_symbol AND dup_line_share <= max_dup
-                AND repeat_share <= max_repeat AS kept
-    FROM shares s JOIN limits m ON s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source)
+                AND repeat_share <= max_repeat AND word_length BETWEEN min_word AND max_word AS kept
+    FROM shares s LEFT JOIN limits m ON s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source)
 """
 
 OP10 = OP10_ROWS + """
@@ -123,22 +137,31 @@ def _license_oracle() -> str:
     choices = []
     for _, (licence, ids) in ranked:
         met = [f"s0 = {ids[0]}"]
-        met += [f"s{k} = {ids[k]} AND a{k} - a{k - 1} <= 2" for k in range(1, len(ids))]
+        met += [f"s{k} = {ids[k]} AND a{k} - e{k - 1} <= 2" for k in range(1, len(ids))]
         choices.append(f"WHEN {' AND '.join(met)} THEN '{licence}'")
     longest = max(len(ids) for _, ids in RULES)
-    leads = ", ".join(f"lead(sentence, {k}) OVER w AS s{k}, lead(pos, {k}) OVER w AS a{k}" for k in range(1, longest))
+    leads = ", ".join(f"lead(sentence, {k}) OVER w AS s{k}, lead(pos, {k}) OVER w AS a{k}, lead(finish, {k}) OVER w AS e{k}" for k in range(1, longest))
     return rf"""
 WITH source_rows AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS content FROM documents),
 known AS (SELECT n AS sentence, {plain.format('s')} AS words FROM (VALUES {values}) AS v(n, s)),
 lines AS (
-    SELECT row_id, unnest(string_split_regex(regexp_replace(content, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n'))
-           AS raw, generate_subscripts(string_split_regex(
-               regexp_replace(content, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n'), 1) - 1 AS pos
+    SELECT row_id, list_filter(list_transform(
+        string_split(regexp_replace(content, '([.!?:])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
+        lambda raw: {plain.format('raw')}), lambda piece: piece <> '') AS pieces
     FROM source_rows),
+numbered AS (SELECT row_id, unnest(range(0, len(pieces))) AS pos, pieces FROM lines),
+spans AS (
+    SELECT row_id, pos, sentence, n.words,
+           list_filter(range(pos + 1, least(len(pieces), pos + len(string_split(n.words, ' '))) + 1), lambda stop:
+               array_to_string(pieces[pos + 1:stop], ' ') = n.words) AS stops
+    FROM numbered JOIN known n ON split_part(pieces[pos + 1], ' ', 1) = split_part(n.words, ' ', 1)
+         AND starts_with(n.words, pieces[pos + 1])),
 found AS (
-    SELECT row_id, pos, sentence FROM lines JOIN known ON {plain.format('raw')} = words WHERE raw <> ''),
+    SELECT row_id, pos, max_by(sentence, (stops[1], -sentence)) AS sentence, max(stops[1]) - 1 AS finish
+    FROM spans WHERE len(stops) > 0 GROUP BY row_id, pos),
 chains AS (
-    SELECT row_id, pos, sentence AS s0, pos AS a0, {leads} FROM found WINDOW w AS (PARTITION BY row_id ORDER BY pos)),
+    SELECT row_id, pos, sentence AS s0, pos AS a0, finish AS e0, {leads}
+    FROM found WINDOW w AS (PARTITION BY row_id ORDER BY pos)),
 chosen AS (SELECT row_id, pos, CASE {' '.join(choices)} END AS licence FROM chains),
 firsts AS (SELECT row_id, licence, min(pos) AS pos FROM chosen WHERE licence IS NOT NULL GROUP BY ALL),
 joined AS (SELECT row_id, string_agg(licence, ',' ORDER BY pos) AS licences FROM firsts GROUP BY row_id),

@@ -1,14 +1,17 @@
 """Quality rules (10): fixed base rules, then adaptive fences from quantile sketches per language and source.
 
 Every document is measured once, with SQL functions only. Three shares (symbols, repeated lines, repeated three-word
-windows, in thousandths) go into quantile sketches on a fixed grid: a count per bin, at most 1001 bins for each
-language, source and share. Such a sketch merges by adding counts, gives every rank exactly and every value to a
+windows, in thousandths) and the mean length of a word (in tenths of a character, up to 100 characters) of the documents
+that the base rules accept go into quantile sketches on a fixed grid: a count per bin, at most 1001 bins for each
+language, source and measure. Such a sketch merges by adding counts, gives every rank exactly and every value to a
 thousandth, and does not depend on the order of merging, so a retried task cannot change a verdict (KLL sketches
 compact at random and would). A group that is too small for quantiles of its own uses the merged sketch of its
-language, then the one of all documents. The fences are joined to the measured rows.
+language, then the one of all documents. The fences follow two quantiles of the group (``FENCES``) and are joined to the
+measured rows. Length in words gets no fence: a long document is not a bad one, and the base rules set the least.
 
 Defined results: null text is empty (no words, so ``base_failed``); null language or source is a group of its own;
-repeated rows are judged one by one; an empty table gives an empty table; other columns pass through.
+repeated rows are judged one by one; equal values are on the same side of a fence; an empty table gives an empty table;
+other columns pass through, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,18 +24,40 @@ from pyspark.sql import functions as F
 from ledgerline.llm.columns import SPACE, let, text_of, total, words_of
 from ledgerline.llm.storage import settle
 
-SHARES = ("symbol_share", "dup_line_share", "repeat_share")
+SHARES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: A fence table up to this size is broadcast (about 60 bytes a row); a larger one is joined by shuffle.
 BROADCAST_GROUPS = 100_000
 
 
+@dataclass(frozen=True)
+class Fence:
+    """``share`` is too high beyond ``high + reach * max(high - low, least)``, where low and high are its quantiles (in
+    thousandths) in the group; a fence of both sides also has the lower bound ``low - reach * max(high - low, least)``."""
+
+    share: str
+    low: int
+    high: int
+    reach: int
+    least: int
+    both_sides: bool = False
+
+
+#: Symbols and word lengths vary in every document, so quartiles tell their spread. Most documents repeat nothing, so
+#: the spread of repeats lies between the median and the twentieth part that repeats most.
+FENCES = (
+    Fence("symbol_share", 250, 750, 4, 10),
+    Fence("dup_line_share", 500, 950, 4, 25),
+    Fence("repeat_share", 500, 950, 4, 25),
+    Fence("word_length", 250, 750, 4, 5, both_sides=True),
+)
+
+
 @dataclass(frozen=True)
 class Fences:
-    """A share is too high beyond ``upper quartile + reach * max(interquartile range, least_spread)``."""
+    """The fences, and the number of documents that a group needs for quantiles of its own."""
 
-    reach: int = 4
-    least_spread: tuple[int, int, int] = (10, 100, 120)
+    each: tuple[Fence, ...] = FENCES
     least_documents: int = 200
 
 
@@ -86,6 +111,7 @@ def measured(documents: DataFrame, by: list[str], text: str = "text", keep_text:
             "symbol_share": F.expr("1000 * n_symbols div greatest(word_chars, 1)"),
             "dup_line_share": F.expr("1000 * n_dup_lines div greatest(lines.n, 1)"),
             "repeat_share": F.expr("1000 * n_repeat_words div greatest(n_words, 1)"),
+            "word_length": F.expr("least(10 * word_chars div greatest(n_words, 1), 1000)"),
             "base_failed": F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")})
         .drop("content", "words", "lines")
     )
@@ -101,24 +127,28 @@ def merge(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "share", "bin").agg(F.sum("n").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Group, share, documents and both quartiles (smallest bin that holds the rank)."""
+def _quantiles(sketch: DataFrame, by: list[str], each: tuple[Fence, ...] = FENCES) -> DataFrame:
+    """Group, share, documents and the two quantiles of its fence (smallest bin that holds the rank)."""
     # A window has at most 1001 rows: the bins of one sketch.
     group = Window.partitionBy(*by, "share")
     running = F.sum("n").over(group.orderBy("bin"))
+
+    def of_share(parameter: str) -> Column:
+        return F.create_map(*[F.lit(x) for f in each for x in (f.share, getattr(f, parameter))])[F.col("share")]
+
+    def quantile(parameter: str) -> Column:
+        return F.min(F.when(1000 * F.col("_at") >= of_share(parameter) * F.col("_all"), F.col("bin"))).alias(parameter)
+
     return (sketch.withColumns({"_at": running, "_all": F.sum("n").over(group)})
-            .groupBy(*by, "share")
-            .agg(F.max("_all").alias("documents"),
-                 F.min(F.when(4 * F.col("_at") >= F.col("_all"), F.col("bin"))).alias("low"),
-                 F.min(F.when(4 * F.col("_at") >= 3 * F.col("_all"), F.col("bin"))).alias("high")))
+            .groupBy(*by, "share").agg(F.max("_all").alias("documents"), quantile("low"), quantile("high")))
 
 
 def fences(sketch: DataFrame, by: list[str], rule: Fences = Fences()) -> DataFrame:
-    """The highest accepted share per group: its own quartiles, or those of a merged sketch if it is small.
+    """The lowest and highest accepted values per group, from its own quantiles or those of a merged sketch if it is small.
 
     ``by`` runs from the widest to the narrowest column (language, source).
     """
-    levels = [_quartiles(merge(sketch, by[:depth]), by[:depth]) for depth in range(len(by), -1, -1)]
+    levels = [_quantiles(merge(sketch, by[:depth]), by[:depth], rule.each) for depth in range(len(by), -1, -1)]
     keys = sketch.select(*by, "share").distinct()
     chosen = keys
     for number, (level, depth) in enumerate(zip(levels, range(len(by), -1, -1))):
@@ -130,13 +160,15 @@ def fences(sketch: DataFrame, by: list[str], rule: Fences = Fences()) -> DataFra
         for i, c in enumerate(by[:depth]):
             same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
         chosen = chosen.join(named, same, "left").drop("_share", *[f"_k{i}" for i in range(depth)])
-    quartiles = F.coalesce(*[F.col(f"_q{number}") for number in range(len(levels))])
-    spread = F.create_map(*[F.lit(x) for pair in zip(SHARES, rule.least_spread) for x in pair])
-    return (chosen.withColumn("_q", quartiles)
-            .withColumn("_limit", F.col("_q.high") + rule.reach * F.greatest(
-                F.col("_q.high") - F.col("_q.low"), spread[F.col("share")].cast("long")))
-            .groupBy(*by)
-            .agg(*[F.max(F.when(F.col("share") == name, F.col("_limit"))).alias(f"max_{name}") for name in SHARES]))
+    quantiles = F.coalesce(*[F.col(f"_q{number}") for number in range(len(levels))])
+
+    def limit(fence: Fence, end: str, sign: int) -> Column:
+        spread = F.greatest(F.col("_q.high") - F.col("_q.low"), F.lit(fence.least).cast("long"))
+        return F.max(F.when(F.col("share") == fence.share, F.col(f"_q.{end}") + sign * fence.reach * spread))
+
+    return (chosen.withColumn("_q", quantiles).groupBy(*by)
+            .agg(*[limit(f, "high", 1).alias(f"max_{f.share}") for f in rule.each],
+                 *[limit(f, "low", -1).alias(f"min_{f.share}") for f in rule.each if f.both_sides]))
 
 
 def judge(documents: DataFrame, by: tuple[str, ...] = ("lang", "source"), rule: Fences = Fences(),
@@ -147,17 +179,20 @@ def judge(documents: DataFrame, by: tuple[str, ...] = ("lang", "source"), rule:
     """
     groups = [f"g{i}" for i in range(len(by))]
     rows = settle(measured(documents, list(by), text, keep_text), "measured")
-    limits = settle(fences(sketches(rows, groups), groups, rule), "fences")
+    limits = settle(fences(sketches(rows.where("NOT base_failed"), groups), groups, rule), "fences")
     few = limits.count() <= BROADCAST_GROUPS
     limits = limits.withColumnsRenamed({g: f"of_{g}" for g in groups})
     same = F.lit(True)
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
     within = ~F.col("base_failed")
-    for name in SHARES:
-        within = within & (F.col(name) <= F.col(f"max_{name}"))
+    for fence in rule.each:
+        within = within & (F.col(fence.share) <= F.col(f"max_{fence.share}"))
+        if fence.both_sides:
+            within = within & (F.col(fence.share) >= F.col(f"min_{fence.share}"))
     results = {*MEASURES, "base_failed", "kept"}
-    return (rows.join(F.broadcast(limits) if few else limits, same)
+    # A group without limits has no document that the base rules accept.
+    return (rows.join(F.broadcast(limits) if few else limits, same, "left")
             .withColumn("kept", within)
             .select(*[F.col("doc")[c].alias(c) for c in rows.schema["doc"].dataType.names if c.lower() not in results],
                     *MEASURES, "base_failed", "kept"))

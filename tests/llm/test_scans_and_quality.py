@@ -87,6 +87,83 @@ def test_licences(spark):
     assert license_scan.scan(frame.limit(0)).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ *
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+GPL = """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+//
+// This program is distributed in the hope that it will be useful,
+// but WITHOUT ANY WARRANTY; without even the implied warranty of
+// MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+// GNU General Public License for more details.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_wrapped_originals(spark):
+    texts = {1: MIT, 2: APACHE, 3: BSD, 4: GPL, 5: MPL, 6: " ".join(MIT.split()), 7: APACHE.replace("\n", "\r\n"),
+             8: "Licensed under the Apache License, Version 2.0\nby its owner", 9: APACHE.replace("compliance", "accord"),
+             10: "This project is licensed under the terms of the\nMIT license. Enjoy",
+             11: "text " * 50_000 + "\n" + MIT + "this \n" * 100_000 + APACHE}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_sentences, r.licences) for r in license_scan.scan(frame).collect()}
+    assert found == {1: (4, "MIT"), 2: (4, "Apache-2.0"), 3: (4, "BSD-3-Clause"), 4: (3, "GPL-3.0-or-later"),
+                     5: (2, "MPL-2.0"), 6: (3, "MIT"), 7: (4, "Apache-2.0"), 8: (1, "Apache-2.0"), 9: (3, ""), 10: (1, "MIT"),
+                     11: (8, "MIT,Apache-2.0")}
+
+
 def test_longest_rule_wins(spark):
     rules = (("short", (1,)), ("long", (1, 2)), ("other", (2,)))
     sentences = {1: "First.", 2: "Second."}
@@ -134,6 +211,43 @@ def test_fences_follow_the_group(spark):
     assert kept == set(range(300)) | set(range(1000, 1300))
 
 
+def test_each_fence_drops_what_the_base_rules_accept(spark):
+    rnd = random.Random(8)
+
+    def lines(n, repeated):
+        own = [prose(rnd, n=12) for _ in range(n - repeated)]
+        return "\n".join(own + own[:1] * repeated)
+
+    def windows(n, again):  # the last ``again`` words say once more what the first did
+        own = prose(rnd, n=n - again).split()
+        return " ".join(own + own[:again])
+
+    planted = {1000: lines(11, 3), 1001: windows(200, 41), 1002: prose(rnd, 0.6), 1003: "w" * 60 + " " + ("abcdefghijklm " * 1).join(
+        prose(rnd, n=1) + " " for _ in range(80)), 1004: " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60))}
+    rows = [(i, prose(rnd), "en", "clean") for i in range(400)] + [(i, t, "en", "clean") for i, t in planted.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality.judge(frame).collect()}
+    assert [i for i in planted if found[i].base_failed] == []
+    assert [i for i in planted if found[i].kept] == [] and all(found[i].kept for i in range(400))
+    measures = {r["doc"].doc_id: r for r in quality.measured(frame, ["lang", "source"]).collect()}
+    assert measures[1000].dup_line_share == 272 and 300 < measures[1001].repeat_share < 500
+    assert measures[1003].word_length > 80 and measures[1004].word_length == 10
+
+
+def test_group_that_always_repeats_keeps_its_repeats(spark):
+    rnd = random.Random(9)
+
+    def poem(repeated):
+        own = [prose(rnd, n=12) for _ in range(20 - repeated)]
+        return "\n".join(own + own[:repeated])
+
+    rows = [(i, poem(rnd.randint(0, 4)), "en", "poems") for i in range(300)] + [(900, poem(5), "en", "poems")]
+    rows += [(1000 + i, poem(0), "en", "prose") for i in range(300)] + [(1900, poem(5), "en", "prose")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.judge(frame).where("kept").collect()}
+    assert kept == set(range(300)) | {900} | set(range(1000, 1300))
+
+
 def test_small_groups_use_a_wider_sketch(spark):
     rnd = random.Random(5)
     rows = [(i, prose(rnd), "en", f"s{i}") for i in range(250)] + [(999, prose(rnd, 0.6), "en", "tiny"), (998, prose(rnd), None, None)]
@@ -145,13 +259,13 @@ def test_small_groups_use_a_wider_sketch(spark):
 def test_sketches_merge_to_the_sketch_of_all(spark):
     rows = [(i % 3, i % 5, (i * 37) % 1001) for i in range(3000)]
     frame = spark.createDataFrame(rows, "g0 int, g1 int, symbol_share long").withColumns(
-        {"dup_line_share": F.lit(0).cast("long"), "repeat_share": F.lit(1).cast("long")})
+        {"dup_line_share": F.lit(0).cast("long"), "repeat_share": F.lit(1).cast("long"), "word_length": F.lit(50).cast("long")})
     merged = quality.merge(quality.sketches(frame, ["g0", "g1"]), ["g0"])
     assert sorted(merged.collect()) == sorted(quality.sketches(frame, ["g0"]).collect())
     exact = {r.g0: (r.low, r.high) for r in frame.groupBy("g0").agg(
         F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY symbol_share)").alias("low"),
         F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY symbol_share)").alias("high")).collect()}
-    quartiles = quality._quartiles(merged, ["g0"]).where("share = 'symbol_share'")
+    quartiles = quality._quantiles(merged, ["g0"]).where("share = 'symbol_share'")
     assert {r.g0: (r.low, r.high) for r in quartiles.collect()} == exact
 
 
