@@ -1,21 +1,26 @@
-"""Embedding near-duplicates (3): binary codes after random rotations, with stored correction factors.
+"""Embedding near-duplicates (3): binary codes after a random rotation, with stored correction factors.
 
 1. Equal vectors are collapsed before anything is compared (one representative, with the number of its copies).
-2. A vector is turned by fixed random orthogonal matrices. Its code is the signs of the turned components; its
-   correction factor, one per rotation, is the inner product of the turned unit vector with its code vector.
-3. Slices of the code are the keys of hash tables; vectors that share a key meet in a bucket. Slice length follows the
-   number of vectors, so buckets stay small, and the number of tables follows from the chance to miss a pair that lies
-   exactly on the threshold (``Codes.missed``; closer pairs are missed far more rarely).
-4. In a bucket, code times turned vector, divided by the factor, estimates each inner product without bias; its error
-   is bounded with the factor, at ``Codes.sigmas`` deviations. Pairs whose bound stays below the threshold are done;
-   the others are computed again in double precision, and only those decide. A pair is counted in the first table in
-   which both share a key, so counts add up over buckets and no pair is put out; a bucket puts out a row per vector:
-   its count and the smallest vector it is connected with there.
-5. Buckets beyond ``Codes.block`` vectors are dealt out as pairs of blocks. Connected components join the rest.
+2. Each vector is turned once by a fixed random orthogonal matrix and stored as a code: the signs of the turned
+   components, three more bits of each for its part as the other side of a pair, and three numbers, of which the
+   correction factor is the inner product of the turned unit vector with its vector of signs.
+3. Bits of further rotations, stored with the code, are the keys of hash tables; vectors that share a key meet in a
+   bucket. Buckets hold some 512 vectors, and the number of tables follows from the chance to miss a pair that lies
+   exactly on the threshold (``Codes.missed``; closer pairs are missed far more rarely). Only codes are shuffled for
+   each table, a fraction of a vector; that grows with the tables, which grow with the logarithm of the vectors.
+4. In a bucket, signs times small integers, divided by the factor, estimate each inner product without bias. For a pair
+   on the threshold or closer, the error is bounded with the factor at ``Codes.sigmas`` deviations, plus what the
+   small integers left out. Pairs whose bound stays below the threshold, on either side, are done.
+5. Only vectors of the other pairs are fetched from the stored table, and those pairs are computed again in double
+   precision; only that decides. A pair is taken in the first table in which both share a key, so counts add up over
+   buckets and no pair is put out: a bucket puts out a row per vector, its count and the smallest vector it is
+   connected with there.
+6. Buckets beyond twice ``Codes.block`` vectors are dealt out as pairs of blocks. Connected components join the rest.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components link with nothing;
 vectors of unlike length do not link; rows that share an id are one node and count as that many vectors; a null id
-never links; an empty table gives an empty table.
+never links; an empty table gives an empty table. Only the two named columns are read, so others may have any name.
+Vectors of any length are taken; a task holds two blocks of them. Equal vectors have the smallest id as their class.
 """
 
 from __future__ import annotations
@@ -45,14 +50,13 @@ class Codes:
     threshold: float = 0.95
     missed: float = 0.0002
     sigmas: float = 5.0
-    rotations: int = 2
     seed: int = 20_240_501
     block: int = 1024
     slice_bits: int = 8
     tables: int = 16
 
     def sized(self, vectors: int) -> Codes:
-        bits = min(36, max(6, math.ceil(math.log2(max(vectors, 2))) - 6))
+        bits = min(36, max(6, math.ceil(math.log2(max(vectors, 2))) - 9))
         agree = (1 - math.acos(self.threshold) / math.pi) ** bits
         tables = math.ceil(math.log(self.missed) / math.log(1 - agree))
         return Codes(**{**self.__dict__, "slice_bits": bits, "tables": tables})
@@ -83,40 +87,98 @@ def _units(column: pa.Array) -> list[np.ndarray | None]:
     return [unit(v) for v in column.to_pylist()]
 
 
-def slice_keys(units: np.ndarray, codes: Codes) -> np.ndarray:
-    """The key of each vector (row) in each table (column)."""
+@dataclass(frozen=True)
+class Stored:
+    """Codes of vectors (rows): odd integers up to 15 whose signs are the binary code, and three numbers of each."""
+
+    slices: np.ndarray  # bits of the hash tables, packed
+    levels: np.ndarray
+    factor: np.ndarray  # inner product of the turned vector with its signs (both of length one)
+    step: np.ndarray    # half the distance of two levels
+    rest: np.ndarray    # length of what the levels leave out
+
+    def packed(self) -> list[bytes]:
+        nibbles = ((self.levels + 15) >> 1).astype(np.uint8)
+        if nibbles.shape[1] % 2:
+            nibbles = np.pad(nibbles, ((0, 0), (0, 1)))
+        numbers = np.stack([self.factor, self.step, self.rest], axis=1).astype("<f4").view(np.uint8)
+        return [row.tobytes() for row in np.hstack([self.slices, nibbles[:, ::2] << 4 | nibbles[:, 1::2], numbers])]
+
+    @classmethod
+    def unpacked(cls, rows: list[bytes], dimension: int, codes: Codes) -> Stored:
+        raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        at = -(-codes.tables * codes.slice_bits // 8)
+        nibbles = raw[:, at:-12]
+        levels = np.stack([nibbles >> 4, nibbles & 15], axis=2).reshape(len(rows), -1)[:, :dimension]
+        numbers = np.ascontiguousarray(raw[:, -12:]).view("<f4")
+        return cls(raw[:, :at], levels.astype(np.int16) * 2 - 15, *numbers.T)
+
+
+def encode(units: np.ndarray, codes: Codes) -> Stored:
     dimension = units.shape[1]
     needed = codes.tables * codes.slice_bits
-    turned = np.hstack([units @ turn.T for turn in rotations(dimension, -(-needed // dimension), codes.seed)])
-    signs = (turned[:, :needed] > 0).reshape(len(units), codes.tables, codes.slice_bits)
-    return signs @ (1 << np.arange(codes.slice_bits, dtype=np.int64))
+    sliced = np.hstack([units @ turn.T for turn in rotations(dimension, -(-needed // dimension), codes.seed)])
+    turned = units @ rotations(dimension, 1, codes.seed + 1)[0].T
+    step = np.abs(turned).max(axis=1) / 16
+    levels = np.clip(np.floor(turned / (2 * step[:, None])), -8, 7).astype(np.int16) * 2 + 1
+    return Stored(np.packbits(sliced[:, :needed] > 0, axis=1), levels, np.abs(turned).sum(axis=1) / math.sqrt(dimension),
+                  step, np.linalg.norm(turned - levels * step[:, None], axis=1))
+
+
+def slice_keys(slices: np.ndarray, codes: Codes) -> np.ndarray:
+    """The key of each vector (row) in each table (column)."""
+    bits = np.unpackbits(slices, axis=1, count=codes.tables * codes.slice_bits)
+    return bits.reshape(len(slices), codes.tables, codes.slice_bits) @ (1 << np.arange(codes.slice_bits, dtype=np.int64))
+
+
+def guesses(stored: Stored, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimated inner products of each vector's signs (row) with each vector's levels (column), the deviations that
+    the rotation may bring to a row, and what the levels leave out of each."""
+    dimension = stored.levels.shape[1]
+    levels = stored.levels.astype(np.float32)
+    exact = np.sign(levels) @ levels.T  # sums of small integers
+    over = 1 / (stored.factor.astype(np.float32) * np.float32(math.sqrt(dimension)))
+    spread = np.sqrt((1 - stored.factor**2).clip(0) / stored.factor**2 / max(dimension - 1, 1))
+    left = np.outer(1 / stored.factor, stored.rest).astype(np.float32)
+    return exact * over[:, None] * stored.step.astype(np.float32), codes.sigmas * spread, left
 
 
 def estimates(units: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of each vector's code (row) with each vector (column), and each row's error bound."""
-    n, dimension = units.shape
-    turned = np.stack([units @ turn.T for turn in rotations(dimension, codes.rotations, codes.seed + 1)], axis=1)
-    turned = turned.astype(np.float32)
-    signs = np.where(turned > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(dimension))
-    factor = np.abs(turned).sum(axis=2) / np.float32(math.sqrt(dimension))  # one per vector and rotation, stored
-    weighted = (signs / factor[:, :, None] / codes.rotations).reshape(n, -1)
-    spread = np.sqrt(((1 - factor**2).clip(0) / factor**2).mean(axis=1) / max(dimension - 1, 1) / codes.rotations)
-    return weighted @ turned.reshape(n, -1).T, codes.sigmas * spread
-
-
-def compare(units: np.ndarray, keys: np.ndarray, table: int, weights: np.ndarray, blocks: np.ndarray | None,
-            codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of each vector of one unit: copies linked with it here, and the smallest row connected with it.
+    """Estimated inner products of each vector's code (row) with each vector (column), and each row's error bound,
+    which holds for pairs at any angle."""
+    guess, spread, left = guesses(encode(units, codes), codes)
+    return guess, spread + left.max(axis=1)
+
+
+#: Pairs of a unit that are looked at together.
+PAIRS = 1 << 16
+
+
+def surviving(stored: Stored, table: int, blocks: np.ndarray | None, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one unit that meet here first and whose bounds reach the threshold.
 
     ``blocks``, in a unit of two blocks, tells which of them a vector is from: only pairs across them count.
     """
-    guess, bound = estimates(units, codes)
-    a, b = np.nonzero(np.triu(guess + bound[:, None] >= codes.threshold, 1))
-    keep = (keys[a, :table] != keys[b, :table]).all(axis=1)
+    guess, spread, left = guesses(stored, codes)
+    # The error of a pair shrinks with the sine of its angle; it need only hold for pairs on the threshold or closer.
+    sine = np.float32(math.sqrt(max(0.0, 1 - codes.threshold**2)))
+    above = guess + (spread.astype(np.float32) * sine)[:, None] + left >= np.float32(codes.threshold - 1e-5)
+    a, b = np.nonzero(np.triu(above & above.T, 1))
+    keys = slice_keys(stored.slices, codes)
+    keep = np.concatenate([np.zeros(0, bool)] + [
+        (keys[a[i:i + PAIRS], :table] != keys[b[i:i + PAIRS], :table]).all(axis=1) for i in range(0, len(a), PAIRS)])
     if blocks is not None:
         keep &= blocks[a] != blocks[b]
-    a, b = a[keep], b[keep]
-    exact = np.einsum("ij,ij->i", units[a], units[b]) if len(a) else np.empty(0)
+    return a[keep], b[keep]
+
+
+def compare(units: np.ndarray, a: np.ndarray, b: np.ndarray, weights: np.ndarray,
+            codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each vector of one unit from the pairs (a, b) that are to be computed exactly: copies linked
+    with it here, and the smallest row connected with it."""
+    some = max(1, PAIRS * 64 // units.shape[1])
+    exact = np.concatenate([np.zeros(0)] + [
+        np.einsum("ij,ij->i", units[a[i:i + some]], units[b[i:i + some]]) for i in range(0, len(a), some)])
     a, b = a[exact >= codes.threshold], b[exact >= codes.threshold]
     links = np.zeros(len(units), np.int64)
     np.add.at(links, a, weights[b])
@@ -151,75 +213,124 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("unit"), settle(stands, "distinct-vectors")
 
 
-def bucketed(stands: DataFrame, codes: Codes) -> DataFrame:
-    """One row for each vector and table: (bucket, tbl, keys, id, weight, unit)."""
+def _by_size(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for size in np.unique(sizes):
+        yield int(size), np.flatnonzero(sizes == size)
+
+
+def coded(stands: DataFrame, codes: Codes) -> DataFrame:
+    """(id, weight, size, code) of the distinct vectors: their stored codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
-            sizes = np.array([len(u) for u in raw])
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
+            for size, rows in _by_size(np.array([len(u) // 8 for u in raw])):
                 units = np.frombuffer(b"".join(raw[r] for r in rows), np.float64).reshape(len(rows), -1)
-                keys = slice_keys(units, codes)
-                packed = [k.tobytes() for k in keys]
-                take, table = np.repeat(rows, codes.tables), np.tile(np.arange(codes.tables, dtype=np.int32), len(rows))
-                local = np.repeat(np.arange(len(rows)), codes.tables)
-                bucket = (keys.ravel() * codes.tables + table) * 65_536 + int(size) % 65_536
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), pa.array(table), pa.array([packed[i] for i in local], pa.binary()),
-                     *(batch.column(k).take(pa.array(take)) for k in range(3))],
-                    names=["bucket", "tbl", "keys", "id", "weight", "unit"])
+                    [*(batch.column(k).take(pa.array(rows)) for k in range(2)),
+                     pa.array(np.full(len(rows), size, np.int32)), pa.array(encode(units, codes).packed(), pa.binary())],
+                    names=["id", "weight", "size", "code"])
+
+    return stands.select("id", "weight", "unit").mapInArrow(run, "id bigint, weight bigint, size int, code binary")
+
+
+def bucketed(stored: DataFrame, codes: Codes) -> DataFrame:
+    """One row for each vector and table: (bucket, tbl, id, weight, size, code)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = -(-codes.tables * codes.slice_bits // 8)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slices = np.frombuffer(b"".join(c[:width] for c in batch.column(3).to_pylist()), np.uint8)
+            keys = slice_keys(slices.reshape(batch.num_rows, width), codes)
+            table = np.tile(np.arange(codes.tables, dtype=np.int32), len(keys))
+            take = np.repeat(np.arange(len(keys)), codes.tables)
+            size = batch.column(2).to_numpy().astype(np.int64)
+            bucket = (keys.ravel() * codes.tables + table) * 65_536 + size[take] % 65_536
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), pa.array(table), *(batch.column(k).take(pa.array(take)) for k in range(4))],
+                names=["bucket", "tbl", "id", "weight", "size", "code"])
 
-    return stands.select("id", "weight", "unit").mapInArrow(
-        run, "bucket bigint, tbl int, keys binary, id bigint, weight bigint, unit binary")
+    return stored.select("id", "weight", "size", "code").mapInArrow(
+        run, "bucket bigint, tbl int, id bigint, weight bigint, size int, code binary")
 
 
 UNIT = ["bucket", "low", "high"]
+CODED = [*UNIT, "block", "tbl", "id", "weight", "size", "code"]
+CODED_SCHEMA = ("bucket bigint, low bigint, high bigint, block bigint, tbl int, id bigint, weight bigint, size int, "
+                "code binary")
+
+
+def _units_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit, which come one after the other."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        unit = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1).tolist(), len(unit)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            if now != tuple(unit[start]):
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, now = [], tuple(unit[start])
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _of_one_size(whole: pa.Table) -> Iterator[pa.Table]:
+    """A unit's rows by the length of their vectors: one table, but for lengths that share a bucket."""
+    sizes = whole.column("size").to_numpy()
+    if (sizes == sizes[0]).all():
+        yield whole
+    else:
+        for _, rows in _by_size(sizes):
+            yield whole.take(pa.array(rows))
+
+
+def _pairs(rows: pa.Table, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    stored = Stored.unpacked(rows.column("code").to_pylist(), rows.column("size")[0].as_py(), codes)
+    blocks = rows.column("block").to_numpy() if rows.column("low")[0] != rows.column("high")[0] else None
+    return surviving(stored, rows.column("tbl")[0].as_py(), blocks, codes)
+
+
+def _survivors(rows: DataFrame, codes: Codes) -> DataFrame:
+    """The rows of each unit that are in a pair which the estimates cannot rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _units_in(batches):
+            for part in _of_one_size(whole):
+                some = np.unique(np.concatenate(_pairs(part, codes)))
+                if len(some):
+                    yield from part.take(pa.array(some)).combine_chunks().to_batches()
+
+    return (rows.select(*CODED).repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run, CODED_SCHEMA))
 
 
 def _compared(rows: DataFrame, codes: Codes) -> DataFrame:
-    """(id, links, root) of rows of units: a bucket (low = high = 0), or two blocks of it (low and high)."""
+    """(id, links, root) of rows of units with their vectors: pairs that the estimates leave, computed exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now: tuple | None = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held)
-            if whole.num_rows < 2:
-                return
-            column = {name: whole.column(name).combine_chunks() for name in whole.column_names}
-            units = np.frombuffer(b"".join(column["unit"].to_pylist()), np.float64).reshape(whole.num_rows, -1)
-            keys = np.frombuffer(b"".join(column["keys"].to_pylist()), np.int64).reshape(whole.num_rows, -1)
-            ids, weights, blocks = (column[c].to_numpy(zero_copy_only=False) for c in ("id", "weight", "block"))
-            links, root = compare(units, keys, column["tbl"][0].as_py(), weights,
-                                  blocks if now[1] != now[2] else None, codes)
-            some = (links > 0) | (root != np.arange(len(root)))
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root][some])],
-                                                 names=["id", "links", "root"])
+        for whole in _units_in(batches):
+            for part in _of_one_size(whole):
+                units = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float64)
+                ids, weights = (part.column(c).to_numpy() for c in ("id", "weight"))
+                links, root = compare(units.reshape(len(ids), -1), *_pairs(part, codes), weights, codes)
+                some = (links > 0) | (root != np.arange(len(root)))
+                if some.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root][some])],
+                        names=["id", "links", "root"])
 
-        for batch in batches:
-            unit = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1).tolist(), len(unit)]
-            for start, stop in zip(cuts, cuts[1:]):
-                if start == stop:
-                    continue
-                if now != tuple(unit[start]):
-                    if held:
-                        yield from done()
-                    held, now = [], tuple(unit[start])
-                held.append(batch.slice(start, stop - start))
-        if held:
-            yield from done()
-
-    return (rows.select(*UNIT, "block", "tbl", "keys", "id", "weight", "unit").repartition(*UNIT)
-            .sortWithinPartitions(*UNIT).mapInArrow(run, "id bigint, links bigint, root bigint"))
+    return (rows.select(*CODED, "unit").repartition(*UNIT).sortWithinPartitions(*UNIT)
+            .mapInArrow(run, "id bigint, links bigint, root bigint"))
 
 
 def units_of(buckets: DataFrame, codes: Codes) -> DataFrame:
-    """Rows of each unit of comparison: a bucket, or a block, or two blocks, of a large bucket."""
+    """Rows of each unit of comparison: a bucket (low = high = 0), or a block, or two blocks, of a large bucket."""
     large = settle(buckets.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).where(
         F.col("n") > 2 * codes.block).select("bucket", F.ceil(F.col("n") / codes.block).cast("long").alias("blocks")),
         "large-buckets")
@@ -237,7 +348,9 @@ def deduplicate(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     ship(vectors.sparkSession)
     rows, stands = distinct_vectors(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")))
     codes = codes.sized(stands.count())
-    found = settle(_compared(units_of(bucketed(stands, codes), codes), codes), "links")
+    stored = settle(coded(stands, codes), "codes")
+    left = settle(_survivors(units_of(bucketed(stored, codes), codes), codes), "survivors")
+    found = settle(_compared(left.join(stands.select("id", "unit"), "id"), codes), "links")
     groups = components(found.select(F.col("root").alias("a"), F.col("id").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     nodes = (stands.join(links, "id", "left")

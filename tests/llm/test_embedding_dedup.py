@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from brute import cosine_groups
 
 from ledgerline.llm import embedding_dedup
@@ -56,6 +57,47 @@ def test_estimates_are_unbiased_and_bounded():
     assert outside == 0
 
 
+def test_codes_come_back_as_stored():
+    units = np.random.default_rng(5).standard_normal((50, 33))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    codes = Codes().sized(10**6)
+    stored = embedding_dedup.encode(units, codes)
+    back = embedding_dedup.Stored.unpacked(stored.packed(), 33, codes)
+    assert (back.levels == stored.levels).all() and (back.slices == stored.slices).all()
+    assert np.allclose([back.factor, back.step, back.rest], [stored.factor, stored.step, stored.rest], atol=1e-6)
+    assert np.abs(stored.levels).max() == 15 and (np.abs(stored.levels) % 2 == 1).all()
+
+
+def test_pairs_on_the_threshold_are_met_and_left_to_the_exact_step():
+    rnd = np.random.default_rng(6)
+    for dimension, vectors in ((16, 10**4), (64, 10**6), (384, 10**9)):
+        a, b = rnd.standard_normal((2, 2000, dimension))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        b -= (a * b).sum(axis=1)[:, None] * a
+        b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * b / np.linalg.norm(b, axis=1)[:, None]
+        codes = Codes().sized(vectors)
+        keys = [embedding_dedup.slice_keys(embedding_dedup.encode(x, codes).slices, codes) for x in (a, b)]
+        assert (keys[0] == keys[1]).any(axis=1).sum() >= 1996
+        stored = embedding_dedup.encode(np.vstack([a[:300], b[:300]]), codes)
+        i, j = embedding_dedup.surviving(stored, 0, None, codes)
+        assert ((j - i) == 300).sum() == 300
+
+
+def test_estimates_rule_out_most_pairs():
+    units = np.random.default_rng(8).standard_normal((1000, 64))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    stored = embedding_dedup.encode(units, Codes())
+    assert len(embedding_dedup.surviving(stored, 0, None, Codes())[0]) < 20
+
+
+def test_lengths_that_share_a_bucket(spark):
+    rows = [embedding_dedup.CODED, [0, 0, 0, 0, 0, 1, 1, 2, b""], [0, 0, 0, 0, 0, 2, 1, 65_538, b""]]
+    whole = pa.table({c: [r[k] for r in rows[1:]] for k, c in enumerate(rows[0])})
+    assert [t.num_rows for t in embedding_dedup._of_one_size(whole)] == [1, 1]
+    small = {0: [1.0, 2.0], 1: [2.0, 4.0], 4: [1.0, 2.1], 5: [1.0, 2.0, 0.0]}
+    assert got(spark, small) == cosine_groups(small)
+
+
 def test_odd_rows(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0], 1), (5, [1.0, 0.0], 2), (5, [1.0, 0.0], 3), (9, [2.0, 0.0], 4)],
                                   "vec_id long, embedding array<double>, kept int")
