@@ -3,16 +3,24 @@
 ``render(messages)`` is any function from a list of (role, text) to a string. Successive prefixes of a conversation are
 rendered and consecutive outputs compared: what the output gained is the turn's span. Where the text lies inside its
 span is found by rendering the turn with two probe texts, which differ only where the text goes. A template that does
-not leave its earlier output alone is detected: the row is marked ``rewrites`` and carries no loss span.
+not leave its earlier output alone is detected: all rows of the conversation are marked ``rewrites`` and carry no loss
+span, also those of turns before the one at which it shows.
 
 By default true prefixes are rendered: a worker holds the conversation it is at and its last output, and the work grows
 with the square of the turns. A template that is declared to render each turn on its own (``turn_local``, as the default
 one, or a ``context``) is rendered from a sliding context of a few turns, so the work grows with the turns. When the
-context is cut, the last turn's piece must come out as before; if it does not, the row is marked likewise.
-
-Rows are dealt out by conversation, sorted by turn, and streamed. Defined results: null text or role is empty; a null
-conversation id is a conversation of its own; rows of one turn number are ordered by role and text, and repeated rows
-stay; an empty table gives an empty table.
+context is cut, the last turn's piece must come out as before; if it does not, the template is not what was declared
+and its conversation is marked likewise.
+
+Rows are dealt out by conversation, sorted by turn, and streamed. Conversations are rendered twice: once to find those
+that the template rewrites, whose ids are then joined to the rows, and once to put the turns out, so no conversation is
+held until its last turn is known. A function that carries the mark ``turn_local`` itself (as the default template, which
+puts out one line per turn and nothing else) is not rendered for that; if the mark is wrong, rows are marked from the
+turn on at which it shows.
+
+Defined results: null text or role is empty; a null conversation id is a conversation of its own; rows of one turn number
+are ordered by role and text, and repeated rows stay; an empty table gives an empty table. Other columns are not read and
+may have any name. Texts of any length are rendered whole, in a few copies.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.storage import ship
+from ledgerline.llm.storage import settle, ship
 
 Message = tuple[str, str]
 Render = Callable[[list[Message]], str]
@@ -107,26 +115,49 @@ class Incremental:
         return head, len(piece) - tail
 
 
+def rewritten(turns: DataFrame, render: Render, context: int | None = None) -> DataFrame:
+    """(conv_id) of the conversations whose earlier output the template does not leave alone; ``turns`` has (conv_id,
+    role, text), in order inside each partition, which holds whole conversations."""
+    schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = object(), None
+        for batch in batches:
+            found = []
+            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if conv != current:
+                    current, state = conv, Incremental(render, context)
+                if not state.rewrites:
+                    state.add(role, text)
+                    if state.rewrites:
+                        found.append(conv)
+            yield pa.RecordBatch.from_arrays([pa.array(found, batch.schema.field(0).type)], names=["conv_id"])
+
+    return turns.mapInArrow(run, schema)
+
+
 def format_turns(conversations: DataFrame, render: Render = plain_turns, context: int | None = None,
                  trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per turn, in order inside each partition: conv_id, first (starts a conversation), turn_start and
     turn_end in the formatted conversation, text_start, text_end, loss (the text is trained on), piece, rewrites."""
     ship(conversations.sparkSession)
-    schema = (f"conv_id {conversations.schema['conv_id'].dataType.simpleString()}, first boolean, turn_start bigint, "
+    kind = conversations.schema["conv_id"].dataType.simpleString()
+    schema = (f"conv_id {kind}, first boolean, turn_start bigint, "
               "turn_end bigint, text_start bigint, text_end bigint, loss boolean, piece string, rewrites boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, at = object(), None, 0
         for batch in batches:
             rows = []
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for conv, role, text, known in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 first = conv != current
                 if first:
                     current, state, at = conv, Incremental(render, context), 0
                     at = len(state.before)
                 piece, start, end = state.add(role, text)
+                rewrites = known or state.rewrites
                 rows.append((conv, first, at, at + len(piece), at + start, at + end,
-                             role in trained and not state.rewrites, piece, state.rewrites))
+                             role in trained and not rewrites, piece, rewrites))
                 at += len(piece)
             columns = list(zip(*rows)) if rows else [[]] * 9
             types = [batch.schema.field(0).type, pa.bool_(), *[pa.int64()] * 4, pa.bool_(), pa.string(), pa.bool_()]
@@ -134,10 +165,19 @@ def format_turns(conversations: DataFrame, render: Render = plain_turns, context
                                              names=["conv_id", "first", "turn_start", "turn_end", "text_start",
                                                     "text_end", "loss", "piece", "rewrites"])
 
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
-    return (conversations.select("conv_id", "turn", role, text).repartition("conv_id")
-            .sortWithinPartitions("conv_id", "turn", "role", "text")
-            .select("conv_id", "role", "text").mapInArrow(run, schema))
+    rows = conversations.select("conv_id", "turn", role, text)
+    if getattr(render, "turn_local", False):
+        rows = rows.withColumn("known", F.lit(False))
+    else:
+        found = settle(rewritten(ordered(rows).select("conv_id", "role", "text"), render, context), "rewritten")
+        rows = (rows.join(found.select(F.col("conv_id").alias("found"), F.lit(True).alias("known")),
+                          F.col("conv_id").eqNullSafe(F.col("found")), "left").drop("found")
+                .withColumn("known", F.coalesce("known", F.lit(False))))
+    return ordered(rows).select("conv_id", "role", "text", "known").mapInArrow(run, schema)
 
 
 def digests(turns: DataFrame) -> DataFrame:

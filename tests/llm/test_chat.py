@@ -126,3 +126,27 @@ def test_template_that_numbers_turns_or_needs_the_first():
     assert "".join(piece for piece, *_ in pieces) == numbered(whole)
     assert [piece[a:b] for piece, a, b in pieces] == [text for _, text in whole]
     assert added(chat.plain_turns, 1)[0].context == chat.CONTEXT
+
+
+def test_all_rows_of_a_rewritten_conversation_are_marked(spark):
+    def last_ten(messages):
+        return chat.plain_turns(messages[-10:])
+
+    rows = [(conv, turn, ("user", "assistant")[turn % 2], f"text {conv} {turn}")
+            for conv, turns in ((1, 10), (2, 25), (None, 11), (4, 3)) for turn in range(turns)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    turns = chat.format_turns(frame, last_ten).collect()
+    assert len(turns) == len(rows)
+    assert {t.conv_id: None for t in turns if t.rewrites}.keys() == {2, None}
+    assert all(t.rewrites for t in turns if t.conv_id in (2, None))
+    assert not any(t.loss for t in turns if t.rewrites)
+    assert sum(t.loss for t in turns) == 5 + 1
+
+
+def test_declared_context_is_not_trusted(spark):
+    def numbered(messages):
+        return "".join(f"[{i}] {role}: {text}\n" for i, (role, text) in enumerate(messages))
+
+    rows = [(1, turn, "assistant", f"text {turn}") for turn in range(12)] + [(2, 0, "assistant", "only")]
+    turns = chat.format_turns(spark.createDataFrame(rows, SCHEMA), numbered, context=4).collect()
+    assert {(t.conv_id, t.rewrites, t.loss) for t in turns} == {(1, True, False), (2, False, True)}
