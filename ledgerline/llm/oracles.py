@@ -246,13 +246,23 @@ def _tail(url: str, stops: str) -> str:
     return f"regexp_extract(coalesce({url}, ''), '^(?s:.*?)://[^/?#]*([^{stops}]*)', 1)"
 
 
+def _address(url: str) -> str:
+    tail = _tail(url, "#")
+    return f"{_host(url)} || CASE WHEN starts_with({tail}, '/') THEN {tail} ELSE '/' || {tail} END"
+
+
+#: Comments, and elements whose text is no markup.
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(
+    rf"<{name}\b.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "textarea", "title"))
+
 #: Pages without a rule: this twin covers canonical and refresh links with full addresses.
 OP8 = rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES
     ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
     ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 tags AS (
-    SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
+    SELECT url, unnest(regexp_extract_all(
+        regexp_replace(coalesce(html, ''), '{_UNREAD}', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
     WHERE contains(url, '://')),
 targets AS (
     SELECT url, CASE
@@ -262,14 +272,14 @@ targets AS (
         THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS target
     FROM tags),
 links AS (
-    SELECT DISTINCT {_host('url')} || {_tail('url', '#')} AS x, {_host('target')} || {_tail('target', '#')} AS y
+    SELECT DISTINCT {_address('url')} AS x, {_address('target')} AS y
     FROM targets WHERE contains(target, '://')),
 nodes AS (SELECT x AS node FROM links UNION SELECT y FROM links),
 {_REACH},
 addresses AS (
     SELECT node AS address, {_host("'http://' || node")} AS host, {_tail("'http://' || node", '?#')} AS path FROM nodes
     UNION
-    SELECT CASE WHEN contains(url, '://') THEN {_host('url')} || {_tail('url', '#')} END,
+    SELECT CASE WHEN contains(url, '://') THEN {_address('url')} END,
            {_host('url')}, {_tail('url', '?#')} FROM pages),
 judged AS (
     SELECT a.address, a.host, a.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
@@ -283,7 +293,7 @@ bad AS (
 blocked AS (SELECT node FROM least SEMI JOIN bad USING (component)),
 placed AS (
     SELECT page_id, {_host('url')} AS host, {_tail('url', '?#')} AS path,
-           CASE WHEN contains(url, '://') THEN {_host('url')} || {_tail('url', '#')} END AS address FROM pages)
+           CASE WHEN contains(url, '://') THEN {_address('url')} END AS address FROM pages)
 SELECT page_id, placed.host, placed.path, rule,
        coalesce(verdict, CASE WHEN blocked.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM placed LEFT JOIN judged ON judged.address IS NOT DISTINCT FROM placed.address

@@ -8,6 +8,10 @@ Pages without a rule take the verdict of their aliases: canonical links and refr
 further redirects handed in) are edges between addresses, whose connected components are found with SQL joins. A
 component with a blocked address blocks its members, unless one of its addresses is explicitly allowed.
 
+Links are read from the tags of a page, not from its comments, scripts and styles, and resolved as a browser does: against
+the page's base address if it names one, with ``.`` and ``..`` taken out of paths. As an alias an address with an empty
+path is that of ``/``; rules see the path as it is written. Targets that are no web addresses (``mailto:``) are no links.
+
 Defined results: null addresses, and those without ``://``, have an empty host and path and no rule; repeated rows are
 judged each; an empty table gives an empty table; pages that nothing blocks are allowed.
 """
@@ -48,10 +52,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _settled(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments; an empty one is ``/``."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda found, part: (
+        F.when(part == ".", found)
+        .when(part == "..", F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))))
+        .otherwise(F.concat(found, F.array(part)))))
+    folder = F.element_at(parts, -1).isin(".", "..")
+    rebuilt = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path == "", "/").when(path.rlike(r"/\.{1,2}(/|\z)"), rebuilt).otherwise(path)
+
+
 def address_of(url: Column) -> Column:
     """Host, path and query: what is left of an address without its scheme and fragment; null without ``://``."""
-    tail = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), tail))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*([^#]*)", 1)
+    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), _settled(path_of(url)), query))
 
 
 def _small(frame: DataFrame) -> DataFrame:
@@ -82,29 +98,47 @@ def ruled(rows: DataFrame, rules: DataFrame) -> DataFrame:
             .drop("rules", "of_host", "best"))
 
 
+#: What holds no links: comments, and elements whose text is no markup.
+UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
+SCHEME = r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """``target`` as a full address, as seen from the page at ``url``."""
+    """``target`` as a full address, as seen from the page at ``url``; null if it is no web address."""
     folder = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
-    return (F.when(F.contains(target, F.lit("://")), target)
+    here = F.concat(F.lit("http://"), host_of(url))
+    return (F.when(target.rlike(SCHEME + "//"), target)
+            .when(target.rlike(SCHEME), F.lit(None).cast("string"))
             .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
-            .when(F.startswith(target, F.lit("/")), F.concat(F.lit("http://"), host_of(url), target))
-            .otherwise(F.concat(F.lit("http://"), host_of(url), F.when(folder == "", "/").otherwise(folder), target)))
+            .when(F.startswith(target, F.lit("/")), F.concat(here, target))
+            .when(target.rlike("^[?#]"), F.concat(here, path_of(url), target))
+            .otherwise(F.concat(here, F.when(folder == "", "/").otherwise(folder), target)))
+
+
+def _attribute(tag: Column, pattern: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(tag, pattern, 1), "(?i)&amp;", "&")
+
+
+HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): addresses of pages and of what they name as canonical address or redirect to at once."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    tags = F.concat(
-        F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)),
-                 lambda tag: tag.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b""")),
-        F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)),
-                 lambda tag: tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")))
-    href = F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("tag", r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    target = F.when(href != "", href).otherwise(refresh)
-    return (pages.where(F.contains(F.col("url"), F.lit("://"))).select("url", F.explode(tags).alias("tag"))
-            .select("url", F.regexp_replace(target, "&amp;", "&").alias("target")).where("target != ''")
-            .select(address_of(F.col("url")).alias("a"), address_of(_absolute(F.col("target"), F.col("url"))).alias("b"))
+    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), UNREAD, " "),
+                                F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
+    base = F.get(F.filter("tags", lambda tag: tag.rlike("(?i)^<base") & tag.rlike(HREF)), 0)
+    links = F.filter("tags", lambda tag: (
+        tag.rlike("(?i)^<link") & tag.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b""")
+        | tag.rlike("(?i)^<meta") & tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")))
+    target = F.when(F.col("tag").rlike("(?i)^<link"), _attribute(F.col("tag"), HREF)).otherwise(
+        _attribute(F.col("tag"), r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""))
+    page = F.col("url")
+    return (pages.where(F.contains(page, F.lit("://"))).select("url", tags.alias("tags"))
+            .where(F.size("tags") > 0)
+            .select("url", F.coalesce(_absolute(_attribute(base, HREF), page), page).alias("base"),
+                    F.explode(links).alias("tag"))
+            .select("url", "base", target.alias("target")).where("target != ''")
+            .select(address_of(page).alias("a"), address_of(_absolute(F.col("target"), F.col("base"))).alias("b"))
             .where("a != b").distinct())
 
 

@@ -60,6 +60,70 @@ def test_aliases(spark):
     assert judge(spark, pages, redirects=more)[8][3] == "block"
 
 
+def test_links_in_comments_and_scripts_do_not_count(spark):
+    bad = '<link rel="canonical" href="http://x.com/de/9">'
+    pages = [
+        (1, "http://a.net/1", f"<!-- {bad} --><p>text"),
+        (2, "http://a.net/2", f"<script>var s = '{bad}';</script >"),
+        (3, "http://a.net/3", f"<title>{bad}</title><style>{bad}"),
+        (4, "http://a.net/4", f"<!-- open {bad}"),
+        (5, "http://a.net/5", f"<!-- <script> -->{bad}</script>"),
+        (6, "http://a.net/6", f"<script>'<!--'</script>{bad}<!-- -->"),
+        (7, "http://a.net/7", '<a href="http://x.com/de/9"><link rel="alternate" href="http://x.com/de/9">'),
+        (8, "http://a.net/8", '<link rel="canonical" href="mailto:a@x.com"><link rel="canonical" href="/go?u=http://x.com/de/1">'),
+    ]
+    assert {i for i, v in judge(spark, pages).items() if v[3] == "block"} == {5, 6}
+
+
+def test_addresses_are_resolved(spark):
+    pages = [
+        (1, "http://a.net", link("http://x.com/de/9")),
+        (2, "http://a.net/", ""),
+        (3, "http://b.net/p/q/r", link("../../s/./t")),
+        (4, "http://b.net/s/t", link("http://x.com/de/9")),
+        (5, "http://c.net/x", '<base href="http://b.net/s/u"><meta http-equiv=refresh content="0;URL=t">'),
+        (6, "http://d.net/x?a=1", '<link href="?b=2" rel=canonical>'),
+        (7, "http://d.net/x?b=2", link("http://b.net/./s/../s/t")),
+        (8, "http://e.net/../..", link("http://a.net?")),
+        (9, "http://e.net/", ""),
+    ]
+    assert {i for i, v in judge(spark, pages).items() if v[3] == "allow"} == {8, 9}
+    assert {i for i, v in judge(spark, [*pages, (10, "http://a.net/?", link("http://a.net/"))]).items()
+            if v[3] == "allow"} == set()
+
+
+def test_same_as_sql_where_pages_link(spark):
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from ledgerline.llm.oracles import OP8
+    rnd = random.Random(11)
+    hosts = ["x.com", "y.com", "example.org"] + [f"{c}.net" for c in "abcdefgh"]
+    paths = ["", "/", "/de/1", "/fr/2", "/en/1", "/es/3", "/p", "/q?x=1", "/r#s"]
+
+    def url():
+        return f"http://{rnd.choice(hosts)}{rnd.choice(paths)}{rnd.choice(['', '', '2', '3'])}"
+
+    def html():
+        tag = rnd.choice([f'<link rel="canonical" href="{url()}">', f"<meta http-equiv='refresh' content='0; url={url()}'>"])
+        return rnd.choice([None, "", tag, f"<p>{tag}", f"<!-- {tag} -->", f"<SCRIPT>{tag}</SCRIPT>", f"<style>{tag}"])
+
+    spread = set()
+    for _ in range(3):
+        rows = [(i, url(), html()) for i in range(40)]
+        pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+        with duckdb.connect() as connection:
+            connection.register("pages", pages)
+            expected = {r[0]: r[1:] for r in connection.execute(
+                f"SELECT page_id, host, path, rule, verdict FROM ({OP8})").fetchall()}
+        found = judge(spark, rows)
+        assert found == expected
+        spread |= {verdict for _, _, rule, verdict in found.values() if rule is None}
+    assert spread == {"allow", "block"}
+
+
 def test_long_chains_and_hubs(spark):
     pages = [(i, f"http://n.net/{i}", link(f"http://n.net/{i + 1}")) for i in range(60)]
     pages += [(100 + i, f"http://m.net/{i}", link("http://x.com/de/0")) for i in range(300)]
