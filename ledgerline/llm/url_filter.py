@@ -132,9 +132,11 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         | tag.rlike("(?i)^<meta") & tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")))
     target = F.when(F.col("tag").rlike("(?i)^<link"), _attribute(F.col("tag"), HREF)).otherwise(
         _attribute(F.col("tag"), r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""))
-    page = F.col("url")
-    return (pages.where(F.contains(page, F.lit("://"))).select("url", tags.alias("tags"))
-            .where(F.size("tags") > 0)
+    page, lower = F.col("url"), F.lower("html")
+    # Pages without either word have no such tag. The generator keeps the tags from being worked out once per use.
+    return (pages.where(F.contains(page, F.lit("://")))
+            .where(F.contains(lower, F.lit("canonical")) | F.contains(lower, F.lit("refresh")))
+            .select("url", F.explode(F.array(tags)).alias("tags"))
             .select("url", F.coalesce(_absolute(_attribute(base, HREF), page), page).alias("base"),
                     F.explode(links).alias("tag"))
             .select("url", "base", target.alias("target")).where("target != ''")
