@@ -7,10 +7,11 @@
 3. Bits of further rotations, stored with the code, are the keys of hash tables; vectors that share a key meet in a
    bucket. Buckets hold some 512 vectors, and the number of tables follows from the chance to miss a pair that lies
    exactly on the threshold (``Codes.missed``; closer pairs are missed far more rarely). Only codes are shuffled for
-   each table, a fraction of a vector; the tables
-   are 14 for 51 000 vectors, 23 for a million and 76 for 10^9, and the shuffle grows with them.
-4. In a bucket, signs times small integers, divided by the factor, estimate each inner product without bias. For a pair
-   on the threshold or closer, the error is bounded with the factor at ``Codes.sigmas`` deviations, plus what the
+   each table, a fraction of a vector; there are 14 tables for 51 000 vectors, 23 for a million and 76 for 10^9, and
+   the shuffle grows with them.
+4. In a bucket, signs times small integers, divided by the factor, estimate each inner product. The estimate from
+   signs has no bias; rounding to the integers adds a little (at cosine 0.95, -0.004 with 64 components and -0.0006
+   with 384, as measured), which the bound covers. For a pair on the threshold or closer, the error is bounded with the factor at ``Codes.sigmas`` deviations, plus what the
    small integers left out. Pairs whose bound stays below the threshold, on either side, are done.
 5. Only vectors of the other pairs are fetched from the stored table, and those pairs are computed again in double
    precision; only that decides. A pair is taken in the first table in which both share a key, so counts add up over
