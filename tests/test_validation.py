@@ -96,3 +96,19 @@ def test_sales_events(spark):
 def test_sales_too_far_ahead(spark):
     (row,) = run(spark, validate_sales_events, [sale(timestamp="2026-07-13T10:05:01Z")])
     assert row["failure_reason"] == "invalid_sales_event:timestamp is too far in the future"
+
+
+def test_sales_are_parsed_without_repeating_steps(spark):
+    """The price is read once, and no schema of a whole record is made; odd records get the same reasons as ever."""
+    values = [" \n\t" + sale(), sale(sale_id="  "), sale(timestamp="2026-07-13T09:00:00.123456Z"),
+              sale(timestamp="2026-02-30T09:00:00Z"), sale(timestamp="2026-07-13 09:00:00,5 +0200"),
+              sale(timestamp="2026-07-13T09:00"), "[" + sale() + "]", '"{"', "{", "", "﻿" + sale()]
+    rows = run(spark, validate_sales_events, values)
+    assert [r["detail"] for r in rows] == [
+        None, "sale_id must not be blank", None, "timestamp is not a valid instant", None,
+        "timestamp must be timezone-aware", "payload is not an object", "payload is not an object",
+        "payload is not valid JSON", "payload is not valid JSON", "payload is not valid JSON"]
+    frame = spark.createDataFrame([(v, "t", 0, i) for i, v in enumerate(values)], ENVELOPE)
+    plan = validate_sales_events(frame, F.lit(NOW))._jdf.queryExecution().optimizedPlan().toString()
+    assert "schema_of_variant(_doc" not in plan.lower()
+    assert plan.count("cast(trim(_text_sale_price") <= 2
