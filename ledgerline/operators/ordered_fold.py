@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,11 +79,15 @@ def ordered_fold(
     """
     fold = _Fold(kernel, tuple(key), tuple(order), openings, hot_rows)
     heavy = fold.heavy(rows)
-    rows = fold.mark_repeated(fold.mark_used(rows, used_ids or {}))
-    cold, hot = fold.split(rows, heavy)
-    results = fold.settle_ids(cold, hot)
-    if results is None:
-        results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
+    rows = fold.mark_used(rows, used_ids or {})
+    repeated = fold.repeated(rows)
+    if not heavy and not any(repeated.values()):
+        results = [fold.run_cold(rows, repeated=list(repeated))]
+    else:
+        cold, hot = fold.split(fold.mark_repeated(rows), heavy)
+        results = fold.settle_ids(cold, hot)
+        if results is None:
+            results = [fold.run_cold(cold)] + ([fold.run_hot(hot)] if hot is not None else [])
     plumbing = [SEGMENT, HEAD, STATE, GROUP, START, *[f"{kind}_{c}" for c in kernel.ids for kind in ("_blocked", "_again")]]
     return reduce(DataFrame.unionByName, [r.drop(*plumbing) for r in results])
 
@@ -110,6 +114,23 @@ class _Fold:
     def _ids(self, rows: DataFrame) -> list[str]:
         return [c for c in self.kernel.ids if c in rows.columns]
 
+    def repeated(self, rows: DataFrame) -> dict[str, bool]:
+        """The id columns in which ids occur more than once, and whether one of them does so in several keys.
+
+        Ids are told apart by digests here: equal digests of unequal ids only make the fold look closer.
+        """
+        ids = self._ids(rows)
+        if not ids:
+            return {}
+        uses = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.xxhash64(c).alias("digest"),
+                                           F.col(c).isNotNull().alias("known")) for c in ids]))
+        keys, ends = self._spread(*self.key)
+        found = (
+            rows.select(uses, *keys).where("known").groupBy("column", "digest")
+            .agg(F.count(F.lit(1)).alias("uses"), *ends).where("uses > 1")
+            .groupBy("column").agg(F.max(self._several()).alias("contested")))
+        return {r["column"]: r["contested"] for r in found.collect()}
+
     def mark_repeated(self, rows: DataFrame) -> DataFrame:
         """``_again_<id>``: the id where it occurs more than once among the rows, NULL elsewhere."""
         ids = self._ids(rows)
@@ -163,11 +184,16 @@ class _Fold:
 
     # -- cold keys: one shuffle, one streaming pass ----------------------------------------------------------
 
-    def run_cold(self, rows: DataFrame, of_these_keys: bool = False) -> DataFrame:
-        schema = self._result_schema(rows)
+    def run_cold(self, rows: DataFrame, of_these_keys: bool = False, repeated: Sequence[str] = ()) -> DataFrame:
+        """``repeated`` names id columns that are not marked yet and whose ids each belong to one key."""
         framed = self._framed(rows, of_these_keys)
-        placed = framed.repartition(*self.key).sortWithinPartitions(
-            *self.key, *self._heads_first(framed), *self.order)
+        placed = framed.repartition(*self.key)
+        for column in repeated:
+            # The rows of a key are in one place already. The digest comes first because numbers sort fast.
+            same = Window.partitionBy(F.xxhash64(*self.key, column), *self.key, column)
+            placed = placed.withColumn(f"_again_{column}", F.when(F.count(column).over(same) > 1, F.col(column)))
+        schema = self._result_schema(placed)
+        placed = placed.sortWithinPartitions(*self.key, *self._heads_first(framed), *self.order)
         return placed.mapInArrow(_cold_task(self.kernel, self.key, self.order, schema.fieldNames()), schema)
 
     def run_groups(self, rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -219,24 +245,30 @@ class _Fold:
         if hot is not None:
             everything = everything.unionByName(hot)
         # Only rows with a repeated id are looked at.
-        uses = {column: everything.where(F.col(f"_again_{column}").isNotNull()) for column in ids}
+        marked = reduce(Column.__or__, [F.col(f"_again_{column}").isNotNull() for column in ids])
+        looked_at = cut_lineage(everything.where(marked).select(
+            *dict.fromkeys([*self.key, *self.order, SEGMENT, *[f"_again_{column}" for column in ids]])))
+        uses = {column: looked_at.where(F.col(f"_again_{column}").isNotNull())
+                .withColumn(column, F.col(f"_again_{column}")) for column in ids}
         contested = {column: cut_lineage(self._contested(rows, column)) for column, rows in uses.items()}
         contested = {column: found for column, found in contested.items() if not found.isEmpty()}
         if not contested:
             return None
         groups = self._groups({column: uses[column].join(found, column, "left_semi")
                                for column, found in contested.items()})
-        sizes = everything.join(groups, list(self.key)).groupBy(GROUP).agg(
-            F.count(F.lit(1)).alias("rows"), F.max(SEGMENT).alias("segment"))
+        counts = everything.groupBy(*self.key).agg(F.count(F.lit(1)).alias("rows"), F.max(SEGMENT).alias("segment"))
+        sizes = counts.join(groups, list(self.key)).groupBy(GROUP).agg(
+            F.sum("rows").alias("rows"), F.max("segment").alias("segment"))
         fits = (F.col("rows") <= self.hot_rows) & (F.col("segment") == _COLD)
         sized = cut_lineage(groups.join(sizes.select(GROUP, fits.alias("fits")), GROUP))
         small = sized.where("fits").drop("fits")
         rest = sized.where("NOT fits").select(*self.key)
-        done = [self.run_cold(cold.join(sized.select(*self.key), list(self.key), "left_anti")),
-                self.run_groups(cold, small)]
+        done = [] if small.isEmpty() else [self.run_groups(cold, small)]
+        cold = cold.join(small.select(*self.key), list(self.key), "left_anti")
         if rest.isEmpty():
-            return done + ([] if hot is None else [self.run_hot(hot)])
-        return done + self._repeat(cold.join(rest, list(self.key), "left_semi"), hot, everything, contested)
+            return [self.run_cold(cold), *done] + ([] if hot is None else [self.run_hot(hot)])
+        first, hot = self._repeat(cold.join(rest, list(self.key), "left_semi"), hot, looked_at, contested)
+        return [self.run_cold(self._flag(cold, first)), *done] + ([] if hot is None else [hot])
 
     def _groups(self, uses: dict[str, DataFrame]) -> DataFrame:
         """(key, ``_group``) of all keys that contested ids connect; ``uses`` are the rows that carry such ids."""
@@ -252,40 +284,60 @@ class _Fold:
         return cut_lineage(keys.join(joined, F.col("b") == F.col("node"), "left").select(
             *self.key, F.coalesce("component", "b").alias(GROUP)))
 
-    def _repeat(self, involved: DataFrame, hot: DataFrame | None, everything: DataFrame,
-                contested: dict[str, DataFrame]) -> list[DataFrame]:
-        first = {column: cut_lineage(self._first_use(everything, contested[column], column)) for column in contested}
+    def _repeat(self, involved: DataFrame, hot: DataFrame | None, looked_at: DataFrame,
+                contested: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame | None]:
+        """The first applied use of every contested id, and the hot rows folded with them.
+
+        The rounds read only what the kernel needs, kept once, and report only the uses that were applied.
+        """
+        first = {column: cut_lineage(self._first_use(looked_at, contested[column], column)) for column in contested}
+        needed = dict.fromkeys([*self.key, *self.order, *self.kernel.inputs])
+        slim = cut_lineage(involved.select(*[c for c in needed if c in involved.columns]))
+        reported = reduce(Column.__or__, [F.col(f"_again_{column}").isNotNull() for column in contested])
         while True:
-            outcome = [cut_lineage(self.run_cold(self._flag(involved, first), of_these_keys=True))]
+            outcome = [self.run_cold(self._flag(slim, first), of_these_keys=True).withColumn(SEGMENT, F.lit(_COLD))]
+            done = None
             if hot is not None:
-                outcome.append(cut_lineage(self.run_hot(cut_lineage(self._resegment(self._flag(hot, first))))))
-            applied = reduce(DataFrame.unionByName, outcome).where(F.col("status") == self.kernel.accepted)
+                done = cut_lineage(self.run_hot(cut_lineage(self._resegment(self._flag(hot, first)))))
+                outcome.append(done)
+            used = [*self.key, *self.order, SEGMENT, *[f"_again_{column}" for column in contested]]
+            applied = cut_lineage(reduce(DataFrame.unionByName, [
+                rows.where(reported & (F.col("status") == self.kernel.accepted)).select(*dict.fromkeys(used))
+                for rows in outcome]))
             again = {column: cut_lineage(self._first_use(applied, contested[column], column))
                      for column in contested}
             stable = all(self._same(first[column], again[column]) for column in contested)
             first = again
             if stable:
-                return outcome
+                return first, done
 
     def _unit(self) -> Column:
         return F.struct(*self.key, SEGMENT)
 
+    @staticmethod
+    def _spread(*unit: str) -> tuple[list[Column], list[Column]]:
+        """Digests of a unit, and aggregates of them that show whether it varies.
+
+        Fixed-width digests keep this a hash aggregate; two of them make 128 bits, as in the stable row ids.
+        """
+        digests = [F.xxhash64(F.lit(salt), *unit).alias(f"unit{salt}") for salt in (1, 2)]
+        return digests, [f(f"unit{salt}").alias(f"{name}{salt}") for salt in (1, 2)
+                         for f, name in ((F.min, "low"), (F.max, "high"))]
+
+    @staticmethod
+    def _several() -> Column:
+        return (F.col("low1") != F.col("high1")) | (F.col("low2") != F.col("high2"))
+
     def _contested(self, rows: DataFrame, column: str) -> DataFrame:
-        # Fixed-width digests keep this a hash aggregate; two of them make 128 bits, as in the stable row ids.
-        digests = [F.xxhash64(F.lit(salt), *self.key, SEGMENT) for salt in (1, 2)]
-        return (
-            rows.where(F.col(column).isNotNull())
-            .groupBy(column)
-            .agg(*[f(d).alias(f"{name}{i}") for i, d in enumerate(digests) for f, name in ((F.min, "low"), (F.max, "high"))])
-            .where((F.col("low0") != F.col("high0")) | (F.col("low1") != F.col("high1")))
-            .select(column)
-        )
+        units, ends = self._spread(*self.key, SEGMENT)
+        return rows.select(column, *units).groupBy(column).agg(*ends).where(self._several()).select(column)
 
     def _first_use(self, rows: DataFrame, contested: DataFrame, column: str) -> DataFrame:
         use = F.struct(F.struct(*self.order).alias("at"), self._unit().alias("unit"))
         return (
-            rows.join(contested, column, "left_semi")
-            .groupBy(column).agg(F.min(use).alias(f"_first_{column}"))
+            rows.where(F.col(f"_again_{column}").isNotNull()).select(F.col(f"_again_{column}").alias(column), use.alias("use"))
+            .join(contested, column, "left_semi")
+            .groupBy(column).agg(F.min("use").alias(f"_first_{column}"))
         )
 
     def _flag(self, rows: DataFrame, first: dict[str, DataFrame]) -> DataFrame:
@@ -297,7 +349,12 @@ class _Fold:
             blocked = F.coalesce(taken, F.lit(False))
             if flag in rows.columns:
                 blocked = F.col(flag) | blocked
-            placed = placed.join(uses, column, "left").withColumn(flag, blocked).drop(use)
+            else:
+                placed = placed.withColumn(flag, F.lit(False))
+            # Only rows with a repeated id take part in the join.
+            again, uses = F.col(f"_again_{column}"), uses.withColumnRenamed(column, "_id")
+            marked = placed.where(again.isNotNull()).join(uses, again == F.col("_id"), "left")
+            placed = placed.where(again.isNull()).unionByName(marked.withColumn(flag, blocked).drop(use, "_id"))
         return placed
 
     def _resegment(self, rows: DataFrame) -> DataFrame:

@@ -224,3 +224,65 @@ def test_repeated_ids_inside_a_segment_are_part_of_its_function(spark):
     for hot_rows in (60, 10**6):
         got = check(spark, rows, {("P0", "S"): 4}, hot_rows)
         assert {s: v[0] for s, v in got.items()} == {s: v[0] for s, v in expected.items()}
+
+
+def test_rounds_over_a_large_group_read_only_what_the_kernel_needs(spark, monkeypatch):
+    """A group too large for one task is folded several times, but its other columns pass once, at the end."""
+    from ledgerline.operators.ordered_fold import _Fold
+
+    rng = random.Random(5)
+    rows = make_rows(rng, 120, 6, 40, sales_share=0.0)
+    seen, run_cold = [], _Fold.run_cold
+
+    def noted(self, frame, *args, **kwargs):
+        seen.append("payload" in frame.columns)
+        return run_cold(self, frame, *args, **kwargs)
+
+    monkeypatch.setattr(_Fold, "run_cold", noted)
+    frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "concat('text', seq) AS payload")
+    ledger = fold_movements(frame, order=["seq"], hot_rows=30)
+    expected = replay(rows, {})
+    assert {r["seq"]: (r["payload"], r["status"]) for r in ledger.collect()} == {
+        s: (f"text{s}", v[0]) for s, v in expected.items()}
+    assert len(seen) > 2 and seen == [False] * (len(seen) - 1) + [True]
+
+
+def test_ids_that_repeat_inside_their_keys_only_are_marked_where_the_rows_are(spark):
+    rng = random.Random(21)
+    rows = [(seq, f"P{k}", "S", f"E{k}-{rng.randrange(30)}", f"X{k}-{rng.randrange(25)}" if sale else None,
+             -rng.randint(1, 9) if sale else rng.randint(-9, 9), sale)
+            for seq in range(400) for k, sale in [(rng.randrange(5), rng.random() < 0.5)]]
+    opening = {("P0", "S"): 20, ("P1", "S"): 5}
+    expected = replay(rows, opening)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    balances = spark.createDataFrame([(*k, q) for k, q in opening.items()],
+                                     "product_id string, store_id string, quantity long")
+    ledger = fold_movements(frame, order=["seq"], balances=balances)
+    assert {r["seq"]: r["status"] for r in ledger.collect()} == {s: v[0] for s, v in expected.items()}
+    plan = ledger._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression" in plan
+
+
+def test_rows_taken_one_by_one_and_in_stretches_agree():
+    from ledgerline.operators.kernels import BalanceKernel
+    import numpy as np
+
+    rng, kernel = random.Random(8), BalanceKernel()
+    for start in (None, 0, 12, -4):
+        size = 300
+        again = [rng.random() < 0.4 for _ in range(size)]
+        sale = np.array([rng.random() < 0.5 for _ in range(size)])
+        ids = [np.array([f"{name}{rng.randrange(40)}" if a else None for a in again], object) for name in "EX"]
+        columns = {"delta": np.array([rng.randint(-9, -1) if s else rng.randint(-9, 9) for s in sale]), "must_exist": sale,
+                   "_again_event_id": ids[0], "_again_sale_id": ids[1], "_special": np.array(again),
+                   "_blocked_event_id": np.array([a and rng.random() < 0.1 for a in again]),
+                   "_blocked_sale_id": np.array([a and rng.random() < 0.1 for a in again])}
+        one, other, each, mixed = kernel.begin(start), kernel.begin(start), kernel.room(size), kernel.room(size)
+        one._each(columns, 0, size, each)
+        for i in range(size):
+            if again[i]:
+                other._one(columns, i, mixed)
+            else:
+                other._stretch(columns["delta"], sale, i, i + 1, mixed)
+        assert all((a == b).all() for a, b in zip(each, mixed))
+        assert (one.state, one.events, one.sales) == (other.state, other.events, other.sales)
