@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import inventory_id, stable_id
@@ -59,7 +59,21 @@ def sales_rows(ledger: DataFrame, sold_at: Column, sequence: Column | None = Non
 
 
 def duplicate_sales(ledger: DataFrame, sales: DataFrame | None = None) -> DataFrame:
-    """K5: a repeated sale answers with the quantity, price and record of the sale posted first."""
+    """K5: a repeated sale answers with the quantity, price and record of the sale posted first.
+
+    Without ``sales`` of earlier runs the repeats and what they repeat are rows of the one ledger, which is folded once.
+    """
+    if sales is None:
+        answered = ledger.where(F.col("status").isin("applied", "duplicate") & F.col("sale_id").isNotNull())
+        posted = F.when(F.col("status") == "applied", F.struct(
+            F.col("quantity_sold").cast("int").alias("quantity"),
+            F.col("sale_price").cast("decimal(12,2)").alias("price")))
+        first = F.max(posted).over(Window.partitionBy("sale_id"))
+        repeats = duplicates(answered.withColumn("_first", first).where("_first IS NOT NULL"))
+        return repeats.select(
+            "sale_id", *[c for c in ledger.columns if c != "sale_id"],
+            F.col("_first.quantity").alias("original_quantity"), F.col("_first.price").alias("original_price"),
+            stable_id(F.lit("sale"), "sale_id").alias("sales_record_id"))
     posted = applied(ledger).select(
         "sale_id",
         F.col("quantity_sold").cast("int").alias("original_quantity"),

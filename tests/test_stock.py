@@ -123,3 +123,17 @@ def test_only_changes_are_stored(spark):
             assert report.first()["reconciled_at"] == T0
         records = spark.createDataFrame(records.collect() + rows.select(*records.columns).collect(), RECONCILIATION_RECORDS)
     assert stored == [[-2], [], [-4], [0]]
+
+
+def test_repeated_sales_fold_the_ledger_once(spark):
+    rows = [("E1", "X1", 3, "1.50", 1), ("E2", "X1", 5, "9.00", 2), ("E3", "X2", 99, None, 3), ("E4", "X2", 1, None, 4),
+            ("E5", None, 1, "2.00", 5), ("E6", "X2", 2, "7.00", 6), ("E7", "X3", 99, None, 7), ("E8", "X3", 99, None, 8)]
+    events = spark.createDataFrame(
+        [(e, "P", "S", x, q, p, at) for e, x, q, p, at in rows],
+        "event_id string, product_id string, store_id string, sale_id string, quantity_sold int, price string, at int"
+    ).selectExpr("*", "cast(price AS decimal(12,2)) AS sale_price").drop("price")
+    stock = spark.createDataFrame([("P", "S", 50)], "product_id string, store_id string, quantity long")
+    again = sales.duplicate_sales(sales.post_sales(events, order=["at"], balances=stock))
+    assert sorted((r["event_id"], r["sale_id"], r["original_quantity"], str(r["original_price"]))
+                  for r in again.collect()) == [("E2", "X1", 3, "1.50"), ("E6", "X2", 1, "None")]
+    assert again._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
