@@ -2,7 +2,8 @@
 
 A kernel sees the rows of one key in order. Its state is one integer; ids only reach it where they repeat. Rows are
 taken in stretches: whole columns are looked at up to the first row that does not go the ordinary way, so the cost in
-Python is per refusal, per alert and per repeated id, not per row.
+Python is per refusal, per alert and per repeated id, not per row. Where repeated ids are frequent, whole columns would
+be looked at for a row or two, so balances are then taken row by row.
 
 Besides folding from one state, a kernel folds from all states at once: its *function* of a stretch of rows tells the
 end state for any start, as pieces (``low``, ``end``, ``slope``) that hold from ``low`` up to the next one:
@@ -88,6 +89,9 @@ class BalanceRun:
 
     def advance(self, columns: dict[str, np.ndarray], low: int, high: int, out: tuple[np.ndarray, ...] | None) -> None:
         special = columns["_special"]
+        if high - low < _SHORT or np.count_nonzero(special[low:high]) * _SHORT > high - low:
+            self._each(columns, low, high, out)
+            return
         while low < high:
             if special[low]:
                 self._one(columns, low, out)
@@ -137,6 +141,37 @@ class BalanceRun:
                     out[1][low] = out[2][low] = self.state
                 low, size = low + 1, _SHORT
 
+    def _each(self, columns: dict[str, np.ndarray], low: int, high: int, out) -> None:
+        """Row by row, for stretches that are short or often broken by ids that occur elsewhere too."""
+        state, events, sales, results = self.state, self.events, self.sales, []
+        for special, delta, is_sale, event_id, sale_id, no_event, no_sale in zip(*(
+                columns[name][low:high].tolist() for name in (
+                    "_special", "delta", "must_exist", "_again_event_id", "_again_sale_id", "_blocked_event_id",
+                    "_blocked_sale_id"))):
+            before, after = state, (state if state > 0 else 0) + delta
+            if is_sale and special and (no_sale or sale_id in sales):
+                results.append((_DUPLICATE, before, before))
+            elif is_sale and before < 0:
+                results.append((_NOT_FOUND, before, before) if special else (_NOT_FOUND, _NONE, _NONE))
+            elif special and not is_sale and (no_event or event_id in events):
+                results.append((_DUPLICATE, before, before))
+            elif after < 0:
+                at = 0 if before < 0 else before
+                results.append((_TOO_LITTLE if is_sale else _REJECTED, at, at))
+            elif special and is_sale and (no_event or event_id in events):
+                results.append((_USED_EVENT, before, before))
+            else:
+                results.append((_APPLIED, 0 if before < 0 else before, after))
+                state = after
+                if event_id is not None:
+                    events.add(event_id)
+                if is_sale and sale_id is not None:
+                    sales.add(sale_id)
+        self.state = state
+        if out is not None:
+            for column, values in zip(out, zip(*results)):
+                column[low:high] = values
+
     def _one(self, columns: dict[str, np.ndarray], i: int, out) -> None:
         """A row whose ids occur elsewhere too."""
         before, delta = self.state, int(columns["delta"][i])
