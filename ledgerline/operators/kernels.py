@@ -89,7 +89,7 @@ class BalanceRun:
 
     def advance(self, columns: dict[str, np.ndarray], low: int, high: int, out: tuple[np.ndarray, ...] | None) -> None:
         special = columns["_special"]
-        if high - low < _SHORT or np.count_nonzero(special[low:high]) * _SHORT > high - low:
+        if np.count_nonzero(special[low:high]) * _SHORT > high - low:
             self._each(columns, low, high, out)
             return
         while low < high:
@@ -142,7 +142,7 @@ class BalanceRun:
                 low, size = low + 1, _SHORT
 
     def _each(self, columns: dict[str, np.ndarray], low: int, high: int, out) -> None:
-        """Row by row, for stretches that are short or often broken by ids that occur elsewhere too."""
+        """Row by row, for stretches that are often broken by ids that occur elsewhere too."""
         state, events, sales, results = self.state, self.events, self.sales, []
         for special, delta, is_sale, event_id, sale_id, no_event, no_sale in zip(*(
                 columns[name][low:high].tolist() for name in (
