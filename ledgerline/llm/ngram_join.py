@@ -1,20 +1,21 @@
 """N-gram Jaccard join (5): all documents whose sets of five-word shingles overlap by at least 0.8, by prefix trees.
 
 1. One pass over the texts writes each set's size, its 128-bit digest and a parity sketch (a bit map in which every
-   shingle flips one bit), and counts shingles that are common among the documents of a batch (lossy counting). The
-   counts only fix the global order of shingles, from rare to common.
-2. A second pass sends out the first few shingles of each ordered set: sets that overlap enough share one of them.
-   Equal sets of a batch send theirs once. Documents that meet in a shingle are compared by their sketches: two sets
-   differ in at least as many shingles as their sketches differ in bits, so what is ruled out cannot link. What is not
-   becomes an edge, as far as it connects something new. Shingles with the same documents are looked at once, and one
-   with more than ``Bounds.sets`` documents is dealt out in blocks.
-3. Sets joined by such edges form candidate groups; no two linked sets lie in different groups. Equal sets are
-   represented by one of them from here on. Each group's sets are stored in a trie. Probes walk it, sharing partial
-   overlaps along common paths and pruning subtrees whose remaining lengths cannot reach the needed overlap, or that
-   already belong to the probe's component. A group beyond ``Bounds`` is compared with one pivot first; what does not
-   link with the pivot is compared with the group in pairs of blocks, so that no task holds more than two blocks. Every
-   pair of sets that could link is either compared or already connected; only links that connect something new are put
-   out.
+   shingle flips one bit, with a bit for each shingle at least), and counts shingles that are common among some
+   thousand documents (lossy counting). The counts only fix the global order of shingles, from rare to common.
+2. Equal sets are represented by the smallest id that has one. A second pass sends out the first few shingles of each
+   ordered set: sets that overlap enough share one of them. Documents that meet in a shingle are compared by their
+   sketches: two sets differ in at least as many shingles as their sketches differ in bits, so what is ruled out cannot
+   link. What is not becomes an edge, as far as it connects something new. Shingles with the same documents are looked
+   at once, and one with more than ``Bounds.together`` documents is dealt out in blocks.
+3. Sets joined by such edges form candidate groups; no two linked sets lie in different groups. A sketch with fewer bits
+   than shingles is nearly as full for any two sets, so it would let unrelated ones through, and their number grows with
+   the square of the documents of a shingle until they tie most groups into one. Each group's sets are stored in a trie.
+   Probes walk it, sharing partial overlaps along common paths and pruning subtrees whose remaining lengths cannot reach
+   the needed overlap, whose sketches rule them out, or that already belong to the probe's component. A group beyond ``Bounds`` is compared with one
+   pivot first; what does not link with the pivot is compared with the group in pairs of blocks, so that no task holds
+   more than two blocks. Every pair of sets that could link is either compared or already connected; only links that
+   connect something new are put out.
 4. Connected components over those links and over the copies.
 
 Shingles are 64-bit hashes of lower-cased words, compared within pairs of sets only.
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.storage import settle, ship
@@ -42,8 +43,12 @@ from ledgerline.operators.components import components
 COMMON = 100_000
 #: Text whose shingles a task holds at a time.
 SLICE_BYTES = 4_000_000
+#: Shingles that a task holds to count the common ones among them.
+COUNTED = 4_000_000
 #: A group table up to this size (some 40 bytes a row) is broadcast to the texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 300_000
+#: Up to so many ids of copies (8 bytes each) are broadcast to the second pass; more are joined by shuffle.
+BROADCAST_COPIES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -111,13 +116,13 @@ def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.repeat(np.arange(len(sets)), sizes)
 
 
-#: Bits of the smallest sketch; a set has at most two shingles per bit.
+#: Bits of the smallest sketch; a set has at most one shingle per bit.
 LEAST_BITS = 512
 
 
 def sketches(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """The parity sketch of each set: bit ``shingle mod bits``, flipped by every shingle; ``bits`` follows the size."""
-    bits = LEAST_BITS << np.ceil(np.log2(np.maximum(sizes / (2 * LEAST_BITS), 1))).astype(np.int64)
+    bits = LEAST_BITS << np.ceil(np.log2(np.maximum(sizes / LEAST_BITS, 1))).astype(np.int64)
     found: list[bytes] = [b""] * len(sizes)
     ends = np.cumsum(sizes)
     for wide in np.unique(bits[sizes > 0]).tolist():
@@ -141,24 +146,34 @@ def measure(documents: DataFrame, like: Likeness) -> DataFrame:
     """Written rows (counted, id, n, d1, d2, sketch): a set's size, digest and sketch; or (``counted``) a common
     shingle and its count."""
 
+    def rows(counted: bool, ids: pa.Array, n: np.ndarray, d1: np.ndarray, d2: np.ndarray, maps: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(n), counted)), ids, pa.array(n), pa.array(d1), pa.array(d2), pa.array(maps, pa.binary())],
+            names=["counted", "id", "n", "d1", "d2", "sketch"])
+
+    def common(held: list[np.ndarray], texts: int) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = counts >= max(3, texts // 2000)
+        values, counts = values[often].astype(np.int64), counts[often]
+        return rows(True, pa.nulls(len(values), pa.int64()), counts, values, np.zeros(len(values), np.int64),
+                    [None] * len(values))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = [], 0
         for batch in _slices(batches):
             sets = [shingles(text, like.words) for text in batch.column(1).to_pylist()]
             digests = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets],
                                np.uint64).reshape(-1, 2).astype(np.int64)
             flat, owner = _flat(sets)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            values, counts = np.unique(flat, return_counts=True)
-            often = counts >= max(3, len(sets) // 2000)
-            values, counts = values[often].astype(np.int64), counts[often]
-            none = np.zeros(len(values), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([False, True], [len(sets), len(values)])),
-                 pa.concat_arrays([batch.column(0), pa.nulls(len(values), pa.int64())]),
-                 pa.array(np.concatenate([sizes, counts])),
-                 pa.array(np.concatenate([digests[:, 0], values])), pa.array(np.concatenate([digests[:, 1], none])),
-                 pa.array(sketches(flat, owner, sizes) + [None] * len(values), pa.binary())],
-                names=["counted", "id", "n", "d1", "d2", "sketch"])
+            yield rows(False, batch.column(0), sizes, digests[:, 0], digests[:, 1], sketches(flat, owner, sizes))
+            held.append(flat)
+            texts += len(sets)
+            if sum(map(len, held)) > COUNTED:
+                yield common(held, texts)
+                held, texts = [], 0
+        if held:
+            yield common(held, texts)
 
     return settle(documents.mapInArrow(
         run, "counted boolean, id bigint, n bigint, d1 bigint, d2 bigint, sketch binary"), "sets")
@@ -185,86 +200,96 @@ def common_order(measured: DataFrame) -> Order:
     return Order(top["d1"].to_numpy(np.int64).astype(np.uint64), np.log2(np.maximum(counts, 1)).astype(np.int8))
 
 
-def postings(documents: DataFrame, order: Order, like: Likeness, together: int) -> DataFrame:
-    """Written rows (hot, ids, copy_of): documents that share a prefix shingle, where ``hot`` is a shingle whose
-    documents come in several rows; or a document with the same set as ``copy_of``."""
-    shared = documents.sparkSession.sparkContext.broadcast((order.values, order.classes))
+def copies_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smallest id of each set that is not empty (d1, d2, n, id), written; and (a, b): ids b with the same set."""
+    sets = sets.where("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2")
+    stands = settle(sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("id")), "representatives")
+    copies = sets.join(stands.withColumnRenamed("id", "a"), ["d1", "d2", "n"]).where("id != a")
+    return stands, settle(copies.select("a", F.col("id").alias("b")), "copies")
+
+
+def spared(documents: DataFrame, stands: DataFrame, copies: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Ids whose sets are all represented by other ids, sorted; if they are very many, ``documents`` come without them."""
+    ids = settle(copies.select(F.col("b").alias("id")).distinct().join(stands.select("id"), "id", "left_anti"), "spared")
+    if ids.count() > BROADCAST_COPIES:
+        return documents.join(ids.hint("shuffle_hash"), "id", "left_anti"), np.empty(0, np.int64)
+    return documents, np.sort(ids.toPandas()["id"].to_numpy(np.int64))
+
+
+def postings(documents: DataFrame, skip: np.ndarray, order: Order, like: Likeness, together: int) -> DataFrame:
+    """Written rows (hot, ids): documents that share a prefix shingle, where ``hot`` is a shingle whose documents come
+    in several rows; without the ids in ``skip``, which is sorted."""
+    shared = documents.sparkSession.sparkContext.broadcast((order.values, order.classes, skip))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Order.__new__(Order)
-        known.values, known.classes = shared.value
+        known.values, known.classes, skip = shared.value
         for batch in _slices(batches):
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            by = np.argsort(ids, kind="stable")
-            sets, own, copies, held = [], [], [], {}
-            for i in by.tolist():
-                found = shingles(texts[i], like.words)
-                digest = xxhash.xxh3_128_digest(found.tobytes())
-                if digest in held:
-                    copies.append((ids[i], held[digest]))
-                elif len(found):
-                    held[digest] = ids[i]
-                    sets.append(found)
-                    own.append(ids[i])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            if len(skip):
+                batch = batch.filter(pa.array(skip[np.minimum(np.searchsorted(skip, ids), len(skip) - 1)] != ids))
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+            sets = [shingles(text, like.words) for text in batch.column(1).to_pylist()]
             flat, owner = _flat(sets)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             by = np.lexsort((known.of(flat), owner))  # stable, and each set is in hash order already
             flat, first = flat[by], np.cumsum(sizes) - sizes
             take = np.arange(len(flat)) - first[owner] < like.prefix(sizes)[owner]
-            copies = np.array(copies, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([flat[take].astype(np.int64), copies[:, 0]])),
-                 pa.array(np.concatenate([np.array(own, np.int64)[owner[take]], copies[:, 1]])),
-                 pa.array(np.repeat([False, True], [int(take.sum()), len(copies)]))], names=["shingle", "id", "copy"])
+                [pa.array(flat[take].astype(np.int64)), pa.array(ids[owner[take]], pa.int64())], names=["shingle", "id"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The documents of each shingle that has two or more; a shingle with very many goes out in parts."""
         key, hub, rest = None, None, np.empty(0, np.int64)  # the shingle that may go on, its first document if parted
 
-        def out(ids: list[np.ndarray], hot: list[int | None], copy_of: list[int | None]) -> pa.RecordBatch:
-            ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(hot, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(copy_of, pa.int64())],
-                names=["hot", "ids", "copy_of"])
+        def out(values: np.ndarray, sizes: np.ndarray, hot: int | None = None) -> pa.RecordBatch:
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array([hot] * len(sizes), pa.int64()),
+                                               pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()))],
+                                              names=["hot", "ids"])
 
-        def parts(at: int, first: int, docs: np.ndarray) -> pa.RecordBatch:
-            ids = [np.unique(np.append(docs[k:k + together], first)) for k in range(0, len(docs), together)]
-            return out(ids, [at] * len(ids), [None] * len(ids))
+        def parts(docs: np.ndarray) -> pa.RecordBatch:
+            ids = [np.unique(np.append(docs[k:k + together], hub)) for k in range(0, len(docs), together)]
+            return out(np.concatenate(ids) if ids else docs, np.fromiter(map(len, ids), np.int64, len(ids)), key)
+
+        def held() -> Iterator[pa.RecordBatch]:
+            if hub is not None:
+                yield parts(rest)
+            elif len(rest) > 1:
+                yield out(rest, np.array([len(rest)]))
 
         for batch in batches:
-            shingle, doc, copy = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if copy.any():
-                yield out(list(shingle[copy][:, None]), [None] * int(copy.sum()), doc[copy].tolist())
-            shingle, doc = shingle[~copy], doc[~copy]
+            shingle, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             if not len(shingle):
                 continue
-            cuts = [0, *(np.flatnonzero(shingle[1:] != shingle[:-1]) + 1).tolist(), len(shingle)]
-            ids = []
-            for start, stop in zip(cuts, cuts[1:]):
-                if key is not None and shingle[start] != key and hub is not None:
-                    yield parts(key, hub, rest)
-                elif shingle[start] != key and len(rest) > 1:
-                    ids.append(np.unique(rest))
-                if shingle[start] != key:
-                    key, hub, rest = shingle[start], None, doc[start:stop]
+            fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1]))  # rows may share an id
+            shingle, doc = shingle[fresh], doc[fresh]
+            cuts = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]])
+            sizes = np.diff(cuts)
+            # What begins and ends in this batch goes out at once, but for what is too long.
+            whole = (sizes > 1) & (sizes <= together)
+            whole[[0, -1]] = False
+            if whole.any():
+                yield out(doc[np.repeat(whole, sizes)], sizes[whole])
+            loose = sizes > together
+            loose[[0, -1]] = True
+            for k in np.flatnonzero(loose).tolist():
+                some = doc[cuts[k]:cuts[k + 1]]
+                if shingle[cuts[k]] != key:
+                    yield from held()
+                    key, hub, rest = shingle[cuts[k]], None, some
                 else:
-                    rest = np.append(rest, doc[start:stop])
+                    rest = np.append(rest, some[1:] if len(rest) and rest[-1] == some[0] else some)
                 if len(rest) > together:
                     hub = rest[0] if hub is None else hub
                     full = len(rest) // together * together
-                    yield parts(key, hub, rest[:full])
+                    yield parts(rest[:full])
                     rest = rest[full:]
-            ids = [x for x in ids if len(x) > 1]
-            yield out(ids, [None] * len(ids), [None] * len(ids))
-        if hub is not None:
-            yield parts(key, hub, rest)
-        elif len(np.unique(rest)) > 1:
-            yield out([np.unique(rest)], [None], [None])
+        yield from held()
 
-    sent = documents.where("id IS NOT NULL").mapInArrow(prefixes, "shingle bigint, id bigint, copy boolean")
-    placed = sent.repartition("shingle").sortWithinPartitions("copy", "shingle", "id")
-    return settle(placed.mapInArrow(runs, "hot bigint, ids array<bigint>, copy_of bigint"), "postings")
+    sent = documents.where("id IS NOT NULL").mapInArrow(prefixes, "shingle bigint, id bigint")
+    placed = sent.repartition("shingle").sortWithinPartitions("shingle", "id")
+    return settle(placed.mapInArrow(runs, "hot bigint, ids array<bigint>"), "postings")
 
 
 def plausible(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], asks: np.ndarray,
@@ -276,6 +301,22 @@ def plausible(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], asks: np.nd
     """
     labels, edges = np.arange(len(ids)), []
     widths = np.fromiter(map(len, maps), np.int64, len(maps))
+
+    def compare(k: int, look: np.ndarray) -> None:
+        """Connect row ``k`` with what it may link with among the rows ``look``."""
+        i = rows[k]
+        look = look[labels[rows[look]] != labels[i]]
+        less, more = np.minimum(n[look], n[k]), np.maximum(n[look], n[k])
+        look = look[like.least * more <= like.out_of * less]
+        if not len(look):
+            return
+        apart = np.bitwise_count(lines[look] ^ lines[k]).sum(axis=1)
+        near = rows[look[apart <= like.differing(n[look] + n[k])]]
+        joined, at = np.unique(labels[near], return_index=True)
+        if len(joined):
+            edges.extend((int(ids[i]), int(ids[j])) for j in near[at])
+            labels[np.isin(labels, joined)] = labels[i]
+
     for wide in np.unique(widths[widths > 0]).tolist():
         narrow, double = np.flatnonzero(widths == wide), np.flatnonzero(widths == 2 * wide)
         lines = np.frombuffer(b"".join(maps[i] for i in narrow), np.uint64).reshape(len(narrow), -1)
@@ -283,21 +324,18 @@ def plausible(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], asks: np.nd
             folded = np.frombuffer(b"".join(maps[i] for i in double), np.uint64).reshape(len(double), 2, -1)
             lines = np.concatenate([lines, folded[:, 0] ^ folded[:, 1]])
         rows = np.concatenate([narrow, double])
-        n = sizes[rows]
-        for k in range(len(narrow)):
-            i = rows[k]
-            look = np.flatnonzero(labels[rows[k + 1:]] != labels[i]) + k + 1
-            if not asks[i]:
-                look = look[asks[rows[look]]]
-            less, more = np.minimum(n[look], n[k]), np.maximum(n[look], n[k])
-            look = look[like.least * more <= like.out_of * less]
-            if not len(look):
-                continue
-            apart = np.bitwise_count(lines[look] ^ lines[k]).sum(axis=1)
-            for j in rows[look[apart <= like.differing(n[look] + n[k])]].tolist():
-                if labels[j] != labels[i]:
-                    edges.append((int(ids[i]), int(ids[j])))
-                    labels[labels == labels[j]] = labels[i]
+        n, left, wider = sizes[rows], asks[rows], np.arange(len(rows)) >= len(narrow)
+        if left.all() and len(rows) > 2:
+            # Copies of the first one are connected with it; what they could link with looks at them from its side.
+            compare(0, np.arange(1, len(rows)))
+            left = labels[rows] != labels[rows[0]]
+        # Each of those left looks at all rows, but at the ones before it among those left. Two wide ones are compared
+        # in the next round.
+        by = np.argsort(np.where(left, 0, 2) + wider, kind="stable")
+        asking, plain = int(left.sum()), int((left & ~wider).sum())
+        ordinary = asking + int((~left & ~wider).sum())
+        for at, k in enumerate(by[:asking].tolist()):
+            compare(k, by[at + 1:] if at < plain else by[asking:ordinary])
     return edges, labels
 
 
@@ -322,12 +360,11 @@ def _sketched(units: DataFrame, like: Likeness) -> DataFrame:
 def candidate_edges(found: DataFrame, sets: DataFrame, like: Likeness, together: int) -> DataFrame:
     """Edges (a, b) that connect all documents which meet in a shingle and may link; ``found`` are the postings."""
     maps = sets.where("n > 0").select("id", "n", "sketch")
-    copies = found.where("copy_of IS NOT NULL").select(F.col("ids")[0].alias("a"), F.col("copy_of").alias("b"))
 
     def unit(rows: DataFrame, asks) -> DataFrame:
         return rows.withColumn("asks", asks).join(maps, "id")
 
-    small = found.where("copy_of IS NULL AND hot IS NULL").select("ids").distinct().select(
+    small = found.where("hot IS NULL").select("ids").distinct().select(
         F.xxhash64("ids").alias("unit"), F.explode("ids").alias("id"), F.lit(None).cast("long").alias("hub"))
     edges = _sketched(unit(small, F.lit(True)), like).select("a", "b")
     hot = found.where("hot IS NOT NULL")
@@ -355,7 +392,7 @@ def candidate_edges(found: DataFrame, sets: DataFrame, like: Likeness, together:
         both = asking.unionByName(asked).groupBy("unit", "id").agg(F.max("asked").alias("asks"))
         crossed = _sketched(both.withColumn("hub", F.lit(None).cast("long")).join(maps, "id"), like)
         edges = edges.unionByName(crossed.select("a", "b"))
-    return edges.unionByName(copies).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 class Trie:
@@ -372,8 +409,20 @@ class Trie:
         self.member = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
         self.paths = [paths[i] for i in self.member]
         self.sizes = np.array([len(p) for p in self.paths])
+        self._sketch()
         self._build()
 
+    def _sketch(self) -> None:
+        """A parity sketch of each path, of one width; the commonest shingles have a bit of their own."""
+        wide = 1 << min(15, max(9, int(8 * self.sizes.mean()).bit_length()))
+        step = max(1, 4_000_000 // wide)
+        lines = []
+        for k in range(0, len(self.paths), step):
+            flat, owner = _flat(self.paths[k:k + step])
+            odd = np.bincount(owner * wide + (flat & (wide - 1)), minlength=len(self.paths[k:k + step]) * wide) & 1
+            lines.append(np.packbits(odd.astype(np.uint8).reshape(-1, wide), axis=1, bitorder="little").view(np.uint64))
+        self.lines = np.concatenate(lines)
+
     def _build(self) -> None:
         """Nodes in preorder: (shingles on the edge, first and last path below, depth, shortest and longest below)."""
         common = [0]
@@ -405,6 +454,11 @@ class Trie:
     def links(self, probe: int, labels: np.ndarray) -> Iterator[int]:
         """Paths linked with path ``probe`` whose label differs from its label when they are reached."""
         path, size, like = self.paths[probe], int(self.sizes[probe]), self.like
+        look = np.flatnonzero(labels != labels[probe])
+        apart = np.bitwise_count(self.lines[look] ^ self.lines[probe]).sum(axis=1)
+        look = look[apart <= like.differing(size + self.sizes[look])]  # the sketches rule the others out
+        if not len(look):
+            return
         held = np.zeros(self.width + 1, np.int64)
         held[path + 1] = 1
         upto = np.cumsum(held)  # shingles of the probe before each place of the order
@@ -412,7 +466,8 @@ class Trie:
         while todo:
             number, overlap = todo.pop()
             edge, lo, hi, depth, shortest, longest = self.nodes[number]
-            if (labels[lo:hi] == labels[probe]).all():
+            below = look[np.searchsorted(look, lo):np.searchsorted(look, hi)]
+            if not len(below) or (labels[below] == labels[probe]).all():
                 continue
             if len(edge):
                 overlap += int(held[edge + 1].sum())
@@ -502,6 +557,11 @@ def _pivot_links(rows: DataFrame, like: Likeness) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, a bigint, near boolean")
 
 
+def blocks_of(bounds: Bounds) -> Column:
+    """Blocks of half the bounds that the rows (n, ...) of a group make."""
+    return F.ceil(F.greatest(F.count("*") * 2 / bounds.sets, F.sum("n") * 2 / bounds.shingles)).cast("long")
+
+
 def _large_groups(texts: DataFrame, groups: DataFrame, like: Likeness, bounds: Bounds) -> DataFrame:
     """Connecting links of groups beyond the bounds; ``groups``: (grp, blocks, pivot_id)."""
     texts = settle(texts, "large-groups")
@@ -509,16 +569,14 @@ def _large_groups(texts: DataFrame, groups: DataFrame, like: Likeness, bounds: B
     near = settle(_pivot_links(texts.select("id", "text", "grp").join(pivots, "grp")
                                .select("id", "text", "pivot_id", "pivot_text"), like), "pivot-links")
     marked = texts.join(near.groupBy("id").agg(F.min("near").alias("near")), "id").join(groups, "grp")
-    # Blocks of the resolved and of the others by hash; every pair of blocks that holds an unresolved one is a unit.
-    open_groups = near.where("NOT near").join(texts.select("id", "grp"), "id").select("grp").distinct()
-    blocked = marked.join(open_groups, "grp", "left_semi").select(
-        "id", "text", "grp", "blocks", F.col("near").alias("resolved"),
-        F.expr("pmod(xxhash64(id), blocks)").alias("block"))
-    # Unresolved blocks are numbered 0 to blocks - 1, resolved ones blocks to 2 * blocks - 1.
-    own = F.expr("CASE WHEN resolved THEN block + blocks ELSE block END")
-    partners = F.expr("CASE WHEN resolved THEN sequence(0L, blocks - 1) ELSE sequence(0L, 2 * blocks - 1) END")
-    pairs = (blocked.withColumn("own", own).withColumn("partner", F.explode(partners))
-             .withColumn("unit", F.xxhash64("grp", F.least("own", "partner"), F.greatest("own", "partner"))))
+    # Blocks of the others and of the resolved by hash; every pair of blocks that holds an unresolved one is a unit.
+    # Others are in blocks 0 to others - 1, so few of them make few units.
+    others = marked.where("NOT near").groupBy("grp").agg(blocks_of(bounds).alias("others"))
+    own = F.expr("CASE WHEN near THEN others + pmod(xxhash64(id), blocks) ELSE pmod(xxhash64(id), others) END")
+    partners = F.expr("sequence(0L, CASE WHEN near THEN others - 1 ELSE others + blocks - 1 END)")
+    pairs = (marked.join(others, "grp").withColumn("own", own).withColumn("partner", F.explode(partners))
+             .withColumn("unit", F.xxhash64("grp", F.least("own", "partner"), F.greatest("own", "partner")))
+             .withColumnRenamed("near", "resolved"))
     links = _compare(pairs.select("unit", "id", "text", "resolved"), like)
     return near.where("near AND id != a").select("a", F.col("id").alias("b")).unionByName(links)
 
@@ -530,18 +588,15 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text", like: Li
     docs = documents.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     measured = measure(docs, like)
     sets = measured.where("NOT counted").drop("counted")
-    found = postings(docs, common_order(measured), like, bounds.together)
+    stands, copies = copies_of(sets)
+    found = postings(*spared(docs, stands, copies), common_order(measured), like, bounds.together)
     groups = components(candidate_edges(found, sets, like, bounds.together))
-    # Equal sets of one group: the smallest id stands for all.
-    grouped = sets.where("n > 0").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
-    stands = settle(grouped.groupBy("grp", "d1", "d2", "n").agg(F.min("id").alias("id")), "representatives")
-    copies = grouped.join(stands.select("grp", "d1", "d2", F.col("id").alias("a")), ["grp", "d1", "d2"]).where(
-        "id != a").select("a", F.col("id").alias("b"))
-    blocks = F.ceil(F.greatest(F.count("*") * 2 / bounds.sets, F.sum("n") * 2 / bounds.shingles)).cast("long")
-    by_group = settle(stands.groupBy("grp").agg(
-        F.count("*").alias("members"), blocks.alias("blocks"), F.min("id").alias("pivot_id")), "groups")
-    wanted = stands.select("id", "grp").distinct().join(by_group.where("members > 1").select("grp", "blocks"), "grp")
-    texts = _texts(docs, wanted.select("id", "grp", "blocks"))
+    grouped = stands.join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
+    by_group = settle(grouped.groupBy("grp").agg(
+        F.count("*").alias("members"), blocks_of(bounds).alias("blocks"), F.min("id").alias("pivot_id")), "groups")
+    wanted = grouped.groupBy("grp", "id").agg(F.sum("n").alias("n")).join(
+        by_group.where("members > 1").select("grp", "blocks"), "grp")
+    texts = _texts(docs, wanted.select("id", "n", "grp", "blocks"))
     small = texts.where("blocks <= 2").select(F.col("grp").alias("unit"), "id", "text", F.lit(False).alias("resolved"))
     links = _compare(small, like)
     large = by_group.where("blocks > 2 AND members > 1").select("grp", "blocks", "pivot_id")

@@ -117,3 +117,89 @@ def test_odd_rows(spark):
     assert found == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3), (4, 0, 4)]
     assert [r.component_id for r in ngram_join.join(frame).where("doc_id IS NULL").collect()] == [None]
     assert ngram_join.join(frame.limit(0)).collect() == []
+
+def random_sets(rnd, sizes):
+    return [np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64)) for n in sizes]
+
+
+def test_unrelated_sets_are_ruled_out():
+    sets = random_sets(random.Random(11), [1024] * 150 + [2048] * 50)
+    sizes = np.array(list(map(len, sets)))
+    maps = ngram_join.sketches(*ngram_join._flat(sets), sizes)
+    edges, labels = ngram_join.plausible(np.arange(len(sets)), sizes, maps, np.ones(len(sets), bool), Likeness())
+    assert edges == [] and len(np.unique(labels)) == len(sets)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_asked_pair_is_looked_at(seed):
+    rnd, like = random.Random(seed), Likeness()
+    sets = []
+    for base in random_sets(rnd, [480, 520, 1000, 1050]):
+        for _ in range(12):
+            keep = rnd.random() * 0.3 + 0.7
+            sets.append(np.array(sorted({int(x) for x in base if rnd.random() < keep} |
+                                        {rnd.getrandbits(64) for _ in range(rnd.randint(0, 60))}), np.uint64))
+    rnd.shuffle(sets)
+    sizes = np.array(list(map(len, sets)))
+    maps = ngram_join.sketches(*ngram_join._flat(sets), sizes)
+    for asks in (np.ones(len(sets), bool), np.array([rnd.random() < 0.2 for _ in sets]), np.arange(len(sets)) == 7):
+        edges, labels = ngram_join.plausible(np.arange(100, 100 + len(sets)), sizes, maps, asks, like)
+        assert len(edges) == len(sets) - len(np.unique(labels))
+        for a in range(len(sets)):
+            for b in range(a):
+                overlap = len(np.intersect1d(sets[a], sets[b]))
+                if (asks[a] or asks[b]) and like.linked(overlap, int(sizes[a] + sizes[b])):
+                    assert labels[a] == labels[b]
+
+
+def test_a_set_that_links_with_nothing_does_not_walk_the_trie():
+    rnd = random.Random(4)
+    base = random_sets(rnd, [400])[0]
+    sets = [np.unique(np.append(base[rnd.sample(range(400), 390)], random_sets(rnd, [10])[0])) for _ in range(60)]
+    sets.append(np.unique(np.append(base[rnd.sample(range(400), 330)], random_sets(rnd, [70])[0])))
+
+    class Counted(list):
+        read = 0
+
+        def __getitem__(self, k):
+            Counted.read += 1
+            return super().__getitem__(k)
+
+    trie = ngram_join.Trie(sets, Likeness())
+    trie.nodes = Counted(trie.nodes)
+    assert list(trie.links(trie.member.index(60), np.arange(61))) == [] and Counted.read == 0
+    assert len(list(trie.links(trie.member.index(0), np.arange(61)))) == 59
+
+
+@pytest.mark.parametrize("batch,together", [(1, 4096), (3, 4096), (7, 4)])
+def test_shingles_that_span_batches(spark, batch, together):
+    documents = near_copies(8, clusters=4)
+    expected, _ = jaccard_groups(documents)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(batch))
+    try:
+        assert got(spark, documents, bounds=Bounds(together=together)) == expected
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_copies_are_sent_once(spark):
+    text, other = "a b c d e f g h", "q r s t u v"
+    rows = [(9, text), (2, text.upper()), (5, text), (5, other), (4, other), (None, text), (7, ""), (8, None), (1, "z")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    sets = ngram_join.measure(docs, Likeness()).where("NOT counted").drop("counted")
+    stands, copies = ngram_join.copies_of(sets)
+    assert sorted(r.id for r in stands.collect()) == [1, 2, 4]
+    assert sorted(map(tuple, copies.collect())) == [(2, 5), (2, 9), (4, 5)]
+    left, skip = ngram_join.spared(docs, stands, copies)
+    assert skip.tolist() == [5, 9]
+    order = ngram_join.Order(np.empty(0, np.uint64), np.empty(0, np.int8))
+    assert ngram_join.postings(left, skip, order, Likeness(), 10).collect() == []
+
+
+def test_very_many_copies_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_COPIES", 0)
+    documents = near_copies(12, clusters=4)
+    expected, _ = jaccard_groups(documents)
+    assert got(spark, documents) == expected
